@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, topk
-from .common import table
+from . import bpe, langid, quality, sharding, topk
+from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -19,6 +19,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs.select("doc_id", "text"), docs.where(learn_side("doc_id")))
+    return out.select("doc_id", (~learn_side("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = quality.score(docs, docs.where(learn_side("doc_id")), labels.where(learn_side("doc_id")))
+    return out.select("doc_id", (~learn_side("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), with_ids=False)
 
@@ -33,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
