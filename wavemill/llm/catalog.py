@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, topk
+from . import bpe, decontaminate, langid, quality, sharding, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,6 +36,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), with_ids=False)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -46,11 +55,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op6_decontaminate, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontaminate": r"""
+            with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+            b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null),
+            p as (select distinct item_id, least(10, len(ws)) n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') s
+                  from b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) t(i) where len(ws) > 0),
+            x as (select doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') s from w, (select distinct n from p) k, unnest(range(1, len(ws) - n + 2)) t(i) where len(ws) >= n),
+            h as (select doc_id, i, p.n, item_id from x join p using (n, s)),
+            c as (select doc_id, count(distinct i + j) n_hit from h, unnest(range(0, n)) t(j) group by doc_id),
+            m as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from h) group by doc_id)
+            select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+                   sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+            from w left join c using (doc_id) left join m using (doc_id)""",
         "op9_topk": """
             with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
                        where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
