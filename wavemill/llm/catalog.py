@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, sharding, topk
+from . import bpe, decontaminate, langid, quality, sharding, substring, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -45,6 +45,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", substring.kept_digest("kept_text").alias("kept_sha256"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op6_decontaminate, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,6 +77,16 @@ def oracle_sql() -> dict[str, str]:
             select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
                    sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
             from w left join c using (doc_id) left join m using (doc_id)""",
+        "op8_substring": r"""
+            with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+            x as (select doc_id, i, array_to_string(ws[i : i + 12], ' ') s from w, unnest(range(1, len(ws) - 11)) t(i) where len(ws) >= 13),
+            r as (select x.doc_id, i from x join (select s, min(doc_id) d from x group by s) m using (s) where m.d < x.doc_id),
+            g as (select distinct doc_id, i + j k from r, unnest(range(0, 13)) t(j)),
+            a as (select doc_id, list(k) ks from g group by doc_id),
+            k as (select w.doc_id, len(ws) n, coalesce(len(ks), 0) n_removed,
+                         case when ks is null then ws else list_filter(ws, lambda x, i: not list_contains(ks, i)) end kept
+                  from w left join a using (doc_id))
+            select doc_id, n::bigint n_words, n_removed::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from k""",
         "op9_topk": """
             with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v from embeddings
                        where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
