@@ -22,9 +22,11 @@ any length are encoded whole. Repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import utf8_column
 
-#: Chunks of text whose tokens a worker remembers.
-CACHE_CHUNKS = 200_000
+#: What a worker remembers: chunks between blanks, pre-split words, transitions.
+CACHE_CHUNKS = 500_000
+CACHE_ARCS = 2_000_000
 #: White space as the file's pattern has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -51,6 +54,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Remembered(dict):
+    """What ``make`` gives for a chunk, remembered until there are too many."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        out = self.make(chunk)
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        self[chunk] = out
+        return out
+
+
 class MergeAutomaton:
     """The automaton of one tokenizer file."""
 
@@ -69,13 +86,30 @@ class MergeAutomaton:
             u, v, w = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank.setdefault((u, v), n)
             self.made.setdefault(w, (n, u, v))
+        self.alone: dict[int, bool] = {}
         self.longest = max(map(len, self.ids), default=1)
-        self.table: dict[tuple[int, int], bool] = {}
-        self.symbols = byte_symbols()
+        #: transitions asked for so far: token before and arc -> is there such an arc
+        self.table: dict[int, bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.to_symbols = dict(enumerate(byte_symbols()))
+        whole = {t: i for t, i in self.ids.items() if self._alone(i)}
+        end = len(self.suffix)
+        #: arcs by their labels: those inside a word, and those that end it (without the suffix)
+        self.inner = {t: i for t, i in whole.items() if not end or not t.endswith(self.suffix)}
+        self.final = {t[: len(t) - end]: i for t, i in whole.items() if t.endswith(self.suffix)}
+        #: the same labels as a tree of characters
+        self.tree: dict = {}
+        for kind, arcs in (("in", self.inner), ("end", self.final)):
+            for label, i in arcs.items():
+                node = self.tree
+                for c in label:
+                    node = node.setdefault(c, {})
+                node[kind] = i
         splits = [s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         self.split = regex.compile(splits[0].replace("\\s", SPACE))
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.ids_of = Remembered(lambda c: array("I", self._chunk(c)).tobytes())
+        self.text_of = Remembered(lambda c: " ".join(map(self.labels.__getitem__, array("I", self.ids_of[c]))))
 
     def _arc(self, t: int, w: int) -> bool:
         """Does the state after token t have the arc w once all gadgets are applied?
@@ -84,7 +118,7 @@ class MergeAutomaton:
         have covered it. Walk back: at each step the later-made of the two tokens is opened at the
         seam; a rule on the pair that is older than the opened token's own rule took the arc away.
         """
-        known = self.table.get((t, w))
+        known = self.table.get(t << 20 | w)
         if known is not None:
             return known
         a, b, limit, out = t, w, 1 << 60, True
@@ -102,7 +136,9 @@ class MergeAutomaton:
                 limit, a = ra[0], ra[2]
             else:
                 limit, b = rb[0] + 1, rb[1]
-        self.table[t, w] = out
+        if len(self.table) >= CACHE_ARCS:
+            self.table.clear()
+        self.table[t << 20 | w] = out
         return out
 
     def _alone(self, w: int) -> bool:
@@ -110,10 +146,10 @@ class MergeAutomaton:
         rule = self.made.get(w)
         if rule is None:
             return True
-        known = self.table.get((-1, w))
+        known = self.alone.get(w)
         if known is None:
             n, u, v = rule
-            known = self.table[-1, w] = self._alone(u) and self._alone(v) and self._arc_below(u, v, n)
+            known = self.alone[w] = self._alone(u) and self._alone(v) and self._arc_below(u, v, n)
         return known
 
     def _arc_below(self, u: int, v: int, n: int) -> bool:
@@ -132,43 +168,69 @@ class MergeAutomaton:
                 limit, b = min(limit, rb[0] + 1), rb[1]
 
     def word(self, text: str) -> list[int]:
-        """Token ids of one pre-split word."""
-        base = [self.symbols[b] for b in text.encode()]
-        n = len(base)
-        if not n:
-            return []
-        base[-1] += self.suffix
-        starts = np.cumsum([0, *map(len, base)]).tolist()
-        joined = "".join(base)
-        whole = self.ids.get(joined)
-        if whole is not None and self._alone(whole):
-            return [whole]
-        state: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        most = self.longest
-        for end in range(1, n + 1):
-            stop = starts[end]
-            for at in range(end - 1, max(-1, end - 1 - most), -1):
-                w = self.ids.get(joined[starts[at] : stop])
-                if w is None or not self._alone(w) or at and (state[at] is None or not self._arc(state[at], w)):
-                    continue
-                state[end], back[end] = w, at
-                break
+        """Token ids of one pre-split word: the one path through the automaton that spells it.
+
+        Arcs are tried from the longest on; a place and arc from which no path went on is not tried again.
+        """
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(self.to_symbols)
+        n = len(text)
+        whole = self.final.get(text)
+        if whole is not None or not n:
+            return [whole] if n else []
+        table, arc = self.table, self._arc
+        path: list[int] = []
+        ends: list[int] = []
+        choices: list[list[tuple[int, int]]] = []  # for each step, the arcs (token, end) not tried yet
+        dead: set[tuple[int, int]] = set()
+        at, before = 0, -1
+        while True:
+            some: list[tuple[int, int]] = []
+            node, j = self.tree, at
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
+                    break
+                j += 1
+                w = node.get("end" if j == n else "in")
+                if w is not None:
+                    some.append((w, j))
+            choices.append(some)
+            while True:
+                while choices and not choices[-1]:
+                    choices.pop()
+                    if path:
+                        dead.add((path.pop(), ends.pop()))
+                if not choices:
+                    raise ValueError(f"the automaton has no path for {text!r}")
+                before = path[-1] if path else -1
+                w, end = choices[-1].pop()
+                if before >= 0:
+                    joins = table.get(before << 20 | w)
+                    if not (joins if joins is not None else arc(before, w)):
+                        continue
+                if (w, end) not in dead:
+                    break
+            path.append(w)
+            ends.append(end)
+            if end == n:
+                return path
+            at = end
+
+    def _chunk(self, chunk: str) -> list[int]:
+        """Token ids of what stands between two blanks."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        # most chunks are a word and a sign
+        cut = [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha() else self.split.findall(chunk)
         out: list[int] = []
-        at = n
-        while at:
-            if state[at] is None:
-                raise ValueError(f"the automaton has no path for {text!r}")
-            out.append(state[at])
-            at = back[at]
-        return out[::-1]
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids = [i for m in self.split.findall(chunk) for i in self.word(m)]
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
-            self.table.clear()
-        out = self.chunks[chunk] = (np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.labels.__getitem__, ids)))
+        for m in cut:
+            ids = self.ids_of[m] if m.isalpha() else self.pieces.get(m)
+            if ids is None:
+                if len(self.pieces) >= CACHE_CHUNKS:
+                    self.pieces.clear()
+                ids = self.pieces[m] = array("I", self.word(m)).tobytes()
+            out += array("I", ids)
         return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -182,13 +244,9 @@ class MergeAutomaton:
             piece = unicodedata.normalize("NFC", piece)
             # lower case by single characters: no rule for the last letter of a word
             piece = piece.replace("Σ", "σ").lower()
-            known = self.chunks.get
-            for chunk in _SPACES.split(piece) if _ODD_SPACE.search(piece) else piece.split():
-                if chunk:
-                    i, w = known(chunk) or self._chunk(chunk)
-                    if i:
-                        ids.append(i)
-                        words.append(w)
+            chunks = [c for c in _SPACES.split(piece) if c] if _ODD_SPACE.search(piece) else piece.split()
+            ids += map(self.ids_of.__getitem__, chunks)
+            words += filter(None, map(self.text_of.__getitem__, chunks))
         return b"".join(ids), " ".join(words)
 
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -213,7 +271,9 @@ class MergeAutomaton:
 def automaton(path: str) -> MergeAutomaton:
     """One per worker process. ``path`` must be readable on every executor (the tokenizer files are installed there)."""
     with open(path, encoding="utf-8") as f:
-        return MergeAutomaton(json.load(f))
+        out = MergeAutomaton(json.load(f))
+    gc.freeze()  # its many small tables need not be looked through again
+    return out
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
