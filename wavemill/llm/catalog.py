@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, sharding, substring, topk
+from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs.select("doc_id", "text"), docs.where(learn_side("doc_id")))
@@ -60,11 +65,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op1_jaccard, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_jaccard": r"""
+            with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+            s as (select distinct doc_id, array_to_string(ws[i : i + least(3, len(ws)) - 1], ' ') g from w, unnest(range(1, len(ws) - least(3, len(ws)) + 2)) t(i) where len(ws) > 0),
+            n as (select doc_id, count(*) n from s group by doc_id),
+            p as (select a.doc_id a, b.doc_id b, count(*) x from s a join s b using (g) where a.doc_id < b.doc_id group by all),
+            l as (select a, b from p join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * x >= 90 * (na.n + nb.n - x)),
+            e as (select a, b from l union select b, a from l),
+            r(doc_id, c) as (select doc_id, doc_id from w union select e.b, r.c from r join e on e.a = r.doc_id)
+            select r.doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(c) component_id from r left join n using (doc_id) group by r.doc_id""",
         "op6_decontaminate": r"""
             with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
             b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark where item_id is not null),
