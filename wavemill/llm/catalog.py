@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, topk
+from . import bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +24,11 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), F.char_length("text").cast("long").alias("kept_chars"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs.select("doc_id", "text"), docs.where(learn_side("doc_id")))
@@ -65,7 +70,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op1_jaccard, op2_linededup, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
