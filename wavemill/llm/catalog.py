@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, topk
+from . import bpe, decontaminate, jaccard, langid, linededup, pii, quality, sharding, substring, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -55,6 +55,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_entities", F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
     return out.select("doc_id", "n_words", "n_removed", substring.kept_digest("kept_text").alias("kept_sha256"))
@@ -70,7 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_linededup, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op8_substring, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op1_jaccard, op2_linededup, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op7_pii, op8_substring, op9_topk, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
