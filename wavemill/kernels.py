@@ -369,12 +369,15 @@ def pitch_time_zero_crossings(x, fs):
 
 
 def pitch_time_auditory(x, fs, fmax: float = 2000.0, bands: int = 20):
-    """Sum of the band autocorrelations of a smoothed gammatone filterbank; blocks are independent."""
+    """Mean of the band autocorrelations of a smoothed gammatone filterbank; blocks are independent.
+
+    The mean (not the sum) keeps the main lobe's threshold meaningful for any number of bands.
+    """
     total = np.zeros(x.shape)
     b, a = butterworth(2, 0.02)
     for fc in gammatone_centres(bands, 100.0, fs):
         total += acf(iir(b, a, gammatone(x, fc, fs)))
-    return _acf_pitch(total, fs, fmax)
+    return _acf_pitch(total / bands, fs, fmax)
 
 
 # --- filters -------------------------------------------------------------------------------------
