@@ -71,7 +71,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 20240501,
     matrix = spark.createDataFrame([(int(p), [int(x) for x in e]) for p, e in zip(order, ends, strict=True)], "part long, ends array<long>")
     # Ranges of the second permutation key: a row's place in its shard is its place in the range plus all lower ranges.
     n_ranges = max(1, min(MOST_PARTS, -(-total // (shards * ROWS_PER_PART)) * 8))
-    step = (1 << 63) // n_ranges + 1
+    step = -(-(1 << 63) // n_ranges) if n_ranges > 1 else (1 << 63) - 1
 
     local = Window.partitionBy("part").orderBy("draw1", "doc_id", "text_crc32", "size")
     dealt = (
@@ -80,7 +80,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 24, seed: int = 20240501,
         .join(F.broadcast(matrix), "part")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int"))
         .withColumn("draw2", draw(2))
-        .withColumn("range", F.expr(f"cast(shiftrightunsigned(draw2, 1) div {step}L as int)"))
+        .withColumn("range", F.expr(f"least(cast(shiftrightunsigned(draw2, 1) div {step}L as int), {n_ranges - 1})"))
         .select("doc_id", "size", "text_crc32", "shard", "draw2", "range")
     )
     in_range = Window.partitionBy("shard", "range").orderBy("draw2", "doc_id", "text_crc32", "size")
