@@ -20,6 +20,7 @@ from .operators import framing, learn, music
 from .operators import pitch as pitches
 from .operators import spectral
 from .sources import synth
+from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -809,6 +810,51 @@ def _(spark, d):
     return out.join(synth.dc(spark, 203, 0.25).withColumnRenamed("x", "dc"), "i")
 
 
+# streaming -----------------------------------------------------------------------------------------
+
+# ten interleaved signals: event number e is sample e // 10 of signal e % 10; complete blocks only
+_LONG = """lng as (select (event_id - m) % 10 s, (event_id - m) // 10 i, value x from events, (select min(event_id) m from events)),
+ lb as (select s, unnest(range((count(*) - 16) // 8 + 1)) b from lng group by s),
+ lf as (select lb.s, lb.b, k, sum(x * h * cos(2 * pi() * k * p / 16)) / 16 re, sum(x * h * sin(2 * pi() * k * p / 16)) / 16 im
+        from lb, (select p, 0.5::double * (1 - cos(2 * pi() * p / 17)) h from (select unnest(range(16)) p)) w, (select unnest(range(9)) k) kk, lng where lng.s = lb.s and lng.i = lb.b * 8 + p group by all),
+ lm as (select s, b, k, sqrt(re * re + im * im) m from lf), lp as (select *, coalesce(lag(m) over (partition by s, k order by b), 0) q from lm)"""
+
+
+def _stream(spark, d, make) -> DataFrame:
+    """Runs a streaming operator over the events as they are, to the end, and returns what it wrote."""
+    import uuid
+
+    low = read(spark, d, "events").agg(F.min("event_id")).first()[0] or 0
+    path = f"{d}/events.parquet"
+    source = spark.readStream.schema(read(spark, d, "events").schema).parquet(path if _is_folder(spark, path) else f"{d}/events.parq*")
+    e = F.col("event_id") - low
+    samples = source.select((e % 10).alias("signal_id"), F.expr(f"(event_id - {low}) div 10").alias("i"), F.col("value").alias("x"))
+    name = f"stream_{uuid.uuid4().hex}"
+    make(samples).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _is_folder(spark, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("q_stream_flux", f"with {_LONG} select s signal_id, b block_idx, round(sqrt(sum((m - q) * (m - q))) / 9, 6) + 0.0 y from lp group by all")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.flux(s, 16, 8)).select("signal_id", "block_idx", rnd("value").alias("y"))
+
+
+@query("q_stream_moving_avg", "with l as (select (event_id - m) % 10 s, (event_id - m) // 10 i, value x from events, (select min(event_id) m from events)) select s signal_id, i, round(sum(x) over (partition by s order by i rows between 4 preceding and current row) / 5, 6) + 0.0 y from l")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.moving_average(s, 5)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+@query("q_window_levels", "select user_id, strftime(ts, '%Y-%m-%d') as start, round(avg(value), 6) mean, round(sqrt(avg(value * value)), 6) rms, count(*) n from events group by all")
+def _(spark, d):
+    out = stateful.windowed_levels(read(spark, d, "events"), "1 day")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("start"), rnd("mean").alias("mean"), rnd("rms").alias("rms"), "n")
+
+
 # rows only ----------------------------------------------------------------------------------------
 
 
