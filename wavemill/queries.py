@@ -953,6 +953,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.features(evt_blocks(spark, sf_dir, True), names)
 
 
-@query("q_feature_set")
+_SET = f"""with {BMAG}, g as (select user_id, block_idx, sum(m) s, sum(k * m) km, min(m) mn, avg(ln(greatest(m, 1e-300::double))) lg, avg(m) mean, sqrt(sum((m - pm) * (m - pm))) / 9 flux from two group by all),
+ c as (select *, case when s >= 1e-30::double then km / s else 0 end c from g),
+ sp as (select user_id, block_idx, sum((k - c) * (k - c) * m) v from two join c using (user_id, block_idx) group by all),
+ ro as (select user_id, block_idx, min(k) k from (select user_id, block_idx, k, sum(m) over (partition by user_id, block_idx order by k) cs from two) join c using (user_id, block_idx) where cs > 0.85::double * s group by all),
+ tm as (select user_id, block_idx, sqrt(avg(x * x)) rms, sum(abs(sign(x) - pv)) / 32 zcr from (select *, coalesce(lag(sign(x)) over (partition by user_id, block_idx order by p), 0) pv from blk) group by all)
+ select user_id signal_id, block_idx, round(c / 16, 6) + 0.0 "SpectralCentroid", round(case when c >= 1e-30::double then sqrt(v / s) / 16 else 0 end, 6) + 0.0 "SpectralSpread",
+  round(case when s >= 1e-30::double then coalesce(ro.k, 8) / 16::double else 0 end, 6) + 0.0 "SpectralRolloff", round(flux, 6) + 0.0 "SpectralFlux",
+  round(case when mn >= 1e-30::double then exp(lg) / mean else 0 end, 6) + 0.0 "SpectralFlatness", round(rms, 6) + 0.0 "TimeRms", round(zcr, 6) + 0.0 "TimeZeroCrossingRate"
+ from c join sp using (user_id, block_idx) left join ro using (user_id, block_idx) join tm using (user_id, block_idx)"""
+
+
+@query("q_feature_set", _SET)
 def _(spark, d):
-    return flagship(spark, d)
+    out = flagship(spark, d)
+    return out.select("signal_id", "block_idx", *[rnd(c).alias(c) for c in out.columns if c[:2] in ("Sp", "Ti")])
