@@ -55,8 +55,8 @@ def parts(df: DataFrame) -> int:
 
 
 def learn_side(doc_id) -> object:
-    """True for the rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+    """True for the rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1. False without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 class WordHash(dict):

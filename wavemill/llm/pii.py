@@ -180,20 +180,20 @@ def _spelled() -> Column:
 def surrogates(docs: DataFrame, key: str = "wavemill", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its text column replaced, and n_entities and kinds (sorted distinct entity types) added."""
     folder = scratch(docs.sparkSession)
-    docs = docs.drop("n_entities", "kinds").withColumn("_tid", F.xxhash64(text_col))
-    found = docs.select(F.col(id_col).alias("_id"), "_tid", F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)).alias("values")).where(F.size("values") > 0)
-    places = found.dropDuplicates(["_id", "_tid"]).select("_id", "_tid", F.posexplode("values").alias("pos", "value"))
+    docs = docs.drop("n_entities", "kinds").withColumn("_wm_tid", F.xxhash64(text_col))
+    found = docs.select(F.col(id_col).alias("_wm_id"), "_wm_tid", F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)).alias("values")).where(F.size("values") > 0)
+    places = found.dropDuplicates(["_wm_id", "_wm_tid"]).select("_wm_id", "_wm_tid", F.posexplode("values").alias("pos", "value"))
     places = places.withColumn("kind", kind_of(F.col("value"))).withColumn("form", form_of(F.col("kind"), F.col("value")))
     places = written(places, folder, "places")
     known = dictionary(places.select("kind", "form").distinct(), key, folder)
     made = places.join(known, ["kind", "form"]).withColumn("sur", _spelled())
-    per_doc = made.groupBy("_id", "_tid").agg(F.array_sort(F.collect_list(F.struct("pos", "sur", "kind"))).alias("made"))
-    per_doc = per_doc.withColumnRenamed("_id", "_id2").withColumnRenamed("_tid", "_tid2")
-    joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_tid") == F.col("_tid2")), "left")
+    per_doc = made.groupBy("_wm_id", "_wm_tid").agg(F.array_sort(F.collect_list(F.struct("pos", "sur", "kind"))).alias("_wm_made"))
+    per_doc = per_doc.withColumnRenamed("_wm_id", "_wm_id2").withColumnRenamed("_wm_tid", "_wm_tid2")
+    joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_wm_id2")) & (F.col("_wm_tid") == F.col("_wm_tid2")), "left")
     gaps = F.split(text_col, ANY, -1)
-    pieces = F.zip_with(gaps, F.concat(F.transform("made", lambda m: m["sur"]), F.array(F.lit(""))), lambda g, s: F.concat(g, s))
+    pieces = F.zip_with(gaps, F.concat(F.transform("_wm_made", lambda m: m["sur"]), F.array(F.lit(""))), lambda g, s: F.concat(g, s))
     return joined.select(
-        *[F.when(F.col("made").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, "")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_tid"],
-        F.when(F.col("made").isNull(), 0).otherwise(F.size("made")).cast("long").alias("n_entities"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("made", lambda m: m["kind"]))), ",").alias("kinds"),
+        *[F.when(F.col("_wm_made").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, "")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "_wm_tid"],
+        F.when(F.col("_wm_made").isNull(), 0).otherwise(F.size("_wm_made")).cast("long").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_wm_made", lambda m: m["kind"]))), ",").alias("kinds"),
     )
