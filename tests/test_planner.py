@@ -55,3 +55,15 @@ def test_sql_functions(spark):
     row = spark.sql("select hz_to_midi(440D) a, hz_to_bark_schroeder(1000D) b, next_pow2(5) c, signal_blocks(array(1D, 2D, 3D), 2, 2) d, word_distance(5, 6) e").first()
     assert row["a"] == pytest.approx(69) and row["b"] == pytest.approx(8.51137148802024) and row["c"] == 8
     assert row["d"] == [[1, 2], [3, 0]] and row["e"] == 2
+
+
+def test_ring_reads(spark):
+    from pyspark.sql import functions as F
+
+    from wavemill.functions import exprs as E
+
+    ring = spark.createDataFrame([(p,) for p in (0.7, 7.5, 14.5, -0.25)], "p double").withColumn("a", F.expr("transform(sequence(0, 14), x -> cast(x as double))"))
+    got = [round(r["v"], 9) for r in ring.select(E.ring_get("a", "p").alias("v")).collect()]
+    assert got == [0.7, 7.5, 7.0, 3.5]
+    moved = spark.range(1).select(E.moved(F.array(*map(F.lit, [1.0, 2.0, 3.0, 4.0])), 0, 2, 2).alias("m"), E.divide(F.array(F.lit(1.0)), F.array(F.lit(0.0))).alias("d"), E.subtract_scaled(F.array(F.lit(3.0)), F.array(F.lit(2.0)), 0.5).alias("s")).first()
+    assert moved["m"] == [3.0, 4.0, 3.0, 4.0] and moved["d"] == [None] and moved["s"] == [2.0]

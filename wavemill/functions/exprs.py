@@ -150,6 +150,13 @@ def sorted_with_places(a, descending: bool = False) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: F.struct((-p["v"] if descending else p["v"]).alias("v"), p["i"].alias("i")))
 
 
+def ring_get(a, pos) -> Column:
+    """Value at a fractional place of a ring: linear between neighbours, wrapping around at both ends."""
+    lo, n = F.floor(col(pos)), F.size(col(a))
+    frac = col(pos) - lo
+    return (1 - frac) * F.get(col(a), F.pmod(lo, n).cast("int")) + frac * F.get(col(a), F.pmod(lo + 1, n).cast("int"))
+
+
 # --- distances ---------------------------------------------------------------------------------
 
 
