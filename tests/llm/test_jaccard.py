@@ -73,3 +73,30 @@ def test_empty_table_and_null_ids(spark):
     assert result(spark, []) == {}
     got = jaccard.near_duplicates(spark.createDataFrame([("a b c d e f", None, "x"), ("a b c d e f", 7, "x"), ("q r s t u v", None, "x")], SCHEMA)).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == [(7, 7), (None, 7), (None, None)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (70, 100)])
+def test_linked_sets_share_a_part_and_pass_the_counts(num, den):
+    """The two filters of level 0 lose no link."""
+    import numpy as np
+
+    rng = np.random.default_rng(num)
+    c, q = jaccard.part_sizes(num, den)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+        b = np.concatenate([a[rng.random(n) > rng.random() * 0.25], rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        x = len(np.intersect1d(a, b))
+        if not len(b) or den * x < num * (len(a) + len(b) - x) or len(a) == len(b) == x:
+            continue
+        owner, keys = jaccard.part_keys([a, b], c, q)
+        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+        first, second = sorted((a, b), key=len)
+        assert jaccard.may_link(np.array([len(first), len(second)]), [jaccard.count_vector(first), jaccard.count_vector(second)], num, den) == [(1, 0)]
+
+
+def test_two_texts_of_one_id(spark):
+    rows = [("a b c d e f g h i j", 1, "x"), ("q r s t u v w x y z", 1, "x"), ("q r s t u v w x y z z", 2, "x"), ("a b c d e f g h i j j", 3, "x"), ("k l m n o p", 4, "x")]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=2, num=80, den=100).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(1, 9, 1), (1, 9, 1), (2, 10, 1), (3, 10, 1), (4, 5, 4)]

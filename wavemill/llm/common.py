@@ -97,6 +97,13 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
+def sliced(batches, rows: int = 256):
+    """The batches in slices of few rows, so that only these are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_column(batch, name: str) -> list[bytes | None]:
     """The texts of an Arrow batch as UTF-8 bytes."""
     import pyarrow as pa

@@ -2,13 +2,17 @@
 
 The Jaccard distance d = 1 - |A n B| / |A u B| is a metric. Two documents link when d <= r.
 
-Level 0, pivots of one shingle. The distance of a set A to the pivot {s} is 1 - 1/|A| if A holds s,
-and 1 otherwise, so A's nearest pivots are its own shingles; ties are broken by rarity (a count
-sketch of all documents, then the hash). A belongs to the region of its rarest shingle. If d(A, B) <= r,
-at most |A| - ceil((1 - r)|A|) shingles of A are missing in B, so B's region is always among the
-next-nearest pivots of A up to that number plus one: this is A's window, and A is replicated into the
-regions of its whole window. Every link lies in a region that both documents share. Regions that share
-documents are joined into one (components of the bipartite graph), so each link is in exactly one.
+Level 0, pivots that are parts of sets. Shingle hashes form a binary tree. For a node v, A_v are A's
+shingles below v, and d_v(A, B) = d(A_v, B_v). If d(A, B) <= r at a node, then d <= r at one of its
+children (the node's shared and united shingles are the sums of the children's). Going down, a node is
+reached where A_v u B_v has at most c < 1/r shingles; there d_v <= r means d_v = 0, i.e. A_v = B_v:
+both lie on the same pivot, the part itself, and other pivots of the node are more than r away. So a
+document is put into the region of each of its parts with at most c shingles whose parent has at
+least (1 - r)(c + 1), which the triangle of sizes leaves for A, B and their union; every link lies in
+a region that both documents share. Within a region, distances to fixed pivots (the shingle counts of
+2^b hash ranges) bound d from below: only members whose windows of counts overlap stay connected.
+Regions that share documents are then joined into one (connected components), so that each link is
+in exactly one region.
 
 Level 1 and up, pivots that are documents. A region that is too large for a task gets PIVOTS documents
 as pivots. Every member's distances to them are computed, in chunks. Members go to the Voronoi region
@@ -36,14 +40,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, multipliers, parts, rolling, scratch, utf8_column, written
+from .common import MASK64, WordHash, discard, mixed, multipliers, parts, rolling, scratch, sliced, utf8_column, written
 from .graph import components
 
-#: Buckets of the count sketch: a fixed size, whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 18, 16
+#: Members of a part's region that are compared by their counts; larger regions are joined as they are.
+PART_DOCS = 4096
+#: Numbers that one block of count differences may hold.
+COUNT_BLOCK = 1 << 23
+#: Bits of the largest count vector; a set of n shingles has about n / 4 counts.
+MOST_COUNT_BITS = 12
 #: A region up to this many documents and shingles is joined in one task.
 REGION_DOCS, REGION_SHINGLES = 192, 4_000_000
 PIVOTS, CHUNK_DOCS, MOST_LEVELS = 16, 96, 4
+#: Classes that a task remembers so as to send their parts once.
+MOST_SEEN = 1_000_000
+#: Candidates up to this number (some 20 MB) are broadcast to the texts.
+BROADCAST_ROWS = 500_000
 NO_ID = (1 << 63) - 1
 
 
@@ -64,52 +76,161 @@ class Shingles:
             return mixed(np.array([np.sum(h * np.array(multipliers(self.k)[: len(h)])) + np.uint64(len(h))], dtype=np.uint64))
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How often each bucket of shingle hashes occurs in sets, over all documents: 2^SKETCH_BITS numbers."""
-    width = (1 << SKETCH_BITS) // SKETCH_PARTS
+def class_of(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, total = Shingles(k), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            sets = [s.of(t) for t in utf8_column(batch, "text")]
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) if sets else 0
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"part": list(range(SKETCH_PARTS)), "counts": [total[i * width : (i + 1) * width].tobytes() for i in range(SKETCH_PARTS)]}, schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def _own(rows: list[dict], s: Shingles) -> tuple[list[dict], list[np.ndarray]]:
+    """Rows of distinct classes with their sets; texts of another class (rows that share an id) are left out."""
+    sets = {r["cid"]: (r, h) for r in rows if class_of(h := s.of(r["text"].encode())) == r["cid"]}
+    return [r for r, _ in sets.values()], [h for _, h in sets.values()]
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return out
+
+def part_sizes(num: int, den: int) -> tuple[int, int]:
+    """(c, q) for r = 1 - num/den: most shingles of a part, fewest of its parent."""
+    c = max(1, -(-den // (den - num)) - 1)
+    return c, -(-num * (c + 1) // den)
+
+
+def part_keys(sets: list[np.ndarray], c: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, key) of all parts of at most c shingles whose parent node has at least q; sets are sorted."""
+    h = np.concatenate([np.empty(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    level, node = multipliers(2)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    live = np.flatnonzero(size[owner] >= q) if len(h) else np.empty(0, np.int64)
+    owners, keys = [], []
+    for depth in range(1, 64):
+        if not len(live):
+            break
+        prefix, who = h[live] >> np.uint64(64 - depth), owner[live]
+        begin = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (who[1:] != who[:-1])]))
+        n = np.diff(np.append(begin, len(live)))
+        small = n <= c
+        at = live[begin[small]]
+        content = sums[at + n[small]] - sums[at]
+        keys.append(mixed(content + np.uint64(depth * int(level) & MASK64) + prefix[begin[small]] * node))
+        owners.append(who[begin[small]])
+        live = live[np.repeat(n >= q, n)]
+    return (np.concatenate(owners), np.concatenate(keys)) if owners else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def count_vector(h: np.ndarray) -> bytes:
+    """Counts (up to 255) of shingles in 2^b equal hash ranges."""
+    bits = min(MOST_COUNT_BITS, max(0, (len(h) // 4).bit_length()))
+    at = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n: np.ndarray, counts: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """(member, first member) of the components that sizes and L1 distances of count vectors leave; n is sorted."""
+    v = [np.frombuffer(x, np.uint8).astype(np.int16) for x in counts]
+    width = min(map(len, v))
+    # coarser ranges are sums of finer ones; a clipped count bounds nothing, so its members stay with all
+    v = np.stack([x.reshape(width, -1).sum(axis=1, dtype=np.int16) for x in v])
+    clipped = np.array([255 in x for x in counts])
+    label = np.arange(len(n))
+    # only sizes of at least num/den of each other can link
+    first = np.searchsorted(den * n, num * n)
+    rows = max(1, COUNT_BLOCK // max(1, width * int((np.arange(len(n)) - first).max() + 1)))
+    a, b = [], []
+    for at in range(0, len(n), rows):
+        end, lo = min(at + rows, len(n)), int(first[at])
+        far = np.abs(v[at:end, None, :] - v[None, lo:end, :]).sum(axis=2, dtype=np.int32)
+        # d <= r means |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|)
+        ok = far * (den + num) <= (den - num) * (n[at:end, None] + n[None, lo:end])
+        ok |= clipped[at:end, None] | clipped[None, lo:end]
+        i, j = np.nonzero(ok)
+        keep = j + lo < i + at
+        a.append(i[keep] + at)
+        b.append(j[keep] + lo)
+    a, b = np.concatenate(a), np.concatenate(b)
+    while len(a):
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return [(i, int(r)) for i, r in enumerate(label.tolist()) if i != r]
+
+
+def _classes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, cid, counts): set size, class (hash of the set) and count vector of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingles(k)
+        for batch in sliced(batches):
+            sets = [s.of(t) for t in utf8_column(batch, "text")]
+            cid = [class_of(h) if len(h) else None for h in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array([count_vector(h) for h in sets], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, counts binary")
 
 
 def _windows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, cid, keys): set size, class (hash of the set) and window of pivots of each document."""
-    held = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))  # 2 MB
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(cid, key): the regions that each class is put into; a class comes once from each task that holds it."""
+    schema = pa.schema([("cid", pa.int64()), ("key", pa.int64())])
+    c, q = part_sizes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, seen = Shingles(k), held.value
-        for batch in batches:
-            n, cid, keys = [], [], []
+        s, seen = Shingles(k), set()
+        for batch in sliced(batches):
+            new: dict[int, np.ndarray] = {}
             for t in utf8_column(batch, "text"):
                 h = s.of(t)
-                n.append(len(h))
-                if not len(h):
-                    cid.append(None)
-                    keys.append(None)
-                    continue
-                cid.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
-                size = len(h) - -(-num * len(h) // den) + 1
-                # stable: equal counts stay in the order of the hash
-                rare = np.argsort(seen[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:size]
-                keys.append(h[rare].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": n, "cid": cid, "keys": keys}, schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, keys array<long>")
+                if len(h) >= q and (cid := class_of(h)) not in seen:
+                    new[cid] = h
+            seen.update(new)
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            owner, keys = part_keys(list(new.values()), c, q)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(new), np.int64)[owner]), pa.array(keys.view(np.int64))], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "cid long, key long")
+
+
+def _part_edges(shared: DataFrame, classes: DataFrame, folder: str, num: int, den: int) -> DataFrame:
+    """(a, b) that connect the members of each part's region; shared has (key, cid, hub, c) with c members."""
+    few = shared.where(F.col("c") <= PART_DOCS).join(classes.select("cid", "n"), "cid")
+    lists = few.groupBy("key").agg(F.collect_set(F.struct("n", "cid")).alias("m"))  # at most PART_DOCS
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of sizes without a gap that no link can cross; equal runs have equal names."""
+        schema = pa.schema([("run", pa.int64()), ("cid", pa.int64())])
+        for batch in sliced(batches):
+            found: dict[int, list[int]] = {}
+            for m in batch.column("m").to_pylist():
+                m = sorted((x["n"], x["cid"]) for x in m)
+                at = 0
+                for i in range(1, len(m) + 1):
+                    if i == len(m) or den * m[i - 1][0] < num * m[i][0]:
+                        if i - at > 1:
+                            ids = [c for _, c in m[at:i]]
+                            found[xxhash.xxh3_64_intdigest(np.array(ids, np.int64).tobytes()) - (1 << 63)] = ids
+                        at = i
+            if found:
+                yield pa.RecordBatch.from_pydict({"run": [k for k, ids in found.items() for _ in ids], "cid": [c for ids in found.values() for c in ids]}, schema=schema)
+
+    runs = written(lists.mapInArrow(split, "run long, cid long").distinct(), folder, "runs")
+    counted = runs.join(classes.select("cid", "n", "counts"), "cid").groupBy("run").agg(F.collect_list(F.struct("n", "cid", "counts")).alias("m"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in sliced(batches, 64):
+            found: dict[tuple[int, int], None] = {}
+            for m in batch.column("m").to_pylist():
+                m.sort(key=lambda x: (x["n"], x["cid"]))
+                for i, j in may_link(np.array([x["n"] for x in m]), [x["counts"] for x in m], num, den):
+                    found[m[i]["cid"], m[j]["cid"]] = None
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
+
+    many = shared.where((F.col("c") > PART_DOCS) & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    return counted.mapInArrow(compare, "a long, b long").unionAll(many).distinct()
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
@@ -142,24 +263,27 @@ def _linked(x: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -
     return den * x >= num * (na[:, None] + nb[None, :] - x)
 
 
-def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """(member, first member of its component) for the members that are linked with an earlier one."""
-    n = np.array([len(s) for s in sets])
-    linked = _linked(shared_counts(sets), n, n, num, den)
-    label = np.arange(len(sets))
+def _stars(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(member, first member of its component) for all but the first members, from a symmetric matrix of links."""
+    size = len(linked)
+    label = np.arange(size)
     while True:
-        low = np.where(linked, label[None, :], len(sets)).min(axis=1)
-        low = np.minimum(low, label)
+        low = np.minimum(np.where(linked, label[None, :], size).min(axis=1), label)
         low = low[low]
         if (low == label).all():
             return [(i, int(r)) for i, r in enumerate(label.tolist()) if i != r]
         label = low
 
 
+def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    n = np.array([len(s) for s in sets])
+    return _stars(_linked(shared_counts(sets), n, n, num, den))
+
+
 def _streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
     """Runs of rows with equal keys, from sorted partitions."""
     held: list[dict] = []
-    for batch in batches:
+    for batch in sliced(batches):
         for row in batch.to_pylist():
             if held and any(row[k] != held[0][k] for k in keys):
                 yield held
@@ -179,9 +303,9 @@ def _joined_regions(members: DataFrame, keys: list[str], k: int, num: int, den:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, schema = Shingles(k), pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for rows in _streamed(batches, keys):
-            own = list({r["cid"]: r for r in rows}.values())
+            own, sets = _own(rows, s)
             if len(own) > 1:
-                found = region_links([s.of(r["text"].encode()) for r in own], num, den)
+                found = region_links(sets, num, den)
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": [own[i]["cid"] for i, _ in found], "b": [own[j]["cid"] for _, j in found]}, schema=schema)
 
@@ -201,11 +325,9 @@ def _pivot_distances(members: DataFrame, sizes: DataFrame, level: int, k: int, n
         s = Shingles(k)
         schema = pa.schema([("cell", pa.int64()), ("cid", pa.int64()), ("links", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int64()))])
         for rows in _streamed(batches, ["cell", "chunk"]):
-            piv = list({x["cid"]: x for x in rows if x["role"] == 0}.values())
-            own = list({x["cid"]: x for x in rows if x["role"] == 1}.values())
-            if not own:
+            (piv, ps), (own, ms) = (_own([x for x in rows if x["role"] == k], s) for k in (0, 1))
+            if not own or not piv:
                 continue
-            ps, ms = ([s.of(x["text"].encode()) for x in y] for y in (piv, own))
             pn, mn = (np.array([len(x) for x in y]) for y in (ps, ms))
             x = shared_counts(ms, ps)
             d = 1 - x / (mn[:, None] + pn[None, :] - x)
@@ -220,26 +342,34 @@ def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) ->
     """Links of the regions that are too large for a task; members has (cell, cid, n, text)."""
     links: list[DataFrame] = []
     for level in range(MOST_LEVELS):
-        sizes = written(members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), folder, f"sizes{level}")
+        members = members.dropDuplicates(["cell", "cid"])
+        sizes = written(members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs")), folder, f"sizes{level}")
         near = written(_pivot_distances(members, sizes, level, k, num, den), folder, f"near{level}")
         links.append(near.select(F.col("cid").alias("a"), F.explode("links").alias("b")).where("a <> b"))
         known = links[0]
         for x in links[1:]:
             known = known.unionAll(x)
-        roots = components(known, folder, f"level{level}")
-        texts = members.select("cell", "cid", "n", "text").dropDuplicates(["cell", "cid"])
-        children = near.select("cell", "cid", F.explode("pivots").alias("pivot")).join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cell", "cid", F.xxhash64("cell", "pivot").alias("child"), F.coalesce("root", "cid").alias("root"))
-        by_root = children.groupBy("child", "root").agg(F.count(F.lit(1)).alias("c"))
-        stats = by_root.groupBy("child").agg(F.sum("c").alias("docs"), F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("main"))
+        roots = components(known, folder, f"level{level}").withColumnRenamed("node", "cid")
+        children = near.select("cell", "cid", F.explode("pivots").alias("pivot")).join(roots, "cid", "left").join(members.select("cell", "cid", "n"), ["cell", "cid"])
+        children = written(children.select("cell", "cid", "n", F.xxhash64("cell", "pivot").alias("child"), F.coalesce("root", "cid").alias("root")), folder, f"children{level}")
+        stats = children.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("volume"), F.min("root").alias("low"), F.max("root").alias("top"))
+        fits = F.expr(f"docs <= {REGION_DOCS} and volume <= {REGION_SHINGLES}")
+        shrunk = F.expr("docs <= 0.7 * parent") & F.lit(level + 1 < MOST_LEVELS)
         # children whose members are all connected are done
-        still = children.join(stats.where("roots > 1"), "child").join(texts, ["cell", "cid"]).join(sizes.select("cell", F.col("docs").alias("parent_docs")), "cell")
-        still = written(still.select("child", "cid", "n", "text", "docs", "parent_docs", (F.col("root") != F.col("main")).alias("other")), folder, f"still{level}")
-        volume = still.groupBy("child").agg(F.sum("n").alias("volume"))
-        still = still.join(volume, "child").withColumn("fits", F.expr(f"docs <= {REGION_DOCS} and volume <= {REGION_SHINGLES}"))
-        links.append(_joined_regions(still.where("fits").select(F.col("child").alias("cell"), "cid", "text"), ["cell"], k, num, den))
-        deeper = F.expr("docs <= 0.7 * parent_docs") & F.lit(level + 1 < MOST_LEVELS)
-        links.append(_joined_regions(_tiles(still.where(~F.col("fits") & ~deeper)), ["cell", "i", "j"], k, num, den))
-        members = written(still.where(~F.col("fits") & deeper).select(F.col("child").alias("cell"), "cid", "n", "text"), folder, f"members{level}")
+        still = stats.where("low <> top").join(sizes.select("cell", F.col("docs").alias("parent")), "cell").select("child", F.when(fits, "task").when(shrunk, "deeper").otherwise("tiles").alias("way"))
+        still = children.join(still, "child").select("cell", "cid", "n", "child", "root", "way")
+        texts = members.select("cell", "cid", "text")
+
+        def of(way: str, rows: DataFrame = still, texts: DataFrame = texts) -> DataFrame:
+            return rows.where(F.col("way") == way).join(texts, ["cell", "cid"]).select(F.col("child").alias("cell"), "cid", "n", "text")
+
+        links.append(_joined_regions(of("task"), ["cell"], k, num, den))
+        # children that keep most of their parent overlap each other: they are joined as one
+        stuck = still.where("way = 'tiles'").select("cell", "cid", "root").distinct()
+        main = stuck.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max_by("root", "c").alias("main"))
+        stuck = stuck.join(main, "cell").join(texts, ["cell", "cid"]).select("cell", "cid", "text", (F.col("root") != F.col("main")).alias("other"))
+        links.append(_joined_regions(_tiles(stuck), ["cell", "i", "j"], k, num, den))
+        members = written(of("deeper"), folder, f"members{level}")
         if members.isEmpty():
             break
     return links
@@ -247,11 +377,12 @@ def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) ->
 
 def _tiles(rows: DataFrame) -> DataFrame:
     """(cell, i, j, cid, text): the chunks i of members outside the main class against all chunks j."""
-    count = rows.groupBy("child").agg(F.ceil(F.sum(F.col("other").cast("int")) / CHUNK_DOCS).cast("int").alias("ci"), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("cj"))
-    dealt = rows.join(count, "child")
+    others = F.ceil(F.sum(F.col("other").cast("int")) / CHUNK_DOCS).cast("int")
+    count = rows.groupBy("cell").agg(others.alias("ci"), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("cj"))
+    dealt = rows.join(count, "cell")
     draw = F.xxhash64("cid")
-    left = dealt.where("other").select(F.col("child").alias("cell"), F.pmod(draw, F.col("ci")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cj") - 1)).alias("j"), "cid", "text")
-    right = dealt.where("ci > 0").select(F.col("child").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("i"), F.pmod(draw, F.col("cj")).cast("int").alias("j"), "cid", "text")
+    left = dealt.where("other").select("cell", F.pmod(draw, F.col("ci")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cj") - 1)).alias("j"), "cid", "text")
+    right = dealt.where("ci > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("i"), F.pmod(draw, F.col("cj")).cast("int").alias("j"), "cid", "text")
     return left.unionAll(right)
 
 
@@ -260,18 +391,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     spark = docs.sparkSession
     folder = scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(_windows(docs, k, num, den), folder, "base")
+    base = written(_classes(docs, k), folder, "base")
     order = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = written(base.where("n > 0").groupBy("cid").agg(F.min(order).alias("rep"), F.min_by("keys", order).alias("keys"), F.max("n").alias("n")), folder, "classes")
-    postings = classes.select("cid", F.explode("keys").alias("key"))
-    shared = postings.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    edges = postings.join(shared, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    classes = written(base.where("n > 0").groupBy("cid").agg(F.min(order).alias("rep"), F.max("n").alias("n"), F.min("counts").alias("counts")), folder, "classes")
+    # one exchange serves the counting and the join
+    postings = _windows(docs, k, num, den).repartition(parts(docs), "key")
+    cells = postings.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top"), F.count(F.lit(1)).alias("c")).where("hub <> top").drop("top")
+    shared = written(postings.join(cells, "key"), folder, "shared")
+    edges = _part_edges(shared, classes, folder, num, den)
     regions = components(edges, folder, "regions").withColumnRenamed("node", "cid").withColumnRenamed("root", "cell")
     sizes = regions.join(classes.select("cid", "rep", "n"), "cid").select("cell", "cid", "rep", "n")
     sizes = written(sizes, folder, "candidates")
     stats = sizes.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     stats = stats.select("cell", F.expr(f"docs > {REGION_DOCS} or shingles > {REGION_SHINGLES}").alias("large"))
     named = sizes.join(stats, "cell").where("rep is not null")
+    # few candidates find their texts without shuffling all texts; more than that are joined by sorting
+    named = F.broadcast(named) if sizes.count() <= BROADCAST_ROWS else named
     members = docs.where(F.col("text").isNotNull()).withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(named, "rep").select("cell", "cid", "n", "text", "large")
     members = written(members, folder, "members")
     links = _joined_regions(members.where("not large"), ["cell"], k, num, den)
@@ -283,6 +418,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     else:
         links = written(links, folder, "links")  # already stars of whole components
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    for name in ("shared", "runs", "members"):
+        discard(spark, folder, name)
     named = roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     joined = named.join(lowest, "root").select(F.col("node").alias("cid"), "component")
