@@ -36,11 +36,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_column
+from .common import sliced, utf8_column
 
 #: What a worker remembers: chunks between blanks, pre-split words, transitions.
-CACHE_CHUNKS = 500_000
-CACHE_ARCS = 2_000_000
+CACHE_CHUNKS = 450_000
+CACHE_ARCS = 500_000
 #: White space as the file's pattern has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -109,7 +109,6 @@ class MergeAutomaton:
         self.split = regex.compile(splits[0].replace("\\s", SPACE))
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.ids_of = Remembered(lambda c: array("I", self._chunk(c)).tobytes())
-        self.text_of = Remembered(lambda c: " ".join(map(self.labels.__getitem__, array("I", self.ids_of[c]))))
 
     def _arc(self, t: int, w: int) -> bool:
         """Does the state after token t have the arc w once all gadgets are applied?
@@ -235,19 +234,18 @@ class MergeAutomaton:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        ids, words = [], []
+        ids: list[bytes] = []
         for piece, special in self._pieces(text):
             if special:
                 ids.append(np.array([self.special[piece]], dtype="<u4").tobytes())
-                words.append(piece)
                 continue
             piece = unicodedata.normalize("NFC", piece)
             # lower case by single characters: no rule for the last letter of a word
             piece = piece.replace("Σ", "σ").lower()
             chunks = [c for c in _SPACES.split(piece) if c] if _ODD_SPACE.search(piece) else piece.split()
             ids += map(self.ids_of.__getitem__, chunks)
-            words += filter(None, map(self.text_of.__getitem__, chunks))
-        return b"".join(ids), " ".join(words)
+        out = b"".join(ids)
+        return out, self.decode(out)
 
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         if self.at_special is None or "<|" not in text and not self.at_special.search(text):
@@ -264,7 +262,7 @@ class MergeAutomaton:
 
     def decode(self, ids: bytes) -> str:
         """The arc labels of encoded ids, joined as the file's (absent) decoder does."""
-        return " ".join(self.labels[i] for i in np.frombuffer(ids, dtype="<u4").tolist())
+        return " ".join(map(self.labels.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -281,7 +279,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(path)
-        for batch in batches:
+        for batch in sliced(batches):
             cols: dict[str, list] = {n: [] for n in names}
             for t in utf8_column(batch, "text"):
                 ids, words = auto.encode("" if t is None else t.decode("utf-8", "replace"))

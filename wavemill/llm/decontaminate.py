@@ -33,7 +33,7 @@ from .common import scratch, utf8_column, written
 SHARD_WORDS = 1 << 20
 SHARD_BYTES = 24 << 20
 SAMPLE = 8
-MOST_BENCH_BYTES = 8 << 20
+MOST_BENCH_BYTES = 2 << 20
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 

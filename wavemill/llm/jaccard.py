@@ -363,12 +363,14 @@ def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) ->
         def of(way: str, rows: DataFrame = still, texts: DataFrame = texts) -> DataFrame:
             return rows.where(F.col("way") == way).join(texts, ["cell", "cid"]).select(F.col("child").alias("cell"), "cid", "n", "text")
 
-        links.append(_joined_regions(of("task"), ["cell"], k, num, den))
+        joined = _joined_regions(of("task"), ["cell"], k, num, den)
         # children that keep most of their parent overlap each other: they are joined as one
         stuck = still.where("way = 'tiles'").select("cell", "cid", "root").distinct()
         main = stuck.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max_by("root", "c").alias("main"))
         stuck = stuck.join(main, "cell").join(texts, ["cell", "cid"]).select("cell", "cid", "text", (F.col("root") != F.col("main")).alias("other"))
-        links.append(_joined_regions(_tiles(stuck), ["cell", "i", "j"], k, num, den))
+        joined = joined.unionAll(_joined_regions(_tiles(stuck), ["cell", "i", "j"], k, num, den))
+        # written, as the next level and the final components read them again
+        links.append(written(joined, folder, f"joined{level}"))
         members = written(of("deeper"), folder, f"members{level}")
         if members.isEmpty():
             break

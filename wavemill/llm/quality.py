@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, multipliers, utf8_column
+from .common import WordHash, mixed, multipliers, sliced, utf8_column
 
 BITS = 18
 _TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+")
@@ -87,7 +87,7 @@ def score(docs: DataFrame, learn: DataFrame, labels: DataFrame, most_rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, w = Features(), held.value.astype(np.float64)
-        for batch in batches:
+        for batch in sliced(batches):
             dots = []
             for t in utf8_column(batch, "text"):
                 index, x = f.of(t)
