@@ -173,6 +173,14 @@ def test_line_dedup_against_plain_pairs(spark):
         assert r["text"] == "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
 
 
+def test_line_dedup_keeps_no_common_line_beside_a_rare_one(spark):
+    rare, common_lines = LINE.format("rare"), "\n".join(LINE.format(i) for i in range(3))
+    texts = [rare, *(f"document {k} has a line of its own\n{common_lines}" for k in range(40)), f"{rare}\nown words in between the two\n{common_lines}"]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[41]["text"] == "own words in between the two" and got[41]["n_removed"] == 4
+    assert got[0]["text"] == texts[0] and got[1]["text"] == texts[1] and all(got[k]["n_removed"] == 3 for k in range(2, 41))
+
+
 def test_patience_alignment_is_increasing():
     rnd = random.Random(6)
     for _ in range(200):
