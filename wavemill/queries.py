@@ -943,8 +943,8 @@ def _(spark, d):
 
 @query("q_gmm_classifier_fit")
 def _(spark, d):
-    o = obs(spark, d, 2).where("label < 3")
-    return learn.score_mixtures(o, learn.gmm_classifier(o, 2, 5)).select("obs_id", "predicted")
+    o = obs(spark, d, 2)
+    return learn.score_mixtures(o, learn.gmm_classifier(o.where("label is not null"), 2, 5)).select("obs_id", "predicted")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
