@@ -64,6 +64,27 @@ def test_language_id_of_odd_texts(spark):
     assert none["lang_pred"] == "und" and none["rejected"]
 
 
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Watu wote wamezaliwa huru, hadhi na haki zao ni sawa. Wote wamejaliwa akili na dhamiri.",
+]
+
+
+def test_language_id_rejects_foreign_and_random_letters_but_not_short_clean_texts(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rnd = random.Random(8)
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(rnd.choice([100, 200, 600]))) for _ in range(100)]
+    words = [r["text"].split() for r in docs.where(~common.learn_side("doc_id")).orderBy("doc_id").collect()]
+    clean = [" ".join(w[:n]) for w in words for n in (3, 6, 12) if len(w) >= n]
+    texts = [*FOREIGN, *noise, *clean]
+    out = [r["rejected"] for r in langid.identify(frame(spark, texts), docs.where(common.learn_side("doc_id"))).orderBy("doc_id").collect()]
+    assert all(out[: len(FOREIGN)])
+    assert np.mean(out[len(FOREIGN) : len(FOREIGN) + len(noise)]) >= 0.95
+    assert np.mean(out[len(FOREIGN) + len(noise) :]) <= 0.01
+
+
 # --- quality ------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,10 @@ A text becomes a TF-IDF vector of hashed byte 2- and 3-grams of its letters (low
 else a blank), of length one. Each language has several centroids, found by spherical k-means on a
 bounded, hash-chosen sample of labelled rows (``per_lang`` rows for each language; the IDF weights are
 part of the fit). A text takes the language of the centroid with the largest cosine, which is its
-score. It is rejected if its distance (1 - cosine) is beyond the centroid's radius: the largest
-distance of a sample row to its centroid, plus ``slack`` of what is left to 1.
+score. It is rejected if its distance (1 - cosine) is beyond the centroid's radius for texts of its
+length: short texts have few n-grams and lie farther out. The radii come from pieces of the sample rows
+of 8, 16, 32 ... bytes and the rows themselves: the ``quantile`` of their distances to their own
+language's centroids, plus ``slack`` of what is left to 1 (more where there are few pieces).
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. One-letter texts are
 classified like others. Rows are independent of each other, so repeated rows give repeated results.
@@ -31,6 +33,10 @@ DIMS = 1 << 13
 BATCH = 256
 #: Languages that are learned at most, the most frequent ones.
 MOST_LANGS = 200
+#: Radii are by length of the text's letters: 2^3 bytes or less, 2^4 ... 2^12 or more.
+LENGTHS = range(3, 13)
+#: Pieces that tell a centroid's radius for a length; with fewer, those of the whole language do.
+FEW = 50
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[a-z]")
 
@@ -56,13 +62,28 @@ def counts(s: bytes) -> np.ndarray:
     return np.bincount(h, minlength=DIMS).astype(np.float32)
 
 
+def length(s: bytes) -> int:
+    """The place in LENGTHS of letters ``s``."""
+    return min(max(len(s).bit_length() - 1, LENGTHS[0]), LENGTHS[-1]) - LENGTHS[0]
+
+
+def pieces(s: bytes, at: int) -> list[bytes]:
+    """``s`` and, for each shorter one of LENGTHS, words of ``s`` that just reach it, from a place that differs with ``at``."""
+    out = [s]
+    for n in (1 << k for k in LENGTHS if 1 << k < len(s) - 1):
+        start = s.rfind(b" ", 0, at * 7919 % (len(s) - n) + 1)
+        end = s.find(b" ", start + n - 1)
+        out.append(s[start : end + 1])
+    return out
+
+
 @dataclass
 class CentroidModel:
     langs: list[str]
     idf: np.ndarray
     centroids: np.ndarray  # one per row
     owner: np.ndarray  # its language
-    radius: np.ndarray
+    radius: np.ndarray  # of a centroid, for each of LENGTHS
 
     def vectors(self, texts: list[bytes]) -> np.ndarray:
         x = np.stack([counts(s) for s in texts])
@@ -77,8 +98,8 @@ class CentroidModel:
             some = cleaned[at : at + BATCH]
             cos = self.vectors([s for _, s in some]) @ self.centroids.T
             best = cos.argmax(axis=1)
-            for (i, _), b, c in zip(some, best.tolist(), cos[np.arange(len(some)), best].tolist(), strict=True):
-                lang[i], score[i], out[i] = self.langs[self.owner[b]], min(max(c, 0.0), 1.0), 1 - c > self.radius[b]
+            for (i, s), b, c in zip(some, best.tolist(), cos[np.arange(len(some)), best].tolist(), strict=True):
+                lang[i], score[i], out[i] = self.langs[self.owner[b]], min(max(c, 0.0), 1.0), 1 - c > self.radius[b, length(s)]
         return lang, score, out
 
 
@@ -97,26 +118,41 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
 
 
-def fit(rows: list[tuple[bytes, str]], clusters: int = 4, slack: float = 0.8) -> CentroidModel:
+def _radii(model: CentroidModel, c: np.ndarray, rows: list[bytes], quantile: float, slack: float) -> np.ndarray:
+    """For each centroid of a language and each of LENGTHS, the distance beyond which a text is rejected."""
+    cut = [p for at, s in enumerate(rows) for p in pieces(s, at)]
+    cos = np.concatenate([model.vectors(cut[at : at + BATCH]) @ c.T for at in range(0, len(cut), BATCH)])
+    home, far, size = cos.argmax(axis=1), 1 - cos.max(axis=1), np.array([length(p) for p in cut])
+    out = np.zeros((len(c), len(LENGTHS)))
+    for k in range(len(LENGTHS)):
+        for j in range(len(c)):
+            # the nearest shorter length stands in for one without enough pieces
+            some = [d for d in (far[(size == k) & (home == j)], far[size == k]) if len(d) >= FEW]
+            if not some and k:
+                out[j, k] = out[j, k - 1]
+                continue
+            d = some[0] if some else far
+            edge = float(np.quantile(d, quantile, method="higher"))
+            out[j, k] = edge + max(slack, min(0.8, 20 / len(d))) * (1 - edge)
+    return np.minimum(out, 1 - 1e-6)  # a text without a known n-gram is always rejected
+
+
+def fit(rows: list[tuple[bytes, str]], clusters: int = 4, slack: float = 0.25, quantile: float = 0.99) -> CentroidModel:
     rows = [(s, lang) for t, lang in rows if lang is not None and (s := letters(t)) is not None]
     langs = sorted({lang for _, lang in rows})
+    none = np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros((0, len(LENGTHS)))
     if not rows:
-        return CentroidModel([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+        return CentroidModel([], np.ones(DIMS, np.float32), *none)
     df = sum((counts(s) > 0).astype(np.float32) for s, _ in rows)
-    model = CentroidModel(langs, (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
+    model = CentroidModel(langs, (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32), *none)
     cents, owner, radius = [], [], []
     for k, lang in enumerate(langs):
-        x = model.vectors([s for s, y in rows if y == lang])
-        c = _clusters(x, clusters)
-        cos = x @ c.T
-        home, far = cos.argmax(axis=1), 1 - cos.max(axis=1)
+        own = [s for s, y in rows if y == lang]
+        c = _clusters(model.vectors(own), clusters)
         cents.append(c)
         owner += [k] * len(c)
-        radius += [float(far[home == j].max(initial=0)) for j in range(len(c))]
-    model.centroids, model.owner = np.concatenate(cents), np.array(owner)
-    # any centroid of a language rejects by the widest radius of that language: short texts scatter
-    widest = [max(r for r, o in zip(radius, owner, strict=True) if o == k) for k in range(len(langs))]
-    model.radius = np.array([widest[o] + slack * (1 - widest[o]) for o in owner])
+        radius.append(_radii(model, c, own, quantile, slack))
+    model.centroids, model.owner, model.radius = np.concatenate(cents), np.array(owner), np.concatenate(radius)
     return model
 
 
@@ -139,7 +175,7 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[bytes, str]]:
     return out
 
 
-def identify(docs: DataFrame, learn: DataFrame | None = None, per_lang: int = 500, clusters: int = 4, slack: float = 0.8) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame | None = None, per_lang: int = 500, clusters: int = 4, slack: float = 0.25) -> DataFrame:
     """``docs`` with lang_pred, score and rejected. Learns from (doc_id, text, lang) of ``learn``, else of ``docs``."""
     source = docs if learn is None else learn
     held = docs.sparkSession.sparkContext.broadcast(fit(sample(source, per_lang), clusters, slack))  # about 130 KB per language
