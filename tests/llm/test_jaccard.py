@@ -69,6 +69,26 @@ def test_large_regions_split_by_pivots(spark, monkeypatch, seed):
     assert result(spark, rows, k=3, num=80, den=100) == brute(rows, 3, 80, 100)
 
 
+def test_shared_ids_in_large_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "REGION_DOCS", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 4)
+    rnd = random.Random(9)
+    rows = []
+    for start in (0, 5):  # ids 5 to 29 have a text of each family
+        base = [f"f{start}w{i}" for i in range(60)]
+        for i in range(30):
+            w = list(base)
+            w[rnd.randrange(60)] = f"x{start}y{i}"
+            rows.append((" ".join(w), start + i, "x"))
+    want = brute([(t, i, x) for i, (t, _, x) in enumerate(rows)], 3, 80, 100)
+    lowest = {}
+    for i, (_, doc, _) in enumerate(rows):
+        lowest[want[i][1]] = min(doc, lowest.get(want[i][1], doc))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=3, num=80, den=100).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((doc, want[i][0], lowest[want[i][1]]) for i, (_, doc, _) in enumerate(rows))
+
+
 def test_empty_table_and_null_ids(spark):
     assert result(spark, []) == {}
     got = jaccard.near_duplicates(spark.createDataFrame([("a b c d e f", None, "x"), ("a b c d e f", 7, "x"), ("q r s t u v", None, "x")], SCHEMA)).collect()

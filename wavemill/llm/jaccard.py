@@ -338,9 +338,23 @@ def _pivot_distances(members: DataFrame, sizes: DataFrame, level: int, k: int, n
     return _sorted_by(spread.unionAll(dealt), ["cell", "chunk"], "role").mapInArrow(run, "cell long, cid long, links array<long>, pivots array<long>")
 
 
+def _own_texts(members: DataFrame, k: int) -> DataFrame:
+    """``members`` without the texts of another class that come with a shared id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingles(k)
+        for batch in sliced(batches):
+            own = [class_of(s.of(t)) == c for t, c in zip(utf8_column(batch, "text"), batch.column("cid").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(own, pa.bool_()))
+
+    return members.mapInArrow(run, members.schema)
+
+
 def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) -> list[DataFrame]:
     """Links of the regions that are too large for a task; members has (cell, cid, n, text)."""
     links: list[DataFrame] = []
+    # before one text of each class is taken
+    members = written(_own_texts(members, k), folder, "own")
     for level in range(MOST_LEVELS):
         members = members.dropDuplicates(["cell", "cid"])
         sizes = written(members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs")), folder, f"sizes{level}")
@@ -420,7 +434,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     else:
         links = written(links, folder, "links")  # already stars of whole components
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    for name in ("shared", "runs", "members"):
+    for name in ("shared", "runs", "members", "own"):
         discard(spark, folder, name)
     named = roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
