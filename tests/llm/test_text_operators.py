@@ -174,24 +174,64 @@ def test_lines_are_deleted_from_later_documents(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_against_plain_pairs(spark):
+def all_pairs(texts):
+    """Places that alignment with every earlier document that shares a strong line deletes."""
+    hashed = [[linededup.line_hash(x.encode()) for x in t.split("\n")] for t in texts]
+    strong = [{x for x in h if x & 1} for h in hashed]
+    return [set().union(*(linededup.deleted(hashed[d], hashed[e]) for e in range(d) if strong[d] & strong[e])) for d in range(len(texts))]
+
+
+def test_line_dedup_against_all_pairs(spark):
     rnd = random.Random(4)
-    lines = [LINE.format(i) for i in range(40)] + ["", "short"]
+    lines = [LINE.format(i) for i in range(40)] + ["", "short", "other short"]
     texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(1, 12))) for _ in range(60)]
-    hashed = [[linededup.line_hash(x.encode()) for x in t.split("\n")] for t in texts]
-    holders = {}
-    for d, h in enumerate(hashed):
-        for x in set(h):
-            if x & 1:
-                holders.setdefault(x, []).append(d)
-    for r in linededup.dedup_lines(frame(spark, texts)).collect():
-        d = r["doc_id"]
-        shared = {x: holders[x] for x in set(hashed[d]) if x & 1 and holders[x][0] < d}
-        low = min((len(v) for v in shared.values()), default=0)
-        gone = set()
-        for first in {v[0] for v in shared.values() if len(v) <= 8 * low}:
-            gone |= set(linededup.deleted(hashed[d], hashed[first]))
-        assert r["text"] == "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
+    # passages that several documents share, whose lines first stand apart in other documents
+    block = "\n".join([LINE.format("a"), "short", "", "tiny", LINE.format("b"), "x"])
+    texts += [LINE.format("b"), LINE.format("a"), block, f"{LINE.format('own')}\n{block}\n{LINE.format('end')}"]
+    want = all_pairs(texts)
+    cut = lambda t, gone: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    docs = frame(spark, texts)
+    exact = {r["doc_id"]: r for r in linededup.dedup_lines(docs, exact=True).collect()}
+    assert all(exact[d]["text"] == cut(t, want[d]) and exact[d]["n_removed"] == len(want[d]) for d, t in enumerate(texts))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert got[len(texts) - 1]["text"] == f"{LINE.format('own')}\n{LINE.format('end')}"
+    assert sum(r["n_removed"] for r in got.values()) >= 0.9 * sum(map(len, want))
+    assert all(got[d]["n_removed"] <= len(want[d]) for d in got)
+
+
+def test_line_dedup_of_the_table_against_all_pairs(spark, sf_dir):
+    rows = common.table(spark, sf_dir, "documents").orderBy("doc_id").collect()
+    want = dict(zip([r["doc_id"] for r in rows], all_pairs([r["text"] or "" for r in rows]), strict=True))
+    got = {r["doc_id"]: r["n_removed"] for r in catalog.op2_linededup(spark, sf_dir).collect()}
+    assert sum(got.values()) >= 0.95 * sum(map(len, want.values())) > 0 and all(got[d] <= len(want[d]) for d in got)
+
+
+def test_line_dedup_of_hot_lines_and_long_texts(spark):
+    hot = LINE.format("everywhere")
+    texts = ["\n".join(LINE.format(i) for i in range(30_000)), "\n".join(LINE.format(i) for i in [*range(15_000, 30_000), *range(15_000)])]
+    texts += [f"document number {k} has its own line\n{hot}" for k in range(3000)]
+    docs = frame(spark, texts).withColumn("n_lines", F.lit("clash"))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 15_000
+    assert got[2]["n_removed"] == 0 and all(got[d]["n_removed"] == 1 and got[d]["n_lines"] == 2 for d in range(3, len(texts)))
+
+
+def test_line_dedup_of_shared_and_null_ids(spark):
+    block = "\n".join(LINE.format(i) for i in range(3))
+    rows = [(1, block), (1, block), (2, block), (2, block), (None, block), (2, LINE.format("other")), (3, f"{block}\nown")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] in (None, 1))
+    assert [r["text"] for r in got if r["doc_id"] == 3] == ["own"]
+
+
+def test_long_swaps_are_aligned_in_time():
+    import time
+
+    a = list(range(1, 60_001))
+    began = time.perf_counter()
+    assert len(linededup.deleted([2 * x + 1 for x in [*a[30_000:], *a[:30_000]]], [2 * x + 1 for x in a])) == 30_000
+    assert time.perf_counter() - began < 1.5
 
 
 def test_line_dedup_keeps_no_common_line_beside_a_rare_one(spark):

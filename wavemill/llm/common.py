@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators: reading tables, scratch storage, words, hashes.
 
 ``scratch`` and ``written`` keep intermediate tables in the folder that the session names in
-``spark.checkpoint.dir``; a machine-local folder is set only where that setting is absent (tests).
+``spark.checkpoint.dir``. Only a local master may do without that setting; it gets a temporary folder.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ def scratch(spark: SparkSession) -> str:
     if not top:
         held = jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavemill-"))
             held = jsc.sc().getCheckpointDir()
         top = held.get()
@@ -54,6 +56,25 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str, size: str, by: str, how: str = "inner") -> DataFrame:
+    """Joins many rows per ``key`` with one row per key; ``one`` has the number of the key's rows in ``size``.
+
+    A key that holds more than 1/(4 p) of all rows, p the number of shuffle partitions, is dealt over
+    several tasks by the hash of ``by``, and its single row is repeated for each. There are at most 4 p such
+    keys, so the table of them may be broadcast whatever the input. ``one`` is read twice: write it first.
+    """
+    p = parts(many)
+    total = one.agg(F.sum(size)).first()[0] or 0
+    each = max(total // (4 * p), 1000)
+    hot = one.where(F.col(size) > each).select(F.col(key).alias("_wm_hot"), F.ceil(F.col(size) / each).cast("int").alias("_wm_n")).limit(4 * p)
+    if not hot.take(1):
+        return many.join(one, key, how)
+    hot = F.broadcast(hot)
+    salted = many.join(hot, F.col(key) == F.col("_wm_hot"), "left").withColumn("_wm_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_wm_n")).cast("int"), F.lit(0))).drop("_wm_hot", "_wm_n")
+    copies = one.join(hot, F.col(key) == F.col("_wm_hot"), "left").withColumn("_wm_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_wm_n", F.lit(1)) - 1))).drop("_wm_hot", "_wm_n")
+    return salted.join(copies, [key, "_wm_salt"], how).drop("_wm_salt")
+
+
 def learn_side(doc_id) -> object:
     """True for the rows that a model may learn from: crc32 of the id as text, modulo 3, is not 1. False without an id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(False))
@@ -86,6 +107,19 @@ def multipliers(k: int) -> list[np.uint64]:
     return [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % i) | 1) for i in range(k)]
 
 
+def streamed(batches, keys: list[str]):
+    """Runs of rows (dicts) with equal keys, from sorted partitions."""
+    held: list[dict] = []
+    for batch in sliced(batches):
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[0][k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of every run of k values of h."""
     n = len(h) - k + 1
