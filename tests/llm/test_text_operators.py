@@ -1,9 +1,13 @@
+import collections
 import hashlib
+import hmac
+import ipaddress
 import random
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, catalog, common, decontaminate, langid, linededup, pii, quality, substring
@@ -260,10 +264,202 @@ def luhn(digits):
     return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
 
 
+class PlainSurrogates:
+    """The rules of the surrogates once more, without Spark: one value, one document at a time."""
+
+    def __init__(self, key):
+        self.key = key.encode()
+        self.patterns = {k: regex.compile(v) for k, v in pii.PATTERNS.items()}
+        self.titles = regex.compile("^" + pii._TITLES)
+
+    def draw(self, *parts):
+        return hmac.new(self.key, "|".join(map(str, parts)).encode(), hashlib.sha256).hexdigest()
+
+    def pair(self, tweak, hi, a, lo, b):
+        for i in range(1, 9):
+            if i % 2:
+                hi = (hi + int(self.draw(tweak, i, lo)[:15], 16)) % a
+            else:
+                lo = (lo + int(self.draw(tweak, i, hi)[:15], 16)) % b
+        return hi, lo
+
+    def chars(self, tweak, text, alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        cut = len(text) // 2
+        halves = [text[:cut], text[cut:]]
+        for i in range(1, 7):
+            seed = self.draw(tweak, i, halves[i % 2])
+            out = ""
+            for k, c in enumerate(halves[1 - i % 2]):
+                n = int(self.draw(seed, k // 16)[4 * (k % 16) :][:4], 16)
+                own = next((x for x in alphabets if c in x), c)
+                out += own[(own.index(c) + n) % len(own)]
+            halves[1 - i % 2] = out
+        return "".join(halves)
+
+    def fixed(self, kind, v):
+        d = "".join(c for c in v if c.isdigit())
+        if kind == "phone":
+            head, ten = d[:-10], d[-10:]
+            real = ten[0] > "1"
+            hi, lo = self.pair(f"phone|{head}|{str(real).lower()}", int(ten[:5]) - 20000 * real, 80000 if real else 20000, int(ten[5:]), 10**5)
+            new = f"{head}{hi + 20000 * real:05}{lo:05}"
+        elif kind == "ssn":
+            area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+            areas = [x for x in range(1, 900) if x != 666]
+            if area in areas:
+                hi, lo = self.pair("ssn", areas.index(area) * 100 + group, 89800, serial, 10**4)
+                new = f"{areas[hi // 100]:03}{hi % 100:02}{lo:04}"
+            else:
+                hi, lo = self.pair(f"ssn|{area}", group, 100, serial, 10**4)
+                new = f"{area:03}{hi:02}{lo:04}"
+        elif kind == "card":
+            u = (len(d) - 2) // 2
+            w = len(d) - 2 - u
+            hi, lo = self.pair(f"card|{d[0]}|{len(d)}", int(d[1 : 1 + u]), 10**u, int(d[1 + u : -1]), 10**w)
+            new = f"{d[0]}{hi:0{u}}{lo:0{w}}"
+            new += next(c for c in "0123456789" if luhn(new + c))
+        elif kind == "ip":
+            return self.ip(v)
+        elif kind == "email":
+            local, domain = v.lower().split("@")
+            head, last = domain.rsplit(".", 1)
+            new = f"{self.chars(f'email|{domain}', local)}@{self.chars('domain', head)}.{last}.example"
+            return new.upper() if v == v.upper() else new
+        else:
+            for case in (str.lower, str.upper):
+                if v == case(v) and regex.fullmatch("[0-9a-fA-F]+", v):
+                    return case(self.chars("secret", v.lower(), ("0123456789abcdef",)))
+            head = v[:3] if v.startswith("sk-") else v[:4]
+            return head + self.chars(f"secret|{head}", v[len(head) :])
+        left = iter(new)
+        return "".join(next(left) if c.isdigit() else c for c in v)
+
+    def ip(self, v):
+        def name(n):
+            if n >> 24 == 0:
+                return 5
+            if n >> 28 >= 14:
+                return 6 + (n >> 28) - 14
+            return next((k for k, (first, size) in enumerate(pii.BLOCKS) if first <= n < first + size), "public")
+
+        n = int(ipaddress.ip_address(v))
+        kind = name(n)
+        if kind == "public":
+            before = sum(size for first, size in pii.BLOCKS if first < n)
+            hi, lo = self.pair("ip|public", (n - (1 << 24) - before) >> 16, 56558, (n - (1 << 24) - before) & 65535, 65536)
+            out = (hi << 16) + lo + (1 << 24)
+            for first, size in pii.BLOCKS:
+                out += size if out >= first else 0
+        else:
+            first, size = [*pii.BLOCKS, (0, 1 << 24), (224 << 24, 16 << 24), (240 << 24, 16 << 24)][kind]
+            hi, lo = self.pair(f"ip|{kind}", (n - first) >> 8, size >> 8, n & 255, 256)
+            out = first + (hi << 8) + lo
+        assert name(out) == kind
+        return str(ipaddress.ip_address(out))
+
+    def kind(self, v):
+        for k, p in self.patterns.items():
+            if p.fullmatch(v):
+                return k if k != "card" or luhn([c for c in v if c.isdigit()]) else "none"
+        return "word"
+
+    def names(self, texts):
+        """Per text, what its names with titles and its name words become."""
+        runs, lead_name, lead_word, titled = [], collections.Counter(), collections.Counter(), []
+        for t in texts:
+            runs.append({tuple(w[i : i + k]) for r in regex.findall(pii.RUN, t) for w in [r.lower().split(" ")] for k in (2, 3) for i in range(len(w) - k + 1)})
+            found = {m[0] for m in regex.finditer(pii.ANY, t) if self.kind(m[0]) == "name"}
+            titled.append([(v, self.gender(v), tuple(self.titles.sub("", v).lower().split(" "))) for v in found])
+        for rows in titled:
+            for _, g, words in rows:
+                lead_name[words] += {"m": 1, "f": -1}.get(g, 0)
+        known = {w for rows in titled for _, _, w in rows if len(w) > 1}
+        for g, words in {(g, w) for rows in titled for _, g, w in rows if g}:
+            for w in words[:-1]:
+                lead_word[w] += {"m": 1, "f": -1}[g]
+        mentions = [rows + [(None, None, w) for w in grams & known] for rows, grams in zip(titled, runs, strict=True)]
+
+        def kinds(g, words):
+            for i, w in enumerate(words):
+                if i == len(words) - 1:
+                    yield "family", w
+                else:
+                    leads = [lead_name[words] if len(words) > 1 else 0, lead_word[w]]
+                    yield "given_" + (g or next(("m" if x > 0 else "f" for x in leads if x), None) or ("m" if int(self.draw("gender", w)[0], 16) % 2 == 0 else "f")), w
+
+        made = self.dictionary({x for rows in mentions for _, g, w in rows for x in kinds(g, w)})
+        out = []
+        for rows in mentions:
+            best = {}
+            for v, g, words in rows:
+                new = [made[x] for x in kinds(g, words)]
+                if v:
+                    best["v:" + v] = (0, " ".join(new))
+                for (kind, w), sur in zip(kinds(g, words), new, strict=True):
+                    best["w:" + w] = min(best.get("w:" + w, (2, "")), (int(kind != "family"), sur))
+            out.append({k: v[1] for k, v in best.items()})
+        return out
+
+    def gender(self, v):
+        said = set((self.titles.match(v) or [""])[0].replace(".", "").split())
+        return "f" if said & set(pii.FEMALE_TITLES.split("|")) else "m" if said & set(pii.MALE_TITLES.split("|")) else None
+
+    def dictionary(self, words):
+        forms, attempt = {w for _, w in words}, dict.fromkeys(words, 0)
+        while True:
+            drawn = {}
+            for kind, w in words:
+                script = "cyrillic" if regex.search(r"\p{Cyrillic}", w) else "latin"
+                pool = (pii.SYLLABLES[script] if kind == "family" else pii.GIVEN[f"{script}_{kind[-1]}"]).lower().split()
+                digits = self.draw(kind, w, attempt[kind, w])
+                n = attempt[kind, w] + (3 if kind == "family" else 1)
+                drawn.setdefault(("" if kind == "family" else "-").join(pool[int(digits[i % 64], 16)] for i in range(n)), []).append((w, kind))
+            again = [x for sur, found in drawn.items() for x in found if x != min(found) or sur in forms]
+            if not again:
+                return {(kind, w): sur for sur, found in drawn.items() for w, kind in found}
+            for w, kind in again:
+                attempt[kind, w] += 1
+
+    def all(self, texts):
+        def cased(word, sur):
+            return sur.upper() if len(word) > 1 and word == word.upper() else "-".join(x[:1].upper() + x[1:] for x in sur.split("-"))
+
+        def replaced(m):
+            v = m[0]
+            kind = self.kind(v)
+            if kind == "name":
+                title = self.titles.match(v)[0]
+                return title + " ".join(map(cased, v[len(title) :].split(" "), names["v:" + v].split(" ")))
+            if kind == "word":
+                return cased(v, names["w:" + v.lower()]) if "w:" + v.lower() in names else v
+            return v if kind == "none" else self.fixed(kind, v)
+
+        out = []
+        for t, names in zip(texts, self.names(texts), strict=True):
+            out.append(regex.sub(pii.ANY_OR_WORD if names else pii.ANY, replaced, t))
+        return out
+
+
+def test_surrogates_against_a_plain_version(spark, sf_dir):
+    rnd = random.Random(9)
+    texts = [r["text"] for r in common.table(spark, sf_dir, "documents").where("text is not null").orderBy("doc_id").collect()]
+    people = [f"{a} {b}" for a in ("John", "Alex", "Jane", "Иван", "Anne-Marie") for b in ("Smith", "O'Brien", "Jones", "Петров", "Alex")]
+    for _ in range(120):
+        parts = [f"{rnd.choice(['Mr. ', 'Mrs ', 'Dr. ', 'Prof. Dr. ', 'Г-н ', '', ''])}{rnd.choice([str, str, str.upper])(rnd.choice([p, p.split()[-1], p.split()[0]]))}" for p in rnd.choices(people, k=4)]
+        parts += [".".join(str(rnd.choice([0, 10, 127, 169, 172, 192, 168, 254, 8, 230, 250])) for _ in range(4)), f"{rnd.randrange(1000):03}-{rnd.randrange(100):02}-{rnd.randrange(10000):04}"]
+        parts += [f"+1 ({rnd.randrange(1000):03}) 555-{rnd.randrange(10000):04}", "".join(rnd.choice("0123456789abcdef") for _ in range(40)), "sk-" + "".join(rnd.choice("019azAZ") for _ in range(24)), f"{rnd.choice('aé_.')}{rnd.choice('aB3')}@{rnd.choice('xyz')}.a-1.COM"]
+        parts += [f"4{rnd.randrange(10**15):015}", "JOE@SITE.ORG", "'s went away.", "Monday Morning"]
+        rnd.shuffle(parts)
+        texts.append(rnd.choice([" ", "\n", ", "]).join(parts))
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(frame(spark, texts), key="some key").collect()}
+    want = PlainSurrogates("some key").all(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(a != b for a, b in zip(texts, want, strict=True)) > 120
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     mails = [f"{a}{b}@site.org" for a in "abcdefghij" for b in "abcdefghij"]
-    texts = ["Call +1 (743) 555-3824 or +1-743-555-3824, card 4111-1111-1111-1111, Foo.Bar9@mail.example.com 10.1.2.3", " ".join(mails), "FOO.BAR9@MAIL.EXAMPLE.COM and 4111111111111111", "Mrs Jane SMITH met Mr. John Smith. Г-жа Анна Петрова", None, "", "nothing 123", "a@b.de", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "a@b.de"]
-    got = {r["doc_id"]: r for r in pii.surrogates(frame(spark, texts)).collect()}
+    texts = ["Call +1 (743) 555-3824 or +1-743-555-3824, card 4111-1111-1111-1111, Foo.Bar9@mail.example.com 10.1.2.3", " ".join(mails), "FOO.BAR9@MAIL.EXAMPLE.COM and 4111111111111111", "Mrs Jane SMITH met Mr. John Smith. Г-жа Анна Петрова", None, "", "nothing 123", "a@b.de", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "a@b.de", "no card 4111111111111112"]
+    got = {r["doc_id"]: r for r in pii.surrogates(frame(spark, texts), key="k").collect()}
     first = got[0]["text"]
     phones = [w for w in ("".join(c for c in p if c.isdigit()) for p in (first.split(" or ")[0][5:], first.split(" or ")[1].split(",")[0]))]
     assert phones[0] == phones[1] != "17435553824" and phones[0][0] == "1"
@@ -272,15 +468,47 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert first.split()[-1].startswith("10.") and first.split()[-1] != "10.1.2.3"
     new = got[1]["text"].split()
     assert len(set(new)) == 100 and not set(new) & set(mails) and all(m.split("@")[0].isalnum() for m in new)
-    assert got[2]["text"].split()[0] == first.split("1, ")[-1].split()[0].upper() or got[2]["text"].split()[0].lower() in first.lower()
+    assert got[2]["text"].split()[0].lower() in first
     assert got[3]["text"].startswith("Mrs ") and " met Mr. " in got[3]["text"] and "Smith" not in got[3]["text"] and "Петрова" not in got[3]["text"]
     assert any("а" <= c <= "я" for c in got[3]["text"].split("Г-жа")[1])
     assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"] == "nothing 123" and got[6]["n_entities"] == 0
     assert got[7]["text"] == got[9]["text"] != "a@b.de"
     assert len(got[8]["text"]) == len(texts[8]) and "24be" not in got[8]["text"]
+    assert got[10]["text"] == texts[10] and got[10]["n_entities"] == 0 and got[0]["kinds"] == "card,email,ip,phone"
     again = {r["doc_id"]: r["text"] for r in pii.surrogates(frame(spark, texts), key="other").collect()}
     assert again[1] != got[1]["text"]
-    assert pii.surrogates(frame(spark, [])).count() == 0
+    assert pii.surrogates(frame(spark, []), key="k").count() == 0
+    with pytest.raises(ValueError):
+        pii.surrogates(frame(spark, []), key="")
+
+
+def test_names_stay_one_person_and_do_not_leak(spark):
+    texts = ["Mr. John Smith, Mr. Smith, Dr. Smith and Dr. John Smith", "John Smith called. Smith again, but no smith and no Smithson", "the smith Smith", "JOHN SMITH's"]
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(frame(spark, texts).withColumn("kinds", F.lit("clash")), key="k").collect()}
+    given, family = got[0].removeprefix("Mr. ").split(",")[0].split(" ")
+    assert got[0] == f"Mr. {given} {family}, Mr. {family}, Dr. {family} and Dr. {given} {family}"
+    assert got[1] == f"{given} {family} called. {family} again, but no smith and no Smithson"
+    assert got[2] == texts[2]  # nothing tells a person there
+    assert got[3] == f"{given} {family}'s".upper().replace("'S", "'s")
+    assert given.split("-")[0] in pii.GIVEN["latin_m"].split()
+
+
+def test_dense_kinds_and_very_long_values(spark):
+    block = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    texts = [" ".join(block), "x@a" + ".b" * 100_000 + " end", "x@a" + ".b" * 2000 + " end", "Mr. " + "A" * 70_000, "1234 " * 20_000, "X@" * 20_000, " ".join(f"{a}@b.de" for a in "abcdefghijklmnopqrstuvwxyz")]
+    got = {r["doc_id"]: r for r in pii.surrogates(frame(spark, texts), key="k").collect()}
+    assert sorted(got[0]["text"].split()) == sorted(block) and got[0]["text"] != texts[0] and got[0]["n_entities"] == 65_536
+    assert got[1]["text"].endswith(".example end") and len(got[1]["text"]) == len(texts[1]) + 8 and got[1]["text"][:20] != texts[1][:20]
+    assert got[2]["n_entities"] == 1 and got[3]["n_entities"] == 1 and got[5]["n_entities"] == 0
+    assert len({m.split("@")[0] for m in got[6]["text"].split()}) == 26
+
+
+def test_surrogates_of_texts_that_share_an_id(spark):
+    rows = [(1, "Mr. John Smith"), (1, "a@b.de and Smith"), (None, "Mrs. Smith"), (1, "Mr. John Smith"), (None, None)]
+    got = sorted((str(r["text"]), r["n_entities"]) for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect())
+    assert len(got) == 5 and sum("Smith" in t for t, _ in got) == 1  # a bare surname of an unknown person
+    names = [t for t, _ in got if t.startswith("Mr")]
+    assert len(set(names)) == 2 and len({t.split()[-1] for t in names}) == 1
 
 
 def test_pii_plan_is_native(spark, sf_dir):
