@@ -2,6 +2,7 @@ import collections
 import hashlib
 import hmac
 import ipaddress
+import json
 import random
 import zlib
 
@@ -36,7 +37,8 @@ def test_bpe_equals_the_library(spark, tokenizer):
     rnd = random.Random(3)
     words = "the playing don't we're it's 4.56 straße ΑΣΣΟΣ İstanbul naïve école 日本語 한국어 😀👍🏽 <|endoftext|> x<|startoftext|>y --- aaaaaaaa mississippi".split()
     texts = [*ODD, *(rnd.choice([" ", "\n", "", "\x1c", " "]).join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(300)), *("".join(rnd.choice("abcdehinorstuwyé'ßλΣ1.-_ \t²Ⅷ́") for _ in range(rnd.randint(0, 50))) for _ in range(300))]
-    got = {r["doc_id"]: r for r in bpe.encode_decode(frame(spark, texts), catalog.tokenizer_path(catalog.WORD_BPE)).collect()}
+    docs = frame(spark, texts).withColumn("n_tokens", F.lit("clash"))
+    got = {r["doc_id"]: r for r in bpe.encode_decode(docs, catalog.tokenizer_path(catalog.WORD_BPE)).collect()}
     for i, t in enumerate(texts):
         want = tokenizer.encode(t or "", add_special_tokens=False).ids
         assert got[i]["ids"] == want and got[i]["n_tokens"] == len(want)
@@ -48,6 +50,43 @@ def test_bpe_of_an_empty_table(spark):
     assert bpe.encode_decode(frame(spark, []), catalog.tokenizer_path(catalog.WORD_BPE)).count() == 0
 
 
+def test_compiled_automaton_against_plain_merging():
+    rnd = random.Random(5)
+    for suffix in ("", "$"):
+        for _ in range(40):
+            symbols = [*"abc", *(c + suffix for c in "abc" if suffix)]
+            tokens, merges = list(symbols), []
+            while len(merges) < 14:
+                u, v = rnd.choice(tokens), rnd.choice(tokens)
+                if suffix and u.endswith(suffix) or u + v in tokens:
+                    continue
+                tokens.append(u + v)
+                merges.append(f"{u} {v}")
+            spec = {"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges, "end_of_word_suffix": suffix}, "pre_tokenizer": {"pretokenizers": [{"type": "Split", "pattern": {"Regex": "\\S+"}}]}}
+            auto = bpe.MergeAutomaton(spec)
+            for _ in range(60):
+                word = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14)))
+                want = [*word[:-1], word[-1] + suffix]
+                for rule in merges:
+                    u, v = rule.split(" ")
+                    i = 0
+                    while i < len(want) - 1:
+                        if want[i] == u and want[i + 1] == v:
+                            want[i : i + 2] = [u + v]
+                        i += 1
+                assert [tokens[i] for i in auto.word(word)] == want
+
+
+def test_bpe_keeps_its_table_bounded(monkeypatch, tokenizer):
+    monkeypatch.setattr(bpe, "MOST_STATES", 50)
+    with open(catalog.tokenizer_path(catalog.WORD_BPE), encoding="utf-8") as f:
+        auto = bpe.MergeAutomaton(json.load(f))
+    rnd = random.Random(2)
+    for _ in range(500):
+        w = "".join(rnd.choice("aehinorst") for _ in range(rnd.randint(1, 20)))
+        assert auto.word(w) == tokenizer.encode(w, add_special_tokens=False).ids and len(auto.members) < 50 + 25
+
+
 # --- language -----------------------------------------------------------------------------------------
 
 

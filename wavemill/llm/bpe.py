@@ -1,23 +1,29 @@
 """BPE encoding and decoding by a deterministic automaton compiled from the merge list.
 
 Merge gadgets. The automaton starts with one state that loops on every base symbol. The merge rules
-are then applied in rank order. The gadget of a rule ``u v -> w`` removes the arc ``v`` from the state
-that reading ``u`` leads to, and gives every state that still had the arc ``u`` (followed by ``v``) an
-arc ``w`` to the state that ``v`` leads to. After the last rule a sequence of arcs that starts in the
-first state spells exactly the token sequences that BPE can produce: a state is known by the last
-token, and an arc is missing just where an earlier rule would have joined across the seam.
-
-The whole table would have (tokens)^2 entries, so gadgets are applied when a transition is first
-asked for: ``_arc(t, w)`` replays the gadgets that concern one state and one arc, walking back from
-the arc's label to the rules that made it, and the answer is kept in the transition table. Encoding
-reads a pre-split word from left to right; at each position exactly one arc that ends there starts in
-the state reached at the arc's start. Decoding emits the arc labels.
+are applied in rank order. The gadget of a rule ``u v -> w`` cuts the arc ``v`` from the state that
+reading ``u`` leads to, and gives every state that had the arc ``u`` (followed by ``v``) an arc ``w`` to
+the state that ``v`` leads to at that time. After the last rule the sequences of arcs from the first state
+are exactly the token sequences that BPE can produce: there is one state for each token read last, and an
+arc is missing just where an earlier rule would have joined across the seam. A rule whose arcs were all
+cut before it makes no token. States copy their arcs from the state of their right part, arcs come with the
+arc of their left part, so the automaton is kept as one cut for each rule; an arc is there if no cut of
+the state's chain of right parts, made before the copy, hits the arc's chain of left parts.
+
+Determinisation. Arcs are spelled out symbol by symbol, and the machine on symbols is made deterministic:
+one of its states is the set of arcs being read, each with the state that it left. Transitions are
+entered in the table (state, symbol) -> state when they are first needed, up to MOST_STATES states, after
+which the table starts anew. Exactly one arc can end at a place, so a state also tells the last token of
+what was read. Encoding a pre-split word is one table step for each symbol and one for its last symbol
+(which carries the end-of-word suffix); the tokens are then read off from the end. Nothing is searched or
+tried again. Decoding emits the arc labels.
 
 Pre-splitting follows the tokenizer file (NFC, white space to blanks, lower case, the split pattern,
 byte symbols, an end-of-word suffix); special tokens in the raw text are arcs of their own.
 
 A null text is an empty text; an empty text has no tokens, and its decoded text is empty. Texts of
-any length are encoded whole. Repeated rows give repeated results; an empty table gives no rows.
+any length are encoded whole. Repeated rows give repeated results; an empty table gives no rows. Columns
+beyond the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import sliced, utf8_column
 
-#: What a worker remembers: chunks between blanks, pre-split words, transitions.
-CACHE_CHUNKS = 450_000
-CACHE_ARCS = 500_000
+#: What a worker remembers: chunks between blanks, pre-split words; states of the determinised automaton (about 1 KB each).
+CACHE_CHUNKS = 400_000
+MOST_STATES = 100_000
+NEVER = 1 << 60
 #: White space as the file's pattern has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -78,143 +85,145 @@ class MergeAutomaton:
         self.labels = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: t for t, i in self.special.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        #: token -> the rule that makes it: (rank, left, right); base symbols have none.
-        self.made: dict[int, tuple[int, int, int]] = {}
-        for n, rule in enumerate(model["merges"]):
-            a, b = rule.split(" ") if isinstance(rule, str) else rule
-            u, v, w = self.ids[a], self.ids[b], self.ids[a + b]
-            self.rank.setdefault((u, v), n)
-            self.made.setdefault(w, (n, u, v))
-        self.alone: dict[int, bool] = {}
-        self.longest = max(map(len, self.ids), default=1)
-        #: transitions asked for so far: token before and arc -> is there such an arc
-        self.table: dict[int, bool] = {}
+        self._compile(model["merges"])
+        self._spell_out()
         self.pieces: dict[str, bytes] = {}
         self.to_symbols = dict(enumerate(byte_symbols()))
-        whole = {t: i for t, i in self.ids.items() if self._alone(i)}
-        end = len(self.suffix)
-        #: arcs by their labels: those inside a word, and those that end it (without the suffix)
-        self.inner = {t: i for t, i in whole.items() if not end or not t.endswith(self.suffix)}
-        self.final = {t[: len(t) - end]: i for t, i in whole.items() if t.endswith(self.suffix)}
-        #: the same labels as a tree of characters
-        self.tree: dict = {}
-        for kind, arcs in (("in", self.inner), ("end", self.final)):
-            for label, i in arcs.items():
-                node = self.tree
-                for c in label:
-                    node = node.setdefault(c, {})
-                node[kind] = i
         splits = [s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         self.split = regex.compile(splits[0].replace("\\s", SPACE))
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.ids_of = Remembered(lambda c: array("I", self._chunk(c)).tobytes())
 
-    def _arc(self, t: int, w: int) -> bool:
-        """Does the state after token t have the arc w once all gadgets are applied?
-
-        Two tokens stay apart if no rule joins across their seam before the rules that build them
-        have covered it. Walk back: at each step the later-made of the two tokens is opened at the
-        seam; a rule on the pair that is older than the opened token's own rule took the arc away.
-        """
-        known = self.table.get(t << 20 | w)
-        if known is not None:
-            return known
-        a, b, limit, out = t, w, 1 << 60, True
-        while True:
-            joins = self.rank.get((a, b))
-            if joins is not None and joins < limit:
-                out = False
-                break
-            ra, rb = self.made.get(a), self.made.get(b)
-            if ra is None and rb is None:
-                break
-            # open the token whose rule comes last: until then it stood at the seam unopened
-            if rb is None or ra is not None and ra[0] > rb[0]:
-                # at a joined token's own rank, rules further left win, so a tie on the seam comes later
-                limit, a = ra[0], ra[2]
-            else:
-                limit, b = rb[0] + 1, rb[1]
-        if len(self.table) >= CACHE_ARCS:
-            self.table.clear()
-        self.table[t << 20 | w] = out
-        return out
-
-    def _alone(self, w: int) -> bool:
-        """Can token w be a whole arc, i.e. do the rules rebuild it from its symbols?"""
-        rule = self.made.get(w)
-        if rule is None:
-            return True
-        known = self.alone.get(w)
-        if known is None:
-            n, u, v = rule
-            known = self.alone[w] = self._alone(u) and self._alone(v) and self._arc_below(u, v, n)
-        return known
-
-    def _arc_below(self, u: int, v: int, n: int) -> bool:
-        """Did the state after u still have the arc v when rule n came?"""
-        a, b, limit = u, v, n
-        while True:
-            joins = self.rank.get((a, b))
-            if joins is not None and joins < limit:
-                return False
-            ra, rb = self.made.get(a), self.made.get(b)
-            if ra is None and rb is None:
-                return True
-            if rb is None or ra is not None and ra[0] > rb[0]:
-                limit, a = min(limit, ra[0]), ra[2]
-            else:
-                limit, b = min(limit, rb[0] + 1), rb[1]
+    def _compile(self, merges: list) -> None:
+        """Applies the gadgets of all rules in rank order."""
+        size = max(self.labels, default=-1) + 1
+        #: token -> its parts and the rule that made it; base symbols have no parts
+        self.left, self.right, self.born = [-1] * size, [-1] * size, [NEVER] * size
+        #: token u -> arc v -> the rule that cut v from the state after u
+        self.cuts: dict[int, dict[int, int]] = {}
+        made = {a + b for a, b in (r.split(" ") if isinstance(r, str) else r for r in merges)}
+        self.arcs = {i for t, i in self.ids.items() if t not in made}
+        for n, rule in enumerate(merges):
+            a, b = rule.split(" ") if isinstance(rule, str) else rule
+            u, v, w = self.ids[a], self.ids[b], self.ids[a + b]
+            if w in self.arcs:
+                raise ValueError(f"two rules make {a + b!r}")
+            if u in self.arcs and v in self.arcs and self.has_arc(u, v):
+                self.left[w], self.right[w], self.born[w] = u, v, n
+                self.arcs.add(w)
+                self.cuts.setdefault(u, {})[v] = n
+
+    def has_arc(self, t: int, w: int) -> bool:
+        """Does the state after token t have the arc w, after all gadgets so far?"""
+        u, copied = t, NEVER
+        while u >= 0:
+            cuts = self.cuts.get(u)
+            if cuts is not None:
+                x, born = w, NEVER
+                while x >= 0:
+                    n = cuts.get(x)
+                    # the rule that made an arc of two equal tokens also cuts the second from the first
+                    if n is not None and n < copied and n <= born:
+                        return False
+                    born, x = self.born[x], self.left[x]
+            copied, u = self.born[u], self.right[u]
+        return True
+
+    def _spell_out(self) -> None:
+        """The labels of all arcs as a tree of symbols: node -> symbol -> node; arcs inside a word and arcs that end it."""
+        end = len(self.suffix)
+        self.tree: list[dict[int, int]] = [{}]
+        self.inner: dict[int, int] = {}
+        self.final: dict[int, int] = {}
+        self.length: dict[int, int] = {}
+        self.whole: dict[str, int] = {}
+        for label, w in self.ids.items():
+            if w not in self.arcs:
+                continue
+            ends = label.endswith(self.suffix)
+            text = label[: len(label) - end] if ends else label
+            node = 0
+            for c in text:
+                below = self.tree[node].get(ord(c))
+                if below is None:
+                    below = self.tree[node][ord(c)] = len(self.tree)
+                    self.tree.append({})
+                node = below
+            self.length[w] = len(text)
+            if ends:
+                self.final[node] = self.whole[text] = w
+            if not ends or not end:
+                self.inner[node] = w
+        self._restart()
+
+    def _restart(self) -> None:
+        """Only the first state of the determinised automaton: all arcs of the first state are about to be read."""
+        self.members: list[tuple[int, ...]] = [(0, -1)]  # node, token before, node, token before ...
+        self.last = [-1]
+        self.numbers = {self.members[0]: 0}
+        self.moves: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+
+    def _move(self, state: int, c: int) -> int:
+        """Enters the transition of a state on symbol c."""
+        out: list[int] = []
+        last = -1
+        reading = self.members[state]
+        for node, t in zip(reading[::2], reading[1::2], strict=True):
+            below = self.tree[node].get(c)
+            if below is None:
+                continue
+            w = self.inner.get(below)
+            if w is not None and last < 0 and (t < 0 or self.has_arc(t, w)):
+                last = w
+            if self.tree[below]:
+                out += (below, t)
+        if last < 0:
+            raise ValueError(f"no token for symbol {chr(c)!r}")
+        key = (*out, 0, last)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.members)
+            self.members.append(key)
+            self.last.append(last)
+        self.moves[state << 9 | c] = number
+        return number
+
+    def _end(self, state: int, c: int) -> int:
+        """Enters the token that a word ends with if its last symbol is c."""
+        reading = self.members[state]
+        for node, t in zip(reading[::2], reading[1::2], strict=True):
+            w = self.final.get(self.tree[node].get(c, -1))
+            if w is not None and (t < 0 or self.has_arc(t, w)):
+                self.ends[state << 9 | c] = w
+                return w
+        raise ValueError(f"no token for last symbol {chr(c)!r}")
 
     def word(self, text: str) -> list[int]:
-        """Token ids of one pre-split word: the one path through the automaton that spells it.
-
-        Arcs are tried from the longest on; a place and arc from which no path went on is not tried again.
-        """
+        """Token ids of one pre-split word, by table steps."""
         if not (text.isascii() and text.isprintable()):
             text = text.encode().decode("latin-1").translate(self.to_symbols)
-        n = len(text)
-        whole = self.final.get(text)
-        if whole is not None or not n:
-            return [whole] if n else []
-        table, arc = self.table, self._arc
-        path: list[int] = []
-        ends: list[int] = []
-        choices: list[list[tuple[int, int]]] = []  # for each step, the arcs (token, end) not tried yet
-        dead: set[tuple[int, int]] = set()
-        at, before = 0, -1
-        while True:
-            some: list[tuple[int, int]] = []
-            node, j = self.tree, at
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
-                w = node.get("end" if j == n else "in")
-                if w is not None:
-                    some.append((w, j))
-            choices.append(some)
-            while True:
-                while choices and not choices[-1]:
-                    choices.pop()
-                    if path:
-                        dead.add((path.pop(), ends.pop()))
-                if not choices:
-                    raise ValueError(f"the automaton has no path for {text!r}")
-                before = path[-1] if path else -1
-                w, end = choices[-1].pop()
-                if before >= 0:
-                    joins = table.get(before << 20 | w)
-                    if not (joins if joins is not None else arc(before, w)):
-                        continue
-                if (w, end) not in dead:
-                    break
-            path.append(w)
-            ends.append(end)
-            if end == n:
-                return path
-            at = end
+        if not text:
+            return []
+        if len(self.members) > MOST_STATES:
+            self._restart()
+        moves, last, length = self.moves, self.last, self.length
+        state, path = 0, [0]
+        symbols = list(map(ord, text))
+        final = symbols.pop()
+        for c in symbols:
+            step = moves.get(state << 9 | c)
+            state = self._move(state, c) if step is None else step
+            path.append(state)
+        w = self.ends.get(state << 9 | final)
+        if w is None:
+            w = self._end(state, final)
+        out, at = [w], len(text) - length[w]
+        while at:
+            w = last[path[at]]
+            out.append(w)
+            at -= length[w]
+        return out[::-1]
 
     def _chunk(self, chunk: str) -> list[int]:
         """Token ids of what stands between two blanks."""
