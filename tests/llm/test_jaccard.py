@@ -89,6 +89,49 @@ def test_shared_ids_in_large_regions(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((doc, want[i][0], lowest[want[i][1]]) for i, (_, doc, _) in enumerate(rows))
 
 
+def test_the_query_goes_through_pivots_and_equals_its_sql(spark, monkeypatch, sf_dir):
+    """Whole query on the table, with regions of two documents taken as large and every part taken as hot."""
+    import duckdb
+
+    from wavemill.llm import catalog
+
+    want = duckdb.sql(f"create or replace view documents as select * from '{sf_dir}/documents.parquet'") or duckdb.sql(catalog.oracle_sql()["op1_jaccard"]).fetchall()
+    split = []
+    large = jaccard._split_large
+    monkeypatch.setattr(jaccard, "_split_large", lambda *a: split.append(1) or large(*a))
+    for settings in ({"REGION_DOCS": 1}, {"REGION_DOCS": 1, "HOT_SAMPLE": 1, "PART_DOCS": 0}, {}):
+        with monkeypatch.context() as m:
+            for k, v in settings.items():
+                m.setattr(jaccard, k, v)
+            got = [tuple(r) for r in catalog.op1_jaccard(spark, sf_dir).collect()]
+        assert sorted(got) == sorted(want)
+    assert len(split) == 2
+
+
+def test_links_within_a_task_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for num, den, leaf in ((80, 100, 2), (90, 100, 3), (60, 100, 12)):
+        for _ in range(60):
+            bases = [rng.integers(0, 1 << 60, int(rng.integers(3, 60)), dtype=np.uint64) for _ in range(int(rng.integers(1, 4)))]
+            sets = []
+            for _ in range(int(rng.integers(1, 50))):
+                b = bases[int(rng.integers(len(bases)))]
+                sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > 0.15], rng.integers(0, 1 << 60, int(rng.integers(1, 4)), dtype=np.uint64)])))
+            n = np.array([len(x) for x in sets])
+            assert sorted(jaccard.pivot_links(sets, num, den, leaf)) == sorted(jaccard._stars(jaccard._linked(jaccard.shared_counts(sets), n, n, num, den)))
+
+
+def test_very_long_texts_largest_id_and_many_rows_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    top = (1 << 63) - 1
+    rows = [(long, top, "x"), (long + " end", None, "x"), ("q " * 90_000, 5, "x"), *((f"text number {i} has no id at all here", None, "x") for i in range(40))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("n_shingles", "doc_id", "component_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["n_shingles"] > 50_000 and r["doc_id"]) == [(top, top)]
+    assert [r["component_id"] for r in got if r["n_shingles"] > 50_000] == [top, top] and len(got) == len(rows)
+
+
 def test_empty_table_and_null_ids(spark):
     assert result(spark, []) == {}
     got = jaccard.near_duplicates(spark.createDataFrame([("a b c d e f", None, "x"), ("a b c d e f", 7, "x"), ("q r s t u v", None, "x")], SCHEMA)).collect()

@@ -2,7 +2,9 @@
 
 The Jaccard distance d = 1 - |A n B| / |A u B| is a metric. Two documents link when d <= r.
 
-Level 0, pivots that are parts of sets. Shingle hashes form a binary tree. For a node v, A_v are A's
+Level 0, pivots that are parts of sets. With documents as pivots of a whole corpus almost all distances
+are near 1 and the windows below copy every document into almost every region (measured: README), so
+the first pivots are smaller. Shingle hashes form a binary tree. For a node v, A_v are A's
 shingles below v, and d_v(A, B) = d(A_v, B_v). If d(A, B) <= r at a node, then d <= r at one of its
 children (the node's shared and united shingles are the sums of the children's). Going down, a node is
 reached where A_v u B_v has at most c < 1/r shingles; there d_v <= r means d_v = 0, i.e. A_v = B_v:
@@ -14,20 +16,27 @@ a region that both documents share. Within a region, distances to fixed pivots (
 Regions that share documents are then joined into one (connected components), so that each link is
 in exactly one region.
 
-Level 1 and up, pivots that are documents. A region that is too large for a task gets PIVOTS documents
-as pivots. Every member's distances to them are computed, in chunks. Members go to the Voronoi region
-of their nearest pivot p and, for exactness, into every region q with d(x, q) <= d(x, p) + 2r (triangle
-inequality: if d(x, y) <= r then d(y, p) <= d(y, p_y) + 2r for x's pivot p). Members within r of a pivot
-are linked to it at once. A region whose members are all connected by then is done. Other regions join
-recursively; one that no longer shrinks is joined in tiles, the members outside its largest connected
-class against all. Small regions are joined exactly in one task from the intersection counts.
+Level 1 and up, pivots that are documents. Every region gets documents as pivots. Its members' distances
+to them are computed. Members go to the Voronoi region of their nearest pivot p and, for exactness, into
+every region q with d(x, q) <= d(x, p) + 2r (triangle inequality: if d(x, y) <= r then d(y, p) <= d(y, p_y)
++ 2r for x's pivot p). Members within r of a pivot are linked to it at once. A region whose members are all
+connected by then is done, the others are joined recursively. A region of up to REGION_DOCS documents
+goes through this recursion within one task (``pivot_links``), down to leaves of LEAF documents or regions
+that no longer shrink, which are joined by their intersection counts. Larger regions are spread over
+tasks in chunks level by level; one that no longer shrinks is joined in tiles, the members outside its
+largest connected class against all.
 
 Identical sets are one node (a class) from the start, so exact copies cost nothing. No link between
 different sets is lost, and no region, class or candidate list is capped. Shingles are 64-bit hashes.
 
+A part that a large share of all classes holds is found in a sample of the classes and joined without
+being gathered; which parts are found changes the work, not the result.
+
 Null and empty texts have no shingles; they link with nothing and are their own component. A text of
 fewer than k words is one shingle, its whole word sequence. Rows that share a doc_id are rows of that
 id: each gets the component of its own set. A null doc_id never names a component that has another.
+Very long texts are hashed whole. An empty table gives no rows. Columns beyond doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, WordHash, discard, mixed, multipliers, parts, rolling, scratch, sliced, utf8_column, written
-from .graph import components
+from .common import MASK64, WordHash, discard, mixed, multipliers, parts, rolling, scratch, sliced, streamed, utf8_column, written
+from .graph import components, labels
 
 #: Members of a part's region that are compared by their counts; larger regions are joined as they are.
 PART_DOCS = 4096
@@ -49,14 +58,16 @@ PART_DOCS = 4096
 COUNT_BLOCK = 1 << 23
 #: Bits of the largest count vector; a set of n shingles has about n / 4 counts.
 MOST_COUNT_BITS = 12
-#: A region up to this many documents and shingles is joined in one task.
+#: A region up to this many documents and shingles is joined in one task; leaves and pivots of the recursion there.
 REGION_DOCS, REGION_SHINGLES = 192, 4_000_000
+LEAF, LEAF_PIVOTS = 12, 4
+#: One of this many classes is looked at for parts that many classes hold.
+HOT_SAMPLE = 16
 PIVOTS, CHUNK_DOCS, MOST_LEVELS = 16, 96, 4
 #: Classes that a task remembers so as to send their parts once.
 MOST_SEEN = 1_000_000
 #: Candidates up to this number (some 20 MB) are broadcast to the texts.
 BROADCAST_ROWS = 500_000
-NO_ID = (1 << 63) - 1
 
 
 class Shingles:
@@ -130,7 +141,6 @@ def may_link(n: np.ndarray, counts: list[bytes], num: int, den: int) -> list[tup
     # coarser ranges are sums of finer ones; a clipped count bounds nothing, so its members stay with all
     v = np.stack([x.reshape(width, -1).sum(axis=1, dtype=np.int16) for x in v])
     clipped = np.array([255 in x for x in counts])
-    label = np.arange(len(n))
     # only sizes of at least num/den of each other can link
     first = np.searchsorted(den * n, num * n)
     rows = max(1, COUNT_BLOCK // max(1, width * int((np.arange(len(n)) - first).max() + 1)))
@@ -145,52 +155,51 @@ def may_link(n: np.ndarray, counts: list[bytes], num: int, den: int) -> list[tup
         keep = j + lo < i + at
         a.append(i[keep] + at)
         b.append(j[keep] + lo)
-    a, b = np.concatenate(a), np.concatenate(b)
-    while len(a):
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
+    label = labels(len(n), np.concatenate(a), np.concatenate(b))
     return [(i, int(r)) for i, r in enumerate(label.tolist()) if i != r]
 
 
-def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cid, counts): set size, class (hash of the set) and count vector of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("counts", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingles(k)
-        for batch in sliced(batches):
-            sets = [s.of(t) for t in utf8_column(batch, "text")]
-            cid = [class_of(h) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array([count_vector(h) for h in sets], pa.binary())], schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, counts binary")
-
-
-def _windows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(cid, key): the regions that each class is put into; a class comes once from each task that holds it."""
-    schema = pa.schema([("cid", pa.int64()), ("key", pa.int64())])
+def _hashed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, tid, n, cid, counts, keys) of (doc_id, tid, text): set size and class (hash of the set) of each document, and once from each task
+    that holds the class, its count vector and the regions (parts) that it is put into."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64()))])
     c, q = part_sizes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = Shingles(k), set()
         for batch in sliced(batches):
-            new: dict[int, np.ndarray] = {}
-            for t in utf8_column(batch, "text"):
-                h = s.of(t)
-                if len(h) >= q and (cid := class_of(h)) not in seen:
-                    new[cid] = h
-            seen.update(new)
+            sets = [s.of(t) for t in utf8_column(batch, "text")]
+            cid = [class_of(h) if len(h) else None for h in sets]
+            fresh: dict[int, int] = {}
+            for i, x in enumerate(cid):
+                if x is not None and x not in seen:
+                    fresh.setdefault(x, i)
+            seen.update(fresh)
             if len(seen) > MOST_SEEN:
                 seen.clear()
-            owner, keys = part_keys(list(new.values()), c, q)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(new), np.int64)[owner]), pa.array(keys.view(np.int64))], schema=schema)
-
-    return docs.select("text").mapInArrow(run, "cid long, key long")
+            at = sorted(fresh.values())
+            owner, keys = part_keys([sets[i] if len(sets[i]) >= q else sets[i][:0] for i in at], c, q)
+            order = np.argsort(owner, kind="stable")
+            edge = np.searchsorted(owner[order], np.arange(len(at) + 1))
+            signed = keys[order].view(np.int64)
+            lists: list = [None] * len(sets)
+            counts: list = [None] * len(sets)
+            for j, i in enumerate(at):
+                lists[i], counts[i] = signed[edge[j] : edge[j + 1]], count_vector(sets[i])
+            cols = [batch.column("doc_id"), batch.column("tid"), pa.array([len(h) for h in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(counts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return docs.mapInArrow(run, "doc_id long, tid long, n long, cid long, counts binary, keys array<long>")
+
+
+def _hot_parts(postings: DataFrame) -> DataFrame | None:
+    """(key) of at most 4 p parts that more than 1/(4 p) of the sampled (cid, key) name, p the number of shuffle partitions; None if there is none."""
+    p = parts(postings)
+    some = postings.where(F.pmod(F.xxhash64("cid"), F.lit(HOT_SAMPLE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    total = some.agg(F.sum("c")).first()[0] or 0
+    hot = some.where(F.col("c") > max(total // (4 * p), 2 * PART_DOCS // HOT_SAMPLE)).select("key").limit(4 * p)
+    rows = [(r["key"],) for r in hot.collect()]  # at most 4 p numbers
+    return postings.sparkSession.createDataFrame(rows, "key long") if rows else None
 
 
 def _part_edges(shared: DataFrame, classes: DataFrame, folder: str, num: int, den: int) -> DataFrame:
@@ -275,22 +284,44 @@ def _stars(linked: np.ndarray) -> list[tuple[int, int]]:
         label = low
 
 
-def region_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def pivot_links(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+    """(member, first member of its component) for all but the first members of a region.
+
+    Pivots, Voronoi regions with windows, recursion; only leaves and regions that keep most of their members are joined pairwise.
+    """
     n = np.array([len(s) for s in sets])
-    return _stars(_linked(shared_counts(sets), n, n, num, den))
+    label = np.arange(len(sets))
+    todo = [label]
+    while todo:
+        own = todo.pop()
+        if len(np.unique(label[own])) == 1:
+            continue
+        mine = [sets[i] for i in own]
+        if len(own) <= leaf:
+            found = [(own[i], own[j]) for i, j in _stars(_linked(shared_counts(mine), n[own], n[own], num, den))]
+        else:
+            pivots = own[np.linspace(0, len(own) - 1, LEAF_PIVOTS).astype(int)]
+            x = shared_counts(mine, [sets[i] for i in pivots])
+            d = 1 - x / (n[own][:, None] + n[pivots][None, :] - x)
+            found = [(own[i], pivots[j]) for i, j in zip(*np.nonzero(_linked(x, n[own], n[pivots], num, den)), strict=True)]
+            window = d <= d.min(axis=1, keepdims=True) + 2 * (1 - num / den) + 1e-9
+            children = [own[w] for w in window.T if w.sum() > 1]
+            if any(len(c) > 0.7 * len(own) for c in children):
+                label = _merged(label, found)
+                if len(np.unique(label[own])) > 1:
+                    found = [(own[i], own[j]) for i, j in _stars(_linked(shared_counts(mine), n[own], n[own], num, den))]
+            else:
+                todo += children
+        label = _merged(label, found)
+    return [(i, int(r)) for i, r in enumerate(label.tolist()) if i != r]
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
-    """Runs of rows with equal keys, from sorted partitions."""
-    held: list[dict] = []
-    for batch in sliced(batches):
-        for row in batch.to_pylist():
-            if held and any(row[k] != held[0][k] for k in keys):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+def _merged(label: np.ndarray, found: list[tuple[int, int]]) -> np.ndarray:
+    if not found:
+        return label
+    a, b = np.array(found).T
+    every = np.arange(len(label))
+    return labels(len(label), np.concatenate([every, a]), np.concatenate([label, b]))
 
 
 def _sorted_by(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
@@ -302,10 +333,10 @@ def _joined_regions(members: DataFrame, keys: list[str], k: int, num: int, den:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, schema = Shingles(k), pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for rows in _streamed(batches, keys):
+        for rows in streamed(batches, keys):
             own, sets = _own(rows, s)
             if len(own) > 1:
-                found = region_links(sets, num, den)
+                found = pivot_links(sets, num, den)
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": [own[i]["cid"] for i, _ in found], "b": [own[j]["cid"] for _, j in found]}, schema=schema)
 
@@ -324,7 +355,7 @@ def _pivot_distances(members: DataFrame, sizes: DataFrame, level: int, k: int, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingles(k)
         schema = pa.schema([("cell", pa.int64()), ("cid", pa.int64()), ("links", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int64()))])
-        for rows in _streamed(batches, ["cell", "chunk"]):
+        for rows in streamed(batches, ["cell", "chunk"]):
             (piv, ps), (own, ms) = (_own([x for x in rows if x["role"] == k], s) for k in (0, 1))
             if not own or not piv:
                 continue
@@ -338,23 +369,9 @@ def _pivot_distances(members: DataFrame, sizes: DataFrame, level: int, k: int, n
     return _sorted_by(spread.unionAll(dealt), ["cell", "chunk"], "role").mapInArrow(run, "cell long, cid long, links array<long>, pivots array<long>")
 
 
-def _own_texts(members: DataFrame, k: int) -> DataFrame:
-    """``members`` without the texts of another class that come with a shared id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingles(k)
-        for batch in sliced(batches):
-            own = [class_of(s.of(t)) == c for t, c in zip(utf8_column(batch, "text"), batch.column("cid").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_()))
-
-    return members.mapInArrow(run, members.schema)
-
-
 def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) -> list[DataFrame]:
     """Links of the regions that are too large for a task; members has (cell, cid, n, text)."""
     links: list[DataFrame] = []
-    # before one text of each class is taken
-    members = written(_own_texts(members, k), folder, "own")
     for level in range(MOST_LEVELS):
         members = members.dropDuplicates(["cell", "cid"])
         sizes = written(members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs")), folder, f"sizes{level}")
@@ -406,24 +423,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """doc_id, n_shingles, class_id, component_id per row of ``docs`` (doc_id, text): documents link when den * |A n B| >= num * |A u B|."""
     spark = docs.sparkSession
     folder = scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(_classes(docs, k), folder, "base")
-    order = F.coalesce("doc_id", F.lit(NO_ID))
-    classes = written(base.where("n > 0").groupBy("cid").agg(F.min(order).alias("rep"), F.max("n").alias("n"), F.min("counts").alias("counts")), folder, "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid"))
+    base = written(_hashed(docs, k, num, den), folder, "base")  # texts are hashed once
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("x")
+    classes = base.where("n > 0").groupBy("cid").agg(first, F.max("n").alias("n"), F.min("counts").alias("counts"))
+    classes = written(classes.select("cid", F.col("x.doc_id").alias("rep"), F.col("x.tid").alias("rep_tid"), "n", "counts"), folder, "classes")
+    postings = base.where("keys is not null").select("cid", F.explode("keys").alias("key"))
+    hot, hot_edges = _hot_parts(postings), None
+    if hot is not None:
+        hot = F.broadcast(hot)
+        hubs = postings.join(hot, "key").groupBy("key").agg(F.min("cid").alias("b"))
+        hot_edges = postings.join(F.broadcast(hubs), "key").select(F.col("cid").alias("a"), "b").where("a <> b")
+        postings = postings.join(hot, "key", "left_anti")
     # one exchange serves the counting and the join
-    postings = _windows(docs, k, num, den).repartition(parts(docs), "key")
+    postings = postings.repartition(parts(docs), "key")
     cells = postings.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top"), F.count(F.lit(1)).alias("c")).where("hub <> top").drop("top")
     shared = written(postings.join(cells, "key"), folder, "shared")
     edges = _part_edges(shared, classes, folder, num, den)
+    edges = edges if hot_edges is None else edges.unionAll(hot_edges)
     regions = components(edges, folder, "regions").withColumnRenamed("node", "cid").withColumnRenamed("root", "cell")
-    sizes = regions.join(classes.select("cid", "rep", "n"), "cid").select("cell", "cid", "rep", "n")
+    sizes = regions.join(classes.select("cid", "rep", "rep_tid", "n"), "cid").select("cell", "cid", "rep", "rep_tid", "n")
     sizes = written(sizes, folder, "candidates")
     stats = sizes.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     stats = stats.select("cell", F.expr(f"docs > {REGION_DOCS} or shingles > {REGION_SHINGLES}").alias("large"))
-    named = sizes.join(stats, "cell").where("rep is not null")
+    named = sizes.join(stats, "cell")
     # few candidates find their texts without shuffling all texts; more than that are joined by sorting
     named = F.broadcast(named) if sizes.count() <= BROADCAST_ROWS else named
-    members = docs.where(F.col("text").isNotNull()).withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(named, "rep").select("cell", "cid", "n", "text", "large")
+    members = docs.where(F.col("text").isNotNull()).join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("rep_tid"))).select("cell", "cid", "n", "text", "large")
     members = written(members, folder, "members")
     links = _joined_regions(members.where("not large"), ["cell"], k, num, den)
     large = members.where("large").drop("large")
@@ -434,10 +460,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     else:
         links = written(links, folder, "links")  # already stars of whole components
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    for name in ("shared", "runs", "members", "own"):
+    for name in ("shared", "runs", "members"):
         discard(spark, folder, name)
     named = roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     joined = named.join(lowest, "root").select(F.col("node").alias("cid"), "component")
-    final = classes.select("cid", "rep").join(joined, "cid", "left").select("cid", F.nullif(F.col("rep"), F.lit(NO_ID)).alias("class_id"), F.nullif(F.coalesce("component", "rep"), F.lit(NO_ID)).alias("component_id"))
+    final = classes.select("cid", "rep").join(joined, "cid", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     return base.select("doc_id", "n", "cid").join(final, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("class_id"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
