@@ -2,8 +2,8 @@
 
 A text becomes a TF-IDF vector of hashed byte 2- and 3-grams of its letters (lower case, everything
 else a blank), of length one. Each language has several centroids, found by spherical k-means on a
-bounded, hash-chosen sample of labelled rows (``per_lang`` rows for each language; the IDF weights are
-part of the fit). A text takes the language of the centroid with the largest cosine, which is its
+bounded, hash-chosen sample of labelled rows (``per_lang`` distinct texts for each language that occurs;
+the IDF weights are part of the fit). A text takes the language of the centroid with the largest cosine, which is its
 score. It is rejected if its distance (1 - cosine) is beyond the centroid's radius for texts of its
 length: short texts have few n-grams and lie farther out. The radii come from pieces of the sample rows
 of 8, 16, 32 ... bytes and the rows themselves: the ``quantile`` of their distances to their own
@@ -11,7 +11,9 @@ language's centroids, plus ``slack`` of what is left to 1 (more where there are
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected. One-letter texts are
 classified like others. Rows are independent of each other, so repeated rows give repeated results.
-Ties go to the language that sorts first. With nothing to learn from, every text is ``und``.
+Ties go to the language that sorts first. With nothing to learn from, every text is ``und``. Very long
+texts are read whole. An empty table gives no rows. Columns named lang_pred, score and rejected are
+replaced, all others kept. Ids play no part but in the choice of the sample, where they may repeat.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from .common import sliced, utf8_column
 DIMS = 1 << 13
 #: Texts whose vectors are in memory at once.
 BATCH = 256
-#: Languages that are learned at most, the most frequent ones.
-MOST_LANGS = 200
 #: Radii are by length of the text's letters: 2^3 bytes or less, 2^4 ... 2^12 or more.
 LENGTHS = range(3, 13)
 #: Pieces that tell a centroid's radius for a length; with fewer, those of the whole language do.
@@ -157,14 +157,15 @@ def fit(rows: list[tuple[bytes, str]], clusters: int = 4, slack: float = 0.25, q
 
 
 def sample(docs: DataFrame, per_lang: int) -> list[tuple[bytes, str]]:
-    """About per_lang rows of each language, at most, chosen by the hash of the id. Reads text and lang."""
+    """About per_lang texts of each language, at most, chosen by the hash of id and text. Reads text and lang."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not sizes:
-        return []
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, 1.2 * (per_lang + 20) / r["count"]) * (1 << 40)))])
-    rows = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("lang", "text", "draw").collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.count()
+    sizes = F.broadcast(sizes) if langs <= 100_000 else sizes
+    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40))
+    some = labelled.withColumn("draw", draw).join(sizes, "lang").where(F.col("draw") < (1 << 40) * F.least(F.lit(1.0), 1.2 * (per_lang + 20) / F.col("n")))
+    # repeated rows are one; the limit only guards the driver, as the draw leaves about 1.2 * per_lang of each language
+    rows = some.select("lang", "text", "draw").distinct().orderBy("draw").limit(2 * (per_lang + 20) * langs).collect()
     rows.sort(key=lambda r: (r["draw"], r["text"]))
     taken: dict[str, int] = {}
     out = []
