@@ -7,7 +7,9 @@ the logistic function of the sparse dot product of features and weights plus the
 
 A null or empty text has no features: its score is that of the bias. Labels that are null are not
 used; of several labels of one id the mean decides (0.5 counts as 1). Rows are scored one by one, so
-repeated rows give repeated results. With nothing to learn from all scores are 0.5.
+repeated rows give repeated results. With nothing to learn from all scores are 0.5. Very long texts are
+read whole. An empty table gives no rows. A column named score is replaced, all others are kept. Rows that
+share a labelled id are labelled alike; the sample is of distinct texts.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 4, alpha: float = 0.5, be
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> list[tuple[bytes, int]]:
-    """At most most_rows labelled texts, those whose ids have the smallest hashes."""
+    """At most most_rows distinct labelled texts, those whose ids (then texts) have the smallest hashes."""
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 40))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")).withColumn("draw", draw)
     n = known.count()
@@ -75,9 +77,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> list[tuple[byt
     some = known.where(F.col("draw") < limit)
     # the ids are as bounded as the sample itself; texts are filtered by the same draw before they meet
     texts = docs.where(F.col("text").isNotNull() & (draw < limit)).select("doc_id", "text")
-    rows = texts.join(some, "doc_id").select("draw", "text", "y").collect()
-    rows.sort(key=lambda r: (r["draw"], r["text"]))
-    return [(r["text"].encode(), r["y"]) for r in rows[:most_rows]]
+    rows = texts.join(some, "doc_id").select("draw", "text", "y").distinct().orderBy("draw", F.xxhash64("text"), "text").limit(most_rows).collect()
+    return [(r["text"].encode(), r["y"]) for r in rows]
 
 
 def score(docs: DataFrame, learn: DataFrame, labels: DataFrame, most_rows: int = 6000) -> DataFrame:
