@@ -11,10 +11,14 @@ with sampled ranks) and every SAMPLE-th suffix position. All phrases are searche
 each step being two wavelet ranks; occurrences are located by walking to sampled positions. Their
 spans are merged per document.
 
-The benchmark is sent to the executors in pieces of at most MOST_BENCH_BYTES of text; a benchmark
-beyond that takes several passes. A null or empty text has no words. Items without words or id are no
-items; repeated items count once by their id. Very long texts are indexed whole (they make a shard of
-their own). Repeated documents are searched one by one. Without items no document is contaminated.
+The benchmark is sent to the executors once, as symbols of its words (about a byte for each byte of text).
+Phrases are made from it in blocks of BLOCK_PHRASES, and all blocks are searched in one index of a shard.
+Only a benchmark of more than MOST_BENCH_BYTES takes a further pass for each such part.
+
+A null or empty text has no words. Items without words or id are no items; repeated items count once by
+their id. Very long texts are indexed whole (they make a shard of their own). Repeated documents are
+searched one by one. Without items no document is contaminated; an empty table gives no rows. Columns
+named n_words, item_ids, hit_spans and clean_text are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from .common import scratch, utf8_column, written
 SHARD_WORDS = 1 << 20
 SHARD_BYTES = 24 << 20
 SAMPLE = 8
-MOST_BENCH_BYTES = 2 << 20
+MOST_BENCH_BYTES = 64 << 20
+BLOCK_PHRASES = 200_000
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -157,26 +162,48 @@ class FMIndex:
 
 
 class Phrases:
-    """The test phrases of some benchmark items."""
+    """The test phrases of benchmark items: windows of words, or whole items of fewer words."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
+        # symbol 0 ends the text, 1 separates stretches
         self.vocab: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        same: dict[bytes, list[str]] = {}
         for item, text in items:
-            # symbol 0 ends the text, 1 separates stretches
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words(text)]
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if size else 0):
-                owners.setdefault(tuple(ids[at : at + size]), set()).add(item)
-        self.owners = [sorted(o) for o in owners.values()]
-        self.lengths = np.array([len(p) for p in owners], dtype=np.int64)
-        self.shortest = int(self.lengths.min(initial=window))
-        self.patterns = np.zeros((len(owners), window), np.int64)
-        for i, p in enumerate(owners):
-            self.patterns[i, : len(p)] = p
-
-    def hits(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(document, first word, last word + 1, phrase) of every occurrence in the shard."""
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 2) for w in words(text)], dtype=np.int32)
+            if len(ids):
+                same.setdefault(ids.tobytes(), []).append(item)
+        self.window = window
+        #: the items of each distinct text
+        self.owners = [sorted(set(v)) for v in same.values()]
+        texts = [np.frombuffer(k, np.int32) for k in same]
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        self.symbols = np.concatenate([*texts, np.zeros(window, np.int32)])
+        self.ends = np.cumsum(n)
+        self.shortest = int(np.minimum(n, window).min(initial=window))
+        # places of all words but those within window - 1 words of an end, and the first place of each short item
+        left = np.repeat(self.ends, n) - np.arange(len(self.symbols) - window)
+        first = np.zeros(len(left), bool)
+        first[self.ends - n] = True
+        self.starts = np.flatnonzero((left >= window) | (first & (left < window))).astype(np.int32)
+        self.held: list = []
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(patterns padded by 0, lengths, place in owners)."""
+        if self.held:
+            yield from self.held
+            return
+        for at in range(0, len(self.starts), BLOCK_PHRASES):
+            start = self.starts[at : at + BLOCK_PHRASES]
+            owner = np.searchsorted(self.ends, start, side="right")
+            lengths = np.minimum(self.ends[owner] - start, self.window)
+            patterns = self.symbols[start[:, None] + np.arange(self.window)]
+            patterns[np.arange(self.window) >= lengths[:, None]] = 0
+            if len(self.starts) <= BLOCK_PHRASES:
+                self.held = [(patterns, lengths, owner)]
+            yield patterns, lengths, owner
+
+    def hits(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, first word, last word + 1, place in owners) of every occurrence in the shard."""
         texts, docs_of, starts, at = [], [], [], 0
         gap = np.ones(1, np.int64)
         for d, ids in enumerate(docs):
@@ -187,18 +214,25 @@ class Phrases:
                     docs_of.append(d)
                     starts.append((at, a))
                     at += b - a + 1
-        if not texts or not len(self.lengths):
-            return []
-        index = FMIndex(np.concatenate(texts), len(self.vocab) + 2)
-        lo, hi = index.search(self.patterns, self.lengths)
-        n = hi - lo
-        phrase = np.repeat(np.arange(len(n)), n)
-        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        place = index.locate(rows)
-        begin = np.array([s for s, _ in starts])
-        run = np.searchsorted(begin, place, side="right") - 1
-        word = place - begin[run] + np.array([a for _, a in starts])[run]
-        return list(zip(np.array(docs_of)[run].tolist(), word.tolist(), (word + self.lengths[phrase]).tolist(), phrase.tolist(), strict=True))
+        if not texts or not len(self.starts):
+            return
+        text = np.concatenate(texts)
+        index = FMIndex(text, len(self.vocab) + 2)
+        here = np.zeros(len(self.vocab) + 2, bool)
+        here[text] = here[0] = True
+        begin, inside, of = np.array([s for s, _ in starts]), np.array([a for _, a in starts]), np.array(docs_of)
+        for patterns, lengths, owner in self.blocks():
+            some = here[patterns].all(axis=1)
+            if not some.any():
+                continue
+            lo, hi = index.search(patterns[some], lengths[some])
+            n = hi - lo
+            phrase = np.repeat(np.flatnonzero(some), n)
+            rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            place = index.locate(rows)
+            run = np.searchsorted(begin, place, side="right") - 1
+            word = place - begin[run] + inside[run]
+            yield from zip(of[run].tolist(), word.tolist(), (word + lengths[phrase]).tolist(), owner[phrase].tolist(), strict=True)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -236,6 +270,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     folder = scratch(spark) if pieces > 1 else ""
     for piece in range(pieces):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == piece).collect()
+        # at most about MOST_BENCH_BYTES
         held = spark.sparkContext.broadcast(Phrases(sorted((r["item_id"], r["text"].encode()) for r in rows), window))
         docs = docs.mapInArrow(_search(held, names), ", ".join(kept + [f"{n} {_ADDED[n][0]}" for n in names]))
         if pieces > 1:
@@ -254,9 +289,9 @@ def _search(held, names: list[str]):
         def flush() -> Iterator[pa.RecordBatch]:
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            for d, a, b, phrase in phrases.hits(ids):
+            for d, a, b, owner in phrases.hits(ids):
                 spans.setdefault(d, []).append((a, b))
-                items.setdefault(d, set()).update(phrases.owners[phrase])
+                items.setdefault(d, set()).update(phrases.owners[owner])
             d = 0
             for batch, texts, n in waiting:
                 cols: dict[str, list] = {"n_words": n, "item_ids": [], "hit_spans": [], "clean_text": []}
@@ -292,5 +327,3 @@ def _search(held, names: list[str]):
             yield from flush()
 
     return run
-
-
