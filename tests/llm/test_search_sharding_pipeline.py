@@ -1,10 +1,12 @@
 import random
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from wavemill.llm import catalog, graph, sharding, topk
 from wavemill.llm.common import scratch
@@ -39,6 +41,78 @@ def test_top_k_ties_bad_vectors_and_tiles(spark):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_deep_trees(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLICE_TILES", 1)
+    monkeypatch.setattr(topk, "MERGE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i % 120, [float(x) for x in rng.integers(-9, 9, 3) * 1000.5]) for i in range(400)] + [(50, None), (50, [None, 1.0, 2.0]), (0, [float("inf"), 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, score string")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=4, tile_rows=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    ok = [(i, np.floor(256 * np.array(v))) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
+    want = {q: [(i, -x) for x, i in sorted((-int(a @ b), j) for i, a in ok if i == q for j, b in ok if j != q)[:4]] for q in (0, 50, 100)}
+    assert got == want
+
+
+def plain_shards(rows, shards, seed):
+    """The same shuffle with lists: (doc_id, size, crc, copy) -> (shard, slot)."""
+
+    def draw(n, row):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed + n), seed=42)
+        for v in (row[0], row[2], row[1], row[3]):
+            h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    n_parts = max(1, -(-len(rows) // sharding.ROWS_PER_PART))
+    parts = {}
+    for row in rows:
+        parts.setdefault(draw(0, row) % n_parts, []).append(row)
+    sizes = [len(rows) // shards + (j < len(rows) % shards) for j in range(shards)]
+    matrix = sharding.communication_matrix([len(parts[p]) for p in sorted(parts)], sizes, seed)
+    dealt = [[] for _ in range(shards)]
+    for p, line in zip(sorted(parts), matrix, strict=True):
+        own = iter(sorted(parts[p], key=lambda r: (draw(1, r), r[0] is not None, r[0], r[2], r[1], r[3])))
+        for j, n in enumerate(line):
+            dealt[j] += [next(own) for _ in range(n)]
+    top = lambda r: (draw(2, r) % 2**64) >> 1
+    n_ranges = max(1, -(-len(rows) // (shards * sharding.ROWS_PER_PART)))
+    step = -(-(1 << 63) // n_ranges)
+    out = {}
+    for j, own in enumerate(dealt):
+        for slot, r in enumerate(sorted(own, key=lambda r: (min(top(r) // step, n_ranges - 1), draw(2, r), r[0] is not None, r[0], r[2], r[1], r[3]))):
+            out[r] = (j, slot)
+    return out
+
+
+def test_shards_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_PART", 40)
+    monkeypatch.setattr(sharding, "COPIES", 3)
+    texts = [(i % 300, f"t{i % 7}" if i % 5 else None) for i in range(900)] + [(None, "n")] * 30 + [(5, "same row")] * 400
+    got = sharding.shuffle_into_shards(spark.createDataFrame(texts, "doc_id long, text string"), 5, seed=3).collect()
+    seen, rows = {}, []
+    for d, t in texts:
+        key = (d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+        rows.append((*key, seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + 1
+    want = sorted((str(r[0]), r[1], r[2], *place) for r, place in plain_shards(rows, 5, 3).items())
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+    hot = [r["shard"] for r in got if r["doc_id"] == 5 and r["size"] == 16]
+    assert min(hot.count(j) for j in range(5)) > 50  # copies of one row go everywhere
+
+
+def test_large_margins_are_drawn_from_the_same_law():
+    rng = np.random.default_rng(7)
+    for good, bad, n in ((30, 50, 20), (50, 30, 60), (5, 400, 100), (400, 5, 100), (1000, 1500, 900), (7, 7, 7)):
+        x = [np.bincount([sharding.hypergeometric(rng, good, bad, n, most) for _ in range(6000)], minlength=n + 1) for most in (0, 10**9)]
+        some = x[0] + x[1] > 20
+        chi = ((x[0] - x[1])[some] ** 2 / (x[0] + x[1])[some]).sum()
+        assert chi < some.sum() + 5 * (2 * some.sum()) ** 0.5
+    big = [sharding.hypergeometric(rng, 3 * 10**11, 7 * 10**11, 10**10) for _ in range(300)]
+    sd = (10**10 * 0.3 * 0.7 * 0.99) ** 0.5
+    assert abs(np.mean(big) - 3 * 10**9) < 5 * sd / 300**0.5 and 0.8 < np.std(big) / sd < 1.2
+
+
 def test_shards_are_exact_uniform_and_gapless(spark):
     texts = [(i, ["", None, "é", "x" * 1000][i % 4], "clash") for i in range(1003)] + [(None, "t", "c"), (5, "dup", "c"), (5, "dup", "c")]
     out = sharding.shuffle_into_shards(spark.createDataFrame(texts, "doc_id long, text string, shard string"), 24).toPandas()
@@ -81,6 +155,119 @@ def test_components_of_paths_stars_and_cliques(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), scratch(spark), "e").count() == 0
 
 
+def test_components_in_star_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FIT_EDGES", 0)
+    test_components_of_paths_stars_and_cliques(spark)
+
+
+def test_scratch_of_a_cluster_must_be_named():
+    class Held:
+        def isEmpty(self):
+            return True
+
+    class Stand:
+        def __getattr__(self, name):
+            return {"master": "spark://somewhere:7077", "getCheckpointDir": Held}.get(name) or Stand()
+
+        def __call__(self, *args):
+            return None if args else Stand()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Stand())
+
+
+def plain_pipeline(docs, bench, learn):
+    """The five stages one document after the other: {doc_id: token ids}."""
+    import regex
+    from tokenizers import Tokenizer
+
+    from wavemill.llm import langid, linededup
+
+    model = langid.fit(learn)
+    kept = {}
+    for d, t in docs:
+        lang, _, out = model.predict([None if t is None else t.encode()])
+        if not out[0]:
+            kept[d] = t
+    hashed = {d: [linededup.line_hash(x.encode()) for x in t.split("\n")] for d, t in kept.items()}
+    first = {}
+    for d in sorted(hashed):
+        for k in linededup.run_keys(hashed[d]):
+            first.setdefault(k, d)
+    after = {}
+    for d, t in kept.items():
+        gone = set().union(*(linededup.deleted(hashed[d], hashed[e]) for e in {first[k] for k in linededup.run_keys(hashed[d])} - {d}))
+        lines = [x for i, x in enumerate(t.split("\n")) if i not in gone]
+        if not gone or any(x.strip() for x in lines):
+            after[d] = "\n".join(lines)
+    sets = {}
+    for d, t in after.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for i, a in enumerate(order):
+        for b in order[:i]:
+            x = len(sets[a] & sets[b])
+            if x and 100 * x >= 80 * (len(sets[a]) + len(sets[b]) - x):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    word = regex.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    fold = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    windows = {}
+    for _, t in bench:
+        w = [fold(x) for x in word.findall(t or "")]
+        k = min(10, len(w))
+        for i in range(len(w) - k + 1 if k else 0):
+            windows.setdefault(k, set()).add(tuple(w[i : i + k]))
+    tok = Tokenizer.from_file(catalog.tokenizer_path(catalog.WORD_BPE))
+    out = {}
+    for d, t in after.items():
+        if top(d) != d:
+            continue
+        at = [m.span() for m in word.finditer(t)]
+        w = [fold(t[a:b]) for a, b in at]
+        hit = {i + j for k, some in windows.items() for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in some for j in range(k)}
+        if hit and len(hit) == len(w):
+            continue
+        clean, last = "", 0
+        for i in sorted(hit):
+            if i - 1 not in hit:
+                clean += t[last : at[i][0]]
+            last = at[i][1]
+        out[d] = tok.encode(clean + t[last:], add_special_tokens=False).ids
+    return out
+
+
+def test_pipeline_against_a_plain_version(spark, sf_dir):
+    import corpus_pipeline as p
+    from wavemill.llm import common, langid
+
+    docs = common.table(spark, sf_dir, "documents")
+    bench = [(r["item_id"], r["text"]) for r in common.table(spark, sf_dir, "benchmark").collect()]
+    want = plain_pipeline([(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()], bench, langid.sample(docs.where(common.learn_side("doc_id")), 500))
+    got = {r["doc_id"]: r["ids"] for r in p.run(spark, sf_dir).collect()}
+    assert got == want and 50 < len(got) < docs.count()
+
+
+def test_pipeline_of_odd_rows_and_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    long = "the cat and the dog went out " * 8000
+    rows = [(1, long), (1, long), (None, "the cat and the dog are here today"), (2, None), (3, ""), (4, "the dog and the cat went home again"), (4, "the dog and the cat stay at home now"), (None, None)]
+    for name, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in some], "doc_id long, text string, lang string, source string, n_chars long, n_lines string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(9, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        got = p.run(spark, str(tmp_path / name)).collect()
+        assert {r["doc_id"] for r in got} == {d for d, t in some if t} and len(got) == sum(bool(t) for _, t in some)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 

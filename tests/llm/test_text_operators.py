@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, catalog, common, decontaminate, langid, linededup, pii, quality, substring
@@ -182,6 +183,113 @@ def test_decontamination_against_plain_search(spark, monkeypatch, pieces):
         assert r["score"] == "clash"
 
 
+def plain_language(model, text):
+    """Nearest centroid once more: n-grams as a dictionary, one cosine at a time."""
+    low = "".join(c.lower() if c.isalpha() and (c.isascii() or not text.isascii()) else c for c in text)
+    kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz" or not c.isascii() else " " for c in low)
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    b = (" " + " ".join(kept.split(" ")) + " ").encode()
+    b = b" " + b" ".join(b.split()) + b" "
+    grams = collections.Counter()
+    for k in (2, 3):
+        for i in range(len(b) - k + 1):
+            packed = 0
+            for x in b[i : i + k]:
+                packed = (packed * 256 + x) % 2**32
+            grams[((packed + (0x5BD1E995 if k == 2 else 0)) % 2**32 * 2654435769) % 2**32 >> 19] += 1
+    vec = {g: n**0.5 * float(model.idf[g]) for g, n in grams.items()}
+    size = sum(v * v for v in vec.values()) ** 0.5
+    cos = [sum(v * float(c[g]) for g, v in vec.items()) / size for c in model.centroids]
+    best = max(range(len(cos)), key=lambda i: cos[i])
+    return model.langs[model.owner[best]], cos[best]
+
+
+def test_language_id_against_a_plain_version(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs.where(common.learn_side("doc_id")), 500))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in catalog.op3_langid(spark, sf_dir).collect()}
+    for r in docs.collect():
+        lang, cos = plain_language(model, r["text"]) if r["text"] else ("und", 0.0)
+        assert got[r["doc_id"]][0] == lang and got[r["doc_id"]][1] == pytest.approx(max(cos, 0.0), abs=1e-5)
+
+
+def test_every_language_is_learned_and_repeated_rows_agree(spark):
+    words = {f"l{i:03}": f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 7)} x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(230)}
+    learn = frame(spark, [f"{w} {w}" for w in words.values() for _ in range(2)], lang=[k for k in words for _ in range(2)])
+    rows = langid.sample(learn.withColumn("doc_id", F.lit(1)), 5)
+    assert len({lang for _, lang in rows}) == 230 == len(rows)  # one id, and equal rows are one
+    got = langid.identify(frame(spark, list(words.values()) * 2).withColumn("lang_pred", F.lit(7)), learn).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in got[:230]] == [(r["lang_pred"], r["score"]) for r in got[230:]]
+    assert sum(r["lang_pred"] == k for r, k in zip(got, words, strict=False)) > 200
+    assert langid.identify(frame(spark, []), learn).count() == 0 and langid.identify(frame(spark, ["abc"]), frame(spark, [], lang=[])).first()["lang_pred"] == "und"
+
+
+def test_quality_against_plain_dot_products(spark, sf_dir):
+    docs, labels = common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "labels")
+    rows = quality.sample(docs.where(common.learn_side("doc_id")), labels.where(common.learn_side("doc_id")), 6000)
+    w = quality.train(rows).astype(np.float32).astype(float)
+    got = {r["doc_id"]: r["score"] for r in catalog.op4_quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        tokens = regex.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\s]+", (r["text"] or "").encode())
+        h = [xxhash.xxh3_64_intdigest(t) for t in tokens]
+        a, b = map(int, common.multipliers(2))
+        both = [x >> 46 for x in h] + [int(common.mixed(np.array([(x * a + y * b) % 2**64], np.uint64))[0]) >> 46 for x, y in zip(h, h[1:], strict=False)]
+        dot = sum(w[i] * (n / len(both)) ** 0.5 for i, n in collections.Counter(both).items()) + w[-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-dot)), abs=1e-6)
+
+
+def test_quality_of_shared_ids_and_empty_tables(spark):
+    docs = frame(spark, ["good words here"] * 40 + ["bad words there"] * 40).withColumn("doc_id", F.col("doc_id") % 2 + F.when(F.col("text").startswith("g"), 0).otherwise(10))
+    labels = spark.createDataFrame([(0, 1), (1, 1), (10, 0), (11, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality.sample(docs, labels, 6000)
+    assert len(rows) == 4 and len(quality.sample(docs, labels, 3)) == 3
+    got = quality.score(docs, docs, labels).collect()
+    assert len({(r["text"], r["score"]) for r in got}) == 2 and len(got) == 80
+    assert quality.score(frame(spark, []), docs, labels).count() == 0
+    assert quality.score(frame(spark, ["a"]), frame(spark, []), labels).first()["score"] == 0.5
+
+
+def plain_spans(texts, items, window):
+    """Per text: number of words, hit words, ids of items with occurring windows."""
+    cut = lambda t: [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in regex.findall("[0-9A-Za-z\\x80-\U0010ffff]+", t or "")]
+    out = []
+    for t in texts:
+        w, hit, ids = cut(t), set(), set()
+        for item, text in items:
+            b = cut(text)
+            k = min(window, len(b))
+            for p in {tuple(b[i : i + k]) for i in range(len(b) - k + 1) if k}:
+                at = [i for i in range(len(w) - k + 1) if tuple(w[i : i + k]) == p]
+                hit.update(i + j for i in at for j in range(k))
+                ids |= {str(item)} if at else set()
+        out.append((len(w), sorted(hit), sorted(ids)))
+    return out
+
+
+def test_phrases_in_blocks_against_plain_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_PHRASES", 3)
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice("abcdé") for _ in range(rnd.randint(0, n)))
+    items = [(i, text(9)) for i in range(12)] + [(20, "a b"), (21, "A, b"), (22, ""), (23, "zz top")]
+    texts = [text(60) for _ in range(30)]
+    p = decontaminate.Phrases([(str(i), t.encode()) for i, t in items], 4)
+    ids = [np.array([p.vocab.get(w, 0) for w in decontaminate.words(t.encode())], np.int64) for t in texts]
+    hit, found = {}, {}
+    for d, a, b, owner in p.hits(ids):
+        hit.setdefault(d, set()).update(range(a, b))
+        found.setdefault(d, set()).update(p.owners[owner])
+    want = plain_spans(texts, items, 4)
+    assert [(sorted(hit.get(d, ())), sorted(found.get(d, ()))) for d in range(30)] == [w[1:] for w in want] and len(list(p.blocks())) > 5
+
+
+def test_decontamination_replaces_its_own_columns_only(spark):
+    docs = frame(spark, ["a b c d", None]).withColumn("hit_spans", F.lit("clash")).withColumn("item_ids", F.lit("clash"))
+    got = decontaminate.contaminated_spans(docs, spark.createDataFrame([(5, "B c"), (6, "x"), (None, "a")], "item_id long, text string"), with_text=True).orderBy("doc_id").collect()
+    assert got[0]["hit_spans"] == [[1, 3]] and got[0]["item_ids"] == ["5"] and got[0]["clean_text"].split() == ["a", "d"] and got[0]["score"] == "clash"
+    assert got[1]["hit_spans"] == [] and got[1]["clean_text"] is None
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 5, 400)
@@ -589,6 +697,32 @@ def test_substring_dedup_against_plain_windows(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_nulls_shared_and_largest_ids_in_grouped_lists(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    top = (1 << 63) - 1
+    rows = [(top, f"a {passage}"), (None, f"b {passage}"), (None, f"c {passage}"), (top - 1, "nothing here"), (None, None), (3, "x y"), (7, " ".join(f"q{i}" for i in range(20))), (7, " ".join(f"q{i}" for i in range(20)))]
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(12)}" for _ in range(rnd.randint(0, 60))) for _ in range(50)]
+    for settings in ({}, {"GROUP": 2}, {"GROUP": 3}):
+        for k, v in settings.items():
+            monkeypatch.setattr(substring, k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+        got = sorted((str(r["doc_id"]), r["kept_text"], r["n_removed"]) for r in substring.remove_repeats(docs).collect())
+        want = [(top, f"a {passage}", 0), (None, "b", 30), (None, "c", 30), (top - 1, "nothing here", 0), (None, "", 0), (3, "x y", 0), (7, rows[6][1], 0), (7, rows[6][1], 0)]
+        assert got == sorted((str(d), t, n) for d, t, n in want)
+        some = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(frame(spark, texts), window=3).collect()}
+        assert [some[i] for i in range(len(texts))] == plain_removed(texts, 3)
+
+
+def test_windows_with_equal_first_hashes_are_told_apart():
+    h, x = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 3, 1], np.uint32)
+    found, at = substring._match(h, x, np.array([5, 5, 9, 9, 4], np.uint64), np.array([3, 7, 1, 2, 1], np.uint32))
+    assert found.tolist() == [True, False, True, False, False] and at[0] == 2 and at[2] == 3
+    entries = tuple(np.arange(6).astype(t) * 3 for t in substring._ENTRY)
+    again = substring._read([substring._write(entries), substring._write(tuple(c[:0] for c in entries))])
+    assert all((a == b).all() for a, b in zip(entries, again[:5], strict=True)) and again[5].tolist() == [0] * 6
+
+
 def test_packed_lists_round_trip():
     rng = np.random.default_rng(2)
     for top in (10, 1 << 20, 1 << 45, 1 << 63):
