@@ -1,4 +1,7 @@
-"""Applies vectorised kernels to array columns, one Arrow batch at a time."""
+"""Applies vectorised kernels to array columns, one Arrow batch at a time.
+
+Rows with a null array, a null element or no sample rate have null results.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +30,19 @@ def _column(values, ddl: str) -> pa.Array:
     return pa.array([np.asarray(v) for v in values], kind)
 
 
+def _complete(batch: pa.RecordBatch, arrays: list[str], rate: str) -> np.ndarray:
+    """Which rows have all arrays without nulls and a rate."""
+    good = batch.column(rate).is_valid().to_numpy(zero_copy_only=False)
+    for a in arrays:
+        column = batch.column(a)
+        good = good & column.is_valid().to_numpy(zero_copy_only=False)
+        values = column.flatten()
+        if values.null_count:
+            parents = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+            good[np.unique(parents[~values.is_valid().to_numpy(zero_copy_only=False)])] = False
+    return good
+
+
 def map_arrays(df: DataFrame, arrays: list[str], outputs: dict[str, str], fn: Callable, keep: list[str], rate: str = "sample_rate") -> DataFrame:
     """``keep`` columns plus ``outputs`` (name -> type).
 
@@ -38,10 +54,15 @@ def map_arrays(df: DataFrame, arrays: list[str], outputs: dict[str, str], fn: Ca
     types = dict(source.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            good = _complete(whole, arrays, rate)
+            if not good.all():
+                bad = whole.filter(pa.array(~good))
+                yield pa.RecordBatch.from_arrays([*(bad.column(k) for k in keep), *(pa.nulls(bad.num_rows, _TYPES[t]) for t in outputs.values())], names=[*keep, *outputs])
+            batch = whole.filter(pa.array(good)) if not good.all() else whole
             if not batch.num_rows:
                 continue
-            key = np.stack([pc.fill_null(pc.list_value_length(batch.column(a)), 0).to_numpy(zero_copy_only=False).astype(float) for a in arrays] + [batch.column(rate).to_numpy(zero_copy_only=False).astype(float)])
+            key = np.stack([pc.list_value_length(batch.column(a)).to_numpy(zero_copy_only=False).astype(float) for a in arrays] + [batch.column(rate).to_numpy(zero_copy_only=False).astype(float)])
             _, group = np.unique(key, axis=1, return_inverse=True)
             group = group.ravel()
             for g in range(group.max() + 1):

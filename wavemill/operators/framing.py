@@ -3,7 +3,7 @@
 A signal is a row (signal_id, sample_rate, samples); a sample table has rows (signal_id, i, x). Blocks
 are rows (signal_id, sample_rate, block_idx, t_s, x [, xp]): block n holds x[nH : nH + B], padded with
 zeros; there are floor(len / H) + 1 of them; t_s is the block's centre. ``xp`` is the block before
-(zeros for the first), for operators that compare neighbours, so that these need no shuffle.
+(zeros for the first), cut from the same samples, so that operators that compare neighbours need no shuffle.
 """
 
 from __future__ import annotations
@@ -28,65 +28,96 @@ def time_stamp(block_idx, block: int, hop: int, rate) -> Column:
     return (F.lit(block / 2) + F.col(block_idx) * hop) / F.col(rate)
 
 
+def _cut(samples, first, count, block: int, hop: int, lead: int, previous: bool) -> Column:
+    """Array of struct(x [, xp]): ``count`` blocks of a padded array whose first block starts at ``lead``; ``first`` is its number."""
+    x = lambda k: F.slice(samples, k * hop + (lead + 1), block).alias("x")
+    if not previous:
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(x(k)))
+    zeros = F.array_repeat(F.lit(0.0), block)
+    xp = lambda k: F.when((k + first) > 0, F.slice(samples, F.greatest(k * hop + (lead - hop + 1), F.lit(1)), block)).otherwise(zeros).alias("xp")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.struct(x(k), xp(k)))
+
+
 def blocks(signals: DataFrame, block: int = 2048, hop: int = 1024, previous: bool = False) -> DataFrame:
-    """Blocks of whole signals. The samples are sliced once, so exploding does not copy the signal per block."""
+    """Blocks of whole signals. The samples are padded once and sliced, so exploding does not copy the signal per block."""
     _check(block, hop)
-    pad = lambda s: F.concat(s, F.array_repeat(F.lit(0.0), F.lit(block) - F.size(s)))
-    cut = F.transform(F.sequence(F.lit(0), F.floor(F.size("samples") / hop).cast("int")), lambda k: bind(F.slice("samples", k * hop + 1, block), pad))
-    out = signals.where(F.col("samples").isNotNull()).select("signal_id", "sample_rate", F.posexplode(cut).alias("block_idx", "x"))
-    out = out.select("signal_id", "sample_rate", F.col("block_idx").cast("long").alias("block_idx"), "x").withColumn("t_s", time_stamp("block_idx", block, hop, "sample_rate"))
-    return with_previous(out) if previous else out
+    count = F.floor(F.size("samples") / hop).cast("int") + 1
+    padded = F.concat("samples", F.array_repeat(F.lit(0.0), block))
+    cut = bind(padded, lambda p: _cut(p, F.lit(0), count, block, hop, 0, previous))
+    out = signals.where(F.col("samples").isNotNull()).select("signal_id", "sample_rate", F.posexplode(cut).alias("block_idx", "b"))
+    return _blocks_of(out.withColumn("block_idx", F.col("block_idx").cast("long")), block, hop, previous)
+
+
+def _blocks_of(cut: DataFrame, block: int, hop: int, previous: bool) -> DataFrame:
+    xp = [F.col("b.xp").alias("xp")] if previous else []
+    return cut.select("signal_id", "sample_rate", "block_idx", F.col("b.x").alias("x"), time_stamp("block_idx", block, hop, "sample_rate").alias("t_s"), *xp)
 
 
 def with_previous(blocks: DataFrame, column: str = "x", name: str = "xp") -> DataFrame:
+    """Adds the block before to blocks that come without it; ``previous=True`` when cutting is cheaper."""
     w = Window.partitionBy("signal_id").orderBy("block_idx")
     return blocks.withColumn(name, F.coalesce(F.lag(column).over(w), F.transform(F.col(column), lambda v: F.lit(0.0))))
 
 
-def blocks_from_samples(samples: DataFrame, block: int, hop: int, rate: float = 1.0, previous: bool = False) -> DataFrame:
-    """Blocks of a sample table: each sample goes to the blocks that hold it; no signal is gathered as a whole."""
+def placed(values, length) -> Column:
+    """Array of ``length`` numbers with each x of the sorted array of struct(p, x) in its place p; zeros elsewhere, the first of equal places counts."""
+    once = F.filter(values, lambda s, j: (j == 0) | (s["p"] != F.get(values, j - 1)["p"]))
+    gap = lambda v, s, j: s["p"] - F.when(j > 0, F.get(v, j - 1)["p"]).otherwise(F.lit(-1)) - 1
+    filled = bind(once, lambda v: F.flatten(F.transform(v, lambda s, j: F.concat(F.array_repeat(F.lit(0.0), gap(v, s, j).cast("int")), F.array(F.coalesce(s["x"], F.lit(0.0)))))))
+    return bind(filled, lambda f: F.concat(f, F.array_repeat(F.lit(0.0), (length - F.size(f)).cast("int"))))
+
+
+def blocks_from_samples(samples: DataFrame, block: int, hop: int, rate: float = 1.0, previous: bool = False, chunk_hops: int = 0) -> DataFrame:
+    """Blocks of a sample table (signal_id, i, x); missing samples are 0, of samples with equal i the smallest counts.
+
+    Samples are exchanged in chunks of many blocks: each goes to its chunk, and those near an edge also to
+    the neighbour that needs them. No signal is gathered as a whole.
+    """
     _check(block, hop)
+    per = chunk_hops or max(1, -(-16 * block // hop))  # blocks of a chunk
+    chunk, lead = per * hop, hop if previous else 0
+    length = lead + chunk + block - hop
     counts = samples.groupBy("signal_id").agg((F.max("i") + 1).alias("n"))
-    every = counts.select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {hop}"))).alias("block_idx"))
-    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - block + 1) / hop))
-    dealt = samples.select("signal_id", "i", "x", F.explode(F.sequence(first, F.expr(f"i div {hop}"))).alias("block_idx"))
-    filled = dealt.groupBy("signal_id", "block_idx").agg(F.collect_list(F.struct((F.col("i") - F.col("block_idx") * hop).alias("p"), "x")).alias("v"))
-    values = F.transform(F.array_sort("v"), lambda s: s["x"])
-    out = every.join(filled, ["signal_id", "block_idx"], "left").select(
-        "signal_id", F.lit(float(rate)).alias("sample_rate"), "block_idx",
-        F.when(F.col("v").isNull(), F.array_repeat(F.lit(0.0), block)).otherwise(F.concat(values, F.array_repeat(F.lit(0.0), F.lit(block) - F.size("v")))).alias("x"),
-    ).withColumn("t_s", time_stamp("block_idx", block, hop, "sample_rate"))
-    return with_previous(out) if previous else out
-
-
-def blocks_from_chunks(chunks: DataFrame, block: int, hop: int, chunk: int) -> DataFrame:
+    every = counts.select("signal_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {hop} div {per}"))).alias("chunk_idx"))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - (chunk + block - hop) + 1) / chunk))
+    dealt = samples.where("i >= 0").select("signal_id", "i", "x", F.explode(F.sequence(first, F.expr(f"(i + {lead}) div {chunk}"))).alias("chunk_idx"))
+    filled = dealt.groupBy("signal_id", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct((F.col("i") - F.col("chunk_idx") * chunk + lead).alias("p"), "x"))).alias("v"))
+    joined = every.join(filled, ["signal_id", "chunk_idx"], "left").withColumn("v", F.coalesce("v", F.array().cast("array<struct<p:bigint,x:double>>")))
+    count = F.least(F.lit(per), F.expr(f"n div {hop}") + 1 - F.col("chunk_idx") * per).cast("int")
+    cut = bind(placed(F.col("v"), F.lit(length)), lambda a: _cut(a, F.col("chunk_idx") * per, count, block, hop, lead, previous))
+    out = joined.select("signal_id", F.lit(float(rate)).alias("sample_rate"), "chunk_idx", F.posexplode(cut).alias("k", "b"))
+    return _blocks_of(out.withColumn("block_idx", F.col("chunk_idx") * per + F.col("k")), block, hop, previous)
+
+
+def blocks_from_chunks(chunks: DataFrame, block: int, hop: int, chunk: int, previous: bool = False) -> DataFrame:
     """Blocks of long signals that are stored as rows (signal_id, sample_rate, chunk_idx, samples) of ``chunk`` samples.
 
-    Each chunk borrows the beginnings of the next ones by an equi-join on (signal_id, chunk_idx), so a
-    single long signal is spread over many tasks. ``chunk`` must be a multiple of the hop.
+    Each chunk borrows the beginnings of the next ones, and for ``xp`` the end of the one before, by
+    equi-joins on (signal_id, chunk_idx), so a single long signal is spread over many tasks. ``chunk`` must
+    be a multiple of the hop.
     """
     _check(block, hop)
     if chunk % hop:
         raise ValueError("the chunk length must be a multiple of the hop")
-    more = -(-(block - hop) // chunk)
+    per = chunk // hop
     keys = ["signal_id", "chunk_idx"]
-    out = chunks.select("signal_id", "sample_rate", F.col("chunk_idx").cast("long").alias("chunk_idx"), "samples")
+    none = F.array().cast("array<double>")
+    out = chunks.select("signal_id", "sample_rate", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("samples").cast("array<double>").alias("samples"))
     last = chunks.groupBy("signal_id").agg(F.max("chunk_idx").alias("last"))
-    joined, tail = out, F.col("samples")
-    for k in range(1, more + 1):
+    joined, padded = out, F.col("samples")
+    for k in range(1, -(-(block - hop) // chunk) + 1):
         ahead = out.select("signal_id", (F.col("chunk_idx") - k).alias("chunk_idx"), F.slice("samples", 1, block - hop).alias(f"s{k}"))
         joined = joined.join(ahead, keys, "left")
-        tail = F.concat(tail, F.coalesce(F.col(f"s{k}"), F.array().cast("array<double>")))
+        padded = F.concat(padded, F.coalesce(F.col(f"s{k}"), none))
+    if previous:
+        joined = joined.join(out.select("signal_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.slice("samples", chunk - hop + 1, hop).alias("s0")), keys, "left")
+        padded = F.concat(F.coalesce(F.col("s0"), F.array_repeat(F.lit(0.0), hop)), padded)
     joined = joined.join(last, "signal_id")
-    padded = F.concat(tail, F.array_repeat(F.lit(0.0), block))
     # the last chunk also gives the block after its end
-    count = F.when(F.col("chunk_idx") == F.col("last"), F.floor(F.size("samples") / hop)).otherwise(F.lit(chunk // hop - 1)).cast("int")
-    cut = bind(padded, lambda p: F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(p, k * hop + 1, block)))
-    return (
-        joined.select("signal_id", "sample_rate", "chunk_idx", F.posexplode(cut).alias("k", "x"))
-        .select("signal_id", "sample_rate", (F.col("chunk_idx") * (chunk // hop) + F.col("k")).alias("block_idx"), "x")
-        .withColumn("t_s", time_stamp("block_idx", block, hop, "sample_rate"))
-    )
+    count = F.when(F.col("chunk_idx") == F.col("last"), F.floor(F.size("samples") / hop) + 1).otherwise(F.lit(per)).cast("int")
+    cut = bind(F.concat(padded, F.array_repeat(F.lit(0.0), block)), lambda p: _cut(p, F.col("chunk_idx") * per, count, block, hop, hop if previous else 0, previous))
+    out = joined.select("signal_id", "sample_rate", "chunk_idx", F.posexplode(cut).alias("k", "b"))
+    return _blocks_of(out.withColumn("block_idx", F.col("chunk_idx") * per + F.col("k")), block, hop, previous)
 
 
 def downmix(channels: DataFrame) -> DataFrame:
@@ -168,23 +199,52 @@ def gammatone_bands(signals: DataFrame, bands: int = 20, start: float = 100.0, n
 # --- moving averages over a sequence column -------------------------------------------------------
 
 
+def _run_sums(df: DataFrame, value: str, size: int, key: str, order: str, weighted: bool) -> DataFrame:
+    """Rows with their place ``_r`` in groups ``_b`` of ``size`` rows, sums from the group's start to the row (_p) and from
+    the row to its end (_s), and the same of value * place (_pw, _sw). Constant work a row, and no sum is longer than a group.
+    """
+    out = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    out = out.withColumn("_r", F.col("_n") % size).withColumn("_b", F.expr(f"_n div {size}"))
+    group = Window.partitionBy(key, "_b")
+    upto = group.orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    terms = {"": F.col(value)} | ({"w": F.col(value) * F.col("_r")} if weighted else {})
+    for name, term in terms.items():
+        out = out.withColumn(f"_p{name}", F.sum(term).over(upto)).withColumn(f"_s{name}", F.sum(term).over(group) - F.col(f"_p{name}") + term)
+    return out
+
+
+def _zero(c) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
 def moving_average(df: DataFrame, value: str, size: int, out: str, key: str = "signal_id", order: str = "block_idx") -> DataFrame:
     """Mean of the last ``size`` values, with zeros before the start."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(size - 1), 0)
-    return df.withColumn(out, F.sum(value).over(w) / size)
+    if size == 1:
+        return df.withColumn(out, F.col(value) / F.lit(1.0))
+    w = Window.partitionBy(key).orderBy("_n")
+    before = F.when(F.col("_r") < size - 1, _zero(F.lag("_s", size - 1).over(w))).otherwise(0.0)
+    return _run_sums(df, value, size, key, order, False).withColumn(out, (F.col("_p") + before) / size).select(*df.columns, *([out] if out not in df.columns else []))
 
 
 def moving_average_zero_phase(df: DataFrame, value: str, size: int, out: str, key: str = "signal_id", order: str = "block_idx") -> DataFrame:
     """Forwards and backwards: a triangular kernel with zeros outside.
 
-    The weights are linear in the place, so plain sliding sums of v and of place * v are enough.
+    The weights are linear in the place within a group of ``size`` rows, so the sums of v and of place * v
+    in this group and its neighbours are enough.
     """
-    n, v, i = float(size), F.col(value), F.col(order).cast("double")
-    w = Window.partitionBy(key).orderBy(order)
-    back = w.rowsBetween(-(size - 1), 0)
-    left = (n - i) * F.sum(v).over(back) + F.sum(i * v).over(back)
     if size == 1:
-        return df.withColumn(out, v)
-    ahead = w.rowsBetween(1, size - 1)
-    right = (n + i) * F.coalesce(F.sum(v).over(ahead), F.lit(0.0)) - F.coalesce(F.sum(i * v).over(ahead), F.lit(0.0))
-    return df.withColumn(out, (left + right) / (n * n))
+        return df.withColumn(out, F.col(value) / F.lit(1.0))
+    n, r, v = float(size), F.col("_r"), F.col(value)
+    w = Window.partitionBy(key).orderBy("_n")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.last(F.struct("_b", "_p", "_pw")).over(whole)
+    # the group before from the place after this row's; the group after up to the place before, or its end
+    behind = F.when(r < size - 1, _zero(F.lag("_sw", size - 1).over(w)) - r * _zero(F.lag("_s", size - 1).over(w))).otherwise(0.0)
+    near = F.col("_last")["_b"] == F.col("_b") + 1
+    ahead_p = F.coalesce(F.lead("_p", size - 1).over(w), F.when(near, F.col("_last")["_p"]), F.lit(0.0))
+    ahead_w = F.coalesce(F.lead("_pw", size - 1).over(w), F.when(near, F.col("_last")["_pw"]), F.lit(0.0))
+    ahead = F.when(r > 0, r * ahead_p - ahead_w).otherwise(0.0)
+    left = (n - r) * F.col("_p") + F.col("_pw") + behind
+    right = (n + r) * (F.col("_s") - v) - (F.col("_sw") - r * v) + ahead
+    sums = _run_sums(df, value, size, key, order, True).withColumn("_last", last)
+    return sums.withColumn(out, (left + right) / (n * n)).select(*df.columns, *([out] if out not in df.columns else []))

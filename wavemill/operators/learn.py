@@ -3,7 +3,8 @@
 Distances between two tables are computed in tiles: rows are packed into matrices, every query tile
 meets every training tile, and only the k nearest of each query leave a tile. Iterative fits keep
 their parameters on the driver (their size depends on features and classes, not on rows) and read the
-data once per iteration, summing per partition before anything is shuffled.
+data once per iteration, summing per partition before anything is shuffled. Rows whose f is null or
+holds a null take no part.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ NO_CLASS = -1111111111
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    return df.select(F.col("obs_id").cast("long").alias("obs_id"), F.col("label").cast("int").alias("label") if "label" in df.columns else F.lit(0).alias("label"), F.col("f").cast("array<double>").alias("f"))
+    out = df.select(F.col("obs_id").cast("long").alias("obs_id"), F.col("label").cast("int").alias("label") if "label" in df.columns else F.lit(0).alias("label"), F.col("f").cast("array<double>").alias("f"))
+    return out.where(F.col("f").isNotNull() & ~F.exists("f", lambda v: v.isNull()))
+
+
+def _dims(df: DataFrame) -> int:
+    return df.where("f is not null").select(F.size("f")).first()[0]
 
 
 # --- normalisation -------------------------------------------------------------------------------
@@ -49,11 +55,10 @@ def partial_sums(df: DataFrame, fn: Callable, size: int) -> np.ndarray:
 
 def normalisation(train: DataFrame, kind: str = "none") -> tuple[np.ndarray, np.ndarray]:
     """(subtract, scale) per dimension; a zero scale is left at 0 shift of scale 1."""
-    dims = F.size("f")
     if kind == "none":
-        n = train.select(dims).first()[0]
+        n = _dims(train)
         return np.zeros(n), np.ones(n)
-    each = train.select(F.posexplode("f").alias("d", "x")).groupBy("d")
+    each = _rows(train).select(F.posexplode("f").alias("d", "x")).groupBy("d")
     if kind == "zscore":
         rows = each.agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b")).orderBy("d").collect()
         shift, scale = (np.array([r[c] for r in rows], dtype=float) for c in ("a", "b"))
@@ -84,7 +89,7 @@ def _tiles(df: DataFrame) -> DataFrame:
                 x, ids = matrix(part.column("f")), part.column("obs_id").to_pylist()
                 yield pa.RecordBatch.from_pydict({"tile": [ids[0]], "ids": [ids], "labels": [part.column("label").to_pylist()], "f": [x.ravel()], "dims": [x.shape[1]]}, schema=schema)
 
-    return _rows(df).where("obs_id is not null and f is not null").mapInArrow(run, "tile long, ids array<long>, labels array<int>, f array<double>, dims int")
+    return _rows(df).where("obs_id is not null").mapInArrow(run, "tile long, ids array<long>, labels array<int>, f array<double>, dims int")
 
 
 def tile_pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
@@ -174,7 +179,7 @@ def forward_selection(obs: DataFrame, dims: int | None = None) -> list[tuple[int
     One pass per step scores all candidate features: a candidate adds one squared difference to the
     distances of those chosen so far.
     """
-    dims = dims or obs.select(F.size("f")).first()[0]
+    dims = dims or _dims(obs)
     pairs = tile_pairs(obs, obs)
     chosen: list[tuple[int, float]] = []
     while len(chosen) < dims:
@@ -186,7 +191,9 @@ def forward_selection(obs: DataFrame, dims: int | None = None) -> list[tuple[int
                 for r in batch.to_pylist():
                     q, t = (np.array(r[n]).reshape(-1, r["dims"]) for n in ("q_f", "f"))
                     qi, ti, ql, tl = (np.array(r[n]) for n in ("q_ids", "ids", "q_labels", "labels"))
-                    base = ((q[:, None, picked] - t[None, :, picked]) ** 2).sum(axis=2)
+                    base = np.zeros((len(qi), len(ti)))
+                    for v in picked:  # one difference at a time: tiles need no third axis
+                        base += (q[:, None, v] - t[None, :, v]) ** 2
                     base[qi[:, None] == ti[None, :]] = np.inf
                     order = np.argsort(ti, kind="stable")
                     for v in rest:
@@ -211,13 +218,21 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
 
 
-def kmeans(obs: DataFrame, centres: np.ndarray, max_iter: int = 300) -> tuple[DataFrame, np.ndarray]:
-    """((obs_id, cluster), centres) by Lloyd's rounds from the given centres, until no centre moves.
+def seeds(obs: DataFrame, k: int, seed: int = 1) -> np.ndarray:
+    """k observations drawn at random, as starts for a fit: those with the smallest keyed hashes of their ids."""
+    rows = _rows(obs).orderBy(F.xxhash64(F.lit(seed), "obs_id"), "obs_id").limit(k).collect()
+    if len(rows) < k:
+        raise ValueError(f"{k} starts need at least {k} observations")
+    return np.array([r["f"] for r in rows], dtype=float)
+
+
+def kmeans(obs: DataFrame, centres: np.ndarray | int, max_iter: int = 300, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """((obs_id, cluster), centres) by Lloyd's rounds from the given centres (or that many drawn ones), until no centre moves.
 
     A cluster that becomes empty restarts at the row that is farthest from its centre so far (a random
     row in the literature; this choice is repeatable).
     """
-    centres = np.array(centres, dtype=float)
+    centres = seeds(obs, centres, seed) if isinstance(centres, int) else np.array(centres, dtype=float)
     k, dims = centres.shape
 
     def sums(x, labels, c):
@@ -231,7 +246,7 @@ def kmeans(obs: DataFrame, centres: np.ndarray, max_iter: int = 300) -> tuple[Da
         now = np.where(got[:, -1:] > 0, got[:, :-1] / np.maximum(got[:, -1:], 1), centres)
         for j in np.flatnonzero(got[:, -1] == 0):
             far = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(v)) for v in centres[j]]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-            now[j] = obs.orderBy(F.desc(far), "obs_id").select("f").first()[0]
+            now[j] = _rows(obs).orderBy(F.desc(far), "obs_id").select("f").first()[0]
         if np.abs(now - centres).sum() <= 0:
             break
         centres = now
@@ -272,9 +287,9 @@ class Mixture:
         return self.densities(x).sum(axis=1)
 
 
-def gmm(obs: DataFrame, means: np.ndarray, max_iter: int = 300, tolerance: float = 1e-20) -> Mixture:
-    """EM with full covariances from the given means, the global covariance and equal priors."""
-    means = np.array(means, dtype=float)
+def gmm(obs: DataFrame, means: np.ndarray | int, max_iter: int = 300, tolerance: float = 1e-20, seed: int = 1) -> Mixture:
+    """EM with full covariances from the given means (or that many drawn observations), the global covariance and equal priors."""
+    means = seeds(obs, means, seed) if isinstance(means, int) else np.array(means, dtype=float)
     k, dims = means.shape
     _, mean, cov = moments(obs)
     now = Mixture(np.full(k, 1 / k), means, np.repeat(cov[None, :, :], k, axis=0))
@@ -329,7 +344,7 @@ def gmm_classifier(train: DataFrame, components: int = 3, max_iter: int = 300) -
 
 def moments(obs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, mean, sample covariance) in two passes."""
-    dims = obs.select(F.size("f")).first()[0]
+    dims = _dims(obs)
     s = partial_sums(obs, lambda x, y: np.append(x.sum(axis=0), len(x)), dims + 1)
     n, mean = int(s[-1]), s[:-1] / s[-1]
     c = partial_sums(obs, lambda x, y: ((x - mean).T @ (x - mean)).ravel(), dims * dims).reshape(dims, dims)
@@ -338,7 +353,7 @@ def moments(obs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def covariance(obs: DataFrame, dims: int | None = None) -> DataFrame:
     """(i, j, cov) as SQL aggregates of all pairs of dimensions in one pass."""
-    dims = dims or obs.select(F.size("f")).first()[0]
+    dims = dims or _dims(obs)
     pairs = [(i, j) for i in range(dims) for j in range(dims)]
     x = lambda i: F.get("f", F.lit(i))
     one = obs.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_samp(x(i), x(j)).alias("cov")) for i, j in pairs]).alias("c"))
@@ -375,7 +390,8 @@ def svd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def nmf_matrix(x: np.ndarray, w: np.ndarray, h: np.ndarray, max_iter: int = 300, sparsity: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(W, H, estimate, cost): multiplicative KL updates of x (bins, observations); columns of W sum to one."""
-    tiny = 1e-30
+    # fixed values: the floor, the offset of the logarithm, the relative change that ends the fit
+    tiny, offset, enough = 1e-30, 1e-24, 0.001
     w, h = w / np.abs(w).sum(axis=0), h.copy()
     first = last = 0.0
     for it in range(max_iter):
@@ -387,10 +403,10 @@ def nmf_matrix(x: np.ndarray, w: np.ndarray, h: np.ndarray, max_iter: int = 300,
         w[w < tiny] = 0
         clean = w @ h + tiny
         est = clean + sparsity * np.abs(clean).sum(axis=0).max()
-        cost = float((x * (np.log((x + 1e-24) / (est + 1e-24)) - 1) + est).sum())
+        cost = float((x * (np.log((x + offset) / (est + offset)) - 1) + est).sum())
         if it == 0:
             first = cost
-        elif abs((cost - last) / (first - cost + tiny)) < 0.001:
+        elif abs((cost - last) / (first - cost + tiny)) < enough:
             break
         last = cost
     return w, h, w @ h, cost

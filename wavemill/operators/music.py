@@ -45,10 +45,21 @@ def onsets_from_values(values: DataFrame, rate: float) -> DataFrame:
     return out.withColumn("onset", F.coalesce(onset, F.lit(False))).drop("scaled", "smooth", "adaptive")
 
 
+def _by_rate(signals: DataFrame, rate: float | None, fn) -> DataFrame:
+    """fn(signals, rate) for the given rate, else for each sample rate that occurs."""
+    if rate is not None:
+        return fn(signals, rate)
+    rates = sorted(r["sample_rate"] for r in signals.select("sample_rate").distinct().collect() if r["sample_rate"] is not None)
+    out = None
+    for r in rates or [1.0]:
+        one = fn(signals.where(F.col("sample_rate") == r), r)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def novelty(signals: DataFrame, kind: str = "Flux", block: int = 4096, hop: int = 512, rate: float | None = None) -> DataFrame:
-    """Novelty curve and onsets of signals; ``rate`` is their sample rate (looked up if not given)."""
-    rate = rate or signals.select("sample_rate").first()[0]
-    return onsets_from_values(novelty_values(frame(signals, block, hop, previous=True), kind), rate / hop)
+    """Novelty curve and onsets of signals; ``rate`` is the sample rate of all of them (each signal's own if not given)."""
+    return _by_rate(signals, rate, lambda some, fs: onsets_from_values(novelty_values(frame(some, block, hop, previous=True), kind), fs / hop))
 
 
 def peaks(df: DataFrame, value: str, threshold: float = 0.0, key: str = "signal_id", order: str = "block_idx") -> DataFrame:
@@ -75,9 +86,13 @@ def beat_histogram_from_curve(curves: DataFrame, method: str = "fft", size: int
 
 
 def beat_histogram(signals: DataFrame, method: str = "fft", block: int = 1024, hop: int = 8, size: int = 65536, rate: float | None = None) -> DataFrame:
-    rate = rate or signals.select("sample_rate").first()[0]
-    curve = novelty(signals, "Flux", block, hop, rate).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "novelty"))).alias("c"))
-    return beat_histogram_from_curve(curve.select("signal_id", F.lit(rate / hop).alias("rate"), F.transform("c", lambda p: p["novelty"]).alias("curve")), method, size)
+    """Beat histogram of each signal from its novelty curve (one number a block, gathered per signal)."""
+
+    def one(some: DataFrame, fs: float) -> DataFrame:
+        curve = novelty(some, "Flux", block, hop, fs).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "novelty"))).alias("c"))
+        return beat_histogram_from_curve(curve.select("signal_id", F.lit(fs / hop).alias("rate"), F.transform("c", lambda p: p["novelty"]).alias("curve")), method, size)
+
+    return _by_rate(signals, rate, one)
 
 
 # --- chords --------------------------------------------------------------------------------------
@@ -178,14 +193,22 @@ def fingerprints(signals: DataFrame, block: int = 2048, hop: int = 64, rate: flo
     return fingerprint_blocks(frame(resample(signals, rate), block, hop, previous=True))
 
 
-def match_fingerprints(queries: DataFrame, corpus: DataFrame, most_bits: int = 8) -> DataFrame:
-    """(query_id, signal_id, offset, words, bits): words compared at equal offsets of pairs that share an exact word.
+def match_fingerprints(queries: DataFrame, corpus: DataFrame, most_bits: int = 8, least_hits: int = 1) -> DataFrame:
+    """(query_id, signal_id, offset, words, bits): words compared at the offsets at which at least ``least_hits`` words are equal.
 
-    Offsets are found by an equi-join on the word, so only aligned pairs are compared.
+    Words that both sides hold are counted per signal first; for each pair of signals only offsets that
+    reach the threshold are compared word by word. Steady sounds repeat a word: of each run of equal
+    words in a signal only the first place is looked up, so a hot word does not meet itself at all
+    places. Words are compared at all places afterwards.
     """
-    q = queries.select(F.col("signal_id").alias("query_id"), F.col("block_idx").alias("qi"), F.col("word"))
+    ordered = Window.partitionBy("signal_id").orderBy("block_idx")
+    starts = lambda df: df.withColumn("before", F.lag("word").over(ordered)).where("word <> 0 and (before is null or before <> word)").drop("before")
+    q = queries.select("signal_id", "block_idx", "word")
     c = corpus.select("signal_id", "block_idx", "word")
-    offsets = q.join(c, "word").where("word <> 0").select("query_id", "signal_id", (F.col("block_idx") - F.col("qi")).alias("offset")).distinct()
-    both = offsets.join(q.withColumnRenamed("word", "qw"), "query_id").withColumn("block_idx", F.col("qi") + F.col("offset")).join(c, ["signal_id", "block_idx"])
+    keys = starts(q).select(F.col("signal_id").alias("query_id"), F.col("block_idx").alias("qi"), "word")
+    hits = keys.join(starts(c), "word").groupBy("query_id", "signal_id", (F.col("block_idx") - F.col("qi")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
+    offsets = hits.where(F.col("hits") >= least_hits).drop("hits")
+    all_q = q.select(F.col("signal_id").alias("query_id"), F.col("block_idx").alias("qi"), F.col("word").alias("qw"))
+    both = offsets.join(all_q, "query_id").withColumn("block_idx", F.col("qi") + F.col("offset")).join(c, ["signal_id", "block_idx"])
     bits = F.bit_count(F.col("qw").bitwiseXOR(F.col("word")))
     return both.groupBy("query_id", "signal_id", "offset").agg(F.count(F.lit(1)).alias("words"), F.avg(bits).alias("bits")).where(F.col("bits") <= most_bits)
