@@ -212,3 +212,32 @@ def test_helpers():
     assert [K.next_pow2(n) for n in (-1, 0, 1, 5, 8)] == [0, 0, 1, 8, 8]
     assert K.round_half_away(np.array([-2.5, 2.5, 0.4])).tolist() == [-3, 3, 0]
     assert K.is_pow2(0) and K.is_pow2(64) and not K.is_pow2(12)
+
+
+def test_warping_against_plain_loops():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        d = rng.integers(0, 4, (int(rng.integers(1, 9)), int(rng.integers(1, 9)))).astype(float)
+        rows, cols = d.shape
+        cost = np.full((rows + 1, cols + 1), np.inf)
+        cost[0, 0] = 0
+        for i in range(rows):
+            for j in range(cols):
+                cost[i + 1, j + 1] = d[i, j] + min(cost[i, j], cost[i + 1, j], cost[i, j + 1])
+        path, total = K.dtw(d)
+        assert total == cost[rows, cols] == sum(d[i, j] for i, j in path)
+        steps = np.diff(path, axis=0)
+        assert tuple(path[0]) == (0, 0) and tuple(path[-1]) == (rows - 1, cols - 1)
+        assert ((steps >= 0) & (steps <= 1)).all() and (steps.sum(axis=1) > 0).all()
+        # going back, the diagonal is preferred, then the row
+        for (i, j), (a, b) in zip(path[1:], path[:-1], strict=True):
+            options = [cost[i, j], cost[i + 1, j], cost[i, j + 1]]
+            assert (i - a, j - b) == [(1, 1), (0, 1), (1, 0)][int(np.argmin(options))]
+
+
+def test_filter_bank_edges_by_rule():
+    bank = K.mfcc_bank(513, 16000.0)
+    assert bank.shape == (40, 513) and (bank >= 0).all()
+    peak = bank.argmax(axis=1) * 16000 / 1024
+    assert peak[0] == pytest.approx(200, abs=16) and np.all(np.diff(peak) > 0)
+    assert K.mfcc_bank(65, 500.0)[-1].sum() == 0

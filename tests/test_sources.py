@@ -56,3 +56,34 @@ def test_generators(spark):
     assert -0.5 <= min(n) < -0.4 and 0.4 < max(n) <= 0.5
     saw = [r["x"] for r in synth.saw(spark, 1.0, 8.0, 16).orderBy("i").collect()]
     assert saw[:5] == [0, 0.25, 0.5, 0.75, -1]
+
+
+def test_overwrite_append_and_failed_writes(spark, tmp_path):
+    import os
+
+    audio.register(spark)
+    path = str(tmp_path / "out")
+    ddl = "signal_id string, sample_rate double, channels array<array<double>>"
+    rows = lambda *names: spark.createDataFrame([(n, 100.0, [[0.5] * 4]) for n in names], ddl).write.format("audio")
+    rows("a", "b").mode("append").save(path)
+    rows("c").mode("append").save(path)
+    assert sorted(os.listdir(path)) == ["a.wav", "b.wav", "c.wav"]
+    rows("a").mode("overwrite").save(path)
+    assert os.listdir(path) == ["a.wav"]
+    bad = spark.createDataFrame([("z", 100.0, [[0.5]]), ("y", 100.0, None)], ddl)
+    with pytest.raises(Exception, match="(?s).*"):
+        bad.write.format("audio").mode("overwrite").save(path)
+    assert os.listdir(path) == ["a.wav"]  # nothing of the failed job, and nothing of the old one lost
+
+
+def test_short_files_are_not_opened_for_planning(spark, tmp_path):
+    audio.register(spark)
+    path = str(tmp_path / "out")
+    rows = [("short", 100.0, [[0.25] * 10]), ("long", 100.0, [[0.5] * 900]), ("empty", 100.0, [[]])]
+    spark.createDataFrame(rows, "signal_id string, sample_rate double, channels array<array<double>>").write.format("audio").mode("append").save(path)
+    reader = audio.AudioReader({"path": path, "chunkframes": "400"})
+    parts = reader.partitions()
+    assert [(p.path.split("/")[-1], p.spec is None) for p in parts] == [("empty.wav", True), ("long.wav", False), ("long.wav", False), ("long.wav", False), ("short.wav", True)]
+    got = spark.read.format("audio").option("chunkFrames", 400).load(path)
+    assert {(r["path"].split("/")[-1], r["start_frame"], len(r["channels"][0])) for r in got.collect()} == {("short.wav", 0, 10), ("long.wav", 0, 400), ("long.wav", 400, 400), ("long.wav", 800, 100)}
+    assert got.where("start_frame >= 800").count() == 1 and got.where("start_frame < 400").count() == 2

@@ -87,8 +87,22 @@ SQL_FUNCTIONS = {
 }
 
 
+@F.udtf(returnType="block_idx bigint, x array<double>")
+class SignalBlockRows:
+    """Table function: the blocks of a sample array as rows; ``LATERAL signal_block_rows(samples, block, hop)``."""
+
+    def eval(self, samples, block: int, hop: int):
+        if not 0 < hop <= block:
+            raise ValueError("0 < hop <= block is required")
+        if samples is not None:
+            for n in range(len(samples) // hop + 1):
+                part = [float(v or 0) for v in samples[n * hop : n * hop + block]]
+                yield n, part + [0.0] * (block - len(part))
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Makes the functions known to Spark SQL in this session; returns their names."""
+    """Makes the functions and the table function ``signal_block_rows`` known to Spark SQL in this session; returns the names of the functions."""
+    spark.udtf.register("signal_block_rows", SignalBlockRows)
     for name, (params, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
     return list(SQL_FUNCTIONS)

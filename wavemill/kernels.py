@@ -209,21 +209,13 @@ def mfcc_bank(bins: int, fs: float, bands: int = 40) -> np.ndarray:
     """(bands, bins) triangles: 13 linear steps from 133.3 Hz, then geometric ones."""
     # fixed values of the filter layout
     start, step, ratio, linear = 400 / 3, 200 / 3, 1.0711703, 10
-    edge = [start, start + step, start + 2 * step]
-    for c in range(bands - 1):
-        edge.append(edge[-1] + step if c < linear else edge[-1] * ratio)
-    size = 2 * (bins - 1)
-    at = [int(e / fs * size) for e in edge]
-    hz = np.arange(bins) * fs / size
-    out = np.zeros((bands, bins))
-    for c in range(bands):
-        (lo, mid, hi), (a, b, z) = edge[c : c + 3], at[c : c + 3]
-        amp = 2 / (hi - lo)
-        up = slice(a, min(b, bins - 1) + 1)
-        down = slice(b + 1, min(z, bins - 1) + 1)
-        out[c, up] = np.maximum(amp * (hz[up] - lo) / (mid - lo), 0)
-        out[c, down] = np.maximum(amp * (hi - hz[down]) / (hi - mid), 0)
-    return out
+    steps = linear + 3
+    edge = np.concatenate([start + step * np.arange(steps), (start + step * (steps - 1)) * ratio ** np.arange(1, bands + 1)])[: bands + 2]
+    size, k = 2 * (bins - 1), np.arange(bins)
+    at, hz = (edge / fs * size).astype(int)[:, None], k * fs / size
+    lo, mid, hi = edge[:-2, None], edge[1:-1, None], edge[2:, None]
+    slope = np.where(k <= at[1:-1], (hz - lo) / (mid - lo), (hi - hz) / (hi - mid))
+    return 2 / (hi - lo) * np.maximum(slope, 0) * ((k >= at[:-2]) & (k <= at[2:]))
 
 
 @lru_cache(maxsize=8)
@@ -696,20 +688,24 @@ def viterbi(emission: np.ndarray, start: np.ndarray, move: np.ndarray, log: bool
 def dtw(d: np.ndarray) -> tuple[np.ndarray, float]:
     """Cheapest corner-to-corner path (n, 2) and its cost; ties go to the diagonal, then along the row."""
     rows, cols = d.shape
-    cost = np.full((rows + 1, cols + 1), np.inf)
-    cost[0, 0] = 0
     came = np.zeros((rows, cols), np.int8)
-    for i in range(rows):
-        for j in range(cols):
-            diag, horiz, vert = cost[i, j], cost[i + 1, j], cost[i, j + 1]
-            came[i, j], best = (0, diag) if diag <= horiz and diag <= vert else (1, horiz) if horiz <= vert else (2, vert)
-            cost[i + 1, j + 1] = best + d[i, j]
+    # cells of one anti-diagonal depend on the two before only; index i + 1, the ends are outside
+    older, last = (np.full(rows + 1, np.inf) for _ in range(2))
+    for n in range(rows + cols - 1):
+        i = np.arange(max(0, n - cols + 1), min(rows, n + 1))
+        diag, horiz, vert = older[i], last[i + 1], last[i]
+        step = np.where((diag <= horiz) & (diag <= vert), 0, np.where(horiz <= vert, 1, 2))
+        came[i, n - i] = step
+        now = np.full(rows + 1, np.inf)
+        now[i + 1] = d[i, n - i] + (np.choose(step, (diag, horiz, vert)) if n else 0.0)
+        older, last = last, now
+    total = float(last[rows])
     i, j, path = rows - 1, cols - 1, [(rows - 1, cols - 1)]
     while i or j:
         step = came[i, j]
         i, j = i - int(step != 1), j - int(step != 2)
         path.append((i, j))
-    return np.array(path[::-1]), float(cost[rows, cols])
+    return np.array(path[::-1]), total
 
 
 # --- beat histogram ------------------------------------------------------------------------------

@@ -180,6 +180,19 @@ def interpolate(samples: DataFrame, at: DataFrame) -> DataFrame:
     return p.join(left, ["signal_id", "lo"], "left").join(right, ["signal_id", "lo"], "left").select("signal_id", "k", value.alias("y"))
 
 
+def delay(samples: DataFrame, by: float) -> DataFrame:
+    """(signal_id, i, y): a ring buffer read ``by`` samples back, linear between neighbours, zeros before the start."""
+    at = samples.select("signal_id", F.col("i").alias("k"), (F.col("i") - F.lit(float(by))).alias("pos"))
+    return interpolate(samples, at).withColumnRenamed("k", "i")
+
+
+def normalise_chunks(chunks: DataFrame) -> DataFrame:
+    """Signals in chunks scaled to a maximum of one each: one aggregate and a join on the signal."""
+    peak = chunks.groupBy("signal_id").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))
+    scale = F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0)
+    return chunks.join(peak, "signal_id").withColumn("samples", F.transform("samples", lambda v: v / scale)).drop("peak")
+
+
 def gammatone_bands(signals: DataFrame, bands: int = 20, start: float = 100.0, normalised: bool = True) -> DataFrame:
     """(signal_id, sample_rate, band, centre_hz, samples): every band of every signal is a row, filtered in its own task slot."""
     source = normalise(signals) if normalised else signals

@@ -173,8 +173,8 @@ def leave_one_out(obs: DataFrame, k: int = 3, classify: Callable[[DataFrame, Dat
     return joined.agg(F.avg((F.coalesce("predicted", F.lit(NO_CLASS)) == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def forward_selection(obs: DataFrame, dims: int | None = None) -> list[tuple[int, float]]:
-    """(feature, accuracy) in the order of selection by 1-NN leave-one-out; of equal accuracies the last feature wins.
+def forward_selection(obs: DataFrame, dims: int | None = None, most: int | None = None) -> list[tuple[int, float]]:
+    """(feature, accuracy) in the order of selection by 1-NN leave-one-out, ``most`` of them at most; of equal accuracies the last feature wins.
 
     One pass per step scores all candidate features: a candidate adds one squared difference to the
     distances of those chosen so far.
@@ -182,7 +182,7 @@ def forward_selection(obs: DataFrame, dims: int | None = None) -> list[tuple[int
     dims = dims or _dims(obs)
     pairs = tile_pairs(obs, obs)
     chosen: list[tuple[int, float]] = []
-    while len(chosen) < dims:
+    while len(chosen) < min(dims, most or dims):
         picked = [v for v, _ in chosen]
         rest = [v for v in range(dims) if v not in picked]
 
@@ -351,13 +351,11 @@ def moments(obs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, c / max(n - 1, 1)
 
 
-def covariance(obs: DataFrame, dims: int | None = None) -> DataFrame:
-    """(i, j, cov) as SQL aggregates of all pairs of dimensions in one pass."""
-    dims = dims or _dims(obs)
-    pairs = [(i, j) for i in range(dims) for j in range(dims)]
-    x = lambda i: F.get("f", F.lit(i))
-    one = obs.agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.covar_samp(x(i), x(j)).alias("cov")) for i, j in pairs]).alias("c"))
-    return one.select(F.inline("c"))
+def covariance(obs: DataFrame) -> DataFrame:
+    """(i, j, cov): sample covariance of all pairs of dimensions."""
+    _, _, cov = moments(obs)
+    rows = [(i, j, float(v)) for i, r in enumerate(cov) for j, v in enumerate(r)]
+    return obs.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
 def pca(obs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:

@@ -58,13 +58,41 @@ class Signals:
     def gammatone(self, bands: int = 20, start: float = 100.0) -> DataFrame:
         return framing.gammatone_bands(self.df, bands, start, self.scaled)
 
+    def framed(self, block: int, hop: int, matters: bool, previous: bool) -> DataFrame:
+        return framing.blocks(self._signals(matters), block, hop, previous)
+
     def _signals(self, matters: bool) -> DataFrame:
         return framing.normalise(self.df) if self.scaled and matters else self.df
 
 
+@dataclass(frozen=True)
+class LongSignals:
+    """Signals in chunks (signal_id, sample_rate, chunk_idx, samples) of ``chunk`` samples; no signal has to fit a task."""
+
+    df: DataFrame
+    chunk: int
+    scaled: bool = False
+
+    def normalise(self) -> LongSignals:
+        return replace(self, scaled=True)
+
+    def blocks(self, block: int = 2048, hop: int = 1024) -> Blocks:
+        framing._check(block, hop)
+        return Blocks(self, block, hop)
+
+    def novelty(self, kind: str = "Flux", block: int = 4096, hop: int = 512) -> DataFrame:
+        scaled = framing.normalise_chunks(self.df) if self.scaled and kind not in SCALE_FREE_NOVELTY else self.df
+        one = lambda some, fs: music.onsets_from_values(music.novelty_values(framing.blocks_from_chunks(some, block, hop, self.chunk, True), kind), fs / hop)
+        return music._by_rate(scaled, None, one)
+
+    def framed(self, block: int, hop: int, matters: bool, previous: bool) -> DataFrame:
+        scaled = framing.normalise_chunks(self.df) if self.scaled and matters else self.df
+        return framing.blocks_from_chunks(scaled, block, hop, self.chunk, previous)
+
+
 @dataclass(frozen=True)
 class Blocks:
-    signals: Signals
+    signals: Signals | LongSignals
     block: int
     hop: int
     window: object = "hann"
@@ -74,7 +102,7 @@ class Blocks:
         return replace(self, window=window)
 
     def frame(self, matters: bool = True, previous: bool = False) -> DataFrame:
-        return framing.blocks(self.signals._signals(matters), self.block, self.hop, previous)
+        return self.signals.framed(self.block, self.hop, matters, previous)
 
     def features(self, *names: str, **parameters: float) -> DataFrame:
         chosen = [feat.feature(n) for n in names]

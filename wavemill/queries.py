@@ -19,7 +19,7 @@ from .operators import features as feat
 from .operators import framing, learn, music
 from .operators import pitch as pitches
 from .operators import spectral
-from .sources import synth
+from .sources import audio, synth
 from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,7 +123,9 @@ def _(spark, d):
 
 @query("q_half_wave", f"with {EVT}, m as (select user_id, avg(x) a from evt group by 1) select user_id signal_id, i, round(case when x - a < 0 then 0 else x - a end, 9) + 0.0 x from evt join m using (user_id)")
 def _(spark, d):
-    return evt(spark, d, centred=True).select("signal_id", "i", rnd(F.when(F.col("x") < 0, 0.0).otherwise(F.col("x")), 9).alias("x"))
+    v = evt(spark, d, centred=True).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    z = v.select("signal_id", F.posexplode(E.zero_below(F.transform("v", lambda p: p["x"]), 0.0)).alias("i", "x"))
+    return z.select("signal_id", F.col("i").cast("long").alias("i"), rnd("x", 9).alias("x"))
 
 
 @query("q_interp", f"with {EVT}, a as (select user_id, i k, i * 0.7::double - 0.5 pos from evt), f as (select *, floor(pos)::bigint lo, pos - floor(pos) fr from a) select f.user_id signal_id, k, round((1 - fr) * coalesce(l.x, 0) + fr * coalesce(r.x, 0), 6) + 0.0 y from f left join evt l on l.user_id = f.user_id and l.i = f.lo left join evt r on r.user_id = f.user_id and r.i = f.lo + 1")
@@ -134,7 +136,8 @@ def _(spark, d):
 
 @query("q_resample_len", f"with {EVT} select user_id signal_id, round(count(*) / 48000::double * 44100)::bigint n from evt group by 1")
 def _(spark, d):
-    return evt(spark, d).groupBy("signal_id").agg(F.expr("cast(round(count(1) / 48000D * 44100) as bigint)").alias("n"))
+    s = _curves(spark, d).select("signal_id", F.lit(48000.0).alias("sample_rate"), F.col("curve").alias("samples"))
+    return framing.resample(s, 44100.0).select("signal_id", F.size("samples").cast("long").alias("n"))
 
 
 # transforms ---------------------------------------------------------------------------------------
@@ -448,20 +451,21 @@ _VIT = f"""{_CHORD}, fif(c, v) as (values (0, 0), (1, -5), (2, 2), (3, -3), (4,
  ds as (select a.c a, b.c b, 0.1::double + sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) d from pl a, pl b),
  tp as (select a, b, 1 - d / (0.1::double + (select max(d) from ds)) t from ds union all select 24, c, 1 / 25::double from (select unnest(range(25)) c) union all select c, 24, 1 / 25::double from (select unnest(range(24)) c)),
  tr as (select a, b, ln(t / sum(t) over (partition by a) + 1e-30::double) lt from tp),
- ob as (select label s, row_number() over (partition by label order by vec_id) - 1 n, vec_id from embeddings where vec_id < 200),
+ ob as (select label s, row_number() over (partition by label order by vec_id) - 1 n, vec_id from embeddings),
  em as (select s, n, code, ln(pr + 1e-30::double) le from ob join prob using (vec_id)),
- v(s, n, code, lp) as (select s, 0, code, le + ln(case when code = 24 then 2 else 1 end / 26::double + 1e-30::double) from em where n = 0
-   union all select * from (select e.s, e.n::int, e.code, max(v.lp + tr.lt) + any_value(e.le) from v join em e on e.s = v.s and e.n = v.n + 1 join tr on tr.a = v.code and tr.b = e.code group by all))
- select s signal_id, round(max(lp), 4) + 0.0 lp from v where (s, n) in (select s, max(n) from ob group by 1) group by 1"""
+ v(s, n, code, lp, path) as (select s, 0, code, le + ln(case when code = 24 then 2 else 1 end / 26::double + 1e-30::double), [code::int] from em where n = 0
+   union all select * from (select e.s, e.n::int, e.code, max(v.lp + tr.lt) + any_value(e.le), list_append(arg_max(v.path, (v.lp + tr.lt, -v.code)), any_value(e.code)::int) from v join em e on e.s = v.s and e.n = v.n + 1 join tr on tr.a = v.code and tr.b = e.code group by all)),
+ best as (select s, arg_max(path, (lp, -code)) path, max(lp) lp from v where (s, n) in (select s, max(n) from ob group by 1) group by 1)
+ select s signal_id, unnest(range(len(path))) block_idx, unnest(path) state, round(lp, 4) + 0.0 lp from best"""
 
 
 @query("q_chord_viterbi", f"with recursive {_VIT}")
 def _(spark, d):
-    e = read(spark, d, "embeddings").where("vec_id < 200")
+    e = read(spark, d, "embeddings")
     n = e.select(F.col("vec_id").alias("signal_id"), F.col("label"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("block_idx"))
     p = music.chord_probabilities(chroma(spark, d), ["signal_id"]).join(n, "signal_id").select(F.col("label").alias("signal_id"), "block_idx", F.col("prob").alias("emission"))
     start, move = K.chord_model()
-    return music.viterbi(p, start, move).groupBy("signal_id").agg(rnd(F.max("probability"), 4).alias("lp"))
+    return music.viterbi(p, start, move).select("signal_id", "block_idx", "state", rnd("probability", 4).alias("lp"))
 
 
 _SYM = "sym as (select user_id, row_number() over (partition by user_id order by event_id) - 1 n, dense_rank() over (order by event_type) - 1 sym from events)"
@@ -589,62 +593,69 @@ def _(spark, d):
     return f.select("signal_id", F.posexplode(F.arrays_zip(F.col("x").alias("v"), E.peaks("x", 0.1).alias("pk"))).alias("n", "z")).select("signal_id", "n", rnd("z.v").alias("v"), "z.pk")
 
 
-# matrices: the first 16 embeddings are rows ---------------------------------------------------------
+# matrices: the embeddings are rows ---------------------------------------------------------------------
 
-M16 = "m as (select vec_id i, n j, v from (select vec_id, i - 1 as n, embedding[i]::double as v from embeddings, unnest(range(1, 65)) t(i)) where vec_id < 16)"
+MAT = "m as (select vec_id i, n j, v from (select vec_id, i - 1 as n, embedding[i]::double as v from embeddings, unnest(range(1, 65)) t(i)))"
 
 
-def m16(spark, d) -> DataFrame:
-    return emb(spark, d).where("signal_id < 16").select(F.col("signal_id").alias("i"), F.posexplode("x").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+def mat(spark, d) -> DataFrame:
+    return emb(spark, d).select(F.col("signal_id").alias("i"), F.posexplode("x").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
 
 
-@query("q_matmul", f"with {M16} select a.i, b.i j, round(sum(a.v * b.v), 6) + 0.0 v from m a join m b using (j) group by all")
+def _turned(m: DataFrame) -> DataFrame:
+    """(i, source): the rows in reverse."""
+    rows = m.select("i").distinct()
+    return rows.crossJoin(rows.agg(F.max("i").alias("top"))).select("i", (F.col("top") - F.col("i")).alias("source"))  # one row on the right
+
+
+@query("q_matmul", f"with {MAT} select a.j i, b.j, round(sum(a.v * b.v), 6) + 0.0 v from m a join m b using (i) group by all")
 def _(spark, d):
-    m = m16(spark, d)
-    return matrices.matmul(m, matrices.transpose(m)).select("i", "j", rnd("v").alias("v"))
+    m = mat(spark, d)
+    return matrices.matmul(matrices.transpose(m), m).select("i", "j", rnd("v").alias("v"))
 
 
-@query("q_matrix_arithmetic", f"with {M16}, q as (select a.i, a.j, a.v, b.v w from m a join m b on b.j = a.j and b.i = 15 - a.i) select i, j, round(v + w, 6) + 0.0 s, round(v - w, 6) + 0.0 t, round(v * w, 6) + 0.0 p, round(case when j = 3 then 2 * v else v end, 6) + 0.0 c from q")
+@query("q_matrix_arithmetic", f"with {MAT}, q as (select a.i, a.j, a.v, b.v w from m a join m b on b.j = a.j and b.i = (select max(i) from m) - a.i) select i, j, round(v + w, 6) + 0.0 s, round(v - w, 6) + 0.0 t, round(v * w, 6) + 0.0 p, round(case when j = 3 then 2 * v else v end, 6) + 0.0 c from q")
 def _(spark, d):
-    m = m16(spark, d)
-    b = matrices.rearrange_rows(m, spark.range(16).select(F.col("id").alias("i"), (15 - F.col("id")).alias("source")))
+    m = mat(spark, d)
+    b = matrices.rearrange_rows(m, _turned(m))
     out = matrices.add(m, b).withColumnRenamed("v", "s")
     for name, x in {"t": matrices.subtract(m, b), "p": matrices.multiply(m, b), "c": matrices.scale_column(m, 3, 2.0)}.items():
         out = out.join(x.withColumnRenamed("v", name), ["i", "j"])
     return out.select("i", "j", *[rnd(c).alias(c) for c in "stpc"])
 
 
-@query("q_matrix_reduce", f"with {M16}, c as (select j, sum(abs(v)) n from m group by 1) select round(sum(v), 6) + 0.0 total, round(max(v), 6) mx, (select round(max(n), 6) from c) norm, round(sum(case when i = j then v end), 6) + 0.0 trace from m")
+@query("q_matrix_reduce", f"with {MAT}, c as (select j, sum(abs(v)) n from m group by 1) select round(sum(v), 6) + 0.0 total, round(max(v), 6) mx, (select round(max(n), 6) from c) norm, round(sum(case when i = j then v end), 6) + 0.0 trace from m")
 def _(spark, d):
-    m = m16(spark, d)
+    m = mat(spark, d)
     trace = matrices.total(matrices.diagonal(m)).withColumnRenamed("total", "trace")
     one = matrices.total(m).crossJoin(matrices.maximum(m)).crossJoin(matrices.norm1(m)).crossJoin(trace)  # one row each
     return one.select(rnd("total").alias("total"), rnd("max").alias("mx"), rnd("norm").alias("norm"), rnd("trace").alias("trace"))
 
 
-@query("q_mat_vec", f"with {M16} select i, round(sum(v * (j + 1)), 6) + 0.0 v from m group by 1")
+@query("q_mat_vec", f"with {MAT} select i, round(sum(v * (j + 1)), 6) + 0.0 v from m group by 1")
 def _(spark, d):
     x = spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).cast("double").alias("x"))
-    return matrices.mat_vec(m16(spark, d), x).select("i", rnd("v").alias("v"))
+    return matrices.mat_vec(mat(spark, d), x).select("i", rnd("v").alias("v"))
 
 
-@query("q_vecnorm", f"with {M16} select i, j, round(v / sum(abs(v)) over (partition by j), 6) + 0.0 v from m")
+@query("q_vecnorm", f"with {MAT} select i, j, round(v / sum(abs(v)) over (partition by j), 6) + 0.0 v from m")
 def _(spark, d):
-    return matrices.normalise_columns(m16(spark, d)).select("i", "j", rnd("v").alias("v"))
+    return matrices.normalise_columns(mat(spark, d)).select("i", "j", rnd("v").alias("v"))
 
 
-@query("q_kl", f"with {M16}, q as (select abs(a.v) v, abs(b.v) w from m a join m b on b.j = a.j and b.i = 15 - a.i) select round(sum(v * (ln((v + 1e-24::double) / (w + 1e-24::double)) - 1) + w), 4) kl from q")
+@query("q_kl", f"with {MAT}, q as (select abs(a.v) v, abs(b.v) w from m a join m b on b.j = a.j and b.i = (select max(i) from m) - a.i) select round(sum(v * (ln((v + 1e-24::double) / (w + 1e-24::double)) - 1) + w), 4) kl from q")
 def _(spark, d):
-    m = m16(spark, d).withColumn("v", F.abs("v"))
-    b = matrices.rearrange_rows(m, spark.range(16).select(F.col("id").alias("i"), (15 - F.col("id")).alias("source")))
+    m = mat(spark, d).withColumn("v", F.abs("v"))
+    b = matrices.rearrange_rows(m, _turned(m))
     return matrices.kl_divergence(m, b).select(rnd("kl", 4).alias("kl"))
 
 
-@query("q_det2", f"with {X}, p as (select vec_id, max(case when n = 0 then v end) a, max(case when n = 1 then v end) b, max(case when n = 2 then v end) c, max(case when n = 3 then v end) e from x group by 1) select vec_id signal_id, round(a * e - b * c, 6) + 0.0 det, round(e / (a * e - b * c), 4) + 0.0 inv0 from p where abs(a * e - b * c) > 1e-3::double")
+@query("q_det2", f"with {X}, p as (select vec_id, max(case when n = 0 then v end) a, max(case when n = 1 then v end) b, max(case when n = 2 then v end) c, max(case when n = 3 then v end) e from x group by 1) select vec_id signal_id, round(a * e - b * c, 6) + 0.0 det, case when abs(a * e - b * c) > 1e-3::double then round(e / (a * e - b * c), 4) + 0.0 end inv0 from p")
 def _(spark, d):
     m = emb(spark, d).select("signal_id", F.slice("x", 1, 4).alias("m"))
-    out = matrices.determinants(m, "m", ["signal_id"]).where(F.abs("det") > 1e-3)
-    return out.select("signal_id", rnd("det").alias("det"), rnd(F.get("inv", F.lit(0)), 4).alias("inv0"))
+    out = matrices.determinants(m, "m", ["signal_id"])
+    # the inverse of nearly singular matrices has no digits to compare
+    return out.select("signal_id", rnd("det").alias("det"), F.when(F.abs("det") > 1e-3, rnd(F.get("inv", F.lit(0)), 4)).alias("inv0"))
 
 
 # learning -----------------------------------------------------------------------------------------
@@ -662,12 +673,12 @@ def _(spark, d):
     return learn.knn(o, o, 3, exclude_self=True)
 
 
-_Z = _D.format(9) + ", g as (select n, avg(v) a, stddev_pop(v) s from f group by 1), h as (select vec_id, label, n, (v - a) / s v from f join g using (n))"
+_Z = _D.format(65) + ", g as (select n, avg(v) a, stddev_pop(v) s from f group by 1), h as (select vec_id, label, n, (v - a) / s v from f join g using (n))"
 
 
 @query("q_knn_norm_z", f"with {_KNN.format(f=_Z).replace('from f q join f t', 'from h q join h t')} select q obs_id, predicted::int predicted from pr")
 def _(spark, d):
-    o = obs(spark, d, 8)
+    o = obs(spark, d)
     return learn.knn(o, o, 3, "zscore", exclude_self=True)
 
 
@@ -676,7 +687,7 @@ _MM = _Z.replace("avg(v) a, stddev_pop(v) s", "min(v) a, max(v) - min(v) s")
 
 @query("q_knn_norm_minmax", f"with {_KNN.format(f=_MM).replace('from f q join f t', 'from h q join h t')} select q obs_id, predicted::int predicted from pr")
 def _(spark, d):
-    o = obs(spark, d, 8)
+    o = obs(spark, d)
     return learn.knn(o, o, 3, "minmax", exclude_self=True)
 
 
@@ -685,24 +696,21 @@ def _(spark, d):
     return learn.leave_one_out(obs(spark, d)).select(rnd("accuracy").alias("accuracy"), "n")
 
 
-def _sfs_sql(steps: int = 4) -> str:
-    parts = [_D.format(5) + ", p as (select q.vec_id q, t.vec_id t, any_value(q.label) ql, any_value(t.label) tl, " + ", ".join(f"sum(case when q.n = {v} then (q.v - t.v) * (q.v - t.v) end) d{v}" for v in range(steps)) + " from f q join f t on q.n = t.n and q.vec_id <> t.vec_id group by q.vec_id, t.vec_id)"]
-    parts.append("s0 as (select 0 step, ''::varchar picked, -1 v, 0::double acc)")
-    for k in range(1, steps + 1):
-        d = " + ".join(f"case when v.v = {v} or contains(s.picked, '{v}') then d{v} else 0 end" for v in range(steps))
-        parts.append(f"c{k} as (select v, avg(hit) acc from (select v.v, q, min_by(case when ql = tl then 1.0::double else 0 end, ({d}, t)) hit from p, s{k - 1} s, (select unnest(range({steps})) v) v where not contains(s.picked, v.v::varchar) group by all) group by 1)")
-        parts.append(f"s{k} as (select {k} step, (select picked from s{k - 1}) || v picked, v, acc from c{k} order by round(acc, 9) desc, v desc limit 1)")
-    return "with " + ", ".join(parts) + " " + " union all ".join(f"select step, v::int feature, round(acc, 6) accuracy from s{k}" for k in range(1, steps + 1))
+_SFS = f"""with {_D.format(65)}, p as (select q.vec_id q, t.vec_id t, q.n v, q.label = t.label hit, (q.v - t.v) * (q.v - t.v) d from f q join f t on q.n = t.n and q.vec_id <> t.vec_id),
+ c1 as (select v, avg(h) acc from (select v, q, arg_min(hit::int, (d, t)) h from p group by all) group by 1), s1 as (select v, acc from c1 order by round(acc, 9) desc, v desc limit 1),
+ b as (select q, t, d from p where v = (select v from s1)),
+ c2 as (select v, avg(h) acc from (select p.v, p.q, arg_min(p.hit::int, (b.d + p.d, p.t)) h from p join b using (q, t) where p.v <> (select v from s1) group by all) group by 1), s2 as (select v, acc from c2 order by round(acc, 9) desc, v desc limit 1)
+ select 1 step, v::int feature, round(acc, 6) accuracy from s1 union all select 2, v::int, round(acc, 6) from s2"""
 
 
-@query("q_sfs", _sfs_sql())
+@query("q_sfs", _SFS)
 def _(spark, d):
-    found = learn.forward_selection(obs(spark, d, 4))
+    found = learn.forward_selection(obs(spark, d), most=2)
     return spark.createDataFrame([(i + 1, int(v), round(a, 6)) for i, (v, a) in enumerate(found)], "step int, feature int, accuracy double")
 
 
 def _kmeans_sql(rounds: int = 3) -> str:
-    parts = [_D.format(9), "c0 as (select label k, n, v from f where vec_id in (select min(vec_id) from embeddings group by label))"]
+    parts = [_D.format(65), "c0 as (select label k, n, v from f where vec_id in (select min(vec_id) from embeddings group by label))"]
     for r in range(rounds + 1):
         parts.append(f"a{r} as (select vec_id, min_by(k, (d, k)) k from (select f.vec_id, c.k, sum((f.v - c.v) * (f.v - c.v)) d from f join c{r} c using (n) group by all) group by 1)")
         parts.append(f"c{r + 1} as (select k, n, avg(v) v from f join a{r} using (vec_id) group by all)")
@@ -711,27 +719,36 @@ def _kmeans_sql(rounds: int = 3) -> str:
 
 @query("q_kmeans_3iter", _kmeans_sql())
 def _(spark, d):
-    o = obs(spark, d, 8)
+    o = obs(spark, d)
     seeds = o.groupBy("label").agg(F.min_by("f", "obs_id").alias("f")).orderBy("label").collect()
     return learn.kmeans(o, np.array([r["f"] for r in seeds]), 3)[0]
 
 
-@query("q_cov", f"with {_D.format(5)} select a.n::int i, b.n::int j, round(covar_samp(a.v, b.v), 8) + 0.0 cov from f a join f b using (vec_id) group by all")
+_COV = f"{_D.format(65)}, cv as (select a.n::int i, b.n::int j, covar_samp(a.v, b.v) c from f a join f b using (vec_id) group by all)"
+
+
+@query("q_cov", f"with {_COV} select i, j, round(c, 8) + 0.0 cov from cv")
 def _(spark, d):
-    return learn.covariance(obs(spark, d, 4), 4).select("i", "j", rnd("cov", 8).alias("cov"))
+    return learn.covariance(obs(spark, d)).select("i", "j", rnd("cov", 8).alias("cov"))
 
 
-@query("q_pca_var", f"with {_D.format(5)} select round(sum(v), 6) total from (select n, sum(v * v) v from f group by 1)")
+@query("q_pca_var", f"with {_D.format(65)} select vec_id obs_id, round(sum(v * v), 6) total from f group by 1")
 def _(spark, d):
-    # an orthogonal projection of uncentred data keeps the sum of squares
-    p, _, _ = learn.pca(obs(spark, d, 4))
-    return p.agg(rnd(F.sum(E.dot("components", "components"))).alias("total"))
+    # an orthogonal projection of uncentred data keeps each sum of squares
+    p, _, _ = learn.pca(obs(spark, d))
+    return p.select("obs_id", rnd(E.dot("components", "components")).alias("total"))
 
 
-@query("q_pca", None)
+# the covariance of the components is diagonal, and the powers of its diagonal have the traces of the powers of the data's covariance
+@query("q_pca", f"with {_COV} select (select round(sum(c) * 1e3, 6) from cv where i = j) t1, (select round(sum(c * c) * 1e4, 6) from cv) t2, (select round(sum(a.c * b.c * e.c) * 1e5, 6) from cv a join cv b on b.i = a.j join cv e on e.i = b.j and e.j = a.i) t3, 0.0::double off, true falling")
 def _(spark, d):
-    p, _, _ = learn.pca(obs(spark, d, 4))
-    return p.select("obs_id", F.posexplode("components").alias("i", "v"))
+    p, _, _ = learn.pca(obs(spark, d))
+    c = learn.covariance(p.select("obs_id", F.col("components").alias("f")))
+    own = F.col("i") == F.col("j")
+    power = lambda n: rnd(F.sum(F.when(own, F.pow("cov", F.lit(n)))) * 10.0 ** (2 + n))
+    order = c.where(own).withColumn("before", F.lag("cov").over(Window.orderBy("i"))).agg(F.min(F.coalesce(F.col("cov") <= F.col("before") + 1e-9, F.lit(True))).alias("falling"))  # 64 rows
+    one = c.agg(power(1).alias("t1"), power(2).alias("t2"), power(3).alias("t3"), rnd(F.max(F.when(~own, F.abs("cov"))), 9).alias("off"))
+    return one.crossJoin(order)  # one row each
 
 
 _GMM = learn.Mixture([0.6, 0.4], [[0.0, 0.0], [0.1, -0.1]], [[[0.02, 0.0], [0.0, 0.03]], [[0.01, 0.0], [0.0, 0.02]]])
@@ -753,12 +770,11 @@ def _(spark, d):
     return learn.score_mixtures(o, models).select("obs_id", "predicted")
 
 
-@query("q_dtw_cost", """with recursive a as (select vec_id, i, embedding[i + 1]::double v from embeddings, unnest(range(8)) t(i) where vec_id < 100), ds as (select x.vec_id, x.i, y.i j, abs(x.v - y.v) d from a x join a y on y.vec_id = x.vec_id + 1),
- paths(vec_id, i, j, c) as (select vec_id, 0, 0, d from ds where i = 0 and j = 0 union all select p.vec_id, n.i::int, n.j::int, p.c + n.d from paths p join ds n on n.vec_id = p.vec_id and ((n.i = p.i + 1 and n.j = p.j) or (n.i = p.i and n.j = p.j + 1) or (n.i = p.i + 1 and n.j = p.j + 1)) where n.i <= 4 and n.j <= 4)
- select vec_id signal_id, round(min(c), 6) + 0.0 cost from paths where i = 4 and j = 4 group by 1""")
+# the cost table of 64 by 64 values per pair is too slow as SQL; tests compare with plain loops
+@query("q_dtw_cost")
 def _(spark, d):
-    p = _pairs(spark, d).where("signal_id < 99").select("signal_id", F.slice("x", 1, 5).alias("x"), F.slice("y", 1, 5).alias("y"))
-    return learn.dtw(p, "x", "y", ["signal_id"]).select("signal_id", rnd("cost").alias("cost"))
+    out = learn.dtw(_pairs(spark, d), "x", "y", ["signal_id"])
+    return out.select("signal_id", rnd("cost").alias("cost"), F.posexplode("path").alias("step", "p")).select("signal_id", "cost", "step", "p.row", "p.col")
 
 
 # recurrences ---------------------------------------------------------------------------------------
@@ -812,26 +828,43 @@ def _(spark, d):
 
 # streaming -----------------------------------------------------------------------------------------
 
-# ten interleaved signals: event number e is sample e // 10 of signal e % 10; complete blocks only
-_LONG = """lng as (select (event_id - m) % 10 s, (event_id - m) // 10 i, value x from events, (select min(event_id) m from events)),
- lb as (select s, unnest(range((count(*) - 16) // 8 + 1)) b from lng group by s),
- lf as (select lb.s, lb.b, k, sum(x * h * cos(2 * pi() * k * p / 16)) / 16 re, sum(x * h * sin(2 * pi() * k * p / 16)) / 16 im
-        from lb, (select p, 0.5::double * (1 - cos(2 * pi() * p / 17)) h from (select unnest(range(16)) p)) w, (select unnest(range(9)) k) kk, lng where lng.s = lb.s and lng.i = lb.b * 8 + p group by all),
+# ten interleaved signals: event number e is sample e // 10 of signal e % 10
+_LNG = "lng as (select (event_id - m) % 10 s, (event_id - m) // 10 i, value x from events, (select min(event_id) m from events))"
+_LONG = f"""{_LNG},
+ lb as (select s, unnest(range(count(*) // 8 + 1)) b from lng group by s),
+ lf as (select lb.s, lb.b, k, sum(coalesce(x, 0) * h * cos(2 * pi() * k * p / 16)) / 16 re, sum(coalesce(x, 0) * h * sin(2 * pi() * k * p / 16)) / 16 im
+        from lb cross join (select p, 0.5::double * (1 - cos(2 * pi() * p / 17)) h from (select unnest(range(16)) p)) w cross join (select unnest(range(9)) k) kk left join lng on lng.s = lb.s and lng.i = lb.b * 8 + p group by all),
  lm as (select s, b, k, sqrt(re * re + im * im) m from lf), lp as (select *, coalesce(lag(m) over (partition by s, k order by b), 0) q from lm)"""
 
 
-def _stream(spark, d, make) -> DataFrame:
-    """Runs a streaming operator over the events as they are, to the end, and returns what it wrote."""
+def _folder(spark) -> str:
+    """A fresh folder that all machines share; a temporary one only for a local master."""
+    import tempfile
     import uuid
 
-    low = read(spark, d, "events").agg(F.min("event_id")).first()[0] or 0
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="wavemill-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/wavemill-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _stream(spark, d, make) -> DataFrame:
+    """Runs a streaming operator over the events as they are, to the end, and reads what it wrote. A signal's last event also tells its end."""
+    span = read(spark, d, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    low, top = (v or 0 for v in span)
     path = f"{d}/events.parquet"
     source = spark.readStream.schema(read(spark, d, "events").schema).parquet(path if _is_folder(spark, path) else f"{d}/events.parq*")
-    e = F.col("event_id") - low
-    samples = source.select((e % 10).alias("signal_id"), F.expr(f"(event_id - {low}) div 10").alias("i"), F.col("value").alias("x"))
-    name = f"stream_{uuid.uuid4().hex}"
-    make(samples).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    e, i = F.col("event_id") - low, F.expr(f"(event_id - {low}) div 10")
+    rows = F.array(F.struct(i.alias("i"), F.col("value").alias("x")), F.struct((i + 1).alias("i"), F.lit(None).cast("double").alias("x")))
+    rows = F.when(F.col("event_id") > top - 10, rows).otherwise(F.slice(rows, 1, 1))
+    samples = source.select((e % 10).alias("signal_id"), F.inline(rows))
+    folder, out = _folder(spark), make(samples)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 def _is_folder(spark, path: str) -> bool:
@@ -849,6 +882,107 @@ def _(spark, d):
     return _stream(spark, d, lambda s: stateful.moving_average(s, 5)).select("signal_id", "i", rnd("y").alias("y"))
 
 
+def _recursive_sql(first: str, later: str) -> str:
+    """y of each sample from x and the y before (``y.y``)."""
+    return f"with recursive {_LNG}, y(s, i, y) as (select s, i, {first} from lng where i = 0 union all select l.s, l.i, {later} from y join lng l on l.s = y.s and l.i = y.i + 1) select s signal_id, i, round({{}}, 6) + 0.0 y from y"
+
+
+_A = float(np.exp(-2.2 / (20.0 * 0.3)))
+
+
+@query("q_stream_single_pole", _recursive_sql(f"{1 - _A!r}::double * x", f"{1 - _A!r}::double * l.x + {_A!r}::double * y.y").format("y"))
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.single_pole(s, 0.3, 20.0)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+@query("q_stream_rms", _recursive_sql(f"{1 - _A!r}::double * x * x", f"{1 - _A!r}::double * l.x * l.x + {_A!r}::double * y.y").format("sqrt(y)"))
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.rms_meter(s, 20.0)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+_UP, _DOWN = (float(np.exp(-2.2 / (20.0 * t))) for t in (0.01, 1.5))
+
+
+@query("q_stream_ppm", _recursive_sql(f"{1 - _UP!r}::double * abs(x)", f"case when y.y > abs(l.x) then {_DOWN!r}::double * y.y else {1 - _UP!r}::double * abs(l.x) + {_UP!r}::double * y.y end").format("y"))
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.peak_meter(s, 20.0)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+_LP2 = tuple(tuple(float(v) for v in c) for c in K.butterworth(2, 0.3))
+_IIR = " + ".join(f"{_LP2[0][k]!r}::double * {x}" for k, x in enumerate(("l.x", "y.x0", "y.x1"))) + f" - ({_LP2[1][1]!r}::double) * y.y - ({_LP2[1][2]!r}::double) * y.y1"
+
+
+@query("q_stream_iir", f"with recursive {_LNG}, y(s, i, y, y1, x0, x1) as (select s, i, {_LP2[0][0]!r}::double * x, 0::double, x, 0::double from lng where i = 0 union all select l.s, l.i, {_IIR}, y.y, l.x, y.x0 from y join lng l on l.s = y.s and l.i = y.i + 1) select s signal_id, i, round(y, 6) + 0.0 y from y")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.iir(s, *_LP2)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+@query("q_stream_delay", f"with {_LNG} select a.s signal_id, a.i, round(0.75::double * coalesce(b.x, 0) + 0.25::double * coalesce(c.x, 0), 6) + 0.0 y from lng a left join lng b on b.s = a.s and b.i = a.i - 3 left join lng c on c.s = a.s and c.i = a.i - 4")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.delay(s, 3.25)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+@query("q_stream_blocks", f"with {_LNG}, lb as (select s, unnest(range(count(*) // 8 + 1)) b from lng group by s) select lb.s signal_id, b block_idx, round(sum(coalesce(x, 0) * (p + 1)), 6) + 0.0 w from lb cross join (select unnest(range(16)) p) left join lng on lng.s = lb.s and lng.i = b * 8 + p group by all")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.blocks(s, 16, 8)).select("signal_id", "block_idx", rnd(E.dot("x", F.transform("x", lambda v, i: (i + 1).cast("double")))).alias("w"))
+
+
+@query("q_stream_novelty", f"with {_LONG} select s signal_id, b block_idx, round(sqrt(sum(greatest(2 * m - 2 * q, 0) * greatest(2 * m - 2 * q, 0))) / 9, 6) + 0.0 y from lp group by all")
+def _(spark, d):
+    return _stream(spark, d, lambda s: stateful.novelty(s, 16, 8)).select("signal_id", "block_idx", rnd("value").alias("y"))
+
+
+@query("q_sessions", "with e as (select user_id, ts, value, lag(ts) over (partition by user_id order by ts) p from events), g as (select *, sum(case when p is null or ts >= p + interval 12 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) k from e) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) n from g group by user_id, k")
+def _(spark, d):
+    out = stateful.sessions(read(spark, d, "events"), "12 hours")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# audio files ---------------------------------------------------------------------------------------
+
+# the ten interleaved signals, from -1.25 to 1.25 of full scale and so clipped, as 16-bit numbers; y: upside down
+_Q16 = "round(least(greatest({}, -1), 1 - 1 / 32768::double) * 32768) / 32768"
+_PCM = f"{_LNG}, raw as (select s, i, 2.5::double * x / (select max(value) from events) - 1.25 v from lng), pcm as (select s, i, {_Q16.format('v')} x, {_Q16.format('-v')} y from raw)"
+
+
+def _audio(spark, d, kind: str, channels=lambda x: F.array(x), **options) -> str:
+    """Writes the ten signals as files of a kind, over files that were there before; the folder."""
+    audio.register(spark)
+    e = read(spark, d, "events")
+    low, top = (v or 0 for v in e.agg(F.min("event_id"), F.max("value")).first())
+    x = F.array_sort(F.collect_list(F.struct(F.expr(f"(event_id - {low}) div 10").alias("i"), (2.5 * F.col("value") / F.lit(top) - 1.25).alias("x"))))
+    signals = e.groupBy(((F.col("event_id") - low) % 10).cast("string").alias("signal_id")).agg(x.alias("v")).select("signal_id", F.lit(100.0).alias("sample_rate"), channels(F.transform("v", lambda p: p["x"])).alias("channels"))
+    folder = _folder(spark)
+    for rows in (signals.withColumn("signal_id", F.concat(F.lit("old"), "signal_id")), signals):
+        rows.write.format("audio").options(**options).option("fileFormat", kind).mode("overwrite").save(folder)
+    return folder
+
+
+def _file():
+    return F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("signal_id")
+
+
+@query("q_audio_wav", f"with {_PCM} select s signal_id, i, round(x, 9) + 0.0 x from pcm where i >= 40")
+def _(spark, d):
+    out = spark.read.format("audio").option("chunkFrames", 20).load(_audio(spark, d, "wav")).where("start_frame >= 40")
+    return out.select(_file(), "start_frame", F.posexplode(F.get("channels", F.lit(0))).alias("k", "x")).select("signal_id", (F.col("start_frame") + F.col("k")).alias("i"), rnd("x", 9).alias("x"))
+
+
+@query("q_audio_aiff_blocks", f"with {_PCM}, lb as (select s, unnest(range(count(*) // 8 + 1)) b from pcm group by s) select lb.s signal_id, b block_idx, b * 0.08::double + 0.08::double t_s, round(sum(coalesce(x, 0) * (p + 1)), 6) + 0.0 w from lb cross join (select unnest(range(16)) p) left join pcm on pcm.s = lb.s and pcm.i = b * 8 + p group by all")
+def _(spark, d):
+    # a long file is read and cut in chunks of 24 frames; the second channel is the first one again
+    chunks = audio.read_chunks(spark, _audio(spark, d, "aiff", lambda x: F.array(x, x)), 24)
+    b = framing.blocks_from_chunks(chunks, 16, 8, 24).withColumnRenamed("signal_id", "path")
+    return b.select(_file(), "block_idx", rnd("t_s").alias("t_s"), rnd(E.dot("x", F.transform("x", lambda v, i: (i + 1).cast("double")))).alias("w"))
+
+
+@query("q_audio_raw", f"with {_PCM} select s signal_id, (select count(*) from pcm t where t.s = pcm.s) n_frames, round(sum(x), 6) + 0.0 a, round(sum(y), 6) + 0.0 b from pcm group by 1, 2")
+def _(spark, d):
+    folder = _audio(spark, d, "raw", lambda x: F.array(x, F.transform(x, lambda v: -v)))
+    out = audio.read_files(spark, folder, fileFormat="raw", sampleRate=100, nChannels=2)
+    return out.select(_file(), "n_frames", *[rnd(E.total(F.get("channels", F.lit(k)))).alias(c) for k, c in enumerate("ab")])
+
+
 @query("q_window_levels", "select user_id, strftime(ts, '%Y-%m-%d') as start, round(avg(value), 6) mean, round(sqrt(avg(value * value)), 6) rms, count(*) n from events group by all")
 def _(spark, d):
     out = stateful.windowed_levels(read(spark, d, "events"), "1 day")
@@ -872,19 +1006,67 @@ def _(spark, d):
     return synth.noise(spark, 1000, 0.5, False).select("i", "x")
 
 
-@query("q_resample")
+def _signals(spark, d, fs: float = 64.0) -> DataFrame:
+    """The embeddings as signals of 64 samples."""
+    return emb(spark, d, fs).select("signal_id", "sample_rate", F.col("x").alias("samples"))
+
+
+def _filtfilt_sql(b, a) -> str:
+    """CTEs up to ``z(vec_id, n, y)``: the zero-phase filter of fourth order on ``x``."""
+    zi, num = K.steady_state(b, a), lambda v: f"({float(v)!r}::double)"
+    step = f"{num(b[0])} * {{x}} + {{s1}} as o, " + ", ".join(f"{num(b[k])} * {{x}} - {num(a[k])} * o" + (f" + {{s{k + 1}}}" if k < 4 else "") + f" as t{k}" for k in range(1, 5))
+    first = step.format(x="e.v", **{f"s{k}": f"{num(zi[k - 1])} * e.v" for k in range(1, 5)})
+    later = step.format(x="e.v", **{f"s{k}": f"y.s{k}" for k in range(1, 5)})
+    run = lambda name, source: f"{name}(vec_id, m, y, s1, s2, s3, s4) as (select vec_id, 0, {first} from {source} e where m = 0 union all select y.vec_id, e.m::int, {later} from {name} y join {source} e on e.vec_id = y.vec_id and e.m = y.m + 1)"
+    return f"""{X}, ext as (select a.vec_id, m, case when m < 12 then 2 * a.v - x.v when m < 76 then x.v else 2 * z.v - x.v end v from (select unnest(range(88)) m) t join x on x.n = case when m < 12 then 12 - m when m < 76 then m - 12 else 138 - m end
+  join x a on a.vec_id = x.vec_id and a.n = 0 join x z on z.vec_id = x.vec_id and z.n = 63), {run("fw", "ext")}, turned as (select vec_id, 87 - m m, y v from fw where m >= 12), {run("bw", "turned")}, z as (select vec_id, 75 - m n, y from bw where m >= 12)"""
+
+
+_LOW = K.butterworth(4, 0.2)
+
+
+@query("q_filtfilt", f"with recursive {_filtfilt_sql(*_LOW)} select vec_id signal_id, n::int n, round(y, 6) + 0.0 y from z")
 def _(spark, d):
-    return framing.resample(_tones(spark), 5000.0).select("signal_id", F.posexplode("samples").alias("n", "x"))
+    return _exploded(framing.filter_signals(_signals(spark, d), *_LOW, zero_phase=True))
 
 
-@query("q_filtfilt")
+@query("q_resample", f"with recursive {_filtfilt_sql(*K.butterworth(4, 0.9 * 48 / 64))}, pos as (select n::int n, n * 64 / 48::double p from (select unnest(range(48)) n)) select l.vec_id signal_id, pos.n, round((1 - p + floor(p)) * l.y + (p - floor(p)) * coalesce(r.y, 0), 6) + 0.0 y from pos join z l on l.n = floor(p) left join z r on r.vec_id = l.vec_id and r.n = floor(p) + 1")
 def _(spark, d):
-    return framing.filter_signals(_tones(spark), *K.butterworth(4, 0.2), zero_phase=True).select("signal_id", F.posexplode("samples").alias("n", "x"))
+    return _exploded(framing.resample(_signals(spark, d), 48.0))
+
 
+def _gammatone_sql(bands: int, start: float, fs: float) -> str:
+    """CTE ``g(vec_id, band, n, y)``: the cascade of four sections in each band."""
+    rows = []
+    for band, fc in enumerate(K.gammatone_centres(bands, start, fs)):
+        sections = K.gammatone_sections(float(fc), fs)
+        rows.append((band, *(v for b, _ in sections for v in b[:2]), *sections[0][1][1:]))
+    names = ", ".join(["band", *(f"b{k}{j}" for k in range(1, 5) for j in range(2)), "a1", "a2"])
+    values = ", ".join("(" + ", ".join([str(r[0]), *(f"{float(v)!r}::double" for v in r[1:])]) + ")" for r in rows)
+    step = ", ".join(f"b{k}0 * {'e.v' if k == 1 else f'n{k - 1}'} + b{k}1 * {'y.x' if k == 1 else f'y.u{k - 1}'} - a1 * y.u{k} - a2 * y.w{k} as n{k}" for k in range(1, 5))
+    last = ", ".join(f"n{k}, u{k}" for k in range(1, 5))
+    cols = ", ".join(f"u{k}, w{k}" for k in range(1, 5))
+    zero = ", ".join("0::double, 0::double" for _ in range(4))
+    return f"""{X}, co({names}) as (values {values}), g(vec_id, band, n, x, {cols}) as (select distinct vec_id, band, -1, 0::double, {zero} from x, co
+  union all select vec_id, band, n, v, {last} from (select y.vec_id, y.band, e.n::int n, e.v, y.u1, y.u2, y.u3, y.u4, {step} from g y join x e on e.vec_id = y.vec_id and e.n = y.n + 1 join co on co.band = y.band))"""
 
-@query("q_gammatone")
+
+@query("q_gammatone", f"with recursive {_gammatone_sql(3, 2.0, 64.0)} select vec_id signal_id, band::int band, n::int n, round(u4, 6) + 0.0 y from g where n >= 0")
 def _(spark, d):
-    return framing.gammatone_bands(_tones(spark), 20).select("signal_id", "band", "centre_hz", E.rms("samples").alias("level"))
+    out = framing.gammatone_bands(_signals(spark, d), 3, 2.0, normalised=False)
+    return out.select("signal_id", "band", F.posexplode("samples").alias("n", "y")).select("signal_id", "band", "n", rnd("y").alias("y"))
+
+
+@query("q_delay", f"with {EVT} select a.user_id signal_id, a.i, round(0.75::double * coalesce(b.x, 0) + 0.25::double * coalesce(c.x, 0), 6) + 0.0 y from evt a left join evt b on b.user_id = a.user_id and b.i = a.i - 3 left join evt c on c.user_id = a.user_id and c.i = a.i - 4")
+def _(spark, d):
+    return framing.delay(evt(spark, d), 3.25).select("signal_id", "i", rnd("y").alias("y"))
+
+
+@query("q_block_rows", f"with {X} select vec_id signal_id, b block_idx, round(sum(v * (n - 24 * b + 1)), 6) + 0.0 w from x join (select unnest(range(3)) b) t on n >= 24 * b and n < 24 * b + 32 group by all")
+def _(spark, d):
+    convert.register(spark)
+    emb(spark, d).createOrReplaceTempView("wavemill_emb")
+    return spark.sql("select e.signal_id, b.block_idx, round(array_dot(b.x, transform(sequence(1, 32), i -> cast(i as double))), 6) + 0D w from wavemill_emb e, lateral signal_block_rows(e.x, 32, 24) b")
 
 
 @query("q_pitch_auditory")
@@ -934,11 +1116,15 @@ def _(spark, d):
     return learn.nmf(m, 2).select("signal_id", "part", "i", F.posexplode("v").alias("j", "v"))
 
 
-@query("q_gmm_fit")
+@query("q_gmm_fit", """with g as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings), c as (select var_samp(a) s0, var_samp(b) s1, covar_samp(a, b) c from g), mu(k, m0, m1) as (values (0, 0.1::double, 0.1::double), (1, -0.1::double, -0.1::double)),
+ w as (select vec_id, a, b, k, exp(-0.5::double * ((a - m0) * (a - m0) * s1 - 2 * (a - m0) * (b - m1) * c + (b - m1) * (b - m1) * s0) / (s0 * s1 - c * c)) w from g, c, mu), r as (select *, w / sum(w) over (partition by vec_id) r from w),
+ m as (select k, sum(r) s, sum(r * a) / sum(r) m0, sum(r * b) / sum(r) m1 from r group by 1)
+ select k::int k, round(any_value(s) / (select count(*) from g), 6) prior, round(any_value(m0), 6) + 0.0 mu0, round(any_value(m1), 6) + 0.0 mu1, round(sum(r * (a - m0) * (a - m0)) / any_value(s), 8) s00, round(sum(r * (a - m0) * (b - m1)) / any_value(s), 8) + 0.0 s01, round(sum(r * (b - m1) * (b - m1)) / any_value(s), 8) s11 from r join m using (k) group by k""")
 def _(spark, d):
-    o = obs(spark, d, 2)
-    m = learn.gmm(o, np.array([[0.1, 0.1], [-0.1, -0.1]]), 10)
-    return spark.createDataFrame([(k, float(m.prior[k]), m.mu[k].tolist(), m.sigma[k].ravel().tolist()) for k in range(2)], "k int, prior double, mu array<double>, sigma array<double>")
+    # one round of the fit
+    m = learn.gmm(obs(spark, d, 2), np.array([[0.1, 0.1], [-0.1, -0.1]]), 1)
+    rows = [(k, *(round(float(v), 6) for v in (m.prior[k], *m.mu[k])), *(round(float(v), 8) for v in m.sigma[k].ravel()[[0, 1, 3]])) for k in range(2)]
+    return spark.createDataFrame(rows, "k int, prior double, mu0 double, mu1 double, s00 double, s01 double, s11 double")
 
 
 @query("q_gmm_classifier_fit")

@@ -3,14 +3,22 @@
 ``spark.read.format("audio")`` (after ``register(spark)``) is a Python data source for files on a
 shared mount: a file is cut into frame-aligned byte ranges, one row and task slot each, so a long
 file is read in parallel with constant memory. Filters on ``start_frame`` and ``path`` are pushed into
-the scan. ``read_files`` reads through Spark's own file readers, for stores that only Spark reaches.
+the scan. Files that fit one range are not opened for planning; the heads of longer ones are read by
+several threads. ``read_files`` reads through Spark's own file readers, for stores that only Spark reaches.
+
+Writing puts one file per row into a folder of the target that only the commit empties: files appear
+when the whole job has succeeded, an aborted job leaves those of earlier ones alone, and ``overwrite``
+removes the files that were there.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +40,7 @@ def _options(options) -> dict:
 @dataclass
 class Range(InputPartition):
     path: str
-    spec: codec.Spec
+    spec: codec.Spec | None  # None: a whole file, whose head is read with it
     chunk_idx: int
     start: int
     frames: int
@@ -64,24 +72,33 @@ class AudioReader(DataSourceReader):
             raise ValueError("the audio source needs a path")
         found = sorted(glob.glob(path.removeprefix("file://")) if any(c in path for c in "*?[") else [path.removeprefix("file://")])
         files = [f for p in found for f in (sorted(os.path.join(p, x) for x in os.listdir(p) if not x.startswith(("_", "."))) if os.path.isdir(p) else [p])]
+        files = [f for f in files if self.paths is None or f in self.paths]
+        sizes = [os.path.getsize(f) for f in files]
+        # no sample has less than two bytes, so such a file has one range
+        long = [f for f, n in zip(files, sizes, strict=True) if n > 2 * self.chunk]
+        with ThreadPoolExecutor(32) as pool:
+            specs = dict(zip(long, pool.map(self._spec, long), strict=True))
         out = []
         for f in files:
-            if self.paths is not None and f not in self.paths:
-                continue
-            with open(f, "rb") as h:
-                spec = codec.parse(h.read(HEAD_BYTES), os.path.getsize(f), **_options(self.options))
-            for k in range(-(-spec.n_frames // self.chunk)):
+            spec = specs.get(f)
+            for k in range(-(-spec.n_frames // self.chunk) if spec else 1):
                 start = k * self.chunk
-                if start >= self.low and (self.high is None or start <= self.high):
-                    out.append(Range(f, spec, k, start, min(self.chunk, spec.n_frames - start)))
+                if start + (0 if spec else self.chunk) >= self.low and (self.high is None or start <= self.high):
+                    out.append(Range(f, spec, k, start, min(self.chunk, spec.n_frames - start) if spec else -1))
         return out
 
+    def _spec(self, path: str) -> codec.Spec:
+        with open(path, "rb") as h:
+            return codec.parse(h.read(HEAD_BYTES), os.path.getsize(path), **_options(self.options))
+
     def read(self, part: Range):
-        s = part.spec
-        with open(part.path, "rb") as h:
-            h.seek(s.data_start + part.start * s.frame_bytes)
-            x = codec.decode(h.read(part.frames * s.frame_bytes), s)
-        yield (part.path, s.format, s.bit_stream, s.sample_rate, s.n_channels, s.n_frames, part.chunk_idx, part.start, [c.tolist() for c in x])
+        s = part.spec or self._spec(part.path)
+        frames = s.n_frames if part.frames < 0 else part.frames
+        if frames:
+            with open(part.path, "rb") as h:
+                h.seek(s.data_start + part.start * s.frame_bytes)
+                x = codec.decode(h.read(frames * s.frame_bytes), s)
+            yield (part.path, s.format, s.bit_stream, s.sample_rate, s.n_channels, s.n_frames, part.chunk_idx, part.start, [c.tolist() for c in x])
 
 
 @dataclass
@@ -92,35 +109,41 @@ class Written(WriterCommitMessage):
 class AudioWriter(DataSourceWriter):
     """One file per row of (signal_id, sample_rate, channels); clipped unless ``clip`` is false."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.kind = options.get("fileformat", options.get("fileFormat", "wav"))
         self.stream = options.get("bitstream", options.get("bitStream", "int16be" if self.kind == "aiff" else "int16"))
         self.clip = options.get("clip", "true").lower() != "false"
+        self.overwrite = overwrite
+        self.staging = os.path.join(self.path, f"_staging-{uuid.uuid4().hex}")
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
+        own = os.path.join(self.staging, uuid.uuid4().hex)  # of this attempt
+        os.makedirs(own, exist_ok=True)
         files = []
         for r in rows:
             x = np.array(r["channels"], dtype=float)
             data = codec.encode(x, self.stream, self.clip)
             spec = codec.Spec(self.kind, self.stream, len(x), float(r["sample_rate"]), 0, len(data))
-            name = os.path.join(self.path, f"{r['signal_id']}.{self.kind}")
-            # a retried task replaces the file as a whole
-            with open(f"{name}.part{os.getpid()}", "wb") as h:
+            name = os.path.join(own, f"{r['signal_id']}.{self.kind}")
+            with open(name, "wb") as h:
                 h.write(codec.header(spec) + data)
-            os.replace(f"{name}.part{os.getpid()}", name)
             files.append(name)
         return Written(files)
 
     def commit(self, messages):
-        pass
-
-    def abort(self, messages):
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for x in os.scandir(self.path):
+                if x.is_file() and not x.name.startswith(("_", ".")):
+                    os.remove(x.path)
         for m in messages:
             for f in m.files if m else []:
-                if os.path.exists(f):
-                    os.remove(f)
+                os.replace(f, os.path.join(self.path, os.path.basename(f)))
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages):
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class AudioSource(DataSource):
@@ -135,7 +158,7 @@ class AudioSource(DataSource):
         return AudioReader(self.options)
 
     def writer(self, schema, overwrite):
-        return AudioWriter(self.options)
+        return AudioWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -160,10 +183,14 @@ def read_files(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def read_chunks(spark: SparkSession, path: str, chunk_frames: int = 1 << 20, **options) -> DataFrame:
+    """Mono signals in chunks (signal_id, sample_rate, chunk_idx, samples), each read by its own task; for ``blocks_from_chunks``."""
+    register(spark)
+    return mono(spark.read.format("audio").options(**options).option("chunkFrames", chunk_frames).load(path))
+
+
 def mono(audio: DataFrame) -> DataFrame:
     """(signal_id, sample_rate, chunk_idx, samples): mean over the channels."""
     from ..operators.framing import downmix_arrays
 
     return audio.select(F.col("path").alias("signal_id"), "sample_rate", "chunk_idx", downmix_arrays("channels").alias("samples"))
-
-
