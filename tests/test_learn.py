@@ -108,3 +108,29 @@ def test_matrix_editing(spark):
     rows = {r["k"]: r for r in matrices.determinants(small, "m", ["k"]).collect()}
     assert rows[1]["det"] == pytest.approx(8) and rows[1]["inv"] == [0.5, 0, 0, 0.25]
     assert rows[2]["det"] == 0 and rows[2]["inv"] is None
+
+
+def test_leave_out_in_groups(spark):
+    rng = np.random.default_rng(3)
+    o = spark.createDataFrame([(i, i % 2, [float(i % 2) + 0.2 * float(v), float(v)]) for i, v in enumerate(rng.random(40))], "obs_id long, label int, f array<double>")
+    found = learn.leave_one_out(o, classify=lambda train, query: learn.knn(train, query, 1), folds=4).first()
+    assert found["n"] == 40 and found["accuracy"] == learn.leave_one_out(o, 1).first()["accuracy"] == 1.0
+
+
+def test_fingerprint_matches_against_plain_comparison(spark):
+    from wavemill.operators import music
+
+    rng = np.random.default_rng(4)
+    words = {s: rng.integers(1, 1 << 40, 30).tolist() for s in range(3)}
+    words[1][10:22] = words[0][3:15]
+    words[2][5:15] = [7] * 10  # a steady sound
+    words[0][20:30] = [7] * 10
+    df = spark.createDataFrame([(s, i, w) for s, v in words.items() for i, w in enumerate(v)], "signal_id long, block_idx long, word long")
+    got = {(r["query_id"], r["signal_id"], r["offset"]): (r["words"], round(r["bits"], 9)) for r in music.match_fingerprints(df.where("signal_id = 0"), df, most_bits=40).collect()}
+
+    def plain(s, offset):
+        at = [(words[0][i], words[s][i + offset]) for i in range(30) if 0 <= i + offset < 30]
+        return len(at), round(float(np.mean([bin(a ^ b).count("1") for a, b in at])), 9)
+
+    assert set(got) == {(0, 0, 0), (0, 1, 7), (0, 2, -15)} and all(got[k] == plain(*k[1:]) for k in got)
+    assert set(music.match_fingerprints(df.where("signal_id = 0"), df, most_bits=40, least_hits=5).select("signal_id").toPandas()["signal_id"]) == {0, 1}

@@ -160,14 +160,20 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 3, normalise: str = "none
     return lists.mapInArrow(run, "obs_id long, predicted int")
 
 
-def leave_one_out(obs: DataFrame, k: int = 3, classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(accuracy, n). k-NN leaves each row out within one join; ``classify(train, query)`` is run once per row otherwise."""
+def leave_one_out(obs: DataFrame, k: int = 3, classify: Callable[[DataFrame, DataFrame], DataFrame] | None = None, folds: int | None = None) -> DataFrame:
+    """(accuracy, n). k-NN leaves each row out within one join.
+
+    Any other ``classify(train, query)`` is a fit of its own for each row left out, so one plan a row; with
+    ``folds`` rows are left out in that many groups (by the hash of the id) instead, one plan a group.
+    """
     if classify is None:
         found = knn(obs, obs, k, exclude_self=True)
     else:
+        name = F.pmod(F.xxhash64("obs_id"), F.lit(folds)) if folds else F.col("obs_id")
+        parts = [(r,) for r in range(folds)] if folds else obs.select("obs_id").toLocalIterator()
         found = None
-        for r in obs.select("obs_id").toLocalIterator():
-            one = classify(obs.where(F.col("obs_id") != r["obs_id"]), obs.where(F.col("obs_id") == r["obs_id"]))
+        for r in parts:
+            one = classify(obs.where(name != r[0]), obs.where(name == r[0]))
             found = one if found is None else found.unionAll(one)
     joined = obs.select(F.col("obs_id").cast("long").alias("obs_id"), "label").join(found, "obs_id", "left")
     return joined.agg(F.avg((F.coalesce("predicted", F.lit(NO_CLASS)) == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))

@@ -356,12 +356,15 @@ _NOV = {
     "laroche": ("Laroche", "avg(greatest(sqrt(2 * m) - sqrt(2 * pm), 0))"),
 }
 for _name, (_kind, _sql) in _NOV.items():
-    # the last block of a signal may hold rounding dust only, whose logarithm is not comparable
-    @query(f"q_novelty_{_name}", f"with {BMAG} select user_id signal_id, block_idx, round({_sql}, 4) + 0.0 y from two where exists (select 1 from cnt where cnt.user_id = two.user_id and block_idx * 8 + 2 < n) group by all")
+    # blocks of one or two samples may hold rounding dust, whose logarithm is not comparable
+    _dust = "case when any_value(block_idx * 8 + 2 < n) then {} end" if _name == "hainsworth" else "{}"
+
+    @query(f"q_novelty_{_name}", f"with {BMAG} select user_id signal_id, block_idx, {_dust.format(f'round({_sql}, 4) + 0.0')} y from two join cnt using (user_id) group by all")
     def _(spark, d, kind=_kind):
         n = evt(spark, d).groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"))
-        v = music.novelty_values(evt_blocks(spark, d, True), kind, keep=["signal_id", "block_idx"]).join(n, "signal_id").where("block_idx * 8 + 2 < n")
-        return v.select("signal_id", "block_idx", rnd("value", 4).alias("y"))
+        v = music.novelty_values(evt_blocks(spark, d, True), kind, keep=["signal_id", "block_idx"]).join(n, "signal_id")
+        whole = F.expr("block_idx * 8 + 2 < n") if kind == "Hainsworth" else F.lit(True)
+        return v.select("signal_id", "block_idx", F.when(whole, rnd("value", 4)).alias("y"))
 
 
 @query("q_onsets_evt", f"""with {BMAG}, raw as (select user_id, block_idx, sqrt(sum(greatest(2 * m - 2 * pm, 0) * greatest(2 * m - 2 * pm, 0))) / 9 v from two group by all),
@@ -419,10 +422,14 @@ def _values(rows: np.ndarray) -> str:
     return ", ".join(f"({i}, {j}, {float(v)!r}::double)" for i, r in enumerate(rows) for j, v in enumerate(r))
 
 
-_KEY_SQL = f"""with {CHR}, base(mode, j, v) as (values {_values(np.array([[6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88], [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]]))}),
+# fixed values: Krumhansl's probe tone ratings, major and minor
+_RATINGS = [[6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88], [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]]
+_KEY_TAIL = f"""base(mode, j, v) as (values {_values(np.array(_RATINGS))}),
  prof as (select b.mode * 12 + p code, (b.j + p) % 12 j, v / s w from base b join (select mode, sum(v) s from base group by 1) t on t.mode = b.mode, (select unnest(range(12)) p) union all select 24, j, 1 / 12::double from (select unnest(range(12)) j)),
- dist as (select vec_id, code, round(sum(abs(c / s - w)), 12) d from (select *, sum(c) over (partition by vec_id) s from chr) c join prof on prof.j = c.p group by all)
- select vec_id signal_id, min_by(code, (d, code))::int code from dist group by 1"""
+ dist as (select vec_id, code, round(sum(abs(c / s - w)), 12) d from (select *, sum(c) over (partition by vec_id) s from chr) c join prof on prof.j = c.p group by all)"""
+_KEY_SQL = f"with {CHR}, {_KEY_TAIL} select vec_id signal_id, min_by(code, (d, code))::int code from dist group by 1"
+_NAMES = ["/".join(f"{n} {mode}" for n in note.split("/")) for mode in ("Major", "Minor") for note in ("C", "C#/Db", "D", "D#/Eb", "E", "F", "F#/Gb", "G", "G#/Ab", "A", "A#/Bb", "B")] + ["No Chord"]
+_NAME = f"({_NAMES!r})[{{}} + 1]"
 
 
 @query("q_key_chr", _KEY_SQL)
@@ -445,6 +452,17 @@ def _(spark, d):
     return music.chord_probabilities(chroma(spark, d), ["signal_id"]).select("signal_id", F.col("chord").alias("code"))
 
 
+@query("q_keys_emb", f"with {_CHROMA}, chr as (select vec_id, p, v c from a), {_KEY_TAIL}, k as (select vec_id, min_by(code, (d, code))::int key from dist group by 1) select vec_id signal_id, key, {_NAME.format('key')} as name from k")
+def _(spark, d):
+    return music.keys(_signals(spark, d, 6000.0), 64, 64)
+
+
+@query("q_chords_emb", f"with {_CHROMA}, chr as (select vec_id, p, v c from a), {_CHORD.removeprefix(CHR + ', ')}, k as (select vec_id, 0 b, min_by(code, (-round(pr, 12), code))::int chord from prob group by 1 union all select distinct vec_id, 1, 24 from prob) select vec_id signal_id, b::bigint block_idx, chord, {_NAME.format('chord')} as name from k")
+def _(spark, d):
+    # a signal of one block has a second block without samples
+    return music.chords(_signals(spark, d, 6000.0), 64, 64, smooth=False).select("signal_id", "block_idx", "chord", "name")
+
+
 # the embeddings of one label, in the order of vec_id, are a sequence
 _VIT = f"""{_CHORD}, fif(c, v) as (values (0, 0), (1, -5), (2, 2), (3, -3), (4, 4), (5, -1), (6, 6), (7, 1), (8, -4), (9, 3), (10, -2), (11, 5), (12, -3), (13, 4), (14, -1), (15, 6), (16, 1), (17, -4), (18, 3), (19, -2), (20, 5), (21, 0), (22, -5), (23, 2)),
  pl as (select c, cos(2 * pi() * v / 12) x, sin(2 * pi() * v / 12) y, case when c < 12 then 0.5::double else 0 end z from fif),
@@ -992,13 +1010,12 @@ def _(spark, d):
 # rows only ----------------------------------------------------------------------------------------
 
 
-def _tones(spark, rate: float = 8000.0, n: int = 16000) -> DataFrame:
-    """A few short tones as signals."""
-    out = None
-    for name, f in {"a": 441.0, "b": 660.0, "c": 1000.0}.items():
-        one = synth.as_signal(synth.sine(spark, f, rate, n), name, rate)
-        out = one if out is None else out.unionByName(one)
-    return out
+def _long_signals(spark, d, rate: float = 8000.0) -> DataFrame:
+    """The ten interleaved signals of the events."""
+    e = read(spark, d, "events")
+    low = e.agg(F.min("event_id")).first()[0] or 0
+    x = F.array_sort(F.collect_list(F.struct(F.expr(f"(event_id - {low}) div 10").alias("i"), F.col("value").alias("x"))))
+    return e.groupBy(((F.col("event_id") - low) % 10).alias("signal_id")).agg(x.alias("v")).select("signal_id", F.lit(rate).alias("sample_rate"), F.transform("v", lambda p: p["x"]).alias("samples"))
 
 
 @query("q_noise")
@@ -1071,48 +1088,55 @@ def _(spark, d):
 
 @query("q_pitch_auditory")
 def _(spark, d):
-    return pitches.pitch(framing.blocks(_tones(spark, n=4096), 1024, 512), ["TimeAuditory"])
+    return pitches.pitch(framing.blocks(_long_signals(spark, d), 64, 32), ["TimeAuditory"])
+
+
+_IF = f"""{BLK}, d as (select user_id, block_idx, k, case when k in (0, 8) then pi() else atan2(-sum(x * h * sin(2 * pi() * k * p / 16)), sum(x * h * cos(2 * pi() * k * p / 16))) end ph, max(abs(x)) top
+  from (select *, 0.5::double * (1 - cos(2 * pi() * p / 17)) h from blk), (select unnest(range(9)) k) group by user_id, block_idx, k),
+ t as (select *, ph - coalesce(case when lag(top) over w > 0 then lag(ph) over w else 0 end, 0) - pi() * k v from d window w as (partition by user_id, k order by block_idx))"""
 
 
-@query("q_inst_freq")
+@query("q_inst_freq", f"with {_IF} select user_id signal_id, block_idx, k::int k, round((pi() * k + v - 2 * pi() * floor((v + pi()) / (2 * pi()))) / (16 * pi()), 4) + 0.0 hz from t where k between 1 and 7")
 def _(spark, d):
-    return spectral.instantaneous_frequency(framing.blocks(_tones(spark), 1024, 256, previous=True), 256).select("signal_id", "block_idx", F.get("inst_hz", F.lit(57)).alias("hz"))
+    # the two real bins lie on the edge where phases wrap
+    out = spectral.instantaneous_frequency(evt_blocks(spark, d, True), 8)
+    return out.select("signal_id", "block_idx", F.posexplode("inst_hz").alias("k", "hz")).where("k between 1 and 7").select("signal_id", "block_idx", "k", rnd("hz", 4).alias("hz"))
 
 
 @query("q_fingerprint_full")
 def _(spark, d):
-    return music.fingerprints(_tones(spark)).select("signal_id", "block_idx", "word", F.lower(F.hex("word")).alias("hex"))
+    return music.fingerprints(_long_signals(spark, d)).select("signal_id", "block_idx", "word", F.lower(F.hex("word")).alias("hex"))
 
 
 @query("q_fingerprint_match")
 def _(spark, d):
-    w = music.fingerprints(_tones(spark))
-    return music.match_fingerprints(w.where("signal_id = 'a'"), w)
+    w = music.fingerprints(_long_signals(spark, d))
+    return music.match_fingerprints(w.where("signal_id < 3"), w, most_bits=4)
 
 
 @query("q_novelty_audio")
 def _(spark, d):
-    return music.novelty(_tones(spark), "Flux", 1024, 512, 8000.0).select("signal_id", "block_idx", "novelty", "onset")
+    return music.novelty(_long_signals(spark, d), "Flux", 64, 16).select("signal_id", "block_idx", "novelty", "onset")
 
 
 @query("q_beat_audio")
 def _(spark, d):
-    return music.beat_histogram(_tones(spark), "fft", 256, 64, 256, 8000.0)
+    return music.beat_histogram(_long_signals(spark, d), "fft", 64, 16, 256)
 
 
 @query("q_chords_audio")
 def _(spark, d):
-    return music.chords(_tones(spark, n=32000), 4096, 2048)
+    return music.chords(_long_signals(spark, d), 64, 32)
 
 
 @query("q_keys_audio")
 def _(spark, d):
-    return music.keys(_tones(spark, n=32000), 4096, 2048)
+    return music.keys(_long_signals(spark, d), 64, 32)
 
 
 @query("q_nmf")
 def _(spark, d):
-    m = spectral.magnitudes(framing.blocks(_tones(spark, n=4096), 256, 128))
+    m = spectral.magnitudes(framing.blocks(_long_signals(spark, d), 64, 32))
     return learn.nmf(m, 2).select("signal_id", "part", "i", F.posexplode("v").alias("j", "v"))
 
 
