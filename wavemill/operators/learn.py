@@ -416,10 +416,11 @@ def nmf_matrix(x: np.ndarray, w: np.ndarray, h: np.ndarray, max_iter: int = 300,
     return w, h, w @ h, cost
 
 
-def nmf(matrices: DataFrame, rank: int, max_iter: int = 300, sparsity: float = 0.0, seed: int = 1) -> DataFrame:
+def nmf(matrices: DataFrame, rank: int, max_iter: int = 300, sparsity: float = 0.0, seed: int = 1, start: Callable[[int, int], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
     """(signal_id, part, i, v): W (one row per component), H and estimate rows of each signal's matrix of blocks.
 
-    ``matrices`` has (signal_id, block_idx, mag). One matrix is factorised in one task.
+    ``matrices`` has (signal_id, block_idx, mag). One matrix is factorised in one task. ``start(bins, blocks)``
+    gives the first W and H; without it they are drawn.
     """
     kind = dict(matrices.dtypes)["signal_id"]
 
@@ -427,7 +428,8 @@ def nmf(matrices: DataFrame, rank: int, max_iter: int = 300, sparsity: float = 0
         table = table.sort_by("block_idx")
         x = np.array(table.column("mag").to_pylist(), dtype=float).T
         rng = np.random.Generator(np.random.PCG64(seed))
-        w, h, est, _ = nmf_matrix(x, rng.random((x.shape[0], rank)), rng.random((rank, x.shape[1])), max_iter, sparsity)
+        first = start(*x.shape) if start else (rng.random((x.shape[0], rank)), rng.random((rank, x.shape[1])))
+        w, h, est, _ = nmf_matrix(x, *first, max_iter, sparsity)
         rows = [("W", i, c) for i, c in enumerate(w.T)] + [("H", i, c) for i, c in enumerate(h)] + [("X", i, c) for i, c in enumerate(est.T)]
         key = table.column("signal_id")[0].as_py()
         return pa.table({"signal_id": pa.array([key] * len(rows), table.schema.field("signal_id").type), "part": [p for p, _, _ in rows], "i": pa.array([i for _, i, _ in rows], pa.int64()), "v": pa.array([c for _, _, c in rows], pa.list_(pa.float64()))})

@@ -78,7 +78,8 @@ def beat_histogram_from_curve(curves: DataFrame, method: str = "fft", size: int
         for batch in batches:
             for i, rate, curve in zip(batch.column("signal_id").to_pylist(), batch.column("rate").to_pylist(), batch.column("curve"), strict=True):
                 v = K.beat_histogram(np.asarray(curve.as_py(), dtype=float), rate, method, size)
-                bpm = K.beat_axis(method, size, rate)[-len(v) :] if len(v) else np.empty(0)
+                skipped = max(0, -K.beat_range(method, size, rate)[0])  # bins below the first one
+                bpm = K.beat_axis(method, size, rate)[skipped : skipped + len(v)]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(v), batch.schema.field("signal_id").type), pa.array(np.arange(len(v))), pa.array(bpm), pa.array(v)], names=["signal_id", "bin", "bpm", "value"])
 
     source = curves.select("signal_id", F.col("rate").cast("double").alias("rate"), "curve")

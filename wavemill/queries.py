@@ -19,6 +19,7 @@ from .operators import features as feat
 from .operators import framing, learn, music
 from .operators import pitch as pitches
 from .operators import spectral
+from .plans import planner
 from .sources import audio, synth
 from .streaming import stateful
 
@@ -114,6 +115,11 @@ def _(spark, d):
     return framing.normalise_samples(evt(spark, d)).select("signal_id", "i", rnd("x").alias("x"))
 
 
+@query("q_normalize_arrays", f"with {X}, m as (select vec_id, max(abs(v)) p from x group by 1) select vec_id signal_id, n::int n, round(v / p, 6) + 0.0 y from x join m using (vec_id)")
+def _(spark, d):
+    return _exploded(framing.normalise(_signals(spark, d)))
+
+
 @query("q_downmix", f"with {EVT} select user_id signal_id, i, round((x + coalesce(lag(x) over (partition by user_id order by i), 0)) / 2, 6) + 0.0 x from evt")
 def _(spark, d):
     e = evt(spark, d)
@@ -168,6 +174,19 @@ def _(spark, d):
     return s.select("signal_id", F.posexplode("phase").alias("k", "phase")).select("signal_id", "k", rnd("phase", 4).alias("phase"))
 
 
+@query("q_user_window", f"with {X} select vec_id signal_id, k::int k, round(sqrt(power(sum(v * (n + 1) * cos(2 * pi() * k * n / 64)), 2) + power(sum(v * (n + 1) * sin(2 * pi() * k * n / 64)), 2)) / 64, 6) + 0.0 mag from x, (select unnest(range(33)) k) group by vec_id, k")
+def _(spark, d):
+    m = planner.Signals(_signals(spark, d)).blocks(64, 64).with_window([n + 1.0 for n in range(64)]).magnitudes().where("block_idx = 0")
+    return m.select("signal_id", F.posexplode("mag").alias("k", "mag")).select("signal_id", "k", rnd("mag").alias("mag"))
+
+
+@query("q_axes", "select k::int k, k * 8000 / 64::double hz, case when k < 10 then round(1000 * (power(2, (k + 1) * log2(5::double) / 11) - 1), 6) end mel from (select unnest(range(33)) k)")
+def _(spark, d):
+    mel = spectral.mel_axis(10, 0.0, 4000.0)
+    rows = [(k, float(hz), round(mel[k], 6) if k < 10 else None) for k, hz in enumerate(spectral.frequency_axis(33, 8000.0))]
+    return spark.createDataFrame(rows, "k int, hz double, mel double")
+
+
 @query("q_power", f"with {MAG} select vec_id signal_id, round(sum(m * m), 8) + 0.0 power from mag group by 1")
 def _(spark, d):
     return spectral.magnitudes(emb(spark, d), keep=["signal_id"]).select("signal_id", rnd(E.dot("mag", "mag"), 8).alias("power"))
@@ -388,9 +407,9 @@ def _(spark, d):
  bx as (select b.user_id, b.n, p, coalesce(e.x, 0) * 0.5::double * (1 - cos(2 * pi() * p / 33)) x from (select * from b, (select unnest(range(32)) p)) b left join evt e on e.user_id = b.user_id and e.i = b.n * 8 + p),
  f as (select user_id, n, k, sqrt(power(sum(x * cos(2 * pi() * k * p / 64)), 2) + power(sum(x * sin(2 * pi() * k * p / 64)), 2)) / 64 m from bx, (select unnest(range(8, 55)) k) group by all),
  s as (select user_id, k, sum(m) v from f where k < 32 group by all)
- select user_id signal_id, (k - 8)::bigint bin, round(v / max(v) over (partition by user_id), 6) + 0.0 y from s""")
+ select user_id signal_id, (k - 8)::bigint bin, round(60 * k * 4 / 64::double, 6) bpm, round(v / max(v) over (partition by user_id), 6) + 0.0 y from s""")
 def _(spark, d):
-    return music.beat_histogram_from_curve(_curves(spark, d), "fft", 32).select("signal_id", "bin", rnd("value").alias("y"))
+    return music.beat_histogram_from_curve(_curves(spark, d), "fft", 32).select("signal_id", "bin", rnd("bpm").alias("bpm"), rnd("value").alias("y"))
 
 
 @query("q_beat_acf_evt", f"""with {EVT}, b as (select user_id, unnest(range(count(*) // 8 + 1)) n from evt group by user_id),
@@ -398,9 +417,9 @@ def _(spark, d):
  r as (select a.user_id, a.n, a.p - b.p lag, sum(a.x * b.x) s from bx a join bx b on a.user_id = b.user_id and a.n = b.n and a.p >= b.p group by all),
  q as (select r.user_id, r.lag, sum(r.s / case when z.s > 0 then z.s else 1 end) v from r join r z on z.user_id = r.user_id and z.n = r.n and z.lag = 0 group by all),
  g as (select u.user_id, k, coalesce(v, 0) v from (select distinct user_id from evt) u, (select unnest(range(24, 32)) k) left join q on q.user_id = u.user_id and q.lag = 31 - k)
- select user_id signal_id, (k - 24)::bigint bin, round(v / max(abs(v)) over (partition by user_id), 6) + 0.0 y from g where k <= 31""")
+ select user_id signal_id, (k - 24)::bigint bin, round(60 * 4 / (32 - k)::double, 6) bpm, round(v / max(abs(v)) over (partition by user_id), 6) + 0.0 y from g where k <= 31""")
 def _(spark, d):
-    return music.beat_histogram_from_curve(_curves(spark, d), "acf", 32).select("signal_id", "bin", rnd("value").alias("y"))
+    return music.beat_histogram_from_curve(_curves(spark, d), "acf", 32).select("signal_id", "bin", rnd("bpm").alias("bpm"), rnd("value").alias("y"))
 
 
 def _curves(spark, d):
@@ -588,10 +607,10 @@ def _(spark, d):
     return _pairs(spark, d).select("signal_id", rnd(E.manhattan("x", "y")).alias("l1"), rnd(E.euclidean("x", "y")).alias("l2"), rnd(E.cosine("x", "y")).alias("cs"), rnd(E.dot("x", "y")).alias("dp"))
 
 
-@query("q_elementwise", f"with {_P} select vec_id signal_id, n::int n, round(x + y, 6) + 0.0 a, round(x - y, 6) + 0.0 b, round(x * y, 6) + 0.0 c, round(x + 0.5::double * y, 6) + 0.0 e, round(x * 3 + 1, 6) + 0.0 f, round(case when x < 0 then 0 else x end, 6) + 0.0 z from xy")
+@query("q_elementwise", f"with {_P} select vec_id signal_id, n::int n, round(x + y, 6) + 0.0 a, round(x - y, 6) + 0.0 b, round(x * y, 6) + 0.0 c, round(x + 0.5::double * y, 6) + 0.0 e, round(x * 3 + 1, 6) + 0.0 f, round(case when x < 0 then 0 else x end, 6) + 0.0 z, round(x / (abs(y) + 1), 6) + 0.0 o from xy")
 def _(spark, d):
-    z = F.arrays_zip(E.add("x", "y").alias("a"), E.subtract("x", "y").alias("b"), E.multiply("x", "y").alias("c"), E.add_scaled("x", "y", 0.5).alias("e"), E.add_constant(E.scale("x", 3.0), 1.0).alias("f"), E.zero_below("x", 0.0).alias("z"))
-    return _pairs(spark, d).select("signal_id", F.posexplode(z).alias("n", "q")).select("signal_id", "n", *[rnd(f"q.{c}").alias(c) for c in "abcefz"])
+    z = F.arrays_zip(E.add("x", "y").alias("a"), E.subtract("x", "y").alias("b"), E.multiply("x", "y").alias("c"), E.add_scaled("x", "y", 0.5).alias("e"), E.add_constant(E.scale("x", 3.0), 1.0).alias("f"), E.zero_below("x", 0.0).alias("z"), E.divide("x", F.transform("y", lambda v: F.abs(v) + 1)).alias("o"))
+    return _pairs(spark, d).select("signal_id", F.posexplode(z).alias("n", "q")).select("signal_id", "n", *[rnd(f"q.{c}").alias(c) for c in "abcefzo"])
 
 
 @query("q_reductions", f"with {X} select vec_id signal_id, round(sum(v), 6) + 0.0 s, round(avg(v), 6) + 0.0 m, round(max(v), 6) mx, round(min(abs(v)), 6) mn, round(sqrt(avg(v * v)), 6) r, round(stddev_pop(v), 6) sd, min_by(n, (-v, n))::int am, min_by(n, (v, n))::int an from x group by 1")
@@ -650,6 +669,22 @@ def _(spark, d):
     return one.select(rnd("total").alias("total"), rnd("max").alias("mx"), rnd("norm").alias("norm"), rnd("trace").alias("trace"))
 
 
+@query("q_matrix_edit", f"with {MAT}, w as (select case i when 1 then 3 when 3 then 1 else i end i, j, case when i = 0 then j::double when j = 2 then i / 100::double else v end v from m) select i, j, round(case when v < 0 then 0 else 2 * v + 1 end, 6) + 0.0 v from w")
+def _(spark, d):
+    m = mat(spark, d)
+    new = matrices.set_column(m, 2, m.select("i").distinct().select("i", (F.col("i") / 100).alias("v")))
+    new = matrices.set_row(new, 0, spark.range(64).select(F.col("id").alias("j"), F.col("id").cast("double").alias("v")))
+    new = matrices.swap_rows(new, 1, 3)
+    return matrices.zero_below(matrices.add_constant(matrices.scale(new, 2.0), 1.0), 1.0).select("i", "j", rnd("v").alias("v"))
+
+
+@query("q_vec_mat", f"with {MAT}, y as (select j, sum(v * (i % 7)) v from m group by 1) select a.j i, b.j, round(a.v * b.v, 6) + 0.0 v from y a, y b")
+def _(spark, d):
+    m = mat(spark, d)
+    y = matrices.vec_mat(m.select("i").distinct().select("i", (F.col("i") % 7).cast("double").alias("x")), m)  # 64 values
+    return matrices.outer(y.select(F.col("j").alias("i"), F.col("v").alias("x")), y.select("j", F.col("v").alias("y"))).select("i", "j", rnd("v").alias("v"))
+
+
 @query("q_mat_vec", f"with {MAT} select i, round(sum(v * (j + 1)), 6) + 0.0 v from m group by 1")
 def _(spark, d):
     x = spark.range(64).select(F.col("id").alias("j"), (F.col("id") + 1).cast("double").alias("x"))
@@ -798,10 +833,12 @@ def _(spark, d):
 # recurrences ---------------------------------------------------------------------------------------
 
 
-@query("q_single_pole", f"with recursive {X}, y(vec_id, n, y) as (select vec_id, 0, 0.3::double * v from x where n = 0 union all select x.vec_id, x.n::int, 0.3::double * x.v + 0.7::double * y.y from y join x on x.vec_id = y.vec_id and x.n = y.n + 1) select vec_id signal_id, n, round(y, 6) + 0.0 y from y")
+_SP = K.single_pole_alpha(0.1, 64.0)
+
+
+@query("q_single_pole", f"with recursive {X}, y(vec_id, n, y) as (select vec_id, 0, {1 - _SP!r}::double * v from x where n = 0 union all select x.vec_id, x.n::int, {1 - _SP!r}::double * x.v + {_SP!r}::double * y.y from y join x on x.vec_id = y.vec_id and x.n = y.n + 1) select vec_id signal_id, n, round(y, 6) + 0.0 y from y")
 def _(spark, d):
-    s = emb(spark, d).select("signal_id", "sample_rate", F.col("x").alias("samples"))
-    return _exploded(framing.filter_signals(s, (0.3,), (1.0, -0.7)))
+    return _exploded(framing.single_pole(_signals(spark, d), 0.1))
 
 
 @query("q_iir_biquad", f"with recursive {X}, y(vec_id, n, y, y1, x0, x1) as (select vec_id, 0, 0.2::double * v, 0::double, v, 0::double from x where n = 0 union all select x.vec_id, x.n::int, 0.2::double * x.v + 0.4::double * y.x0 + 0.2::double * y.x1 + 0.5::double * y.y - 0.3::double * y.y1, y.y, x.v, y.x0 from y join x on x.vec_id = y.vec_id and x.n = y.n + 1) select vec_id signal_id, n, round(y, 6) + 0.0 y from y")
@@ -1134,6 +1171,23 @@ def _(spark, d):
     return music.keys(_long_signals(spark, d), 64, 32)
 
 
+# the magnitudes of the embeddings of each label form a matrix; one update from fixed starts
+_NMF = f"""{MAG}, o as (select vec_id, label l, row_number() over (partition by label order by vec_id) - 1 j from embeddings), xx as (select l, k i, j, m x from mag join o using (vec_id)), c as (select unnest(range(2)) c),
+ w0 as (select k i, c, 1 + (k + c) % 3::double w from (select unnest(range(33)) k), c), wn as (select i, c, w / sum(w) over (partition by c) w from w0), h0 as (select distinct l, j, c, 1 + (j + c) % 2::double h from o, c),
+ e0 as (select l, i, j, sum(w * h) e from wn join h0 using (c) group by all), r as (select l, i, j, x / (e + 1e-30::double) r from xx join e0 using (l, i, j)),
+ h1 as (select r.l, r.j, c, any_value(h) * sum(w * r) / (1 + 1e-30::double) h from r join wn using (i) join h0 using (l, j, c) group by r.l, r.j, c),
+ w1 as (select r.l, r.i, c, any_value(w) * sum(r * h1.h) / (sum(h1.h) + 1e-30::double) w from r join h1 using (l, j) join wn using (i, c) group by r.l, r.i, c)"""
+
+
+@query("q_nmf_step", f"with {_NMF} select l signal_id, 'H' part, c i, j::int j, round(h, 6) + 0.0 v from h1 union all select l, 'W', c, i::int, round(w / sum(w) over (partition by l, c), 6) + 0.0 from w1")
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    o = e.select(F.col("vec_id").alias("signal_id"), F.col("label"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("block_idx"))
+    m = spectral.magnitudes(emb(spark, d), keep=["signal_id"]).join(o, "signal_id").select(F.col("label").alias("signal_id"), "block_idx", "mag")
+    out = learn.nmf(m, 2, 1, start=lambda bins, n: (1.0 + np.add.outer(np.arange(bins), np.arange(2)) % 3, 1.0 + np.add.outer(np.arange(2), np.arange(n)) % 2))
+    return out.where("part <> 'X'").select("signal_id", "part", "i", F.posexplode("v").alias("j", "v")).select("signal_id", "part", "i", "j", rnd("v").alias("v"))
+
+
 @query("q_nmf")
 def _(spark, d):
     m = spectral.magnitudes(framing.blocks(_long_signals(spark, d), 64, 32))
