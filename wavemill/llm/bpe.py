@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 
 from .common import sliced, utf8_column
 
-#: What a worker remembers: chunks between blanks, pre-split words; states of the determinised automaton (about 1 KB each).
+#: What a worker remembers: chunks between blanks, pre-split words; states of the determinised automaton (about 700 bytes each).
 CACHE_CHUNKS = 400_000
-MOST_STATES = 100_000
+MOST_STATES = 200_000
 NEVER = 1 << 60
 #: White space as the file's pattern has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
