@@ -508,9 +508,18 @@ def moving_average_zero_phase(x, size: int):
     return moving_average(y[:, ::-1], size)[:, ::-1][:, : x.shape[1]]
 
 
-def peak_meter(x, fs: float, state: float = 0.0, attack: float = 0.01, release: float = 1.5):
-    """Peak programme meter over one sample sequence: (values, state)."""
+def peak_meter(x: np.ndarray, fs: float, state=0.0, attack: float = 0.01, release: float = 1.5):
+    """Peak programme meter over one sample sequence, or over the rows of a matrix side by side: (values, state)."""
     up, down = single_pole_alpha(attack, fs), single_pole_alpha(release, fs)
+    if x.ndim == 2 and len(x) > 8:
+        v = np.abs(x).T.copy()
+        s, out = np.broadcast_to(np.asarray(state, dtype=float), len(x)), np.empty_like(v)
+        for i, now in enumerate(v):
+            out[i] = s = np.where(s > now, down * s, (1 - up) * now + up * s)
+        return out.T, s
+    if x.ndim == 2:
+        rows = [peak_meter(r, fs, s, attack, release) for r, s in zip(x, np.broadcast_to(state, len(x)), strict=True)]
+        return np.stack([r for r, _ in rows]) if rows else x, np.array([s for _, s in rows])
     out = np.empty(len(x))
     for i, v in enumerate(np.abs(x).tolist()):
         state = down * state if state > v else (1 - up) * v + up * state

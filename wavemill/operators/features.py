@@ -73,21 +73,40 @@ def features(blocks: DataFrame, names: list[str], window="hann", parameters: dic
     return map_arrays(blocks, arrays, {n: "array<double>" if f.many else "double" for n, f in chosen.items()}, fn, keep or _keys(blocks))
 
 
+#: Samples, overlapping ones counted each time, that meters run over at once.
+METER_SAMPLES = 1 << 22
+
+
 def envelopes(signals: DataFrame, block: int = 2048, hop: int = 1024, rms_tau: float = 0.3) -> DataFrame:
-    """(signal_id, block_idx, peak, ppm, rms, rms_lp): block values and those of meters whose state runs on over the blocks."""
+    """(signal_id, block_idx, peak, ppm, rms, rms_lp): block values and those of meters whose state runs on over the blocks.
+
+    Signals of equal length and rate run through the meters side by side. Null signals have no blocks; null samples are 0.
+    """
+
+    def some(ids: list, x: np.ndarray, fs: float, kind: pa.DataType) -> pa.RecordBatch:
+        n = x.shape[1] // hop + 1
+        x = np.pad(x, ((0, 0), (0, block)))
+        b = np.stack([x[:, k * hop : k * hop + block] for k in range(n)], axis=1)
+        # overlapping blocks pass through the meters one after the other
+        run = b.reshape(len(x), -1)
+        ppm, _ = K.peak_meter(run, fs)
+        low = K.single_pole(run**2, K.single_pole_alpha(rms_tau, fs))
+        most = lambda v: v.reshape(len(x), n, block).max(axis=2).ravel()
+        cols = {"block_idx": np.tile(np.arange(n), len(x)), "peak": most(b), "ppm": most(ppm), "rms": K.time_rms(b.reshape(-1, block), fs), "rms_lp": np.sqrt(np.maximum(most(low), 0))}
+        return pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], kind), *map(pa.array, cols.values())], names=["signal_id", *cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, s, fs in zip(batch.column("signal_id").to_pylist(), batch.column("samples"), batch.column("sample_rate").to_pylist(), strict=True):
-                x = np.asarray(s.as_py(), dtype=float)
-                n = len(x) // hop + 1
-                x = np.pad(x, (0, block))
-                b = np.stack([x[k * hop : k * hop + block] for k in range(n)])
-                # overlapping blocks pass through the meters one after the other
-                ppm, _ = K.peak_meter(b.ravel(), fs)
-                low = K.single_pole((b.ravel() ** 2)[None, :], K.single_pole_alpha(rms_tau, fs))[0]
-                cols = {"block_idx": np.arange(n), "peak": b.max(axis=1), "ppm": ppm.reshape(n, block).max(axis=1), "rms": K.time_rms(b, fs), "rms_lp": np.sqrt(np.maximum(low.reshape(n, block).max(axis=1), 0))}
-                yield pa.RecordBatch.from_arrays([pa.array([i] * n, batch.schema.field("signal_id").type), *map(pa.array, cols.values())], names=["signal_id", *cols])
+            groups: dict[tuple[int, float], list[int]] = {}
+            for row, (s, fs) in enumerate(zip(batch.column("samples"), batch.column("sample_rate").to_pylist(), strict=True)):
+                if s.is_valid and fs is not None:
+                    groups.setdefault((len(s), fs), []).append(row)
+            for (size, fs), rows in groups.items():
+                step = max(1, METER_SAMPLES // ((size // hop + 1) * block))
+                for at in range(0, len(rows), step):
+                    part = batch.take(pa.array(rows[at : at + step]))
+                    x = part.column("samples").flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(part.num_rows, size)
+                    yield some(part.column("signal_id").to_pylist(), x, fs, batch.schema.field("signal_id").type)
 
     source = signals.select("signal_id", "sample_rate", "samples")
     return source.mapInArrow(run, f"signal_id {dict(source.dtypes)['signal_id']}, block_idx long, peak double, ppm double, rms double, rms_lp double")

@@ -20,7 +20,7 @@ from .operators import framing, learn, music
 from .operators import pitch as pitches
 from .operators import spectral
 from .plans import planner
-from .sources import audio, synth
+from .sources import audio, synth, text
 from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1038,6 +1038,58 @@ def _(spark, d):
     return out.select(_file(), "n_frames", *[rnd(E.total(F.get("channels", F.lit(k)))).alias(c) for k, c in enumerate("ab")])
 
 
+# text files ----------------------------------------------------------------------------------------
+
+
+def _lines(spark, folder: str) -> DataFrame:
+    """(signal_id, value): the lines of text files, one folder per signal."""
+    return spark.read.text(folder).select(F.col("signal_id").cast("long").alias("signal_id"), "value")
+
+
+@query("q_text_series", f"with {BLK} select user_id signal_id, (8 + block_idx * 8)::double t_s, round(sum(x), 6) + 0.0 y from blk group by all")
+def _(spark, d):
+    folder = _folder(spark)
+    text.write_series(evt_blocks(spark, d).withColumn("y", rnd(E.total("x"))), "y", folder)
+    cells = F.split("value", "\t")
+    return _lines(spark, folder).select("signal_id", cells[0].cast("double").alias("t_s"), cells[1].cast("double").alias("y"))
+
+
+@query("q_text_matrix", f"with {BLK} select user_id signal_id, p::int p, string_agg(round(x, 2)::double::varchar, ' ' order by block_idx) line from blk group by all")
+def _(spark, d):
+    folder = _folder(spark)
+    cells = F.transform("x", lambda v: F.round(v, 2))
+    numbered = evt_blocks(spark, d).withColumn("x", F.concat(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda p: p.cast("double")), cells))
+    # the first line of each block's place is its number, so that lines can be told apart after reading
+    places = numbered.select("signal_id", F.lit(-1).cast("long").alias("block_idx"), F.slice("x", 1, 16).alias("x")).distinct()
+    text.write_matrix(places.unionByName(numbered.select("signal_id", "block_idx", F.slice("x", 17, 16).alias("x"))), "x", folder)
+    return _lines(spark, folder).select("signal_id", F.split("value", "\t")[0].cast("double").cast("int").alias("p"), F.regexp_replace(F.substring_index("value", "\t", -1000000), "^[^\t]*\t", "").alias("line")).withColumn("line", F.translate("line", "\t", " "))
+
+
+@query("q_text_column", f"with {_FP} select vec_id signal_id, printf('%x', word) line from wd")
+def _(spark, d):
+    folder = _folder(spark)
+    text.write_column(_words(spark, d).withColumn("block_idx", F.lit(0)), text.hex_word(), folder)
+    return _lines(spark, folder).withColumnRenamed("value", "line")
+
+
+@query("q_butterworth", "with c as (select k, tan(pi() * k / 20) w from (select unnest(range(1, 10)) k)) select k, round(w * w / (1 + sqrt(2) * w + w * w), 9) b0, round(2 * (w * w - 1) / (1 + sqrt(2) * w + w * w), 9) + 0.0 a1, round((1 - sqrt(2) * w + w * w) / (1 + sqrt(2) * w + w * w), 9) a2 from c")
+def _(spark, d):
+    rows = [(k, *(round(float(v), 9) + 0.0 for v in (b[0], a[1], a[2]))) for k in range(1, 10) for b, a in [K.butterworth(2, k / 10)]]
+    return spark.createDataFrame(rows, "k long, b0 double, a1 double, a2 double")
+
+
+# singular values of the matrix of products of the dimensions, by the powers' traces; and what the parts give back
+@query("q_svd", f"with {MAT}, g as (select a.j i, b.j, sum(a.v * b.v) g from m a join m b using (i) group by all) select (select round(sum(g), 6) from g where i = j) t1, (select round(sum(g * g), 6) from g) t2, 0.0::double off, true falling")
+def _(spark, d):
+    m = mat(spark, d)
+    g = np.zeros((64, 64))
+    for r in matrices.matmul(matrices.transpose(m), m).collect():  # 64 by 64
+        g[r["i"], r["j"]] = r["v"]
+    u, w, v = learn.svd(g)
+    off = float(np.abs(u * w @ v.T - g).max())
+    return spark.createDataFrame([(round(float(w.sum()), 6), round(float((w * w).sum()), 6), round(off, 6), bool((np.diff(w) <= 0).all()))], "t1 double, t2 double, off double, falling boolean")
+
+
 @query("q_window_levels", "select user_id, strftime(ts, '%Y-%m-%d') as start, round(avg(value), 6) mean, round(sqrt(avg(value * value)), 6) rms, count(*) n from events group by all")
 def _(spark, d):
     out = stateful.windowed_levels(read(spark, d, "events"), "1 day")
@@ -1089,7 +1141,7 @@ def _(spark, d):
     return _exploded(framing.resample(_signals(spark, d), 48.0))
 
 
-def _gammatone_sql(bands: int, start: float, fs: float) -> str:
+def _gammatone_sql(bands: int, start: float, fs: float, source: str = X) -> str:
     """CTE ``g(vec_id, band, n, y)``: the cascade of four sections in each band."""
     rows = []
     for band, fc in enumerate(K.gammatone_centres(bands, start, fs)):
@@ -1101,7 +1153,7 @@ def _gammatone_sql(bands: int, start: float, fs: float) -> str:
     last = ", ".join(f"n{k}, u{k}" for k in range(1, 5))
     cols = ", ".join(f"u{k}, w{k}" for k in range(1, 5))
     zero = ", ".join("0::double, 0::double" for _ in range(4))
-    return f"""{X}, co({names}) as (values {values}), g(vec_id, band, n, x, {cols}) as (select distinct vec_id, band, -1, 0::double, {zero} from x, co
+    return f"""{source}, co({names}) as (values {values}), g(vec_id, band, n, x, {cols}) as (select distinct vec_id, band, -1, 0::double, {zero} from x, co
   union all select vec_id, band, n, v, {last} from (select y.vec_id, y.band, e.n::int n, e.v, y.u1, y.u2, y.u3, y.u4, {step} from g y join x e on e.vec_id = y.vec_id and e.n = y.n + 1 join co on co.band = y.band))"""
 
 
@@ -1211,6 +1263,21 @@ def _(spark, d):
     return learn.score_mixtures(o, learn.gmm_classifier(o.where("label is not null"), 2, 5)).select("obs_id", "predicted")
 
 
+@query("q_stream_gammatone", f"with recursive {_gammatone_sql(1, 2.0, 64.0, _LNG + ', x as (select s vec_id, i n, x v from lng)')} select vec_id signal_id, n i, round(u4, 6) + 0.0 y from g where n >= 0")
+def _(spark, d):
+    centre = float(K.gammatone_centres(1, 2.0, 64.0)[0])
+    return _stream(spark, d, lambda s: stateful.gammatone(s, centre, 64.0)).select("signal_id", "i", rnd("y").alias("y"))
+
+
+_LBLK = f"{_LNG}, blk as (select lb.s user_id, b block_idx, p, coalesce(x, 0) x from (select s, unnest(range(count(*) // 8 + 1)) b from lng group by s) lb cross join (select unnest(range(16)) p) left join lng on lng.s = lb.s and lng.i = b * 8 + p)"
+
+
+@query("q_stream_inst_freq", f"with {_IF.replace(BLK, _LBLK)} select user_id signal_id, block_idx, k::int k, round((pi() * k + v - 2 * pi() * floor((v + pi()) / (2 * pi()))) / (16 * pi()), 4) + 0.0 hz from t where k between 1 and 7")
+def _(spark, d):
+    out = _stream(spark, d, lambda s: stateful.instantaneous_frequency(s, 16, 8, 1.0))
+    return out.select("signal_id", "block_idx", F.posexplode("inst_hz").alias("k", "hz")).where("k between 1 and 7").select("signal_id", "block_idx", "k", rnd("hz", 4).alias("hz"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven features of every block of every user's event signal, from one shared spectrum per block."""
     names = ["SpectralCentroid", "SpectralSpread", "SpectralRolloff", "SpectralFlux", "SpectralFlatness", "TimeRms", "TimeZeroCrossingRate"]
