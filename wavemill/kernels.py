@@ -671,7 +671,8 @@ def key_of(chroma):
     s = chroma.sum(axis=1, keepdims=True)
     c = chroma / np.where(s > 0, s, 1)
     d = np.abs(c[:, None, :] - key_profiles()[None, :, :]).sum(axis=2)
-    return np.where(s[:, 0] > 0, d.argmin(axis=1), 24)
+    # profiles that are equally near but for rounding: the first one
+    return np.where(s[:, 0] > 0, np.round(d, 12).argmin(axis=1), 24)
 
 
 # --- sequences -----------------------------------------------------------------------------------
