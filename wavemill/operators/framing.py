@@ -63,8 +63,16 @@ def placed(values, length) -> Column:
     """Array of ``length`` numbers with each x of the sorted array of struct(p, x) in its place p; zeros elsewhere, the first of equal places counts."""
     once = F.filter(values, lambda s, j: (j == 0) | (s["p"] != F.get(values, j - 1)["p"]))
     gap = lambda v, s, j: s["p"] - F.when(j > 0, F.get(v, j - 1)["p"]).otherwise(F.lit(-1)) - 1
-    filled = bind(once, lambda v: F.flatten(F.transform(v, lambda s, j: F.concat(F.array_repeat(F.lit(0.0), gap(v, s, j).cast("int")), F.array(F.coalesce(s["x"], F.lit(0.0)))))))
-    return bind(filled, lambda f: F.concat(f, F.array_repeat(F.lit(0.0), (length - F.size(f)).cast("int"))))
+    x = lambda s: F.coalesce(s["x"], F.lit(0.0))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    sparse = bind(once, lambda v: F.flatten(F.transform(v, lambda s, j: F.concat(zeros(gap(v, s, j)), F.array(x(s))))))
+    first, last = F.get(values, F.lit(0))["p"], F.get(values, F.size(values) - 1)["p"]
+    # without a gap or a repeated place the values follow each other
+    dense = F.size(values) == last - first + 1
+    plain = F.concat(zeros(first), F.transform(values, x))
+    strict = F.transform(values, lambda s, j: s["p"] == first + j)
+    filled = F.when(dense & F.forall(strict, lambda ok: ok), plain).otherwise(sparse)
+    return bind(filled, lambda f: F.concat(f, zeros(length - F.size(f))))
 
 
 def blocks_from_samples(samples: DataFrame, block: int, hop: int, rate: float = 1.0, previous: bool = False, chunk_hops: int = 0) -> DataFrame:
@@ -212,6 +220,25 @@ def gammatone_bands(signals: DataFrame, bands: int = 20, start: float = 100.0, n
 # --- moving averages over a sequence column -------------------------------------------------------
 
 
+#: Up to this size averages are plain sliding sums.
+SHORT = 32
+
+
+def _short_zero_phase(df: DataFrame, value: str, size: int, out: str, key: str, order: str) -> DataFrame:
+    """Sliding sums of v and of place * v, the places counted within four sizes, from one of two starts so that no frame wraps around."""
+    w = Window.partitionBy(key).orderBy(order)
+    placed = df.withColumn("_n", (F.row_number().over(w) - 1) % (4 * size))
+    near = F.col("_n").between(size, 3 * size - 1)
+    n, v, back, ahead = float(size), F.col(value), w.rowsBetween(-(size - 1), 0), w.rowsBetween(1, size - 1)
+    terms = []
+    for c in (F.col("_n"), (F.col("_n") + 2 * size) % (4 * size)):
+        left = (n - c) * F.sum(v).over(back) + F.sum(c * v).over(back)
+        right = (n + c) * _zero(F.sum(v).over(ahead)) - _zero(F.sum(c * v).over(ahead))
+        terms.append((left + right) / (n * n))
+    summed = placed.withColumns({"_one": terms[0], "_two": terms[1]})
+    return summed.withColumn(out, F.when(near, F.col("_one")).otherwise(F.col("_two"))).select(*df.columns, *([out] if out not in df.columns else []))
+
+
 def _run_sums(df: DataFrame, value: str, size: int, key: str, order: str, weighted: bool) -> DataFrame:
     """Rows with their place ``_r`` in groups ``_b`` of ``size`` rows, sums from the group's start to the row (_p) and from
     the row to its end (_s), and the same of value * place (_pw, _sw). Constant work a row, and no sum is longer than a group.
@@ -232,8 +259,8 @@ def _zero(c) -> Column:
 
 def moving_average(df: DataFrame, value: str, size: int, out: str, key: str = "signal_id", order: str = "block_idx") -> DataFrame:
     """Mean of the last ``size`` values, with zeros before the start."""
-    if size == 1:
-        return df.withColumn(out, F.col(value) / F.lit(1.0))
+    if size <= SHORT:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(-(size - 1), 0)) / size)
     w = Window.partitionBy(key).orderBy("_n")
     before = F.when(F.col("_r") < size - 1, _zero(F.lag("_s", size - 1).over(w))).otherwise(0.0)
     return _run_sums(df, value, size, key, order, False).withColumn(out, (F.col("_p") + before) / size).select(*df.columns, *([out] if out not in df.columns else []))
@@ -247,6 +274,8 @@ def moving_average_zero_phase(df: DataFrame, value: str, size: int, out: str, ke
     """
     if size == 1:
         return df.withColumn(out, F.col(value) / F.lit(1.0))
+    if size <= SHORT:
+        return _short_zero_phase(df, value, size, out, key, order)
     n, r, v = float(size), F.col("_r"), F.col(value)
     w = Window.partitionBy(key).orderBy("_n")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
