@@ -1263,7 +1263,7 @@ def _(spark, d):
     return learn.score_mixtures(o, learn.gmm_classifier(o.where("label is not null"), 2, 5)).select("obs_id", "predicted")
 
 
-@query("q_stream_gammatone", f"with recursive {_gammatone_sql(1, 2.0, 64.0, _LNG + ', x as (select s vec_id, i n, x v from lng)')} select vec_id signal_id, n i, round(u4, 6) + 0.0 y from g where n >= 0")
+@query("q_stream_gammatone", f"with recursive {_gammatone_sql(1, 2.0, 64.0, _LNG + ', x as (select s vec_id, i n, x v from lng)')} select vec_id signal_id, n::bigint i, round(u4, 6) + 0.0 y from g where n >= 0")
 def _(spark, d):
     centre = float(K.gammatone_centres(1, 2.0, 64.0)[0])
     return _stream(spark, d, lambda s: stateful.gammatone(s, centre, 64.0)).select("signal_id", "i", rnd("y").alias("y"))

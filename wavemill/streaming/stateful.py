@@ -80,7 +80,8 @@ def run(samples: DataFrame, step: Step, columns: str, finish: Finish | None = No
         state.update((at, i.tolist(), x.tolist(), memory.tolist(), total))
         if timeout is not None and at < 1 << 62:
             state.setTimeoutDuration(timeout)
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+        if rows:
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
 
     wait = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout
     return samples.groupBy("signal_id").applyInPandasWithState(update, f"signal_id {kind}, {columns}", STATE, "append", wait)
