@@ -731,6 +731,16 @@ def test_packed_lists_round_trip():
     assert len(substring.unpack(substring.pack(np.empty(0, np.uint64)))) == 0
 
 
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (1, 5000, 10, 10, 90_000, 3, 3, 3)]
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "text": texts})
+    parts = list(common.sliced([batch, batch.slice(0, 0)], 6, 10_000))
+    assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(8))
+    assert all(p.num_rows == 1 or p.nbytes <= 10_000 for p in parts) and max(p.num_rows for p in parts) > 1
+
+
 def test_learning_side_is_crc32(spark):
     got = {r["id"]: r["x"] for r in spark.range(50).select("id", common.learn_side("id").alias("x")).collect()}
     assert all(got[i] == (zlib.crc32(str(i).encode()) % 3 != 1) for i in range(50))

@@ -131,11 +131,17 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def sliced(batches, rows: int = 256):
-    """The batches in slices of few rows, so that only these are Python objects at a time."""
+def sliced(batches, rows: int = 256, most_bytes: int = 16 << 20):
+    """The batches in slices of few rows and bytes (a longer row is alone), so that only these are Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [(at, min(rows, batch.num_rows - at)) for at in range(0, batch.num_rows, rows)][::-1]
+        while todo:
+            at, n = todo.pop()
+            part = batch.slice(at, n)
+            if n > 1 and part.nbytes > most_bytes:
+                todo += [(at + n // 2, n - n // 2), (at, n // 2)]
+            else:
+                yield part
 
 
 def utf8_column(batch, name: str) -> list[bytes | None]:
