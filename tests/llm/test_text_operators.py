@@ -393,6 +393,32 @@ def test_line_dedup_keeps_no_common_line_beside_a_rare_one(spark):
     assert got[0]["text"] == texts[0] and got[1]["text"] == texts[1] and all(got[k]["n_removed"] == 3 for k in range(2, 41))
 
 
+def test_line_dedup_query_aligns_with_every_earlier_holder(spark, sf_dir):
+    rows = common.table(spark, sf_dir, "documents").orderBy("doc_id").collect()
+    want = dict(zip([r["doc_id"] for r in rows], map(len, all_pairs([r["text"] or "" for r in rows])), strict=True))
+    assert {r["doc_id"]: r["n_removed"] for r in catalog.op2_linededup(spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_line_dedup_of_hot_lines_in_other_orders(spark, monkeypatch, few):
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "TILE_LINES", 40)
+    monkeypatch.setattr(linededup, "TILE_DOCS", 7)
+    rnd = random.Random(11)
+    hot = [LINE.format(f"hot {i}") for i in range(3)]
+    some = [*hot * 4, *(LINE.format(i) for i in range(25)), "", "", "short", "tiny"]
+    # the first holders hold each hot line once, alone
+    texts = [*hot, *(f"{rnd.choice(hot)}\nown line of document number {k}" for k in range(40))]
+    texts += ["\n".join(rnd.choice(some) for _ in range(rnd.randint(2, 9))) for _ in range(120)]
+    texts += [f"{hot[0]}\nown words of the last document\n{hot[0]}\n\nshort\n{hot[2]}\n{hot[1]}", f"{hot[0]}\nmore own words of the very last\n{hot[0]}"]
+    want = all_pairs(texts)
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, texts), exact=True).collect()}
+    for d, t in enumerate(texts):
+        assert got[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]), d
+    plain = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert sum(plain.values()) < sum(map(len, want))
+
+
 def test_patience_alignment_is_increasing():
     rnd = random.Random(6)
     for _ in range(200):

@@ -27,7 +27,7 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"), F.char_length("text").cast("long").alias("kept_chars"))
 
 

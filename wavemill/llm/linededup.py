@@ -15,9 +15,15 @@
    input texts.
 
 First holders find what alignment with every earlier document that shares a strong line would delete,
-but for lines that stand in another order in the first holder of each of their keys (recall: README).
-``exact=True`` closes that gap: keys whose lines are still there go on to their next holder, one holder
-a round, until all are deleted or no holder is left.
+but for lines that stand in another order, or more often, than in the first holder of each of their keys
+(recall: README). ``exact=True`` closes that gap: keys whose lines are still there go on to all other
+earlier holders. Those of a key with up to FEW holders are aligned one by one. Of a key with more, what
+the holders of its strong line leave of it is found without pairing them: alignment sees of an earlier
+document only the lines that both hold and where gaps are between them. So holders are reduced to their
+cores (short lines, and strong lines that others hold, with gaps), equal cores are one class, named by its
+smallest id, and in tiles of a line a document is aligned with each different remainder of a core once:
+all classes that share but the line itself leave its occurrences only, others are found by the further line.
+No holder is left out.
 
 A document and its partners are met in chunks of CHUNK partners; a line or a first holder that a large
 share of all rows points to is dealt over several tasks (``spread_join``).
@@ -34,17 +40,24 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, takewhile
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, discard, parts, scratch, sliced, spread_join, utf8_column, written
+from .common import MASK64, parts, scratch, sliced, spread_join, utf8_column, written
 
 MIN_CHARS = 20
 #: Partners that meet a document in one group of rows.
 CHUNK = 64
+#: A key with up to this many holders has them aligned one by one.
+FEW = 16
+#: Lines of classes, and documents, that meet in a tile of a line.
+TILE_LINES, TILE_DOCS = 65_536, 16_384
+#: Stands in a core for lines that no other document holds; no line has this hash.
+GAP = -(1 << 63)
 
 
 def line_hash(line: bytes) -> int:
@@ -189,22 +202,112 @@ def _deletions(pairs: DataFrame, lines: DataFrame, folder: str, name: str) -> Da
     return met.select("doc_id", "tid", "first", "lines").mapInArrow(_align, "doc_id long, tid long, gone array<int>")
 
 
-def _left(keys: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (doc_id, key, last) that ``gone`` has not deleted in whole."""
+def reduced(lines: list[int], known) -> list[int]:
+    """The lines of ``known`` in their order, a GAP for what stands between them."""
+    out: list[int] = []
+    for h in lines:
+        if h in known:
+            out.append(h)
+        elif h and out and out[-1] != GAP:
+            out.append(GAP)
+    return out[:-1] if out and out[-1] == GAP else out
+
+
+def _left(shared: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, key, df, first, line, places): the rows of ``shared`` (doc_id, key, df, first) that ``gone`` has not deleted in whole, the strong line their run starts from and the places left."""
+    ddl = "doc_id long, key long, df long, first long, line long, places array<int>"
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("df", pa.int64()), ("first", pa.int64()), ("line", pa.int64()), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64())])
         for batch in sliced(batches, 32):
-            out: list[tuple[int, int]] = []
-            for d, x, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lines", "gone")), strict=True):
-                lost = set(places or ())
-                out += [(d, k) for k, at in run_keys(x).items() if not lost.issuperset(at)]
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                x, lost, at = row["lines"], set(row["gone"] or ()), run_keys(row["lines"])
+                for k in row["keys"]:
+                    ends = at[k["key"]]
+                    # a run's places come in pairs: from its strong line, in one direction or the other
+                    every = ends if k["key"] == x[ends[0]] else [p for a, b in zip(ends[::2], ends[1::2], strict=True) for p in range(min(a, b), max(a, b) + 1)]
+                    places = sorted(set(every) - lost)
+                    if places:
+                        out.append({"doc_id": row["doc_id"], "line": x[ends[0]], "places": places, **k})
             if out:
-                yield pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in out], "key": [k for _, k in out]}, schema=schema)
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     lost = gone.groupBy("doc_id").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    some = lines.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").join(lost, "doc_id", "left")
-    return keys.join(some.select("doc_id", "lines", "gone").mapInArrow(run, "doc_id long, key long"), ["doc_id", "key"])
+    some = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "df", "first")).alias("keys"))
+    return lines.join(some, "doc_id").join(lost, "doc_id", "left").select("doc_id", "lines", "keys", "gone").mapInArrow(run, ddl)
+
+
+def _by_classes(doc: int, own: Lines, line: int, places: set[int], classes: list[tuple[int, list[int]]], index: dict[int, list[int]], alone: dict[tuple[int, ...], list[int]]) -> set[int]:
+    """Places deleted by alignment with the classes (first holder, core) before ``doc``, until all of ``places`` are.
+
+    A class that shares a further line is aligned by what it shares; all others are the occurrences of ``line`` alone.
+    """
+    near = {n for h in own.where if h != line for n in index.get(h, ()) if classes[n][0] < doc}
+    far = (p for p, some in alone.items() if any(n not in near for n in takewhile(lambda n: classes[n][0] < doc, some)))
+    lost: set[int] = set()
+    seen: set[tuple[int, ...]] = set()
+    for x in chain(far, (tuple(reduced(classes[n][1], own.where)) for n in sorted(near))):
+        if x not in seen:
+            seen.add(x)
+            lost.update(own.deleted(list(x)))
+            if places <= lost:
+                break
+    return lost
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a tile of a line: classes (places is null) by their first holders, then documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("gone", pa.list_(pa.int32()))])
+    tile = None
+    for batch in sliced(batches):
+        found: dict[tuple[int, int], set[int]] = {}
+        for row in batch.to_pylist():
+            if (row["key"], row["i"], row["j"]) != tile:
+                tile = row["key"], row["i"], row["j"]
+                classes: list[tuple[int, list[int]]] = []
+                index: dict[int, list[int]] = {}
+                alone: dict[tuple[int, ...], list[int]] = {}
+            if row["places"] is None:
+                for h in set(row["lines"]) - {GAP}:
+                    index.setdefault(h, []).append(len(classes))
+                alone.setdefault(tuple(reduced(row["lines"], {tile[0]})), []).append(len(classes))
+                classes.append((row["doc_id"], row["lines"]))
+            else:
+                lost = _by_classes(row["doc_id"], Lines(row["lines"]), tile[0], set(row["places"]), classes, index, alone)
+                found.setdefault((row["doc_id"], row["tid"]), set()).update(lost)
+        found = {k: v for k, v in found.items() if v}
+        if found:
+            yield pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in found], "tid": [t for _, t in found], "gone": [sorted(v) for v in found.values()]}, schema=schema)
+
+
+def _cores(lines: DataFrame, shared: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, core) of the documents ``ids``: short lines and the strong lines that other documents hold, with gaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("core", pa.list_(pa.int64()))])
+        for batch in sliced(batches):
+            rows = zip(batch.column("lines").to_pylist(), batch.column("keys").to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "core": [reduced(x, {h for h in x if h and not h & 1}.union(keys)) for x, keys in rows]}, schema=schema)
+
+    held = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    return lines.join(ids, "doc_id", "left_semi").join(held, "doc_id").select("doc_id", "lines", "keys").mapInArrow(run, "doc_id long, core array<long>")
+
+
+def _hot_deletions(left: DataFrame, keys: DataFrame, holders: DataFrame, shared: DataFrame, lines: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, tid, gone): places of ``left`` (doc_id, line, places) deleted by alignment with all earlier holders of the line."""
+    left = written(left.groupBy("doc_id", F.col("line").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), folder, "hot")
+    some = written(left.groupBy("key").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("docs")).join(holders.select("key", "df"), "key"), folder, "hotlines")
+    at = written(spread_join(keys, some, "key", "df", "doc_id").where("doc_id < last").select("doc_id", "key"), folder, "at")
+    cores = _cores(lines, shared, at.select("doc_id").distinct())
+    classes = written(at.join(cores, "doc_id").groupBy("key", "core").agg(F.min("doc_id").alias("doc_id")), folder, "classes")
+    sizes = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(F.size("core")) / TILE_LINES).cast("int").alias("ci"))
+    tiles = written(sizes.join(some.select("key", "docs", F.ceil(F.col("docs") / TILE_DOCS).cast("int").alias("cj")), "key"), folder, "tiles")
+    draw = F.xxhash64("doc_id")
+    dealt = spread_join(classes, tiles, "key", "n", "doc_id").select("key", F.pmod(draw, F.col("ci")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cj") - 1)).alias("j"), "doc_id", F.lit(None).cast("long").alias("tid"), F.col("core").alias("lines"), F.lit(None).cast("array<int>").alias("places"))
+    own = spread_join(left, tiles, "key", "docs", "doc_id").join(lines, "doc_id").select("key", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("i"), F.pmod(draw, F.col("cj")).cast("int").alias("j"), "doc_id", "tid", "lines", "places")
+    met = dealt.unionAll(own).repartition(parts(lines), "key", "i", "j").sortWithinPartitions("key", "i", "j", F.col("places").isNotNull(), "doc_id")
+    return met.mapInArrow(_meet, "doc_id long, tid long, gone array<int>")
 
 
 def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -216,20 +319,21 @@ def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     keys = lines.select("doc_id", F.explode("keys").alias("key"))
     lines = lines.drop("keys")
     holders = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("first")).where("df > 1"), folder, "holders")
-    shared = spread_join(keys, holders, "key", "df", "doc_id").where("doc_id > first")
-    gone = _deletions(shared.select("doc_id", "first").distinct(), lines, folder, "0")
+    shared = spread_join(keys, holders, "key", "df", "doc_id")
+    if exact:
+        shared = written(shared.select("doc_id", "key", "df", "first"), folder, "shared")
+    later = shared.where("doc_id > first")
+    gone = _deletions(later.select("doc_id", "first").distinct(), lines, folder, "0")
     if exact:
         gone = written(gone, folder, "gone0")
-        left, turn = written(_left(shared.select("doc_id", "key", F.col("first").alias("last")), lines, gone), folder, "left0"), 0
-        while left.take(1):
-            # all documents of a key are at the same holder
-            at = left.groupBy("key").agg(F.max("last").alias("last"))
-            after = keys.join(at, "key").where("doc_id > last").groupBy("key").agg(F.min("doc_id").alias("next"))
-            some = written(left.join(after, "key").where("doc_id > next").select("doc_id", "key", F.col("next").alias("last")), folder, f"some{turn}")
-            turn += 1
-            gone = gone.unionAll(written(_deletions(some.select("doc_id", F.col("last").alias("first")).distinct(), lines, folder, str(turn)), folder, f"gone{turn}"))
-            left = written(_left(some, lines, gone), folder, f"left{turn}")
-            discard(docs.sparkSession, folder, f"left{turn - 1}")
+        left = written(_left(later.where("df > 2"), lines, gone), folder, "left")
+        few, many = left.where(F.col("df") <= FEW), left.where(F.col("df") > FEW)
+        if not few.isEmpty():
+            rest = few.select("key", F.col("doc_id").alias("_wm_doc"), "first").join(keys, "key").where("doc_id > first and doc_id < _wm_doc")
+            rest = rest.select(F.col("_wm_doc").alias("doc_id"), F.col("doc_id").alias("first")).distinct()
+            gone = gone.unionAll(_deletions(rest, lines, folder, "1"))
+        if not many.isEmpty():
+            gone = gone.unionAll(_hot_deletions(many, keys, holders, shared, lines, folder))
     gone = gone.groupBy("doc_id", "tid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_wm_id"), F.col("tid").alias("_wm_tid"), F.col("gone").alias("_wm_gone"))
 
