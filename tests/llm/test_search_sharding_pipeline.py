@@ -256,6 +256,35 @@ def test_pipeline_against_a_plain_version(spark, sf_dir):
     assert got == want and 50 < len(got) < docs.count()
 
 
+def test_pipeline_line_dedup_goes_on_to_all_earlier_holders(spark):
+    import corpus_pipeline as p
+
+    line = "a line that many documents hold somewhere in their text"
+    texts = [line, *(f"{line}\nown line of document number {k}" for k in range(30)), f"{line}\nown words of this one document\n{line}", f"{line}\nown words of that other document\n{line}"]
+    rows = [(d, t, "en", "web", len(t)) for d, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert got[0] == line and got[1] == "own line of document number 0"
+    # the first holder has the line once, the document before has it twice
+    assert got[31] == f"own words of this one document\n{line}" and got[32] == "own words of that other document"
+
+
+def test_pipeline_line_dedup_of_the_table_against_all_pairs(spark, sf_dir):
+    import corpus_pipeline as p
+    from wavemill.llm import common, linededup
+
+    docs = p.language_id(spark, common.table(spark, sf_dir, "documents").select(*p.COLUMNS), sf_dir).cache()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    hashed = {d: [linededup.line_hash(x.encode()) for x in t.split("\n")] for d, t in sorted(texts.items())}
+    want = {}
+    for d, x in hashed.items():
+        # a document that shares no strong line deletes nothing
+        gone = set().union(*(linededup.deleted(x, y) for e, y in hashed.items() if e < d))
+        left = [s for i, s in enumerate(texts[d].split("\n")) if i not in gone]
+        if not gone or any(s.strip() for s in left):
+            want[d] = "\n".join(left)
+    assert {r["doc_id"]: r["text"] for r in p.line_dedup(spark, docs, sf_dir).collect()} == want
+
+
 def test_pipeline_of_odd_rows_and_an_empty_table(spark, tmp_path):
     import corpus_pipeline as p
 
