@@ -163,3 +163,23 @@ def test_two_texts_of_one_id(spark):
     rows = [("a b c d e f g h i j", 1, "x"), ("q r s t u v w x y z", 1, "x"), ("q r s t u v w x y z z", 2, "x"), ("a b c d e f g h i j j", 3, "x"), ("k l m n o p", 4, "x")]
     got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA), k=2, num=80, den=100).select("doc_id", "n_shingles", "component_id").collect())
     assert got == [(1, 9, 1), (1, 9, 1), (2, 10, 1), (3, 10, 1), (4, 5, 4)]
+
+
+def test_many_candidates_find_their_texts_by_a_bitmap(spark, tmp_path):
+    x = spark.range(90_000).selectExpr("if(id = 6, null, id) doc_id", "xxhash64(id) tid", "concat('text ', id) text")
+    x.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    rows = jaccard.BROADCAST_ROWS + 1
+    named = docs.where("text = 'text 6' or doc_id % 45 = 0").selectExpr("doc_id rep", "tid rep_tid", "text is not null large")
+    out = jaccard._texts_of(named, docs, rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # what is broadcast has a page number and bits, not the candidates
+    assert plan.count("strategy=broadcast") == 1 and "LeftSemi" in plan and "bitmap_construct_agg" in plan
+    assert sorted(r["text"] for r in out.collect()) == sorted(["text 6", *(f"text {i}" for i in range(0, 90_000, 45))])
+
+
+def test_candidates_by_bitmap_give_the_same_components(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want

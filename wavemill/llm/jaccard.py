@@ -66,8 +66,8 @@ HOT_SAMPLE = 16
 PIVOTS, CHUNK_DOCS, MOST_LEVELS = 16, 96, 4
 #: Classes that a task remembers so as to send their parts once.
 MOST_SEEN = 1_000_000
-#: Candidates up to this number (some 20 MB) are broadcast to the texts.
-BROADCAST_ROWS = 500_000
+#: Candidates up to this number are broadcast to the texts; more are known by a bitmap there, of this many bits for each and MOST_BITS in all (16 MB).
+BROADCAST_ROWS, CANDIDATE_BITS, MOST_BITS = 50_000, 16, 1 << 27
 
 
 class Shingles:
@@ -419,6 +419,26 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return left.unionAll(right)
 
 
+def _texts_of(named: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """``named`` (rep, rep_tid and more, so many rows) with their texts, without shuffling all texts.
+
+    Few rows are broadcast. Of more only a bitmap of hashes is; the texts that it lets through, and a few others, are joined by sorting.
+    """
+    docs = docs.where(F.col("text").isNotNull())
+    if rows <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    else:
+        bits = min(CANDIDATE_BITS * rows, MOST_BITS)
+        slot = lambda tid: F.pmod(F.xxhash64(F.lit(7), tid), F.lit(bits))
+        page, bit = (lambda c: F.shiftright(c, 15)), (lambda c: F.pmod(c, F.lit(1 << 15)))  # a page has 4 KB
+        pages = named.select(slot("rep_tid").alias("s")).groupBy(page("s").alias("page")).agg(F.bitmap_construct_agg(bit(F.col("s"))).alias("bits"))
+        # bit b of a page is bit b % 8 of byte b / 8
+        byte = F.conv(F.hex(F.substring("bits", (F.shiftright("at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        held = (page("slot") == F.col("page")) & (byte.bitwiseAND(F.pow(F.lit(2), F.pmod(F.col("at"), F.lit(8))).cast("int")) != 0)
+        docs = docs.withColumn("slot", slot("tid")).withColumn("at", bit(F.col("slot"))).join(F.broadcast(pages), held, "left_semi").drop("slot", "at")
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("rep_tid")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id per row of ``docs`` (doc_id, text): documents link when den * |A n B| >= num * |A u B|."""
     spark = docs.sparkSession
@@ -447,10 +467,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     stats = sizes.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     stats = stats.select("cell", F.expr(f"docs > {REGION_DOCS} or shingles > {REGION_SHINGLES}").alias("large"))
     named = sizes.join(stats, "cell")
-    # few candidates find their texts without shuffling all texts; more than that are joined by sorting
-    named = F.broadcast(named) if sizes.count() <= BROADCAST_ROWS else named
-    members = docs.where(F.col("text").isNotNull()).join(named, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tid") == F.col("rep_tid"))).select("cell", "cid", "n", "text", "large")
-    members = written(members, folder, "members")
+    members = written(_texts_of(named, docs, sizes.count()).select("cell", "cid", "n", "text", "large"), folder, "members")
     links = _joined_regions(members.where("not large"), ["cell"], k, num, den)
     large = members.where("large").drop("large")
     if not large.isEmpty():
