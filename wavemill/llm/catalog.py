@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, pii, quality, sharding, substring, topk
+from . import bpe, codes, decontaminate, jaccard, langid, linededup, lm, manifest, pii, quality, sharding, substring, topk
 from .common import learn_side, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -76,8 +76,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False))
+    out = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), learn)
+    return out.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    out = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", tampered, {"text": F.translate("text", "\n", "")}, with_proofs=False)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_linededup, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op7_pii, op8_substring, op9_topk, op10_sharding)}
+    return {f.__name__: f for f in (op1_jaccard, op2_linededup, op3_langid, op4_quality, op5_bpe, op6_decontaminate, op7_pii, op8_substring, op9_topk, op10_sharding, op11_lm, op12_codes, op13_manifest)}
+
+
+#: The CRC-32 of a value's decimal text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(range(0, 8 * length({0}::varchar)), lambda j: case when j % 8 = 0 then ascii(substr({0}::varchar, j // 8 + 1, 1))::bigint else 0 end),
+                    lambda c, v: xor(xor(c, v) >> 1, case when xor(c, v) & 1 = 1 then 3988292384 else 0 end), 4294967295))"""
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::varchar)::varchar || ':' || {f}::varchar, '-')" for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _codes_sql() -> str:
+    """Rounds as common table expressions: c are codebook entries (p, j, v), a the nearest entries (i, p, j, d)."""
+    near = """a{k} as materialized (select i, p, arg_min({{'j': j, 'd': d}}, {{'d': d, 'j': j}}) m from (
+                select i, v.p, j, (list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x))::bigint d from v join c{k} c using (p)) group by i, p)"""
+    step = """c{n} as materialized (select p, j, coalesce(m.x, c.x) x from c{k} c left join (
+                select p, j, list(x order by q) x from (select p, a.m.j j, q, floor(sum(v.x[q]) / count(*)) x from v join a{k} a using (i, p), unnest(range(1, len(v.x) + 1)) t(q) group by all) group by p, j) m using (p, j))"""
+    rounds = ",\n            ".join(f"{near.format(k=k)},\n            {step.format(k=k, n=k + 1)}" for k in range(4))
+    return f"""
+            with e as (select row_number() over (order by vec_id) i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) x from embeddings
+                       where embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x::double))) = 0),
+            v as materialized (select i, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] x from e, unnest(range(0, 4)) t(p)),
+            c0 as materialized (select p, i - 1 j, x from v where i <= 256),
+            {rounds},
+            {near.format(k=4)},
+            o as (select i, string_agg(printf('%02x', m.j::int), '' order by p) code, sum(m.d)::bigint error from a4 group by i),
+            h as (select sha256(string_agg(array_to_string(list_transform(x, lambda y: y::bigint), ','), ',' order by p, j)) s from c4)
+            select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, s codebooks_sha256 from e join o using (i), h"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -121,4 +166,28 @@ def oracle_sql() -> dict[str, str]:
                   from e q join e c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
             r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int "rank" from s)
             select query_id, "rank", vec_id, score from r where "rank" <= 5""",
+        "op12_codes": _codes_sql(),
+        "op13_manifest": r"""
+            with recursive
+            d as (select *, """ + _CRC32.format("doc_id") + """ % 2 = 0 crc32_even from documents),
+            l as (select source, doc_id, row_number() over (partition by source order by doc_id nulls first) - 1 pos, count(*) over (partition by source) n,
+                         """ + _leaf_sql("text") + """ leaf, case when crc32_even and text is not null then """ + _leaf_sql(r"replace(text, chr(10), '')") + r""" end changed from d),
+            t as (select source, 0 lev, pos, n, leaf h from l
+                  union all select source, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from t where n > 1 group by source, lev, pos // 3, n),
+            s as (select source, h subroot, lev top, row_number() over (order by source nulls first) - 1 pos, count(*) over () n from t where n = 1),
+            u as (select 0 lev, pos, n, subroot h from s
+                  union all select lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' order by pos)) from u where n > 1 group by lev, pos // 3, n),
+            pairs as (select a.source, a.lev, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') lo, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') hi
+                      from t a join t b on a.source is not distinct from b.source and a.lev = b.lev and a.pos // 3 = b.pos // 3 where a.n > 1 group by all),
+            tops as (select a.lev, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') lo, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') hi
+                     from u a join u b on a.lev = b.lev and a.pos // 3 = b.pos // 3 where a.n > 1 group by all),
+            steps as (select l.source, l.pos, p.lev k, lo, hi from l join pairs p on l.source is not distinct from p.source and l.pos // (3 ** p.lev)::bigint = p.pos
+                      union all select l.source, l.pos, s.top + q.lev, lo, hi from l join s on l.source is not distinct from s.source join tops q on s.pos // (3 ** q.lev)::bigint = q.pos),
+            proofs as (select source, pos, string_agg(lo || hi, '' order by k) proof, max(k) last from steps group by source, pos),
+            f as (select source, pos, coalesce(changed, leaf) h, 0 k from l
+                  union all select f.source, f.pos, sha256(lo || h || hi), f.k + 1 from f join steps x on f.source is not distinct from x.source and f.pos = x.pos and f.k = x.k)
+            select l.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) proof_sha256, f.h folded_root, f.h = root verified
+            from l join s on l.source is not distinct from s.source cross join (select h root from u where n = 1) top
+            left join proofs p on l.source is not distinct from p.source and l.pos = p.pos
+            join f on l.source is not distinct from f.source and l.pos = f.pos and f.k = coalesce(p.last + 1, 0)""",
     }
