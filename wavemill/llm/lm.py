@@ -23,7 +23,7 @@ token's count, N all and V the distinct tokens of the learning texts. ``n_tokens
 A null text is an empty one: it has the end only. Rows are scored one by one, so repeated rows give repeated
 results; repeated learning rows count as often as they stand. Null ids are kept (and whether such a row is
 learnt from is the caller's condition; null counts as false). With nothing to learn from every byte has
-probability 1/256 and base scores are 0. Very long texts are read whole, in windows. An empty table gives no rows. Columns beyond
+probability 1/256 and base scores are 0. The probability of a byte is rounded to single precision. Very long texts are read whole, in windows. An empty table gives no rows. Columns beyond
 doc_id and text are not read; an id of any type is kept as it is.
 """
 
@@ -36,6 +36,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ class Sizes(NamedTuple):
     """Bytes of text in a slice (a longer text is a slice of its own), in a packed row, in a window of a pass, and for each
     shard of grams; grams that a task of the trees takes at once, if no context holds more. Results do not depend on them."""
 
-    slice: int = 16 << 20
+    slice: int = 32 << 20
     row: int = 1 << 20
     window: int = 4 << 20
     shard: int = 64 << 20
@@ -63,11 +65,11 @@ _EDGE = bytes([ctw.EDGE])
 
 
 def _zip(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
 
 
 def _unzip(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def _packed(docs: DataFrame, sizes: Sizes) -> DataFrame:
@@ -140,23 +142,43 @@ def _runs(batches, key: str = "slice") -> Iterator[tuple[int, Iterator[dict]]]:
     yield None, {}
 
 
-_ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+_ASKED = pa.schema([("slice", pa.int64()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers, compressed byte by byte."""
+    return _zip(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(_unzip(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _delta(keys: np.ndarray) -> bytes:
-    return _zip(np.diff(keys, prepend=np.uint64(0)).tobytes())
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _undelta(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(_unzip(data), np.uint64), dtype=np.uint64)
+    return np.cumsum(_from_planes(data, np.uint64), dtype=np.uint64)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(shards)).astype(np.int64)
 
 
+def _lines(words: list[bytes]) -> bytes:
+    """Words have no line ends, so these part them."""
+    return _zip(b"\n".join(words))
+
+
+def _unlined(data: bytes) -> list[bytes]:
+    lines = _unzip(data)
+    return lines.split(b"\n") if lines else []
+
+
 def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame:
-    """What each slice has: distinct grams by shard with counts in learning texts, and (one row) its distinct words with theirs."""
+    """What each slice has, by shard: distinct grams and distinct words, with their counts in learning texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, found, words = None, [], Counter()
@@ -167,20 +189,20 @@ def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame
                     to = _shard(keys, shards)
                     order = np.argsort(to, kind="stable")
                     edges = np.searchsorted(to[order], np.arange(shards + 1))
+                    lists: dict[int, list[bytes]] = {}
+                    for w in sorted(words):
+                        lists.setdefault(xxhash.xxh3_64_intdigest(w) % shards, []).append(w)
                     for s in range(shards):
-                        if edges[s] < edges[s + 1]:
-                            j = order[edges[s] : edges[s + 1]]
-                            yield pa.RecordBatch.from_pydict({"slice": [now], "shard": [s], "keys": [_delta(keys[j])], "counts": [_zip(counts[j].tobytes())], "word": [None], "n": [None]}, schema=_ASKED)
-                    names = list(words)
-                    for at in range(0, len(names), 10_000):
-                        part = names[at : at + 10_000]
-                        yield pa.RecordBatch.from_pydict({"slice": [now], "shard": [None], "keys": [None], "counts": [None], "word": [part], "n": [[words[w] for w in part]]}, schema=_ASKED)
+                        j, mine = order[edges[s] : edges[s + 1]], lists.get(s, [])
+                        if len(j) or mine:
+                            n = np.array([words[w] for w in mine], np.int64)
+                            yield pa.RecordBatch.from_pydict({"slice": [now], "shard": [s], "keys": [_delta(keys[j])], "counts": [_planes(counts[j])], "words": [_lines(mine)], "n": [_planes(n)]}, schema=_ASKED)
                 now, found, words = number, [], Counter()
             if number is None:
                 continue
             texts = _texts(row)
             for t, learnt in zip(texts, row["learnt"], strict=True):
-                own = Counter(_WORD.findall(t))
+                own = _WORD.findall(t)
                 if learnt:
                     words.update(own)
                 else:
@@ -194,7 +216,11 @@ def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame
                 if sum(len(u) for u, _ in found) > 4 * window:
                     found = [ctw.counted(*(np.concatenate(x) for x in zip(*found, strict=True)))]
 
-    return packed.select("slice", "learnt", "sizes", "texts").mapInArrow(run, "slice long, shard int, keys binary, counts binary, word array<binary>, n array<long>")
+    return packed.select("slice", "learnt", "sizes", "texts").mapInArrow(run, "slice long, shard int, keys binary, counts binary, words binary, n binary")
+
+
+def _by_shard(rows: DataFrame, shards: int, *order) -> DataFrame:
+    return rows.repartition(min(shards, 4 * parts(rows)), "shard").sortWithinPartitions("shard", *order)
 
 
 def _summed(asked: DataFrame, shards: int) -> DataFrame:
@@ -210,12 +236,35 @@ def _summed(asked: DataFrame, shards: int) -> DataFrame:
                 held = []
             now = shard
             if shard is not None:
-                held.append((_undelta(row["keys"]), np.frombuffer(_unzip(row["counts"]), np.int64)))
+                held.append((_undelta(row["keys"]), _from_planes(row["counts"], np.int64)))
                 if sum(len(k) for k, _ in held[1:]) > 1 << 22:
                     held = [ctw.counted(*(np.concatenate(x) for x in zip(*held, strict=True)))]
 
-    rows = asked.where("shard is not null").select("shard", "keys", "counts").repartition(min(shards, 4 * parts(asked)), "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "key long, n long")
+    return _by_shard(asked.select("shard", "keys", "counts"), shards).mapInArrow(run, "key long, n long")
+
+
+def _word_counts(asked: DataFrame, shards: int) -> DataFrame:
+    """(shard, words, n, all, distinct): the words of each shard with their counts in learning texts, the sum of these and how many are above 0."""
+
+    def merged(held: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+        table = pa.table([pa.chunked_array([pa.array(w, pa.binary()) for w, _ in held]), pa.chunked_array([pa.array(n, pa.int64()) for _, n in held])], names=["w", "n"])
+        table = table.group_by("w").aggregate([("n", "sum")])
+        return table.column("w").to_pylist(), table.column("n_sum").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for shard, row in _runs(batches, "shard"):
+            if now is not None and shard != now:
+                words, n = merged(held)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int32()), "words": [_lines(words)], "n": [_planes(n)], "all": [int(n.sum())], "distinct": [int((n > 0).sum())]})
+                held = []
+            now = shard
+            if shard is not None:
+                held.append((_unlined(row["words"]), _from_planes(row["n"], np.int64)))
+                if len(held) > 1 and sum(len(n) for _, n in held[1:]) > 1 << 20:
+                    held = [merged(held)]
+
+    return _by_shard(asked.select("shard", "words", "n"), shards).mapInArrow(run, "shard int, words binary, n binary, all long, distinct long")
 
 
 # --- the trees ------------------------------------------------------------------------------------
@@ -362,7 +411,7 @@ def _tree(grams: DataFrame, depth: int, run_grams: int) -> DataFrame:
 
 
 def _valued(grams: DataFrame, depth: int, n: int, run_grams: int) -> DataFrame:
-    """(key, v): log10 of every gram's probability, by ``n`` tasks."""
+    """(key, v): log10 of every gram's probability in single precision, by ``n`` tasks."""
     shift = 8 * (depth - 2)
     lying = grams.withColumn("ctx", F.shiftright("key", shift)).repartition(n, "ctx").sortWithinPartitions("key")
     coefficients = _tree(lying, depth, run_grams)
@@ -397,51 +446,72 @@ def _valued(grams: DataFrame, depth: int, n: int, run_grams: int) -> DataFrame:
                 q = np.where(np.isnan(p), end, a + c * longer)
                 return np.where(one, q, 1 - q)
 
-            v = ctw.mixed_bits(keys, made, above)
+            v = ctw.mixed_bits(keys, made, above).astype(np.float32)
             for k in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].astype(np.int64)), pa.array(v[k : k + (1 << 16)])], names=["key", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].astype(np.int64)), pa.array(v[k : k + (1 << 16)], pa.float32())], names=["key", "v"])
 
-    return both.repartition(n, "ctx").sortWithinPartitions("ctx", "key").mapInArrow(run, "key long, v double")
+    return both.repartition(n, "ctx").sortWithinPartitions("ctx", "key").mapInArrow(run, "key long, v float")
 
 
 # --- answers and scores ---------------------------------------------------------------------------
 
 
-def _answers(asked: DataFrame, valued: DataFrame, shards: int) -> DataFrame:
-    """(slice, keys, values): what each slice asked for."""
-    rows = asked.where("shard is not null").select("shard", "slice", "keys", F.lit(None).cast("binary").alias("values"))
+_ANSWER = pa.schema([("slice", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
+
+
+def _answers(asked: DataFrame, valued: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """(slice, keys, values, words, n): what each slice asked for, by shard."""
+    null = F.lit(None).cast("binary")
+    rows = asked.select("shard", "slice", "keys", null.alias("values"), "words", null.alias("n"))
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())])
-        for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.uint64)
-            v, to = batch.column("v").to_numpy(zero_copy_only=False), _shard(keys, shards)
+        schema = pa.schema([("shard", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            to = _shard(keys, shards)
             order = np.lexsort((keys, to))
             edges = np.searchsorted(to[order], np.arange(shards + 1))
             some = [s for s in range(shards) if edges[s] < edges[s + 1]]
             cut = [order[edges[s] : edges[s + 1]] for s in some]
-            yield pa.RecordBatch.from_pydict({"shard": some, "slice": [None] * len(some), "keys": [_delta(keys[j]) for j in cut], "values": [v[j].tobytes() for j in cut]}, schema=schema)
+            none = [None] * len(some)
+            return pa.RecordBatch.from_pydict({"shard": some, "slice": none, "keys": [_delta(keys[j]) for j in cut], "values": [_planes(v[j]) for j in cut], "words": none, "n": none}, schema=schema)
+
+        for batch in batches:
+            held.append((batch.column("key").to_numpy(zero_copy_only=False).astype(np.uint64), batch.column("v").to_numpy(zero_copy_only=False)))
+            size += batch.num_rows
+            if size >= 1 << 20:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, keys, v = None, [], None, None
+        now, held, known, keys = None, [], [], None
         for number, row in _runs(batches, "shard"):
             if number is None:
                 return
             if number != now:
-                now, held, keys = number, [], None
+                now, held, known, keys = number, [], [], None
             if row["slice"] is None:
-                held.append((_undelta(row["keys"]), np.frombuffer(row["values"])))
+                if row["keys"] is not None:
+                    held.append((_undelta(row["keys"]), _from_planes(row["values"], np.float32)))
+                else:
+                    known.append((pa.array(_unlined(row["words"]), pa.binary()), _from_planes(row["n"], np.int64)))
                 continue
             if keys is None:
-                keys, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                keys, v = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.float32))
                 order = np.argsort(keys)
                 keys, v, held = keys[order], v[order], []
-            mine = _undelta(row["keys"])
-            yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "keys": [row["keys"]], "values": [v[np.searchsorted(keys, mine)].tobytes()]}, schema=pa.schema([("slice", pa.int64()), ("keys", pa.binary()), ("values", pa.binary())]))
+            mine, asked_words = _undelta(row["keys"]), pa.array(_unlined(row["words"]), pa.binary())
+            at = pc.index_in(asked_words, value_set=known[0][0]).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "keys": [row["keys"]], "values": [_planes(v[np.searchsorted(keys, mine)])], "words": [row["words"]], "n": [_planes(known[0][1][at])]}, schema=_ANSWER)
 
-    both = valued.mapInArrow(shard, "shard int, slice long, keys binary, values binary").unionByName(rows)
-    # without a slice first: the values come before the questions
-    return both.repartition(min(shards, 4 * parts(asked)), "shard").sortWithinPartitions("shard", F.asc_nulls_first("slice")).mapInArrow(run, "slice long, keys binary, values binary")
+    both = valued.mapInArrow(shard, "shard int, slice long, keys binary, values binary, words binary, n binary")
+    both = both.unionByName(words.select("shard", F.lit(None).cast("long").alias("slice"), null.alias("keys"), null.alias("values"), "words", "n")).unionByName(rows)
+    # without a slice first: what is known comes before the questions
+    return _by_shard(both, shards, F.asc_nulls_first("slice")).mapInArrow(run, "slice long, keys binary, values binary, words binary, n binary")
 
 
 class _Lookup:
@@ -463,11 +533,12 @@ class _Lookup:
         return self.values[at]
 
 
-def _scored(packed: DataFrame, answers: DataFrame, words: DataFrame, n: int, v: int, ends: int, depth: int, ids: str, tasks: int, window: int) -> DataFrame:
-    base = np.log10(n + v + 1.0) if n else 0.0
+def _scored(packed: DataFrame, answers: DataFrame, n: int, v: int, ends: int, depth: int, tasks: int, window: int) -> DataFrame:
+    """The scores of every packed text from its slice's answers."""
+    base = np.log10(n + v + 1.0)
 
     def of_count(c: int) -> float:
-        return float(np.log10(c + 1.0) - base) if n else 0.0
+        return float(np.log10(c + 1.0) - base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, counts, find, of = None, [], {}, None, {}
@@ -477,16 +548,15 @@ def _scored(packed: DataFrame, answers: DataFrame, words: DataFrame, n: int, v:
             if number != now:
                 now, held, counts, find = number, [], {}, None
             if row["keys"] is not None:
-                held.append((_undelta(row["keys"]), np.frombuffer(row["values"])))
-                continue
-            if row["word"] is not None:
-                counts.update(zip(row["word"], row["n"], strict=True))
+                held.append((_undelta(row["keys"]), _from_planes(row["values"], np.float32)))
+                counts.update(zip(_unlined(row["words"]), _from_planes(row["n"], np.int64).tolist(), strict=True))
                 continue
             if find is None:
                 keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.argsort(keys)
-                find, held = _Lookup(keys[order], values[order]), []
-                of = {w: of_count(c) for w, c in counts.items()}
+                find, held = _Lookup(keys[order], values[order].astype(np.float64)), []
+                of = dict(zip(counts, (np.log10(np.array(list(counts.values()), float) + 1) - base).tolist(), strict=True))
+                fresh = {w for w, c in counts.items() if not c}
             texts = _texts(row)
             score = np.zeros(len(texts))
             for keys, owner in _windows(texts, depth, window):
@@ -495,46 +565,33 @@ def _scored(packed: DataFrame, answers: DataFrame, words: DataFrame, n: int, v:
             size = np.array([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], schema[0].type), pa.array(row["learnt"]), pa.array([len(w) + 1 for w in found], pa.int64()),
-                pa.array([sum(1 for x in w if counts[x]) + (ends > 0) for w in found], pa.int64()), pa.array(np.full(len(texts), n), pa.int64()),
+                pa.array([len(w) - sum(map(fresh.__contains__, w)) + (ends > 0) for w in found], pa.int64()), pa.array(np.full(len(texts), n), pa.int64()),
                 pa.array([sum(map(of.__getitem__, w)) + of_count(ends) for w in found], pa.float64()), pa.array(score), pa.array(-score / np.log10(2) / np.maximum(size, 1)),
             ], schema=schema)
 
+    ids = packed.schema["ids"].dataType.elementType.simpleString()
     arrow = packed.select(F.get("ids", F.lit(0)).alias("doc_id")).limit(0).toArrow().schema.field(0).type
     names = [("doc_id", arrow), ("learnt", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
     schema = pa.schema(names)
-    null = lambda kind: F.lit(None).cast(kind)
-    order = ["slice", "kind", "keys", "values", "word", "n", "ids", "learnt", "sizes", "texts"]
-    text_columns = {"ids": f"array<{ids}>", "learnt": "array<boolean>", "sizes": "array<long>", "texts": "binary"}
-    every = packed.select("slice", F.lit(2).alias("kind"), null("binary").alias("keys"), null("binary").alias("values"), null("array<binary>").alias("word"), null("array<long>").alias("n"), *text_columns)
-    every = every.unionByName(answers.select("slice", F.lit(0).alias("kind"), "keys", "values", null("array<binary>").alias("word"), null("array<long>").alias("n"), *(null(t).alias(c) for c, t in text_columns.items())))
-    every = every.unionByName(words.select("slice", F.lit(1).alias("kind"), null("binary").alias("keys"), null("binary").alias("values"), "word", "n", *(null(t).alias(c) for c, t in text_columns.items())))
-    lying = every.select(*order).repartition(tasks, "slice").sortWithinPartitions("slice", "kind")
+    every = answers.unionByName(packed, allowMissingColumns=True)
+    # without ids first: the answers come before the texts
+    lying = every.repartition(tasks, "slice").sortWithinPartitions("slice", F.col("ids").isNotNull())
     return lying.mapInArrow(run, f"doc_id {ids}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
-def _word_counts(asked: DataFrame, folder: str) -> tuple[DataFrame, int, int]:
-    """(slice, word, n) in lists, the counts of all learning texts for each slice's words; all learnt words, and the distinct ones."""
-    rows = asked.where("word is not null").select("slice", F.explode(F.arrays_zip("word", "n")).alias("w")).select("slice", "w.word", "w.n")
-    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")), folder, "counts")
-    total = counts.where("n > 0").agg(F.sum("n"), F.count("n")).first()
-    met = rows.select("slice", "word").join(counts, "word")
-    dealt = met.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))
-    lists = dealt.groupBy("slice", "part").agg(F.collect_list("word").alias("word"), F.collect_list("n").alias("n"))
-    return lists, total[0] or 0, total[1]
-
-
 def score(docs: DataFrame, learn: Column, depth: int = DEPTH, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row of ``docs`` (doc_id, text); learns where ``learn`` holds."""
     if not 3 < depth < 7:
         raise ValueError("the depth is 4, 5 or 6 bytes")
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    ids = docs.schema["doc_id"].dataType.simpleString()
+    folder = scratch(docs.sparkSession)
     packed = written(_packed(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learnt")), sizes), folder, "packed")
-    size, ends, slices = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.sum(F.aggregate("learnt", F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))), F.countDistinct("slice")).first()
+    total = lambda column: F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda a, b: a + b.cast("long")))
+    size, ends, slices = packed.agg(total("sizes"), total("learnt"), F.countDistinct("slice")).first()
     shards = max(1, min(-(-(size or 0) // sizes.shard), 1 << 16))
     asked = written(_asked(packed, depth, shards, sizes.window), folder, "asked")
     summed = written(_summed(asked, shards), folder, "summed")
-    answers = _answers(asked, _valued(summed, depth, min(2 * shards, 4 * parts(docs)), sizes.run), shards)
-    words, n, v = _word_counts(asked, folder)
-    ends = ends or 0
-    return _scored(packed, answers, words, n + ends, v + (ends > 0), ends, depth, ids, max(1, min(slices, 4 * parts(docs))), sizes.window)
+    words = written(_word_counts(asked, shards), folder, "words")
+    n, v = words.agg(F.sum("all"), F.sum("distinct")).first()
+    n, v, ends = n or 0, v or 0, ends or 0
+    answers = _answers(asked, _valued(summed, depth, min(2 * shards, 4 * parts(docs)), sizes.run), words, shards)
+    return _scored(packed, answers, n + ends, v + (ends > 0), ends, depth, max(1, min(slices, 4 * parts(docs))), sizes.window)
