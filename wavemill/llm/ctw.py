@@ -19,13 +19,18 @@ EDGE = 0xFF
 _LN2 = np.log(2.0)
 
 
-def grams(data: bytes | np.ndarray, depth: int) -> np.ndarray:
-    """The gram of every byte of ``data`` from place ``depth`` on."""
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = max(0, len(b) - depth)
-    out = b[depth:].copy()
-    for i in range(1, depth + 1):
-        out |= b[depth - i : depth - i + n] << np.uint64(8 * (depth - i + 1))
+#: Bytes that must stand before the first gram of some data.
+BEFORE = 7
+
+
+def grams(data: bytes, depth: int) -> np.ndarray:
+    """The gram of every byte of ``data`` from place BEFORE on, for a depth of at most 6: read as eight bytes that end there."""
+    v = np.ndarray(max(0, len(data) - BEFORE), "<u8", data, strides=(1,)) if len(data) > BEFORE else np.empty(0, np.uint64)
+    # the byte itself is the highest of the eight, the bytes before it follow
+    out = v & np.uint64(0x00FFFFFFFFFFFFFF)
+    out >>= np.uint64(8 * (6 - depth))
+    out &= np.uint64(0xFFFFFFFFFFFFFF00)
+    out |= v >> np.uint64(56)
     return out
 
 

@@ -29,7 +29,6 @@ doc_id and text are not read; an id of any type is kept as it is.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ctw
-from .common import mixed, parts, scratch, sliced, utf8_column, written
+from .common import mixed, multipliers, parts, scratch, sliced, utf8_column, written
 
 DEPTH = 6
 
@@ -60,7 +59,6 @@ class Sizes(NamedTuple):
 
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _EDGE = bytes([ctw.EDGE])
 
 
@@ -112,9 +110,9 @@ def _windows(texts: list[bytes], depth: int, window: int) -> Iterator[tuple[np.n
     """(grams, which text each belongs to) of texts with their edges, in windows; only grams of bytes of a text or its end."""
     held, owner, size = [], [], 0
     for k, t in enumerate(texts):
-        whole = _EDGE * depth + t + _EDGE
-        for at in range(0, len(whole) - depth, window):
-            part = whole[at : at + window + depth]
+        whole = _EDGE * ctw.BEFORE + t + _EDGE
+        for at in range(0, len(whole) - ctw.BEFORE, window):
+            part = whole[at : at + window + ctw.BEFORE]
             held.append(part)
             owner.append((k, len(part)))
             size += len(part)
@@ -127,10 +125,10 @@ def _windows(texts: list[bytes], depth: int, window: int) -> Iterator[tuple[np.n
 
 def _joined(held: list[bytes], owner: list[tuple[int, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([n for _, n in owner])
-    # the gram of place p ends there; the first ``depth`` places of each part only give contexts
+    # the gram of place p ends there; the first places of each part only give contexts
     inside = np.ones(sizes.sum(), bool)
-    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()] = False
-    return ctw.grams(b"".join(held), depth)[inside[depth:]], np.repeat([k for k, _ in owner], sizes - depth)
+    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(ctw.BEFORE)).ravel()] = False
+    return ctw.grams(b"".join(held), depth)[inside[ctw.BEFORE :]], np.repeat([k for k, _ in owner], sizes - ctw.BEFORE)
 
 
 def _runs(batches, key: str = "slice") -> Iterator[tuple[int, Iterator[dict]]]:
@@ -202,18 +200,15 @@ def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame
                 continue
             texts = _texts(row)
             for t, learnt in zip(texts, row["learnt"], strict=True):
-                own = _WORD.findall(t)
-                if learnt:
-                    words.update(own)
-                else:
-                    words.update(dict.fromkeys(own, 0))
+                own = t.split()  # by the six signs of white space of ASCII
+                words.update(own if learnt else dict.fromkeys(own, 0))
             learnt = np.array(row["learnt"], bool)
             for keys, owner in _windows(texts, depth, window):
                 here = learnt[owner]
                 for part, by in ((keys[here], 1), (keys[~here], 0)):
                     u, n = np.unique(part, return_counts=True)
                     found.append((u, n * by))
-                if sum(len(u) for u, _ in found) > 4 * window:
+                if sum(len(u) for u, _ in found) > window:
                     found = [ctw.counted(*(np.concatenate(x) for x in zip(*found, strict=True)))]
 
     return packed.select("slice", "learnt", "sizes", "texts").mapInArrow(run, "slice long, shard int, keys binary, counts binary, words binary, n binary")
@@ -515,22 +510,33 @@ def _answers(asked: DataFrame, valued: DataFrame, words: DataFrame, shards: int)
 
 
 class _Lookup:
-    """Values of sorted keys: a table of places by hash, and a search for the keys that lost their place."""
+    """Values by key: tables of keys and values by hash, each for the keys that lost their place in the one before."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, values
-        self.shift = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
-        self.place = np.zeros(1 << int(64 - self.shift), np.int32)
-        self.place[self._slot(keys)] = np.arange(len(keys))
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        self.tables = []
+        for multiplier in multipliers(64):
+            shift = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
+            table = np.full((1 << int(64 - shift), 2), np.iinfo(np.uint64).max)  # no gram
+            at = (keys * multiplier) >> shift
+            table[at] = np.stack([keys, values.view(np.uint64)], 1)
+            self.tables.append((multiplier, shift, table))
+            lost = table[at, 0] != keys
+            keys, values = keys[lost], values[lost]
+            if not len(keys):
+                return
+        raise AssertionError("keys are distinct and multipliers odd")
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.place[self._slot(keys)]
-        lost = np.flatnonzero(self.keys[at] != keys)
-        at[lost] = np.searchsorted(self.keys, keys[lost])
-        return self.values[at]
+        out, todo = np.empty(len(keys)), slice(None)
+        for multiplier, shift, table in self.tables:
+            found = table.take(((keys * multiplier) >> shift).astype(np.int64), axis=0)
+            out[todo] = found[:, 1].copy().view(np.float64)
+            lost = np.flatnonzero(found[:, 0] != keys)
+            if not len(lost):
+                break
+            todo = lost if isinstance(todo, slice) else todo[lost]
+            keys = keys[lost]
+        return out
 
 
 def _scored(packed: DataFrame, answers: DataFrame, n: int, v: int, ends: int, depth: int, tasks: int, window: int) -> DataFrame:
@@ -553,15 +559,14 @@ def _scored(packed: DataFrame, answers: DataFrame, n: int, v: int, ends: int, de
                 continue
             if find is None:
                 keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.argsort(keys)
-                find, held = _Lookup(keys[order], values[order].astype(np.float64)), []
+                find, held = _Lookup(keys, values.astype(np.float64)), []
                 of = dict(zip(counts, (np.log10(np.array(list(counts.values()), float) + 1) - base).tolist(), strict=True))
                 fresh = {w for w, c in counts.items() if not c}
             texts = _texts(row)
             score = np.zeros(len(texts))
             for keys, owner in _windows(texts, depth, window):
                 score += np.bincount(owner, find(keys), len(texts))
-            found = [_WORD.findall(t) for t in texts]
+            found = [t.split() for t in texts]
             size = np.array([len(t) for t in texts])
             yield pa.RecordBatch.from_arrays([
                 pa.array(row["ids"], schema[0].type), pa.array(row["learnt"]), pa.array([len(w) + 1 for w in found], pa.int64()),
