@@ -53,7 +53,7 @@ class Sizes(NamedTuple):
 
     slice: int = 32 << 20
     row: int = 1 << 20
-    window: int = 4 << 20
+    window: int = 2 << 20
     shard: int = 64 << 20
     run: int = 1 << 20
 
@@ -208,7 +208,7 @@ def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame
                 for part, by in ((keys[here], 1), (keys[~here], 0)):
                     u, n = np.unique(part, return_counts=True)
                     found.append((u, n * by))
-                if sum(len(u) for u, _ in found) > window:
+                if sum(len(u) for u, _ in found) > 2 * window:
                     found = [ctw.counted(*(np.concatenate(x) for x in zip(*found, strict=True)))]
 
     return packed.select("slice", "learnt", "sizes", "texts").mapInArrow(run, "slice long, shard int, keys binary, counts binary, words binary, n binary")
@@ -515,7 +515,7 @@ class _Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.tables = []
         for multiplier in multipliers(64):
-            shift = np.uint64(64 - max(1, int(2 * len(keys)).bit_length()))
+            shift = np.uint64(64 - max(1, len(keys).bit_length()))
             table = np.full((1 << int(64 - shift), 2), np.iinfo(np.uint64).max)  # no gram
             at = (keys * multiplier) >> shift
             table[at] = np.stack([keys, values.view(np.uint64)], 1)
@@ -547,21 +547,21 @@ def _scored(packed: DataFrame, answers: DataFrame, n: int, v: int, ends: int, de
         return float(np.log10(c + 1.0) - base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, counts, find, of = None, [], {}, None, {}
+        now, held, find, of, fresh = None, [], None, {}, set()
         for number, row in _runs(batches):
             if number is None:
                 return
             if number != now:
-                now, held, counts, find = number, [], {}, None
+                now, held, find, of, fresh = number, [], None, {}, set()
             if row["keys"] is not None:
                 held.append((_undelta(row["keys"]), _from_planes(row["values"], np.float32)))
-                counts.update(zip(_unlined(row["words"]), _from_planes(row["n"], np.int64).tolist(), strict=True))
+                words, counts = _unlined(row["words"]), _from_planes(row["n"], np.int64)
+                of.update(zip(words, (np.log10(counts + 1.0) - base).tolist(), strict=True))
+                fresh.update(words[j] for j in np.flatnonzero(counts == 0).tolist())
                 continue
             if find is None:
-                keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
-                find, held = _Lookup(keys, values.astype(np.float64)), []
-                of = dict(zip(counts, (np.log10(np.array(list(counts.values()), float) + 1) - base).tolist(), strict=True))
-                fresh = {w for w, c in counts.items() if not c}
+                find = _Lookup(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]).astype(np.float64))
+                held = []
             texts = _texts(row)
             score = np.zeros(len(texts))
             for keys, owner in _windows(texts, depth, window):
@@ -599,4 +599,4 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, sizes: Sizes = Siz
     n, v = words.agg(F.sum("all"), F.sum("distinct")).first()
     n, v, ends = n or 0, v or 0, ends or 0
     answers = _answers(asked, _valued(summed, depth, min(2 * shards, 4 * parts(docs)), sizes.run), words, shards)
-    return _scored(packed, answers, n + ends, v + (ends > 0), ends, depth, max(1, min(slices, 4 * parts(docs))), sizes.window)
+    return _scored(packed, answers, n + ends, v + (ends > 0), ends, depth, max(1, min(4 * slices, 4 * parts(docs))), sizes.window)
