@@ -208,7 +208,7 @@ def _asked(packed: DataFrame, depth: int, shards: int, window: int) -> DataFrame
                 for part, by in ((keys[here], 1), (keys[~here], 0)):
                     u, n = np.unique(part, return_counts=True)
                     found.append((u, n * by))
-                if sum(len(u) for u, _ in found) > 2 * window:
+                if sum(len(u) for u, _ in found) > window:
                     found = [ctw.counted(*(np.concatenate(x) for x in zip(*found, strict=True)))]
 
     return packed.select("slice", "learnt", "sizes", "texts").mapInArrow(run, "slice long, shard int, keys binary, counts binary, words binary, n binary")
@@ -405,8 +405,19 @@ def _tree(grams: DataFrame, depth: int, run_grams: int) -> DataFrame:
     return three.groupBy("ctx2").applyInArrow(down, "ctx long, code binary, end_p binary, a binary, b binary")
 
 
-def _valued(grams: DataFrame, depth: int, n: int, run_grams: int) -> DataFrame:
-    """(key, v): log10 of every gram's probability in single precision, by ``n`` tasks."""
+def _dealt(held: list[tuple[np.ndarray, np.ndarray]], shards: int) -> pa.RecordBatch:
+    """Grams and values as one row a shard."""
+    keys, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    to = _shard(keys, shards)
+    order = np.lexsort((keys, to))
+    edges = np.searchsorted(to[order], np.arange(shards + 1))
+    some = [s for s in range(shards) if edges[s] < edges[s + 1]]
+    cut = [order[edges[s] : edges[s + 1]] for s in some]
+    return pa.RecordBatch.from_pydict({"shard": pa.array(some, pa.int32()), "keys": [_delta(keys[j]) for j in cut], "values": [_planes(v[j]) for j in cut]})
+
+
+def _valued(grams: DataFrame, depth: int, n: int, run_grams: int, shards: int) -> DataFrame:
+    """(shard, keys, values): log10 of every gram's probability in single precision, by ``n`` tasks."""
     shift = 8 * (depth - 2)
     lying = grams.withColumn("ctx", F.shiftright("key", shift)).repartition(n, "ctx").sortWithinPartitions("key")
     coefficients = _tree(lying, depth, run_grams)
@@ -416,6 +427,7 @@ def _valued(grams: DataFrame, depth: int, n: int, run_grams: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def watched() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -441,11 +453,14 @@ def _valued(grams: DataFrame, depth: int, n: int, run_grams: int) -> DataFrame:
                 q = np.where(np.isnan(p), end, a + c * longer)
                 return np.where(one, q, 1 - q)
 
-            v = ctw.mixed_bits(keys, made, above).astype(np.float32)
-            for k in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].astype(np.int64)), pa.array(v[k : k + (1 << 16)], pa.float32())], names=["key", "v"])
+            held.append((keys, ctw.mixed_bits(keys, made, above).astype(np.float32)))
+            if sum(len(k) for k, _ in held) >= run_grams:
+                yield _dealt(held, shards)
+                held = []
+        if held:
+            yield _dealt(held, shards)
 
-    return both.repartition(n, "ctx").sortWithinPartitions("ctx", "key").mapInArrow(run, "key long, v float")
+    return both.repartition(n, "ctx").sortWithinPartitions("ctx", "key").mapInArrow(run, "shard int, keys binary, values binary")
 
 
 # --- answers and scores ---------------------------------------------------------------------------
@@ -459,29 +474,6 @@ def _answers(asked: DataFrame, valued: DataFrame, words: DataFrame, shards: int)
     null = F.lit(None).cast("binary")
     rows = asked.select("shard", "slice", "keys", null.alias("values"), "words", null.alias("n"))
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = _shard(keys, shards)
-            order = np.lexsort((keys, to))
-            edges = np.searchsorted(to[order], np.arange(shards + 1))
-            some = [s for s in range(shards) if edges[s] < edges[s + 1]]
-            cut = [order[edges[s] : edges[s + 1]] for s in some]
-            none = [None] * len(some)
-            return pa.RecordBatch.from_pydict({"shard": some, "slice": none, "keys": [_delta(keys[j]) for j in cut], "values": [_planes(v[j]) for j in cut], "words": none, "n": none}, schema=schema)
-
-        for batch in batches:
-            held.append((batch.column("key").to_numpy(zero_copy_only=False).astype(np.uint64), batch.column("v").to_numpy(zero_copy_only=False)))
-            size += batch.num_rows
-            if size >= 1 << 20:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, known, keys = None, [], [], None
         for number, row in _runs(batches, "shard"):
@@ -503,7 +495,7 @@ def _answers(asked: DataFrame, valued: DataFrame, words: DataFrame, shards: int)
             at = pc.index_in(asked_words, value_set=known[0][0]).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_pydict({"slice": [row["slice"]], "keys": [row["keys"]], "values": [_planes(v[np.searchsorted(keys, mine)])], "words": [row["words"]], "n": [_planes(known[0][1][at])]}, schema=_ANSWER)
 
-    both = valued.mapInArrow(shard, "shard int, slice long, keys binary, values binary, words binary, n binary")
+    both = valued.select("shard", F.lit(None).cast("long").alias("slice"), "keys", "values", null.alias("words"), null.alias("n"))
     both = both.unionByName(words.select("shard", F.lit(None).cast("long").alias("slice"), null.alias("keys"), null.alias("values"), "words", "n")).unionByName(rows)
     # without a slice first: what is known comes before the questions
     return _by_shard(both, shards, F.asc_nulls_first("slice")).mapInArrow(run, "slice long, keys binary, values binary, words binary, n binary")
@@ -598,5 +590,5 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, sizes: Sizes = Siz
     words = written(_word_counts(asked, shards), folder, "words")
     n, v = words.agg(F.sum("all"), F.sum("distinct")).first()
     n, v, ends = n or 0, v or 0, ends or 0
-    answers = _answers(asked, _valued(summed, depth, min(2 * shards, 4 * parts(docs)), sizes.run), words, shards)
+    answers = _answers(asked, _valued(summed, depth, min(2 * shards, 4 * parts(docs)), sizes.run, shards), words, shards)
     return _scored(packed, answers, n + ends, v + (ends > 0), ends, depth, max(1, min(4 * slices, 4 * parts(docs))), sizes.window)
