@@ -70,7 +70,67 @@ def test_covariance_and_pca(spark):
     c = {(r["i"], r["j"]): r["cov"] for r in learn.covariance(obs).collect()}
     assert c[0, 1] == pytest.approx(np.cov(x.T)[0, 1])
     with pytest.raises(ValueError):
-        learn.svd(np.ones((2, 3)))
+        learn.svd(table(spark, [((1, 2, 3), 0), ((1, 0, 0), 0)]))
+
+
+def test_svd_of_a_tall_table(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 6)) * [1e4, 10, 1, 1, 1e-3, 1e-5]
+    u, w, v = learn.svd(table(spark, [(r, 0) for r in x]).repartition(40))
+    got = np.array([r["u"] for r in u.orderBy("obs_id").collect()])
+    assert w == pytest.approx(np.linalg.svd(x, compute_uv=False), rel=1e-9)  # also the small ones, which a Gram matrix would lose
+    assert got * w @ v.T == pytest.approx(x, abs=1e-9) and v.T @ v == pytest.approx(np.eye(6), abs=1e-12)
+    assert got[:, :4].T @ got[:, :4] == pytest.approx(np.eye(4), abs=1e-9)
+    flat, w, _ = learn.svd(table(spark, [((a, 2 * a), 0) for a in (1.0, 2.0, 3.0)]))
+    assert w[1] < 1e-12 and {r["u"][1] for r in flat.collect()} == {0.0}
+
+
+def plain_em(x, means, rounds, ridge=0.0):
+    """EM with one density at a time, in logarithms."""
+    k, n = len(means), len(x)
+    prior, mu = np.full(k, 1 / k), np.array(means, float)
+    sigma = [np.cov(x.T) + ridge * np.eye(x.shape[1])] * k
+    for _ in range(rounds):
+        p = np.zeros((n, k))
+        for i in range(n):
+            for j in range(k):
+                d = x[i] - mu[j]
+                p[i, j] = np.log(prior[j]) - 0.5 * d @ np.linalg.inv(sigma[j]) @ d - 0.5 * np.linalg.slogdet(sigma[j])[1]
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        prior, mu = p.sum(axis=0) / n, (p.T @ x) / p.sum(axis=0)[:, None]
+        sigma = [((p[:, j : j + 1] * (x - mu[j])).T @ (x - mu[j])) / p[:, j].sum() + ridge * np.eye(x.shape[1]) for j in range(k)]
+    return prior, mu, sigma
+
+
+def test_mixtures_of_many_dimensions(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(90, 40)) * 0.01
+    b = rng.normal(size=(90, 40)) * 0.02 + 0.02
+    obs = table(spark, [(r, 0) for r in a] + [(r, 1) for r in b] + [((0.5,) * 40, 2)] * 3)
+    both = obs.where("label < 2")
+    means = np.array([np.full(40, -0.01), np.full(40, 0.03)])
+    m = learn.gmm(both, means, 3)
+    prior, mu, sigma = plain_em(np.concatenate([a, b]), means, 3)
+    assert m.prior == pytest.approx(prior) and m.mu == pytest.approx(mu, abs=1e-9) and m.sigma == pytest.approx(np.array(sigma), abs=1e-9)
+    assert np.linalg.det(m.sigma[0]) < 1e-100  # smaller than any fixed bound on determinants
+    # all labels at once are as each alone; a label of equal rows needs the ridge
+    models = learn.gmm_classifier(obs, 2, 4, ridge=1e-3)
+    assert list(models) == [0, 1, 2]
+    for y in (0, 1):
+        own = both.where(F.col("label") == y)
+        start = np.array([r["f"] for r in own.orderBy(F.xxhash64("obs_id"), "obs_id").limit(2).collect()])
+        alone = learn.gmm(own, start, 4, ridge=1e-3)
+        assert models[y].mu == pytest.approx(alone.mu, abs=1e-9) and models[y].sigma == pytest.approx(alone.sigma, abs=1e-9)
+    out = learn.score_mixtures(obs, models).join(obs, "obs_id").collect()
+    assert np.mean([r["predicted"] == r["label"] for r in out]) > 0.95 and all(np.isfinite(r["log_density"]) for r in out)
+    assert learn.Mixture([1.0], [[0.0, 0.0]], [[[1.0, 1.0], [1.0, 1.0]]]).density(np.zeros((1, 2))) == [0.0]
+
+
+def test_labels_may_be_null(spark):
+    obs = spark.createDataFrame([(1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.0]), (3, None, [5.0, 5.0]), (4, 0, None), (5, 0, [0.0, 0.0])], "obs_id long, label int, f array<double>")
+    assert list(learn.gmm_classifier(obs, 1, 2, ridge=0.1)) == [0]
+    assert learn.gmm_classifier(obs.where("label > 5"), 1) == {}
 
 
 def test_nmf_rebuilds_a_rank_two_matrix():

@@ -272,77 +272,135 @@ def assign(obs: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 class Mixture:
-    """prior (k), mu (k, d), sigma (k, d, d)."""
+    """prior (k), mu (k, d), sigma (k, d, d). Densities are computed as logarithms from Cholesky factors, in any number of dimensions."""
 
     def __init__(self, prior, mu, sigma):
         self.prior, self.mu, self.sigma = (np.array(v, dtype=float) for v in (prior, mu, sigma))
-
-    def densities(self, x: np.ndarray) -> np.ndarray:
-        """prior * density of each component; degenerate components give 0."""
-        out = np.zeros((len(x), len(self.prior)))
-        for k in range(len(self.prior)):
-            det = np.linalg.det(self.sigma[k])
-            if det < 1e-30:
-                continue
-            d = x - self.mu[k]
-            e = np.einsum("ij,jk,ik->i", d, np.linalg.inv(self.sigma[k]), d)
-            out[:, k] = self.prior[k] * np.exp(-0.5 * e) / np.sqrt((2 * np.pi) ** x.shape[1] * det)
+        self.factors = [self._factor(s) for s in self.sigma]
+
+    @staticmethod
+    def _factor(sigma: np.ndarray) -> np.ndarray | None:
+        """The lower factor; None if a pivot is lost in rounding against the mean variance."""
+        try:
+            low = np.linalg.cholesky(sigma)
+        except np.linalg.LinAlgError:
+            return None
+        return low if (np.diag(low) ** 2).min() > 1e-13 * np.trace(sigma) / len(sigma) else None
+
+    def log_densities(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of prior * density of each component; degenerate components and those without prior have -inf."""
+        out = np.full((len(x), len(self.prior)), -np.inf)
+        for k, low in enumerate(self.factors):
+            if low is not None and self.prior[k] > 0:
+                z = np.linalg.solve(low, (x - self.mu[k]).T)
+                out[:, k] = np.log(self.prior[k]) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
         return out
 
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        return np.logaddexp.reduce(self.log_densities(x), axis=1)
+
     def density(self, x: np.ndarray) -> np.ndarray:
-        return self.densities(x).sum(axis=1)
+        return np.exp(self.log_density(x))
 
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """How much of each row belongs to each component; nothing where all are degenerate."""
+        d = self.log_densities(x)
+        top = d.max(axis=1, keepdims=True)
+        p = np.exp(d - np.where(np.isfinite(top), top, 0.0))
+        s = p.sum(axis=1, keepdims=True)
+        return p / np.where(s > 0, s, 1.0)
 
-def gmm(obs: DataFrame, means: np.ndarray | int, max_iter: int = 300, tolerance: float = 1e-20, seed: int = 1) -> Mixture:
-    """EM with full covariances from the given means (or that many drawn observations), the global covariance and equal priors."""
-    means = seeds(obs, means, seed) if isinstance(means, int) else np.array(means, dtype=float)
-    k, dims = means.shape
-    _, mean, cov = moments(obs)
-    now = Mixture(np.full(k, 1 / k), means, np.repeat(cov[None, :, :], k, axis=0))
-    size = 1 + dims + dims * dims
 
-    def sums(x, labels, m):
-        p = m.densities(x)
-        s = p.sum(axis=1, keepdims=True)
-        p = np.where(s > 0, p / np.where(s > 0, s, 1), p)
-        c = x - mean  # sums around the global mean lose fewer digits
-        return np.concatenate([np.concatenate([[p[:, j].sum()], p[:, j] @ c, ((p[:, j : j + 1] * c).T @ c).ravel()]) for j in range(k)] + [[len(x)]])
+def _weighted_moments(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each column of p its sum, the weighted sum of the rows and of their products."""
+    return np.concatenate([np.concatenate([[w.sum()], w @ x, ((w[:, None] * x).T @ x).ravel()]) for w in p.T])
+
 
+def gmm_by_label(obs: DataFrame, starts: dict[int, np.ndarray], max_iter: int = 300, tolerance: float = 1e-20, ridge: float = 0.0) -> dict[int, Mixture]:
+    """EM with full covariances for every label at once: one pass over the rows a round, until no label's means move.
+
+    ``starts`` has the first means of each label; priors are equal and covariances those of the label's rows. ``ridge``
+    is added to all variances; without it a component of fewer rows than dimensions is degenerate. What comes to the driver are sums
+    of labels * components * dimensions ** 2 numbers.
+    """
+    labels = sorted(starts)
+    place = {y: i for i, y in enumerate(labels)}
+    means = [np.array(starts[y], dtype=float) for y in labels]
+    dims = means[0].shape[1]
+    size = 1 + dims + dims * dims
+    least = np.iinfo(np.int32).min
+    known = np.array(labels)
+
+    def by_label(x, y, share) -> np.ndarray:
+        """Sums for all labels, one after the other; share(label's place, rows) gives a column for each component."""
+        out = []
+        y = np.where(np.isnan(y.astype(float)), least, y) if y.dtype == float else y
+        for i, label in enumerate(known):
+            rows = x[y == label]
+            out.append(_weighted_moments(rows, share(i, rows)))
+        return np.concatenate(out)
+
+    def split(sums: np.ndarray, counts: list[int], centre: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        parts, at = [], 0
+        for k in counts:
+            block = sums[at : at + k * size].reshape(k, size)
+            at += k * size
+            w = np.where(block[:, 0] < 1e-30, 1.0, block[:, 0])
+            shift = block[:, 1 : 1 + dims] / w[:, None]
+            sigma = block[:, 1 + dims :].reshape(k, dims, dims) / w[:, None, None] - shift[:, :, None] * shift[:, None, :]
+            parts.append((block[:, 0], shift + centre, sigma))
+        return parts
+
+    total = partial_sums(obs, lambda x, y: np.append(x.sum(axis=0), len(x)), dims + 1)
+    centre = total[:-1] / max(total[-1], 1)  # sums around the mean lose fewer digits
+    ones = split(partial_sums(obs, lambda x, y: by_label(x - centre, y, lambda i, rows: np.ones((len(rows), 1))), len(labels) * size), [1] * len(labels), centre)
+    extra = ridge * np.eye(dims)
+    rows = [float(n[0]) for n, _, _ in ones]
+    now = [Mixture(np.full(len(m), 1 / len(m)), m, np.repeat((sigma * n / max(n - 1, 1) + extra)[None], len(m), axis=0)) for m, n, (_, _, (sigma,)) in zip(means, rows, ones, strict=True)]
+    open_ = set(range(len(labels)))
+    counts = [len(m) for m in means]
     for _ in range(max_iter):
-        got = partial_sums(obs, lambda x, y, m=now: sums(x, y, m), k * size + 1)
-        n, parts = got[-1], got[:-1].reshape(k, size)
-        w = np.where(parts[:, 0] < 1e-30, 1.0, parts[:, 0])
-        shift = parts[:, 1 : 1 + dims] / w[:, None]
-        sigma = parts[:, 1 + dims :].reshape(k, dims, dims) / w[:, None, None] - shift[:, :, None] * shift[:, None, :]
-        new = Mixture(parts[:, 0] / n, shift + mean, sigma)
-        done = np.abs(new.mu - now.mu).sum() / k <= tolerance
-        now = new
-        if done:
+        if not open_:
             break
-    return now
+        share = lambda i, x, models=list(now), todo=frozenset(open_): models[i].shares(x + centre) if i in todo else np.zeros((len(x), counts[i]))
+        found = split(partial_sums(obs, lambda x, y, share=share: by_label(x - centre, y, share), sum(counts) * size), counts, centre)
+        for i in sorted(open_):
+            weight, mu, sigma = found[i]
+            new = Mixture(weight / max(rows[i], 1), mu, sigma + extra)
+            if np.abs(new.mu - now[i].mu).sum() / counts[i] <= tolerance:
+                open_.discard(i)
+            now[i] = new
+    return {y: now[place[y]] for y in labels}
+
+
+def gmm(obs: DataFrame, means: np.ndarray | int, max_iter: int = 300, tolerance: float = 1e-20, seed: int = 1, ridge: float = 0.0) -> Mixture:
+    """EM with full covariances from the given means (or that many drawn observations), the global covariance and equal priors; labels are not read."""
+    means = seeds(obs, means, seed) if isinstance(means, int) else np.array(means, dtype=float)
+    return gmm_by_label(obs.withColumn("label", F.lit(0)), {0: means}, max_iter, tolerance, ridge)[0]
 
 
 def score_mixtures(obs: DataFrame, mixtures: dict[int, Mixture]) -> DataFrame:
-    """(obs_id, predicted, density): the label of the mixture with the largest density, the first of equal ones."""
+    """(obs_id, predicted, density, log_density): the label of the mixture with the largest density, the first of equal ones."""
     labels, models = list(mixtures), list(mixtures.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = np.stack([m.density(matrix(batch.column("f"))) for m in models], axis=1) if batch.num_rows else np.zeros((0, len(models)))
+            d = np.stack([m.log_density(matrix(batch.column("f"))) for m in models], axis=1) if batch.num_rows else np.zeros((0, len(models)))
             best = d.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(np.array(labels)[best], pa.int32()), pa.array(d[np.arange(len(d)), best])], names=["obs_id", "predicted", "density"])
+            top = d[np.arange(len(d)), best]
+            yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(np.array(labels)[best], pa.int32()), pa.array(np.exp(top)), pa.array(top)], names=["obs_id", "predicted", "density", "log_density"])
 
-    return _rows(obs).mapInArrow(run, "obs_id long, predicted int, density double")
+    return _rows(obs).mapInArrow(run, "obs_id long, predicted int, density double, log_density double")
 
 
-def gmm_classifier(train: DataFrame, components: int = 3, max_iter: int = 300) -> dict[int, Mixture]:
-    """One mixture per label, in the order of the labels; each starts at the rows with the smallest hashed ids."""
-    out = {}
-    for r in train.select("label").distinct().orderBy("label").collect():
-        own = train.where(F.col("label") == r["label"])
-        means = [x["f"] for x in own.orderBy(F.xxhash64("obs_id"), "obs_id").limit(components).collect()]
-        out[r["label"]] = gmm(own, np.array(means), max_iter)
-    return out
+def gmm_classifier(train: DataFrame, components: int = 3, max_iter: int = 300, ridge: float = 0.0) -> dict[int, Mixture]:
+    """One mixture per label, in the order of the labels, all fitted in the same passes; each starts at the rows with the smallest hashed ids."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("obs_id"), "obs_id"))
+    starts: dict[int, list] = {}
+    known = _rows(train).where("label is not null")
+    for r in known.withColumn("rank", rank).where(F.col("rank") <= components).orderBy("label", "rank").collect():
+        starts.setdefault(r["label"], []).append(r["f"])
+    return gmm_by_label(known, {y: np.array(m) for y, m in starts.items()}, max_iter, ridge=ridge) if starts else {}
 
 
 # --- covariance and principal components ----------------------------------------------------------
@@ -364,29 +422,73 @@ def covariance(obs: DataFrame) -> DataFrame:
     return obs.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
-def pca(obs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """((obs_id, components), eigenvalues descending, vectors): projections of the data as they are, not centred."""
-    _, _, cov = moments(obs)
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1]
-    values, vectors = values[order], vectors[:, order]
-    # each vector's largest entry is positive, so that results are repeatable
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))])
+#: Triangular factors that one task makes into one.
+FACTORS = 16
+
+
+def triangle(obs: DataFrame, centre: np.ndarray | None = None) -> np.ndarray:
+    """R of the QR factorisation of all rows (less ``centre``), by a tree: each partition folds its rows into a triangle, then tasks fold triangles, down to FACTORS of them."""
+    dims = _dims(obs)
 
+    def fold(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, dims))
+        for batch in batches:
+            r = np.linalg.qr(np.concatenate([r, rows(batch)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_pydict({"r": [r.ravel().tolist()]})
+
+    first = lambda batches: fold(batches, lambda b: matrix(b.column("f")) - (0 if centre is None else centre) if b.num_rows else np.zeros((0, dims)))
+    again = lambda batches: fold(batches, lambda b: np.concatenate([np.array(v, dtype=float).reshape(-1, dims) for v in b.column("r").to_pylist()] or [np.zeros((0, dims))]))
+    found = _rows(obs).mapInArrow(first, "r array<double>")
+    parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        parts = -(-parts // FACTORS)
+        found = found.repartition(max(parts, FACTORS)).mapInArrow(again, "r array<double>")
+        if parts <= FACTORS:
+            break
+    stacked = [np.array(x["r"], dtype=float).reshape(-1, dims) for x in found.collect()]  # at most FACTORS triangles
+    return np.linalg.qr(np.concatenate([np.zeros((0, dims)), *stacked]), mode="r")
+
+
+def _signed(vectors: np.ndarray) -> np.ndarray:
+    """Each column's largest entry is made positive, so that results are repeatable."""
+    return vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+
+
+def _projected(obs: DataFrame, vectors: np.ndarray, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = matrix(batch.column("f")) @ vectors if batch.num_rows else np.zeros((0, len(values)))
-            yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(list(out), pa.list_(pa.float64()))], names=["obs_id", "components"])
+            out = matrix(batch.column("f")) @ vectors if batch.num_rows else np.zeros((0, vectors.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(list(out), pa.list_(pa.float64()))], names=["obs_id", name])
+
+    return _rows(obs).mapInArrow(run, f"obs_id long, {name} array<double>")
 
-    return _rows(obs).mapInArrow(run, "obs_id long, components array<double>"), values, vectors
+
+def pca(obs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((obs_id, components), eigenvalues descending, vectors): projections of the data as they are, not centred.
+
+    The eigenvalues of the covariance are squared singular values of the centred rows, so that small ones keep their digits.
+    """
+    dims = _dims(obs)
+    s = partial_sums(obs, lambda x, y: np.append(x.sum(axis=0), len(x)), dims + 1)
+    r = triangle(obs, s[:-1] / max(s[-1], 1))
+    _, w, vt = np.linalg.svd(np.concatenate([r, np.zeros((max(0, dims - len(r)), dims))]))
+    vectors = _signed(vt.T)
+    return _projected(obs, vectors, "components"), w**2 / max(s[-1] - 1, 1), vectors
 
 
-def svd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """U, W, V of a small matrix with rows >= columns."""
-    if x.shape[0] < x.shape[1]:
+def svd(obs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((obs_id, u), W descending, V) of a table with at least as many rows as dimensions: the left vectors stay rows.
+
+    Only a triangle of dimensions ** 2 numbers comes to the driver. The u of a singular value that is 0 against the largest are 0.
+    """
+    r = triangle(obs)
+    if r.shape[0] < r.shape[1]:
         raise ValueError("the matrix needs at least as many rows as columns")
-    u, w, vt = np.linalg.svd(x, full_matrices=False)
-    return u, w, vt.T
+    _, w, vt = np.linalg.svd(r)
+    v = _signed(vt.T)
+    kept = w > w[0] * len(w) * np.finfo(float).eps
+    return _projected(obs, np.where(kept, v / np.where(kept, w, 1.0), 0.0), "u"), w, v
 
 
 # --- non-negative matrix factorisation -------------------------------------------------------------

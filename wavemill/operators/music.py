@@ -14,6 +14,7 @@ from ..functions.arrow import map_arrays
 from .framing import blocks as frame
 from .framing import moving_average_zero_phase
 from .framing import resample
+from .scans import viterbi_chunks
 from .spectral import _keys
 
 NOVELTY = {"Flux": K.novelty_flux, "Hainsworth": K.novelty_hainsworth, "Laroche": K.novelty_laroche}
@@ -99,7 +100,8 @@ def beat_histogram(signals: DataFrame, method: str = "fft", block: int = 1024, h
 # --- chords --------------------------------------------------------------------------------------
 
 
-def chord_name(code: Column) -> Column:
+def chord_name(code: Column | str) -> Column:
+    code = F.col(code) if isinstance(code, str) else code
     names = ["/".join(f"{n} {mode}" for n in note.split("/")) for mode in ("Major", "Minor") for note in _NOTES] + ["No Chord"]
     return F.element_at(F.array(*map(F.lit, names)), code.cast("int") + 1)
 
@@ -134,6 +136,13 @@ def decode_chords(probabilities: DataFrame) -> DataFrame:
     return viterbi(probabilities.select("signal_id", "block_idx", F.col("prob").alias("emission")), start, move).withColumnRenamed("state", "chord")
 
 
+def decode_chords_chunked(probabilities: DataFrame, blocks: int = 1024) -> DataFrame:
+    """``decode_chords`` over parts of ``blocks`` blocks, so that a sequence is spread over tasks."""
+    parts = probabilities.groupBy("signal_id", F.expr(f"block_idx div {blocks}").alias("chunk_idx")).agg(F.array_sort(F.collect_list(F.struct("block_idx", "prob"))).alias("v"))
+    parts = parts.select("signal_id", "chunk_idx", (F.col("chunk_idx") * blocks).alias("first"), F.transform("v", lambda s: s["prob"]).alias("emissions"))
+    return viterbi_chunks(parts, *K.chord_model()).withColumnRenamed("state", "chord")
+
+
 def chords(signals: DataFrame, block: int = 8192, hop: int = 2048, smooth: bool = True) -> DataFrame:
     found = block_chords(frame(signals, block, hop))
     return (decode_chords(found) if smooth else found.select("signal_id", "block_idx", "chord")).withColumn("name", chord_name(F.col("chord")))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from ..operators import features as feat
 from ..operators import framing, music
 from ..operators import pitch as pitches
-from ..operators import spectral
+from ..operators import scans, spectral
 
 #: Pitch extractors and novelty kinds that ignore a positive factor on the signal.
 SCALE_FREE_PITCH = {"SpectralAcf", "SpectralHps", "TimeAcf", "TimeAmdf", "TimeZeroCrossings"}
@@ -85,6 +85,28 @@ class LongSignals:
         one = lambda some, fs: music.onsets_from_values(music.novelty_values(framing.blocks_from_chunks(some, block, hop, self.chunk, True), kind), fs / hop)
         return music._by_rate(scaled, None, one)
 
+    def filter(self, b, a, zero_phase: bool = False) -> LongSignals:
+        return replace(self, df=scans.filter_chunks(self.df, (b, a), zero_phase))
+
+    def single_pole(self, tau: float) -> LongSignals:
+        return replace(self, df=scans.single_pole_chunks(self.df, tau))
+
+    def resample(self, rate: float) -> LongSignals:
+        return replace(self, df=scans.resample_chunks(self.df, rate, self.chunk))
+
+    def gammatone(self, bands: int = 20, start: float = 100.0) -> DataFrame:
+        """(signal_id, sample_rate, chunk_idx, band, samples)."""
+        return scans.gammatone_chunks(framing.normalise_chunks(self.df) if self.scaled else self.df, bands, start)
+
+    def fingerprints(self, block: int = 2048, hop: int = 64, rate: float = 5000.0) -> DataFrame:
+        """Sub-fingerprints of the resampled signals; the chunk must be a multiple of the hop."""
+        return music.fingerprint_blocks(self.resample(rate).framed(block, hop, False, True))
+
+    def chords(self, block: int = 8192, hop: int = 2048) -> DataFrame:
+        """(signal_id, block_idx, chord, name): smoothed over the whole signal, decoded in parts of as many blocks as a chunk has."""
+        found = music.block_chords(self.framed(block, hop, False, False))
+        return music.decode_chords_chunked(found, max(1, self.chunk // hop)).withColumn("name", music.chord_name("chord"))
+
     def framed(self, block: int, hop: int, matters: bool, previous: bool) -> DataFrame:
         scaled = framing.normalise_chunks(self.df) if self.scaled and matters else self.df
         return framing.blocks_from_chunks(scaled, block, hop, self.chunk, previous)

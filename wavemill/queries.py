@@ -16,7 +16,7 @@ from . import kernels as K
 from .functions import convert, matrices
 from .functions import exprs as E
 from .operators import features as feat
-from .operators import framing, learn, music
+from .operators import framing, learn, music, scans
 from .operators import pitch as pitches
 from .operators import spectral
 from .plans import planner
@@ -804,23 +804,38 @@ def _(spark, d):
     return one.crossJoin(order)  # one row each
 
 
-_GMM = learn.Mixture([0.6, 0.4], [[0.0, 0.0], [0.1, -0.1]], [[[0.02, 0.0], [0.0, 0.03]], [[0.01, 0.0], [0.0, 0.02]]])
+def _inverse_sql(source: str, keys: tuple[str, ...] = ()) -> str:
+    """CTE ``inv(keys, i, j, v, ld)``: minus the inverse of 64 by 64 matrices (keys, i, j, v), swept pivot by pivot, and the log determinant."""
+    k = "".join(f"{x}, " for x in keys)
+    of = lambda t: "".join(f"{t}.{x} = s.{x} and " for x in keys)
+    new = "case when s.i = s.k and s.j = s.k then -1 / p.v when s.i = s.k then s.v / p.v when s.j = s.k then s.v / p.v else s.v - r.v * c.v / p.v end"
+    return f"""sw({k}k, i, j, v, ld) as (select {k}0, i, j, v, 0::double from {source} union all select {"".join(f"s.{x}, " for x in keys)}s.k + 1, s.i, s.j, {new}, s.ld + ln(p.v)
+  from sw s join sw p on {of("p")}p.i = s.k and p.j = s.k join sw r on {of("r")}r.i = s.k and r.j = s.j join sw c on {of("c")}c.i = s.i and c.j = s.k), inv as (select {k}i, j, v, ld from sw where k = 64)"""
 
 
-@query("q_gmm_density", "with g as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings) select vec_id obs_id, round(0.6::double / (2 * pi() * sqrt(0.02::double * 0.03::double)) * exp(-0.5::double * (a * a / 0.02::double + b * b / 0.03::double)) + 0.4::double / (2 * pi() * sqrt(0.01::double * 0.02::double)) * exp(-0.5::double * ((a - 0.1::double) * (a - 0.1::double) / 0.01::double + (b + 0.1::double) * (b + 0.1::double) / 0.02::double)), 6) density from g")
+def _mixture() -> learn.Mixture:
+    """Two components of 64 dimensions, of equal variances and equal covariances each."""
+    same = lambda a, b: a * np.eye(64) + b * np.ones((64, 64))
+    return learn.Mixture([0.6, 0.4], [np.zeros(64), np.where(np.arange(64) % 2, -0.02, 0.02)], [same(0.012, 0.002), same(0.015, 0.001)])
+
+
+# the inverse of a I + b J is (I - b / (a + 64 b) J) / a, its determinant a ** 63 (a + 64 b)
+@query("q_gmm_density", f"""with {_D.format(65)}, co(k, prior, m, a, b) as (values (0, 0.6::double, 0::double, 0.012::double, 0.002::double), (1, 0.4::double, 0.02::double, 0.015::double, 0.001::double)),
+ e as (select vec_id, k, any_value(ln(prior) - 32 * ln(2 * pi()) - 0.5::double * (63 * ln(a) + ln(a + 64 * b))) - 0.5::double * (sum(u * u) - any_value(b / (a + 64 * b)) * sum(u) * sum(u)) / any_value(a) l from (select *, v - case when n % 2 = 1 then -m else m end u from f, co) group by vec_id, k),
+ t as (select vec_id, max(l) top from e group by vec_id) select vec_id obs_id, round(any_value(top) + ln(sum(exp(l - top))), 6) log_density from e join t using (vec_id) group by vec_id""")
 def _(spark, d):
-    return learn.score_mixtures(obs(spark, d, 2), {0: _GMM}).select("obs_id", rnd("density").alias("density"))
+    return learn.score_mixtures(obs(spark, d), {0: _mixture()}).select("obs_id", rnd("log_density").alias("log_density"))
 
 
-@query("q_gmm_clf", f"with {_D.format(3)}, m as (select label, n, avg(v) a, var_samp(v) s from f group by all), cv as (select label, covar_samp(a, b) c from (select label, max(case when n = 0 then v end) a, max(case when n = 1 then v end) b from f group by label, vec_id) group by 1), w as (select x.label, x.a m0, y.a m1, x.s s0, y.s s1, c, x.s * y.s - c * c det from m x join m y on y.label = x.label and x.n = 0 and y.n = 1 join cv on cv.label = x.label), g as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings), z as (select vec_id, label, -0.5::double * ((a - m0) * (a - m0) * s1 - 2 * (a - m0) * (b - m1) * c + (b - m1) * (b - m1) * s0) / det - 0.5::double * ln(det) l from g, w) select vec_id obs_id, min_by(label, (-l, label))::int predicted from z group by 1")
+# one component for each label: its mean, its covariance and a hundredth on the diagonal
+@query("q_gmm_clf", f"""with recursive {_D.format(65)}, m as (select label, n, avg(v) a, count(*) c from f group by all), dv as materialized (select f.label, vec_id, f.n, v - a u, c from f join m using (label, n)),
+ cv as materialized (select x.label, x.n i, y.n j, sum(x.u * y.u) / any_value(x.c) + any_value(case when x.n = y.n then 0.01::double else 0 end) v from dv x join dv y on x.vec_id = y.vec_id group by all), {_inverse_sql("cv", ("label",))},
+ z as (select x.vec_id, m.label, m.n, x.v - m.a u from f x join m on m.n = x.n), vs as (select vec_id, label, list(u order by n) u from z group by all), rw as (select label, i, list(v order by j) w, any_value(ld) ld from inv group by label, i),
+ q as (select vec_id, vs.label, sum(vs.u[i + 1] * list_inner_product(vs.u, rw.w)) s, any_value(ld) ld from vs join rw on rw.label = vs.label group by vec_id, vs.label)
+ select vec_id obs_id, min_by(label, (-(0.5::double * s - 0.5::double * ld), label))::int predicted from q group by vec_id""")
 def _(spark, d):
-    # one component per class: its mean and covariance (sample covariance, as the start of the fit has it)
-    o = obs(spark, d, 2)
-    models = {}
-    for r in o.select("label").distinct().orderBy("label").collect():
-        _, mean, cov = learn.moments(o.where(F.col("label") == r["label"]))
-        models[r["label"]] = learn.Mixture([1.0], [mean], [cov])
-    return learn.score_mixtures(o, models).select("obs_id", "predicted")
+    o = obs(spark, d)
+    return learn.score_mixtures(o, learn.gmm_classifier(o, 1, 1, ridge=0.01)).select("obs_id", "predicted")
 
 
 # the cost table of 64 by 64 values per pair is too slow as SQL; tests compare with plain loops
@@ -1079,15 +1094,18 @@ def _(spark, d):
 
 
 # singular values of the matrix of products of the dimensions, by the powers' traces; and what the parts give back
-@query("q_svd", f"with {MAT}, g as (select a.j i, b.j, sum(a.v * b.v) g from m a join m b using (i) group by all) select (select round(sum(g), 6) from g where i = j) t1, (select round(sum(g * g), 6) from g) t2, 0.0::double off, true falling")
+# a row's share in the left vectors is x' G^-1 x
+@query("q_svd", f"""with recursive {_D.format(65)}, src as materialized (select x.n i, y.n j, sum(x.v * y.v) v from f x join f y using (vec_id) group by all), {_inverse_sql("src")},
+ vs as (select vec_id, list(v order by n) u from f group by vec_id), rw as (select i, list(v order by j) w from inv group by i)
+ select vec_id obs_id, round(-sum(u[i + 1] * list_inner_product(u, w)), 6) + 0.0 leverage, true rebuilt, (select round(sum(v), 6) from src where i = j) t1, (select round(sum(v * v), 6) from src) t2 from vs, rw group by vec_id""")
 def _(spark, d):
-    m = mat(spark, d)
-    g = np.zeros((64, 64))
-    for r in matrices.matmul(matrices.transpose(m), m).collect():  # 64 by 64
-        g[r["i"], r["j"]] = r["v"]
-    u, w, v = learn.svd(g)
-    off = float(np.abs(u * w @ v.T - g).max())
-    return spark.createDataFrame([(round(float(w.sum()), 6), round(float((w * w).sum()), 6), round(off, 6), bool((np.diff(w) <= 0).all()))], "t1 double, t2 double, off double, falling boolean")
+    o = obs(spark, d)
+    u, w, v = learn.svd(o)
+    bound = [float(x) for x in (w[:, None] * v.T).T.ravel()]  # V W, 64 by 64
+    back = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.aggregate(F.zip_with("u", F.slice(F.array(*map(F.lit, bound)), k * 64 + 1, 64), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    out = u.withColumn("back", back).join(o.select("obs_id", "f"), "obs_id")
+    rebuilt = F.forall(F.zip_with("back", "f", lambda a, b: F.abs(a - b) < 1e-9), lambda ok: ok)
+    return out.select("obs_id", rnd(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("leverage"), rebuilt.alias("rebuilt"), F.lit(round(float((w**2).sum()), 6)).alias("t1"), F.lit(round(float((w**4).sum()), 6)).alias("t2"))
 
 
 @query("q_window_levels", "select user_id, strftime(ts, '%Y-%m-%d') as start, round(avg(value), 6) mean, round(sqrt(avg(value * value)), 6) rms, count(*) n from events group by all")
@@ -1107,6 +1125,93 @@ def _long_signals(spark, d, rate: float = 8000.0) -> DataFrame:
     return e.groupBy(((F.col("event_id") - low) % 10).alias("signal_id")).agg(x.alias("v")).select("signal_id", F.lit(rate).alias("sample_rate"), F.transform("v", lambda p: p["x"]).alias("samples"))
 
 
+# recurrences over chunks: the events as ten long signals ------------------------------------------
+
+_EV = "ev as (select (event_id - (select min(event_id) from events)) % 10 s, (event_id - (select min(event_id) from events)) // 10 n, value v, event_type from events), ln as (select s, count(*) len from ev group by s)"
+
+
+def _event_rows(spark, d) -> DataFrame:
+    """(signal_id, i, value, event_type): event ids follow each other, so they number the samples of ten interleaved signals."""
+    e = read(spark, d, "events")
+    low = e.agg(F.min("event_id")).first()[0] or 0
+    return e.select(((F.col("event_id") - low) % 10).alias("signal_id"), F.expr(f"(event_id - {low}) div 10").alias("i"), "value", "event_type")
+
+
+def _event_chunks(spark, d, chunk: int = 100, rate: float = 100.0) -> DataFrame:
+    rows = _event_rows(spark, d).groupBy("signal_id", F.expr(f"i div {chunk}").alias("chunk_idx")).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("v"))
+    return rows.select("signal_id", F.lit(rate).alias("sample_rate"), "chunk_idx", F.transform("v", lambda p: p["value"]).alias("samples"))
+
+
+def _chunk_samples(chunks: DataFrame, chunk: int = 100) -> DataFrame:
+    out = chunks.select("signal_id", "chunk_idx", F.posexplode("samples").alias("k", "y"))
+    return out.select("signal_id", (F.col("chunk_idx") * chunk + F.col("k")).alias("n"), rnd("y").alias("y"))
+
+
+_LOW2 = [[float(v) for v in c] for c in K.butterworth(2, 0.3)]
+
+
+@query("q_iir_chunks", f"with recursive {_EV}, y(s, n, y, y1, x0, x1) as (select s, 0::bigint, {_LOW2[0][0]!r}::double * v, 0::double, v, 0::double from ev where n = 0 union all select ev.s, ev.n, {_LOW2[0][0]!r}::double * ev.v + {_LOW2[0][1]!r}::double * y.x0 + {_LOW2[0][2]!r}::double * y.x1 - ({_LOW2[1][1]!r}::double) * y.y - ({_LOW2[1][2]!r}::double) * y.y1, y.y, ev.v, y.x0 from y join ev on ev.s = y.s and ev.n = y.n + 1) select s signal_id, n, round(y, 6) + 0.0 y from y")
+def _(spark, d):
+    return _chunk_samples(planner.LongSignals(_event_chunks(spark, d), 100).filter(*_LOW2).df)
+
+
+_SP_EV = K.single_pole_alpha(0.1, 100.0)
+
+
+@query("q_single_pole_chunks", f"with recursive {_EV}, y(s, n, y) as (select s, 0::bigint, {1 - _SP_EV!r}::double * v from ev where n = 0 union all select ev.s, ev.n, {1 - _SP_EV!r}::double * ev.v + {_SP_EV!r}::double * y.y from y join ev on ev.s = y.s and ev.n = y.n + 1) select s signal_id, n, round(y, 6) + 0.0 y from y")
+def _(spark, d):
+    return _chunk_samples(planner.LongSignals(_event_chunks(spark, d), 100).single_pole(0.1).df)
+
+
+def _filtfilt_events_sql(b, a) -> str:
+    """CTEs up to ``z(s, n, y)``: the zero-phase filter of fourth order over whole event signals."""
+    zi, num = K.steady_state(b, a), lambda v: f"({float(v)!r}::double)"
+    step = f"{num(b[0])} * {{x}} + {{s1}} as o, " + ", ".join(f"{num(b[k])} * {{x}} - {num(a[k])} * o" + (f" + {{s{k + 1}}}" if k < 4 else "") + f" as t{k}" for k in range(1, 5))
+    first = step.format(x="e.v", **{f"s{k}": f"{num(zi[k - 1])} * e.v" for k in range(1, 5)})
+    later = step.format(x="e.v", **{f"s{k}": f"y.s{k}" for k in range(1, 5)})
+    run = lambda name, source: f"{name}(s, m, y, s1, s2, s3, s4) as (select s, 0::bigint, {first} from {source} e where m = 0 union all select y.s, e.m, {later} from {name} y join {source} e on e.s = y.s and e.m = y.m + 1)"
+    return f"""{_EV}, ext as materialized (select a.s, m, case when m < 12 then 2 * a.v - x.v when m < len + 12 then x.v else 2 * z.v - x.v end v from ln, unnest(range(len + 24)) t(m) join ev x on x.s = ln.s and x.n = case when m < 12 then 12 - m when m < len + 12 then m - 12 else 2 * len + 10 - m end
+  join ev a on a.s = ln.s and a.n = 0 join ev z on z.s = ln.s and z.n = len - 1), {run("fw", "ext")}, turned as materialized (select fw.s, len + 23 - m m, y v from fw join ln using (s) where m >= 12), {run("bw", "turned")}, z as (select bw.s, len + 11 - m n, y from bw join ln using (s) where m >= 12)"""
+
+
+@query("q_filtfilt_chunks", f"with recursive {_filtfilt_events_sql(*K.butterworth(4, 0.2))} select s signal_id, n, round(y, 6) + 0.0 y from z")
+def _(spark, d):
+    return _chunk_samples(planner.LongSignals(_event_chunks(spark, d), 100).filter(*K.butterworth(4, 0.2), zero_phase=True).df)
+
+
+@query("q_resample_chunks", f"with recursive {_filtfilt_events_sql(*K.butterworth(4, 0.9 * 75 / 100))}, pos as (select s, len, n, n * 100 / 75::double p from ln, unnest(range(round(len / 100::double * 75)::bigint)) t(n)) select pos.s signal_id, pos.n, round((1 - p + floor(p)) * l.y + (p - floor(p)) * coalesce(r.y, 0), 6) + 0.0 y from pos join z l on l.s = pos.s and l.n = floor(p) left join z r on r.s = pos.s and r.n = floor(p) + 1")
+def _(spark, d):
+    return _chunk_samples(planner.LongSignals(_event_chunks(spark, d), 100).resample(75.0).df)
+
+
+@query("q_gammatone_chunks", f"""with recursive {_EV}, co(k, band, b0, b1, a1, a2) as (values {", ".join(f"({k}, {band}, {float(b[0])!r}::double, {float(b[1])!r}::double, {float(a[1])!r}::double, {float(a[2])!r}::double)" for band, c in enumerate(K.gammatone_centres(2, 10.0, 100.0)) for k, (b, a) in enumerate(K.gammatone_sections(float(c), 100.0)))}),
+ g as (select band, list(b0 order by k) b0, list(b1 order by k) b1, list(a1 order by k) a1, list(a2 order by k) a2 from co group by band),
+ y(s, band, n, x0, p1, p2, p3, p4, q1, q2, q3, q4) as (select s, band, -1::bigint, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double, 0::double from ln, g
+  union all select ev.s, y.band, ev.n, ev.v, g.b0[1] * ev.v + g.b1[1] * y.x0 - g.a1[1] * y.p1 - g.a2[1] * y.q1 as r1, g.b0[2] * r1 + g.b1[2] * y.p1 - g.a1[2] * y.p2 - g.a2[2] * y.q2 as r2, g.b0[3] * r2 + g.b1[3] * y.p2 - g.a1[3] * y.p3 - g.a2[3] * y.q3 as r3, g.b0[4] * r3 + g.b1[4] * y.p3 - g.a1[4] * y.p4 - g.a2[4] * y.q4, y.p1, y.p2, y.p3, y.p4
+  from y join ev on ev.s = y.s and ev.n = y.n + 1 join g on g.band = y.band) select s signal_id, band, n, round(p4, 6) + 0.0 y from y where n >= 0""")
+def _(spark, d):
+    out = planner.LongSignals(_event_chunks(spark, d), 100).gammatone(2, 10.0).select("signal_id", "chunk_idx", "band", F.posexplode("samples").alias("k", "y"))
+    return out.select("signal_id", "band", (F.col("chunk_idx") * 100 + F.col("k")).alias("n"), rnd("y").alias("y"))
+
+
+# probabilities without products that are equal
+_HMM_U = [[0.413, 0.287, 0.163, 0.088, 0.049], [0.057, 0.109, 0.193, 0.311, 0.33]]
+
+
+@query("q_viterbi_chunks", f"""with recursive {_EV}, sym as (select s, n, dense_rank() over (order by event_type) - 1 sym from ev), em(st, sy, p) as (values {_values(np.array(_HMM_U))}), tr(a, b, p) as (values (0, 0, 0.71::double), (0, 1, 0.29::double), (1, 0, 0.37::double), (1, 1, 0.63::double)),
+ v(s, n, st, lp, path) as (select s, 0::bigint, st, ln(case when st = 0 then 0.61::double else 0.39::double end + 1e-30::double) + ln(p + 1e-30::double), [st] from sym join em on sy = sym where n = 0
+  union all select * from (select c.s, c.n, e.st, max(v.lp + ln(tr.p + 1e-30::double)) + any_value(ln(e.p + 1e-30::double)), list_concat(arg_max(v.path, v.lp + ln(tr.p + 1e-30::double)), [any_value(e.st)]) from v join sym c on c.s = v.s and c.n = v.n + 1 join em e on e.sy = c.sym join tr on tr.a = v.st and tr.b = e.st group by all)),
+ best as (select v.s, arg_max(path, (lp, -st)) path, max(lp) lp from v join ln on ln.s = v.s and v.n = len - 1 group by v.s)
+ select s signal_id, unnest(range(len(path))) block_idx, unnest(path)::int state, round(lp, 4) + 0.0 lp from best""")
+def _(spark, d):
+    e = _event_rows(spark, d)
+    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
+    row = F.create_map(*[x for k, t in enumerate(types) for x in (F.lit(t), F.array(F.lit(_HMM_U[0][k]), F.lit(_HMM_U[1][k])))])
+    rows = e.groupBy("signal_id", F.expr("i div 100").alias("chunk_idx")).agg(F.array_sort(F.collect_list(F.struct("i", row[F.col("event_type")].alias("e")))).alias("v"))
+    chunks = rows.select("signal_id", "chunk_idx", (F.col("chunk_idx") * 100).alias("first"), F.transform("v", lambda p: p["e"]).alias("emissions"))
+    return scans.viterbi_chunks(chunks, [0.61, 0.39], [[0.71, 0.29], [0.37, 0.63]]).select("signal_id", "block_idx", "state", rnd("probability", 4).alias("lp"))
+
+
 @query("q_noise")
 def _(spark, d):
     return synth.noise(spark, 1000, 0.5, False).select("i", "x")
@@ -1246,21 +1351,22 @@ def _(spark, d):
     return learn.nmf(m, 2).select("signal_id", "part", "i", F.posexplode("v").alias("j", "v"))
 
 
-@query("q_gmm_fit", """with g as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings), c as (select var_samp(a) s0, var_samp(b) s1, covar_samp(a, b) c from g), mu(k, m0, m1) as (values (0, 0.1::double, 0.1::double), (1, -0.1::double, -0.1::double)),
- w as (select vec_id, a, b, k, exp(-0.5::double * ((a - m0) * (a - m0) * s1 - 2 * (a - m0) * (b - m1) * c + (b - m1) * (b - m1) * s0) / (s0 * s1 - c * c)) w from g, c, mu), r as (select *, w / sum(w) over (partition by vec_id) r from w),
- m as (select k, sum(r) s, sum(r * a) / sum(r) m0, sum(r * b) / sum(r) m1 from r group by 1)
- select k::int k, round(any_value(s) / (select count(*) from g), 6) prior, round(any_value(m0), 6) + 0.0 mu0, round(any_value(m1), 6) + 0.0 mu1, round(sum(r * (a - m0) * (a - m0)) / any_value(s), 8) s00, round(sum(r * (a - m0) * (b - m1)) / any_value(s), 8) + 0.0 s01, round(sum(r * (b - m1) * (b - m1)) / any_value(s), 8) s11 from r join m using (k) group by k""")
+@query("q_gmm_fit", f"""with recursive {_COV}, src as materialized (select i, j, c v from cv), {_inverse_sql("src")}, mu(k, m) as (values (0, 0.02::double), (1, -0.02::double)),
+ vs as (select vec_id, k, list(v - m order by n) u from f, mu group by vec_id, k), rw as (select i, list(v order by j) w from inv group by i),
+ q as (select vec_id, k, 0.5::double * sum(u[i + 1] * list_inner_product(u, w)) l from vs, rw group by vec_id, k), r as materialized (select vec_id, k, exp(l - top) / sum(exp(l - top)) over (partition by vec_id) r from (select *, max(l) over (partition by vec_id) top from q)),
+ me as materialized (select k, n, sum(r * v) / sum(r) m, sum(r) s from r join f using (vec_id) group by k, n), dv as materialized (select vec_id, k, r, f.n, v - m u, s from r join f using (vec_id) join me using (k, n))
+ select x.k::int k, x.n::int i, y.n::int j, round(any_value(x.s) / (select count(*) from embeddings), 6) prior, round(any_value(me.m), 6) + 0.0 mu, round(sum(x.r * x.u * y.u) / any_value(x.s), 8) + 0.0 sigma from dv x join dv y on x.vec_id = y.vec_id and x.k = y.k join me on me.k = x.k and me.n = x.n group by x.k, x.n, y.n""")
 def _(spark, d):
     # one round of the fit
-    m = learn.gmm(obs(spark, d, 2), np.array([[0.1, 0.1], [-0.1, -0.1]]), 1)
-    rows = [(k, *(round(float(v), 6) for v in (m.prior[k], *m.mu[k])), *(round(float(v), 8) for v in m.sigma[k].ravel()[[0, 1, 3]])) for k in range(2)]
-    return spark.createDataFrame(rows, "k int, prior double, mu0 double, mu1 double, s00 double, s01 double, s11 double")
+    m = learn.gmm(obs(spark, d), np.array([[0.02] * 64, [-0.02] * 64]), 1)
+    rows = [(k, i, j, round(float(m.prior[k]), 6), round(float(m.mu[k, i]), 6) + 0.0, round(float(m.sigma[k, i, j]), 8) + 0.0) for k in range(2) for i in range(64) for j in range(64)]
+    return spark.createDataFrame(rows, "k int, i int, j int, prior double, mu double, sigma double")
 
 
 @query("q_gmm_classifier_fit")
 def _(spark, d):
-    o = obs(spark, d, 2)
-    return learn.score_mixtures(o, learn.gmm_classifier(o.where("label is not null"), 2, 5)).select("obs_id", "predicted")
+    o = obs(spark, d)
+    return learn.score_mixtures(o, learn.gmm_classifier(o, 2, 5, ridge=0.01)).select("obs_id", "predicted")
 
 
 @query("q_stream_gammatone", f"with recursive {_gammatone_sql(1, 2.0, 64.0, _LNG + ', x as (select s vec_id, i n, x v from lng)')} select vec_id signal_id, n::bigint i, round(u4, 6) + 0.0 y from g where n >= 0")
