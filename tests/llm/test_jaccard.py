@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import numpy as np
 
 from wavemill.llm import jaccard
 
@@ -183,3 +184,17 @@ def test_candidates_by_bitmap_give_the_same_components(spark, sf_dir, monkeypatc
     want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def test_small_regions_go_through_pivots():
+    rng = np.random.default_rng(8)
+    base = [np.sort(rng.choice(1 << 40, 100, replace=False)).astype(np.uint64) for _ in range(4)]
+    near = [np.sort(np.append(b[:-2], rng.integers(1 << 41, 1 << 42, 2).astype(np.uint64))) for b in base for _ in range(3)]
+    for sets in ([base[0], *near[:2]], [base[0], base[1], base[2]], [*base, *near]):
+        taken: list[str] = []
+        found = jaccard.pivot_links(sets, 90, 100, taken=taken)
+        x = jaccard.shared_counts(sets)
+        n = np.array([len(s) for s in sets])
+        want = jaccard._stars(jaccard._linked(x, n, n, 90, 100))
+        assert sorted(found) == sorted((int(i), int(j)) for i, j in want) and taken[0] == "pivots"
+    assert jaccard.pivot_links(base[:2], 90, 100) == []

@@ -190,13 +190,9 @@ def plain_pipeline(docs, bench, learn):
         if not out[0]:
             kept[d] = t
     hashed = {d: [linededup.line_hash(x.encode()) for x in t.split("\n")] for d, t in kept.items()}
-    first = {}
-    for d in sorted(hashed):
-        for k in linededup.run_keys(hashed[d]):
-            first.setdefault(k, d)
     after = {}
     for d, t in kept.items():
-        gone = set().union(*(linededup.deleted(hashed[d], hashed[e]) for e in {first[k] for k in linededup.run_keys(hashed[d])} - {d}))
+        gone = set().union(*(linededup.deleted(hashed[d], hashed[e]) for e in hashed if e < d))
         lines = [x for i, x in enumerate(t.split("\n")) if i not in gone]
         if not gone or any(x.strip() for x in lines):
             after[d] = "\n".join(lines)

@@ -16,12 +16,12 @@ a region that both documents share. Within a region, distances to fixed pivots (
 Regions that share documents are then joined into one (connected components), so that each link is
 in exactly one region.
 
-Level 1 and up, pivots that are documents. Every region gets documents as pivots. Its members' distances
+Level 1 and up, pivots that are documents. Every region of three or more gets documents as pivots. Its members' distances
 to them are computed. Members go to the Voronoi region of their nearest pivot p and, for exactness, into
 every region q with d(x, q) <= d(x, p) + 2r (triangle inequality: if d(x, y) <= r then d(y, p) <= d(y, p_y)
 + 2r for x's pivot p). Members within r of a pivot are linked to it at once. A region whose members are all
 connected by then is done, the others are joined recursively. A region of up to REGION_DOCS documents
-goes through this recursion within one task (``pivot_links``), down to leaves of LEAF documents or regions
+goes through this recursion within one task (``pivot_links``), down to pairs or regions
 that no longer shrink, which are joined by their intersection counts. Larger regions are spread over
 tasks in chunks level by level; one that no longer shrinks is joined in tiles, the members outside its
 largest connected class against all.
@@ -60,7 +60,7 @@ COUNT_BLOCK = 1 << 23
 MOST_COUNT_BITS = 12
 #: A region up to this many documents and shingles is joined in one task; leaves and pivots of the recursion there.
 REGION_DOCS, REGION_SHINGLES = 192, 4_000_000
-LEAF, LEAF_PIVOTS = 12, 4
+LEAF, LEAF_PIVOTS = 2, 4
 #: One of this many classes is looked at for parts that many classes hold.
 HOT_SAMPLE = 16
 PIVOTS, CHUNK_DOCS, MOST_LEVELS = 16, 96, 4
@@ -284,10 +284,11 @@ def _stars(linked: np.ndarray) -> list[tuple[int, int]]:
         label = low
 
 
-def pivot_links(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF) -> list[tuple[int, int]]:
+def pivot_links(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF, taken: list[str] | None = None) -> list[tuple[int, int]]:
     """(member, first member of its component) for all but the first members of a region.
 
     Pivots, Voronoi regions with windows, recursion; only leaves and regions that keep most of their members are joined pairwise.
+    ``taken`` is told which way each step went.
     """
     n = np.array([len(s) for s in sets])
     label = np.arange(len(sets))
@@ -297,10 +298,12 @@ def pivot_links(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF) ->
         if len(np.unique(label[own])) == 1:
             continue
         mine = [sets[i] for i in own]
+        if taken is not None:
+            taken.append("leaf" if len(own) <= leaf else "pivots")
         if len(own) <= leaf:
             found = [(own[i], own[j]) for i, j in _stars(_linked(shared_counts(mine), n[own], n[own], num, den))]
         else:
-            pivots = own[np.linspace(0, len(own) - 1, LEAF_PIVOTS).astype(int)]
+            pivots = own[np.linspace(0, len(own) - 1, min(LEAF_PIVOTS, len(own) - 1)).astype(int)]
             x = shared_counts(mine, [sets[i] for i in pivots])
             d = 1 - x / (n[own][:, None] + n[pivots][None, :] - x)
             found = [(own[i], pivots[j]) for i, j in zip(*np.nonzero(_linked(x, n[own], n[pivots], num, den)), strict=True)]
@@ -309,6 +312,8 @@ def pivot_links(sets: list[np.ndarray], num: int, den: int, leaf: int = LEAF) ->
             if any(len(c) > 0.7 * len(own) for c in children):
                 label = _merged(label, found)
                 if len(np.unique(label[own])) > 1:
+                    if taken is not None:
+                        taken.append("pairs")
                     found = [(own[i], own[j]) for i, j in _stars(_linked(shared_counts(mine), n[own], n[own], num, den))]
             else:
                 todo += children
