@@ -18,7 +18,7 @@ from .functions import exprs as E
 from .operators import features as feat
 from .operators import framing, learn, music, scans
 from .operators import pitch as pitches
-from .operators import spectral
+from .operators import spectral, warping
 from .plans import planner
 from .sources import audio, synth, text
 from .streaming import stateful
@@ -838,13 +838,30 @@ def _(spark, d):
     return learn.score_mixtures(o, learn.gmm_classifier(o, 1, 1, ridge=0.01)).select("obs_id", "predicted")
 
 
-# the cost table of 64 by 64 values per pair is too slow as SQL; tests compare with plain loops
-@query("q_dtw_cost")
+# costs c by anti-diagonals n = row + column, with those of the diagonal before (c1) and the step to each; then the way back
+_DTW = """with recursive xy as materialized (select a.vec_id s, list_transform(a.embedding, lambda v: v::double) x, list_transform(b.embedding, lambda v: v::double) y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+ w(s, n, i, c, c1, st) as (select s, 0, 0, abs(x[1] - y[1]), 'inf'::double, 0 from xy union all
+  select s, n, i, d + least(up, along, diag), along, case when diag <= along and diag <= up then 0 when along <= up then 1 else 2 end from (
+   select q.s, n, i, any_value(abs(x[i + 1] - y[n - i + 1])) d, min(case when t = 1 then c else 'inf'::double end) up, min(case when t = 0 then c else 'inf'::double end) along, min(case when t = 1 then c1 else 'inf'::double end) diag
+   from (select w.s, w.n + 1 n, w.i + t i, t, c, c1 from w, (values (0), (1)) z(t)) q join xy on xy.s = q.s where i < 64 and n - i < 64 and n - i >= 0 group by q.s, n, i)),
+ st as materialized (select s, list(st order by i, n) st, max(case when n = 126 then c end) cost from w group by s),
+ b(s, i, j) as (select s, 63, 63 from st union all select b.s, case when st[64 * i + j + 1] = 1 then i else i - 1 end, case when st[64 * i + j + 1] = 2 then j else j - 1 end from b join st using (s) where i > 0 or j > 0)"""
+
+
+@query("q_dtw_cost", f"{_DTW} select s signal_id, round(cost, 6) as cost, (row_number() over (partition by s order by i + j) - 1)::int step, i as row, j as col from b join st using (s)")
 def _(spark, d):
     out = learn.dtw(_pairs(spark, d), "x", "y", ["signal_id"])
     return out.select("signal_id", rnd("cost").alias("cost"), F.posexplode("path").alias("step", "p")).select("signal_id", "cost", "step", "p.row", "p.col")
 
 
+@query("q_dtw_tiles", f"{_DTW} select s signal_id, round(cost, 6) as cost, i::bigint as row, j::bigint as col from b join st using (s)")
+def _(spark, d):
+    # the same pairs in tiles of 32 by 32 values
+    side = lambda c: _pairs(spark, d).select(F.col("signal_id").alias("pair_id"), F.posexplode(F.array(F.slice(c, 1, 32), F.slice(c, 33, 32))).alias("chunk_idx", "x"))
+    total, path = warping.dtw_chunks(side("x"), side("y"))
+    return path.join(total, "pair_id").select(F.col("pair_id").alias("signal_id"), rnd("cost").alias("cost"), "row", "col")
+
+
 # recurrences ---------------------------------------------------------------------------------------
 
 
