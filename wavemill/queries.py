@@ -1381,9 +1381,16 @@ def _(spark, d):
 
 
 @query("q_gmm_classifier_fit")
+def _(spark, d):
+    o = obs(spark, d, 2)
+    return learn.score_mixtures(o, learn.gmm_classifier(o.where("label is not null"), 2, 5)).select("obs_id", "predicted")
+
+
+# two components of 64 dimensions for each label
+@query("q_gmm_classifier_full")
 def _(spark, d):
     o = obs(spark, d)
-    return learn.score_mixtures(o, learn.gmm_classifier(o, 2, 5, ridge=0.01)).select("obs_id", "predicted")
+    return learn.score_mixtures(o, learn.gmm_classifier(o, 2, 5, ridge=0.01)).select("obs_id", "predicted", rnd("log_density").alias("log_density"))
 
 
 @query("q_stream_gammatone", f"with recursive {_gammatone_sql(1, 2.0, 64.0, _LNG + ', x as (select s vec_id, i n, x v from lng)')} select vec_id signal_id, n::bigint i, round(u4, 6) + 0.0 y from g where n >= 0")
