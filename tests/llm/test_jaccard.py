@@ -1,7 +1,7 @@
 import random
 
-import pytest
 import numpy as np
+import pytest
 
 from wavemill.llm import jaccard
 
