@@ -99,3 +99,16 @@ def test_equal_paths_go_to_the_first_state(spark):
     flat = spark.createDataFrame([(0, i, [0.3, 0.3]) for i in range(15)], "signal_id long, block_idx long, emission array<double>")
     want = [r["state"] for r in music.viterbi(flat, [0.5, 0.5], half).orderBy("block_idx").collect()]
     assert [r["state"] for r in scans.viterbi_chunks(df, [0.5, 0.5], half, 2).orderBy("block_idx").collect()] == want == [0] * 15
+
+
+def test_chords_and_fingerprints_of_long_signals(spark):
+    from wavemill.plans.planner import LongSignals, Signals
+
+    rng = np.random.default_rng(1)
+    x = {"a": (8000.0, rng.normal(size=2500)), "b": (8000.0, rng.normal(size=700))}
+    long = LongSignals(spark.createDataFrame(cut(x, 256), DDL), 256)
+    whole = Signals(spark.createDataFrame([(n, fs, v.tolist()) for n, (fs, v) in x.items()], "signal_id string, sample_rate double, samples array<double>"))
+    rows = lambda df, *c: sorted(tuple(r) for r in df.select("signal_id", "block_idx", *c).collect())
+    assert rows(long.chords(128, 64), "chord", "name") == rows(whole.chords(128, 64), "chord", "name")
+    small = {"block": 128, "hop": 64}
+    assert rows(long.fingerprints(**small), "word") == rows(music.fingerprints(whole.df, **small), "word")
