@@ -23,7 +23,7 @@ TILE_ROWS = 2048
 NO_CLASS = -1111111111
 
 
-def _rows(df: DataFrame) -> DataFrame:
+def observations(df: DataFrame) -> DataFrame:
     out = df.select(F.col("obs_id").cast("long").alias("obs_id"), F.col("label").cast("int").alias("label") if "label" in df.columns else F.lit(0).alias("label"), F.col("f").cast("array<double>").alias("f"))
     return out.where(F.col("f").isNotNull() & ~F.exists("f", lambda v: v.isNull()))
 
@@ -45,7 +45,7 @@ def partial_sums(df: DataFrame, fn: Callable, size: int) -> np.ndarray:
                 total += fn(matrix(batch.column("f")), batch.column("label").to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_pydict({"bucket": [0], "v": [total.tolist()]}, schema=pa.schema([("bucket", pa.int32()), ("v", pa.list_(pa.float64()))]))
 
-    sent = _rows(df).mapInArrow(run, "bucket int, v array<double>")
+    sent = observations(df).mapInArrow(run, "bucket int, v array<double>")
     summed = sent.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(size)
     for r in summed:
@@ -58,7 +58,7 @@ def normalisation(train: DataFrame, kind: str = "none") -> tuple[np.ndarray, np.
     if kind == "none":
         n = _dims(train)
         return np.zeros(n), np.ones(n)
-    each = _rows(train).select(F.posexplode("f").alias("d", "x")).groupBy("d")
+    each = observations(train).select(F.posexplode("f").alias("d", "x")).groupBy("d")
     if kind == "zscore":
         rows = each.agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("b")).orderBy("d").collect()
         shift, scale = (np.array([r[c] for r in rows], dtype=float) for c in ("a", "b"))
@@ -89,7 +89,7 @@ def _tiles(df: DataFrame) -> DataFrame:
                 x, ids = matrix(part.column("f")), part.column("obs_id").to_pylist()
                 yield pa.RecordBatch.from_pydict({"tile": [ids[0]], "ids": [ids], "labels": [part.column("label").to_pylist()], "f": [x.ravel()], "dims": [x.shape[1]]}, schema=schema)
 
-    return _rows(df).where("obs_id is not null").mapInArrow(run, "tile long, ids array<long>, labels array<int>, f array<double>, dims int")
+    return observations(df).where("obs_id is not null").mapInArrow(run, "tile long, ids array<long>, labels array<int>, f array<double>, dims int")
 
 
 def tile_pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
@@ -144,12 +144,12 @@ def vote(labels: list[int], distances: list[float]) -> int:
         slots, score = slots[: max(k, 1)], score[: max(k, 1)]
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int = 3, normalise: str = "none", exclude_self: bool = False) -> DataFrame:
-    """(obs_id, predicted)."""
+def knn(train: DataFrame, queries: DataFrame, k: int = 3, normalise: str = "none", exclude_self: bool = False, search: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """(obs_id, predicted). ``search`` finds the neighbours: by default in tiles, or ``regions.neighbours``."""
     if normalise != "none":
         shift, scale = normalisation(train, normalise)
         train, queries = normalised(train, shift, scale), normalised(queries, shift, scale)
-    near = neighbours(train, queries, k, exclude_self)
+    near = (search or neighbours)(train, queries, k, exclude_self)
     lists = near.groupBy("obs_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "d"))).alias("n"))  # k rows each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def seeds(obs: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     """k observations drawn at random, as starts for a fit: those with the smallest keyed hashes of their ids."""
-    rows = _rows(obs).orderBy(F.xxhash64(F.lit(seed), "obs_id"), "obs_id").limit(k).collect()
+    rows = observations(obs).orderBy(F.xxhash64(F.lit(seed), "obs_id"), "obs_id").limit(k).collect()
     if len(rows) < k:
         raise ValueError(f"{k} starts need at least {k} observations")
     return np.array([r["f"] for r in rows], dtype=float)
@@ -252,7 +252,7 @@ def kmeans(obs: DataFrame, centres: np.ndarray | int, max_iter: int = 300, seed:
         now = np.where(got[:, -1:] > 0, got[:, :-1] / np.maximum(got[:, -1:], 1), centres)
         for j in np.flatnonzero(got[:, -1] == 0):
             far = F.aggregate(F.zip_with("f", F.array(*[F.lit(float(v)) for v in centres[j]]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-            now[j] = _rows(obs).orderBy(F.desc(far), "obs_id").select("f").first()[0]
+            now[j] = observations(obs).orderBy(F.desc(far), "obs_id").select("f").first()[0]
         if np.abs(now - centres).sum() <= 0:
             break
         centres = now
@@ -265,7 +265,7 @@ def assign(obs: DataFrame, centres: np.ndarray) -> DataFrame:
             home = _nearest(matrix(batch.column("f")), centres) if batch.num_rows else np.empty(0, int)
             yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(home, pa.int32())], names=["obs_id", "cluster"])
 
-    return _rows(obs).mapInArrow(run, "obs_id long, cluster int")
+    return observations(obs).mapInArrow(run, "obs_id long, cluster int")
 
 
 # --- Gaussian mixtures ---------------------------------------------------------------------------
@@ -390,14 +390,14 @@ def score_mixtures(obs: DataFrame, mixtures: dict[int, Mixture]) -> DataFrame:
             top = d[np.arange(len(d)), best]
             yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(np.array(labels)[best], pa.int32()), pa.array(np.exp(top)), pa.array(top)], names=["obs_id", "predicted", "density", "log_density"])
 
-    return _rows(obs).mapInArrow(run, "obs_id long, predicted int, density double, log_density double")
+    return observations(obs).mapInArrow(run, "obs_id long, predicted int, density double, log_density double")
 
 
 def gmm_classifier(train: DataFrame, components: int = 3, max_iter: int = 300, ridge: float = 0.0) -> dict[int, Mixture]:
     """One mixture per label, in the order of the labels, all fitted in the same passes; each starts at the rows with the smallest hashed ids."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("obs_id"), "obs_id"))
     starts: dict[int, list] = {}
-    known = _rows(train).where("label is not null")
+    known = observations(train).where("label is not null")
     for r in known.withColumn("rank", rank).where(F.col("rank") <= components).orderBy("label", "rank").collect():
         starts.setdefault(r["label"], []).append(r["f"])
     return gmm_by_label(known, {y: np.array(m) for y, m in starts.items()}, max_iter, ridge=ridge) if starts else {}
@@ -439,7 +439,7 @@ def triangle(obs: DataFrame, centre: np.ndarray | None = None) -> np.ndarray:
 
     first = lambda batches: fold(batches, lambda b: matrix(b.column("f")) - (0 if centre is None else centre) if b.num_rows else np.zeros((0, dims)))
     again = lambda batches: fold(batches, lambda b: np.concatenate([np.array(v, dtype=float).reshape(-1, dims) for v in b.column("r").to_pylist()] or [np.zeros((0, dims))]))
-    found = _rows(obs).mapInArrow(first, "r array<double>")
+    found = observations(obs).mapInArrow(first, "r array<double>")
     parts = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         parts = -(-parts // FACTORS)
@@ -461,7 +461,7 @@ def _projected(obs: DataFrame, vectors: np.ndarray, name: str) -> DataFrame:
             out = matrix(batch.column("f")) @ vectors if batch.num_rows else np.zeros((0, vectors.shape[1]))
             yield pa.RecordBatch.from_arrays([batch.column("obs_id"), pa.array(list(out), pa.list_(pa.float64()))], names=["obs_id", name])
 
-    return _rows(obs).mapInArrow(run, f"obs_id long, {name} array<double>")
+    return observations(obs).mapInArrow(run, f"obs_id long, {name} array<double>")
 
 
 def pca(obs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:

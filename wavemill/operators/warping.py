@@ -53,7 +53,7 @@ def walk(c: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
     return path
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder that the session names; only a local master may do without."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -88,7 +88,7 @@ def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     a, b = side(a, "ti", "x"), side(b, "tj", "y")
     last = a.groupBy("pair_id").agg(F.max("ti").alias("li"), F.max(F.struct("ti", F.size("x").alias("n")))["n"].alias("ni"))
     last = last.join(b.groupBy("pair_id").agg(F.max("tj").alias("lj"), F.max(F.struct("tj", F.size("y").alias("n")))["n"].alias("nj")), "pair_id")
-    last = _kept(last)
+    last = kept(last)
     waves = last.agg(F.max(F.col("li") + F.col("lj"))).first()[0]
     size = max((s.agg(F.max(F.size(c))).first()[0] or 0) for s, c in ((a, "x"), (b, "y")))
 
@@ -104,7 +104,7 @@ def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         at = last.select("pair_id", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), w - F.col("lj")), F.least(F.lit(w).cast("long"), F.col("li")))).alias("ti")) if w else last.select("pair_id", F.lit(0).cast("long").alias("ti"))
         at = at.join(last.select("pair_id", "li", "lj"), "pair_id").where((F.lit(w) <= F.col("li") + F.col("lj"))).select("pair_id", "ti", (F.lit(w) - F.col("ti")).alias("tj"))
         near = reduce(DataFrame.unionByName, done[-2:]) if done else None
-        done.append(_kept(_tiles(a, b, near, at).mapInArrow(forward, f"pair_id {kind}, ti long, tj long, bottom array<double>, right array<double>")))
+        done.append(kept(_tiles(a, b, near, at).mapInArrow(forward, f"pair_id {kind}, ti long, tj long, bottom array<double>, right array<double>")))
     if not done:
         none = a.sparkSession.createDataFrame([], f"pair_id {kind}, cost double, row long, col long")
         return none.select("pair_id", "cost"), none.select("pair_id", "row", "col")
@@ -128,7 +128,7 @@ def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = last.select("pair_id", F.col("li").alias("ti"), F.col("lj").alias("tj"), (F.col("ni") - 1).cast("long").alias("i"), (F.col("nj") - 1).cast("long").alias("j"))
     pieces: list[DataFrame] = []
     while at.take(1):
-        found = _kept(_tiles(a, b, borders, at).mapInArrow(back, f"pair_id {kind}, ti long, tj long, i long, j long, rows array<long>, cols array<long>"))
+        found = kept(_tiles(a, b, borders, at).mapInArrow(back, f"pair_id {kind}, ti long, tj long, i long, j long, rows array<long>, cols array<long>"))
         pieces.append(found.select("pair_id", F.explode(F.arrays_zip("rows", "cols")).alias("p")).select("pair_id", F.col("p.rows").alias("row"), F.col("p.cols").alias("col")))
         at = found.where("ti >= 0").select("pair_id", "ti", "tj", "i", "j")
     return total, reduce(DataFrame.unionByName, pieces)

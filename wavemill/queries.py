@@ -18,7 +18,7 @@ from .functions import exprs as E
 from .operators import features as feat
 from .operators import framing, learn, music, scans
 from .operators import pitch as pitches
-from .operators import spectral, warping
+from .operators import regions, spectral, warping
 from .plans import planner
 from .sources import audio, synth, text
 from .streaming import stateful
@@ -744,6 +744,21 @@ def _(spark, d):
     return learn.knn(o, o, 3, "minmax", exclude_self=True)
 
 
+@query("q_knn_regions", f"with {_KNN.format(f=_D.format(65))} select q obs_id, predicted::int predicted from pr")
+def _(spark, d):
+    o = obs(spark, d)
+    return learn.knn(o, o, 3, exclude_self=True, search=regions.neighbours)
+
+
+# customers near each other by balance and nation: two dimensions, so regions skip most pairs
+@query("q_neighbours_regions", """with ds as (select q.c_custkey q, t.c_custkey t, sqrt((q.c_acctbal::double - t.c_acctbal::double) * (q.c_acctbal::double - t.c_acctbal::double) + (q.c_nationkey - t.c_nationkey)::double * (q.c_nationkey - t.c_nationkey)) d
+ from customer q join customer t on q.c_custkey <> t.c_custkey)
+ select q::bigint obs_id, rank::int rank, t::bigint train_id, round(d, 6) + 0.0 d from (select *, row_number() over (partition by q order by d, t) rank from ds) where rank <= 3""")
+def _(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("obs_id"), F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double")).alias("f"))
+    return regions.neighbours(c, c, 3, exclude_self=True).select("obs_id", "rank", "train_id", rnd("d").alias("d"))
+
+
 @query("q_loo", f"with {_KNN.format(f=_D.format(65))} select round(avg(case when predicted = label then 1.0::double else 0 end), 6) accuracy, count(*) n from pr join (select vec_id q, label from embeddings) using (q)")
 def _(spark, d):
     return learn.leave_one_out(obs(spark, d)).select(rnd("accuracy").alias("accuracy"), "n")
