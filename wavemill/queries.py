@@ -16,7 +16,7 @@ from . import kernels as K
 from .functions import convert, matrices
 from .functions import exprs as E
 from .operators import features as feat
-from .operators import framing, learn, music, scans
+from .operators import factors, framing, learn, music, scans
 from .operators import pitch as pitches
 from .operators import regions, spectral, warping
 from .plans import planner
@@ -1377,6 +1377,30 @@ def _(spark, d):
     return out.where("part <> 'X'").select("signal_id", "part", "i", F.posexplode("v").alias("j", "v")).select("signal_id", "part", "i", "j", rnd("v").alias("v"))
 
 
+def _nmf_sql(rounds: int) -> str:
+    """Rounds of the update of _NMF, one table after the other."""
+    out = f"""with {_NMF.split(",\n w0 as")[0]}, h0 as materialized (select distinct l, j, c, 1 + (j + c) % 2::double h from o, c),
+     w0 as materialized (select l, i, c, w / sum(w) over (partition by l, c) w from (select distinct l from o), (select k i, c, 1 + (k + c) % 3::double w from (select unnest(range(33)) k), c))"""
+    for n in range(rounds):
+        out += f""", e{n} as (select l, i, j, sum(w * h) e from w{n} join h{n} using (l, c) group by all), r{n} as materialized (select l, i, j, x / (e + 1e-30::double) r from xx join e{n} using (l, i, j)),
+         h{n + 1} as materialized (select r.l, r.j, c, any_value(h) * sum(w * r) / (1 + 1e-30::double) h from r{n} r join w{n} using (l, i) join h{n} using (l, j, c) group by r.l, r.j, c),
+         v{n} as (select r.l, r.i, c, any_value(w) * sum(r * h) / (sum(h) + 1e-30::double) w from r{n} r join h{n + 1} using (l, j) join w{n} using (l, i, c) group by r.l, r.i, c),
+         w{n + 1} as materialized (select l, i, c, w / sum(w) over (partition by l, c) w from v{n})"""
+    return out + f" select l signal_id, 'H' part, c i, j::int j, round(h, 6) + 0.0 v from h{rounds} union all select l, 'W', c, i::int, round(w, 6) + 0.0 from w{rounds}"
+
+
+@query("q_nmf_columns", _nmf_sql(3))
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    o = e.select(F.col("vec_id").alias("signal_id"), F.col("label"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("block_idx"))
+    m = spectral.magnitudes(emb(spark, d), keep=["signal_id"]).join(o, "signal_id").select(F.col("label").alias("signal_id"), "block_idx", "mag")
+    w, h, _ = factors.nmf_columns(m, 2, 3, start_w=lambda bins: 1.0 + np.add.outer(np.arange(bins), np.arange(2)) % 3, start_h=lambda places: 1.0 + np.add.outer(places, np.arange(2)) % 2)
+    kind = dict(h.dtypes)["signal_id"]
+    w = spark.createDataFrame([(k, c, i, float(x)) for k, a in w.items() for (i, c), x in np.ndenumerate(a)], f"signal_id {kind}, i int, j int, v double")
+    h = h.select("signal_id", F.lit("H").alias("part"), F.col("block_idx").cast("int").alias("j"), F.posexplode("h").alias("i", "v"))
+    return h.select("signal_id", "part", "i", "j", rnd("v").alias("v")).unionAll(w.select("signal_id", F.lit("W"), "i", "j", rnd("v")))
+
+
 @query("q_nmf")
 def _(spark, d):
     m = spectral.magnitudes(framing.blocks(_long_signals(spark, d), 64, 32))
