@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .functions import convert, matrices
 from .functions import exprs as E
+from .operators import blocked
 from .operators import features as feat
 from .operators import factors, framing, learn, music, scans
 from .operators import pitch as pitches
@@ -828,6 +829,26 @@ def _inverse_sql(source: str, keys: tuple[str, ...] = ()) -> str:
   from sw s join sw p on {of("p")}p.i = s.k and p.j = s.k join sw r on {of("r")}r.i = s.k and r.j = s.j join sw c on {of("c")}c.i = s.i and c.j = s.k), inv as (select {k}i, j, v, ld from sw where k = 64)"""
 
 
+# the products of the dimensions over all rows, by tiles of 16 columns and as many rows
+def _gram(spark, d) -> blocked.Blocked:
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
+    m = blocked.from_rows(e, (e.agg(F.max("i")).first()[0] or 0) + 1, 64, 16)
+    return blocked.matmul(blocked.transpose(m), m)
+
+
+@query("q_blocked_matmul", f"with {MAT} select a.j i, b.j, round(sum(a.v * b.v), 6) + 0.0 v from m a join m b using (i) group by all")
+def _(spark, d):
+    return blocked.to_entries(_gram(spark, d)).select("i", "j", rnd("v").alias("v"))
+
+
+@query("q_blocked_inverse", f"with recursive {MAT}, src as materialized (select a.j i, b.j, sum(a.v * b.v) v from m a join m b using (i) group by all), {_inverse_sql("src")} select i, j, round(-v, 6) + 0.0 v, round(ld, 6) log_det, 1 as sign from inv")
+def _(spark, d):
+    g = _gram(spark, d)
+    g = blocked.Blocked(warping.kept(g.df), g.rows, g.cols, g.tile)
+    sign, log = blocked.determinant(g)
+    return blocked.to_entries(blocked.inverse(g)).select("i", "j", rnd("v").alias("v"), F.lit(round(log, 6)).alias("log_det"), F.lit(int(sign)).alias("sign"))
+
+
 def _mixture() -> learn.Mixture:
     """Two components of 64 dimensions, of equal variances and equal covariances each."""
     same = lambda a, b: a * np.eye(64) + b * np.ones((64, 64))
