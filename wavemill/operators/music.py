@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import kernels as K
 from ..functions.arrow import map_arrays
+from . import curves
 from .framing import blocks as frame
-from .framing import moving_average_zero_phase
-from .framing import resample
+from .framing import resample, time_stamp
 from .scans import viterbi_chunks
 from .spectral import _keys
 
@@ -30,37 +30,20 @@ def novelty_values(blocks: DataFrame, kind: str = "Flux", window="hann", keep: l
 
 
 def onsets_from_values(values: DataFrame, rate: float) -> DataFrame:
-    """``novelty`` (scaled, smoothed over 0.07 s, rectified), ``threshold`` excess and ``onset`` of raw values.
+    """``novelty`` (scaled, smoothed over 0.07 s, rectified), ``threshold`` excess and ``onset`` of raw values; ``rate`` is blocks per second."""
+    return curves.onsets(values.withColumn("rate", F.lit(float(rate))), "rate").drop("rate")
 
-    ``rate`` is blocks per second. All windows share one exchange on the signal.
-    """
-    whole = Window.partitionBy("signal_id")
-    order = Window.partitionBy("signal_id").orderBy("block_idx")
-    peak = F.max(F.abs("value")).over(whole)
-    out = values.withColumn("scaled", F.col("value") / F.when(peak > 0, peak).otherwise(1.0))
-    out = moving_average_zero_phase(out, "scaled", K.moving_average_length(0.07, rate), "smooth").withColumn("novelty", F.greatest("smooth", F.lit(0.0)))
-    out = moving_average_zero_phase(out, "novelty", K.moving_average_length(0.14, rate), "adaptive")
-    level = F.avg(F.when(F.col("block_idx") > 0, F.col("novelty"))).over(whole)
-    out = out.withColumn("excess", F.greatest(F.col("novelty") - F.col("adaptive") - 0.4 * F.coalesce(level, F.lit(0.0)), F.lit(0.0)))
-    onset = (F.col("excess") > F.lag("excess").over(order)) & (F.col("excess") > F.lead("excess").over(order)) & (F.col("excess") > 0)
-    return out.withColumn("onset", F.coalesce(onset, F.lit(False))).drop("scaled", "smooth", "adaptive")
-
-
-def _by_rate(signals: DataFrame, rate: float | None, fn) -> DataFrame:
-    """fn(signals, rate) for the given rate, else for each sample rate that occurs."""
-    if rate is not None:
-        return fn(signals, rate)
-    rates = sorted(r["sample_rate"] for r in signals.select("sample_rate").distinct().collect() if r["sample_rate"] is not None)
-    out = None
-    for r in rates or [1.0]:
-        one = fn(signals.where(F.col("sample_rate") == r), r)
-        out = one if out is None else out.unionByName(one)
-    return out
+
+def novelty_of_blocks(blocks: DataFrame, kind: str, block: int, hop: int) -> DataFrame:
+    """(signal_id, sample_rate, block_idx, t_s, value, novelty, excess, onset) of blocks with the block before (``xp``)."""
+    values = novelty_values(blocks, kind, keep=["signal_id", "sample_rate", "block_idx"])
+    return curves.onsets(values, "sample_rate", hop).withColumn("t_s", time_stamp("block_idx", block, hop, "sample_rate"))
 
 
 def novelty(signals: DataFrame, kind: str = "Flux", block: int = 4096, hop: int = 512, rate: float | None = None) -> DataFrame:
     """Novelty curve and onsets of signals; ``rate`` is the sample rate of all of them (each signal's own if not given)."""
-    return _by_rate(signals, rate, lambda some, fs: onsets_from_values(novelty_values(frame(some, block, hop, previous=True), kind), fs / hop))
+    rated = signals if rate is None else signals.withColumn("sample_rate", F.lit(float(rate)))
+    return novelty_of_blocks(frame(rated, block, hop, previous=True), kind, block, hop)
 
 
 def peaks(df: DataFrame, value: str, threshold: float = 0.0, key: str = "signal_id", order: str = "block_idx") -> DataFrame:
@@ -88,13 +71,13 @@ def beat_histogram_from_curve(curves: DataFrame, method: str = "fft", size: int
 
 
 def beat_histogram(signals: DataFrame, method: str = "fft", block: int = 1024, hop: int = 8, size: int = 65536, rate: float | None = None) -> DataFrame:
-    """Beat histogram of each signal from its novelty curve (one number a block, gathered per signal)."""
+    """Beat histogram of each signal from its novelty curve, in segments of the curve."""
+    return beat_histogram_of_novelty(novelty(signals, "Flux", block, hop, rate), method, hop, size)
 
-    def one(some: DataFrame, fs: float) -> DataFrame:
-        curve = novelty(some, "Flux", block, hop, fs).groupBy("signal_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "novelty"))).alias("c"))
-        return beat_histogram_from_curve(curve.select("signal_id", F.lit(fs / hop).alias("rate"), F.transform("c", lambda p: p["novelty"]).alias("curve")), method, size)
 
-    return _by_rate(signals, rate, one)
+def beat_histogram_of_novelty(found: DataFrame, method: str, hop: int, size: int = 65536) -> DataFrame:
+    """Of (signal_id, sample_rate, block_idx, novelty), one value every ``hop`` samples."""
+    return curves.beat_histogram(found.drop("value").withColumnRenamed("novelty", "value"), "sample_rate", method, size, hop)
 
 
 # --- chords --------------------------------------------------------------------------------------

@@ -82,8 +82,10 @@ class LongSignals:
 
     def novelty(self, kind: str = "Flux", block: int = 4096, hop: int = 512) -> DataFrame:
         scaled = framing.normalise_chunks(self.df) if self.scaled and kind not in SCALE_FREE_NOVELTY else self.df
-        one = lambda some, fs: music.onsets_from_values(music.novelty_values(framing.blocks_from_chunks(some, block, hop, self.chunk, True), kind), fs / hop)
-        return music._by_rate(scaled, None, one)
+        return music.novelty_of_blocks(framing.blocks_from_chunks(scaled, block, hop, self.chunk, True), kind, block, hop)
+
+    def beat_histogram(self, method: str = "fft", block: int = 1024, hop: int = 8, size: int = 65536) -> DataFrame:
+        return music.beat_histogram_of_novelty(self.novelty("Flux", block, hop), method, hop, size)
 
     def filter(self, b, a, zero_phase: bool = False) -> LongSignals:
         return replace(self, df=scans.filter_chunks(self.df, (b, a), zero_phase))

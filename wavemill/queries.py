@@ -1361,14 +1361,34 @@ def _(spark, d):
     return music.match_fingerprints(w.where("signal_id < 3"), w, most_bits=4)
 
 
-@query("q_novelty_audio")
+# blocks of 64 samples, hop 16, 8000 samples a second: 500 blocks a second, smoothed over 35 and 70
+_NOVELTY = f"""{_EV}, bl as (select s, unnest(range(len // 16 + 1)) k from ln),
+ bx as (select bl.s, bl.k, p, coalesce(v, 0) * 0.5::double * (1 - cos(2 * pi() * p / 65)) x from (select * from bl, (select unnest(range(64)) p)) bl left join ev on ev.s = bl.s and ev.n = bl.k * 16 + p),
+ sp as (select s, k, q, 2 * sqrt(power(sum(x * cos(2 * pi() * q * p / 64)), 2) + power(sum(x * sin(2 * pi() * q * p / 64)), 2)) / 64 m from bx, (select unnest(range(33)) q) group by all),
+ raw as (select s, k, sqrt(sum(greatest(m - pm, 0) * greatest(m - pm, 0))) / 33 v from (select *, coalesce(lag(m) over (partition by s, q order by k), 0) pm from sp) group by all),
+ sc as materialized (select s, k, v / max(abs(v)) over (partition by s) v from raw),
+ nv as materialized (select a.s, a.k, greatest(sum(b.v * (35 - abs(a.k - b.k))) / 1225, 0) v from sc a join sc b on a.s = b.s and abs(a.k - b.k) < 35 group by all)"""
+
+
+def _event_novelty(spark, d) -> DataFrame:
+    return planner.LongSignals(_event_chunks(spark, d, 96, 8000.0), 96).novelty("Flux", 64, 16)
+
+
+@query("q_novelty_audio", f"""with {_NOVELTY}, ad as (select a.s, a.k, any_value(a.v) v, sum(b.v * (70 - abs(a.k - b.k))) / 4900 t from nv a join nv b on a.s = b.s and abs(a.k - b.k) < 70 group by all),
+ lv as (select s, 0.4::double * avg(v) l from nv where k > 0 group by 1), ex as (select s, k, v, greatest(v - t - coalesce(l, 0), 0) e from ad left join lv using (s))
+ select s signal_id, k block_idx, round(v, 6) + 0.0 novelty, coalesce(e > lag(e) over w and e > lead(e) over w and e > 0, false) onset from ex window w as (partition by s order by k)""")
 def _(spark, d):
-    return music.novelty(_long_signals(spark, d), "Flux", 64, 16).select("signal_id", "block_idx", "novelty", "onset")
+    return _event_novelty(spark, d).select("signal_id", "block_idx", rnd("novelty").alias("novelty"), "onset")
 
 
-@query("q_beat_audio")
+@query("q_beat_audio", f"""with {_NOVELTY}, cn as (select s, unnest(range(count(*) // 64 + 1)) b from nv group by s),
+ cx as (select cn.s, cn.b, p, coalesce(v, 0) * 0.5::double * (1 - cos(2 * pi() * p / 257)) x from (select * from cn, (select unnest(range(256)) p)) cn left join nv on nv.s = cn.s and nv.k = cn.b * 64 + p),
+ bm as (select s, b, q, sqrt(power(sum(x * cos(2 * pi() * q * p / 512)), 2) + power(sum(x * sin(2 * pi() * q * p / 512)), 2)) m from cx, (select unnest(range(5)) q) group by all),
+ t as (select s, q, sum(m) v from bm group by all)
+ select s signal_id, q::bigint bin, round(60 * q * 500 / 512::double, 6) + 0.0 bpm, round(v / max(v) over (partition by s), 6) + 0.0 as value from t""")
 def _(spark, d):
-    return music.beat_histogram(_long_signals(spark, d), "fft", 64, 16, 256)
+    found = music.beat_histogram_of_novelty(_event_novelty(spark, d), "fft", 16, 256)
+    return found.select("signal_id", "bin", rnd("bpm").alias("bpm"), rnd("value").alias("value"))
 
 
 @query("q_chords_audio")
