@@ -17,7 +17,7 @@ from .functions import convert, matrices
 from .functions import exprs as E
 from .operators import blocked
 from .operators import features as feat
-from .operators import factors, framing, learn, music, scans
+from .operators import factors, framing, learn, longfft, matching, music, scans
 from .operators import pitch as pitches
 from .operators import regions, spectral, warping
 from .plans import planner
@@ -543,6 +543,16 @@ def _(spark, d):
     return _words(spark, d)
 
 
+# the words of each label's vectors follow each other; every offset of every two labels is compared in SQL
+@query("q_fingerprint_within", f"""with {_FP}, w as (select label l, row_number() over (partition by label order by vec_id) - 1 j, word from wd join embeddings using (vec_id) where label is not null)
+ select * from (select a.l query_id, b.l signal_id, b.j - a.j as "offset", count(*) words, round(avg(bit_count(xor(a.word, b.word))), 6) + 0.0 bits from w a, w b group by all) where bits <= 8""")
+def _(spark, d):
+    labels = read(spark, d, "embeddings").select("vec_id", "label").where("label is not null")
+    w = _words(spark, d).join(labels.withColumnRenamed("vec_id", "signal_id"), "signal_id")
+    w = w.select(F.col("label").alias("signal_id"), (F.row_number().over(Window.partitionBy("label").orderBy("signal_id")) - 1).alias("block_idx"), "word")
+    return matching.match_within(w, w, 8.0).withColumn("bits", rnd("bits"))
+
+
 @query("q_hamming", f"with {_FP} select a.vec_id signal_id, bit_count(xor(a.word, b.word))::int bits from wd a join wd b on b.vec_id = a.vec_id + 1")
 def _(spark, d):
     w = _words(spark, d)
@@ -1391,6 +1401,15 @@ def _(spark, d):
     return found.select("signal_id", "bin", rnd("bpm").alias("bpm"), rnd("value").alias("value"))
 
 
+# the whole signals, filled with zeros to a power of two
+@query("q_long_fft", f"""with {_EV}, sz as (select (1 << ceil(log2(max(len)))::int)::bigint c from ln)
+ select s signal_id, k, round(sum(v * cos(2 * pi() * (k * n % c) / c)) / any_value(c), 8) + 0.0 re, round(-sum(v * sin(2 * pi() * (k * n % c) / c)) / any_value(c), 8) + 0.0 im from ev, sz, (select unnest(range((select c from sz))) k) group by s, k""")
+def _(spark, d):
+    pieces = longfft.pieces_of_chunks(_event_chunks(spark, d, 100), 100)
+    found = longfft.values(longfft.transform(pieces, longfft.length(pieces)))
+    return found.select("signal_id", "k", rnd("re", 8).alias("re"), rnd("im", 8).alias("im"))
+
+
 @query("q_chords_audio")
 def _(spark, d):
     return music.chords(_long_signals(spark, d), 64, 32)
