@@ -74,3 +74,13 @@ def test_long_signals_have_beats(spark):
     parts = planner.LongSignals(chunks, 320).beat_histogram("acf", 64, 16)
     values = lambda df: np.array(sorted((r["bin"], r["bpm"], r["value"]) for r in df.collect()))
     assert len(values(whole)) and np.allclose(values(whole), values(parts))
+
+
+def test_keys_of_chunks_are_those_of_whole_signals(spark):
+    t = np.arange(6000) / 4000.0
+    tones = {"c": [261.63, 329.63, 392.0], "a": [220.0, 261.63, 329.63]}
+    x = {k: sum(np.sin(2 * np.pi * f * t) for f in v).tolist() for k, v in tones.items()}
+    whole = planner.Signals(spark.createDataFrame([(k, 4000.0, v) for k, v in x.items()], "signal_id string, sample_rate double, samples array<double>")).keys(1024, 512)
+    rows = [(k, 4000.0, c, v[c * 1024 : c * 1024 + 1024]) for k, v in x.items() for c in range(6)]
+    parts = planner.LongSignals(spark.createDataFrame(rows, "signal_id string, sample_rate double, chunk_idx long, samples array<double>"), 1024).keys(1024, 512)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 2

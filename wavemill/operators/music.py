@@ -162,8 +162,12 @@ def keys_from_chroma(chroma: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def keys(signals: DataFrame, block: int = 4096, hop: int = 2048) -> DataFrame:
+    return keys_of_blocks(frame(signals, block, hop))
+
+
+def keys_of_blocks(blocks: DataFrame) -> DataFrame:
     """(signal_id, key, name): the mean chroma over all blocks of a signal, summed with partial aggregation."""
-    per = map_arrays(frame(signals, block, hop), ["x"], {"chroma": "array<double>"}, lambda v, fs: {"chroma": K.spectral_pitch_chroma(K.magnitude(v["x"]), fs)}, ["signal_id", "sample_rate"])
+    per = map_arrays(blocks, ["x"], {"chroma": "array<double>"}, lambda v, fs: {"chroma": K.spectral_pitch_chroma(K.magnitude(v["x"]), fs)}, ["signal_id", "sample_rate"])
     mean = per.groupBy("signal_id", "sample_rate").agg(F.array(*[F.avg(F.get("chroma", F.lit(p))) for p in range(12)]).alias("chroma"))
     return keys_from_chroma(mean, ["signal_id"]).withColumn("name", key_name(F.col("key")))
 

@@ -109,6 +109,9 @@ class LongSignals:
         found = music.block_chords(self.framed(block, hop, False, False))
         return music.decode_chords_chunked(found, max(1, self.chunk // hop)).withColumn("name", music.chord_name("chord"))
 
+    def keys(self, block: int = 4096, hop: int = 2048) -> DataFrame:
+        return music.keys_of_blocks(self.framed(block, hop, False, False))
+
     def framed(self, block: int, hop: int, matters: bool, previous: bool) -> DataFrame:
         scaled = framing.normalise_chunks(self.df) if self.scaled and matters else self.df
         return framing.blocks_from_chunks(scaled, block, hop, self.chunk, previous)

@@ -1417,7 +1417,7 @@ def _(spark, d):
 
 @query("q_keys_audio")
 def _(spark, d):
-    return music.keys(_long_signals(spark, d), 64, 32)
+    return planner.LongSignals(_event_chunks(spark, d, 96, 8000.0), 96).keys(64, 32)
 
 
 # the magnitudes of the embeddings of each label form a matrix; one update from fixed starts
