@@ -194,3 +194,40 @@ def test_fingerprint_matches_against_plain_comparison(spark):
 
     assert set(got) == {(0, 0, 0), (0, 1, 7), (0, 2, -15)} and all(got[k] == plain(*k[1:]) for k in got)
     assert set(music.match_fingerprints(df.where("signal_id = 0"), df, most_bits=40, least_hits=5).select("signal_id").toPandas()["signal_id"]) == {0, 1}
+
+
+def plain_nearest(q, qi, t, ti, k, exclude_self):
+    out = []
+    for row, own in zip(q, qi, strict=True):
+        d = np.sqrt(((row[None, :] - t) ** 2).sum(axis=1))
+        d[~np.isfinite(d) | (exclude_self & (ti == own))] = np.inf
+        out.append([(float(d[j]), int(ti[j])) for j in np.lexsort((ti, d))[:k] if np.isfinite(d[j])])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["drawn", "ties", "far", "odd"])
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_products_leave_the_neighbours_of_plain_differences(kind, exclude_self):
+    rng = np.random.default_rng(4)
+    t, q = rng.normal(size=(4500, 3)), rng.normal(size=(70, 3))
+    ti, qi = rng.permutation(4500), rng.integers(0, 4500, 70)
+    if kind == "ties":
+        t, q, ti = np.round(t * 2) / 2, np.round(q * 2) / 2, rng.integers(0, 3000, 4500)
+    if kind == "far":
+        t, q = t * 1e-3 + 1e6, q * 1e-3 + 1e6
+    if kind == "odd":
+        t[7], t[8], q[3] = np.nan, np.inf, 1e200
+    i, j, d = learn.Near(t, ti).search(q, qi, 3, exclude_self)
+    with np.errstate(all="ignore"):
+        want = plain_nearest(q, qi, t, ti, 3, exclude_self)
+    assert [[(float(d[n]), int(ti[j[n]])) for n in np.flatnonzero(i == row)] for row in range(len(q))] == want
+
+
+def test_neighbours_send_rows_to_cells_and_join_nothing(spark):
+    rng = np.random.default_rng(2)
+    obs = table(spark, [(x, i % 3) for i, x in enumerate(rng.normal(size=(400, 4)))])
+    near = learn.neighbours(obs, obs, 3, True)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()  # a joined side was broadcast or packed into rows of a megabyte
+    x = np.array([r["f"] for r in obs.orderBy("obs_id").collect()])
+    got = [[(r["d"], r["train_id"]) for r in near.where(f"obs_id = {i}").orderBy("rank").collect()] for i in (0, 399)]
+    assert got == plain_nearest(x[[0, 399]], np.array([0, 399]), x, np.arange(400), 3, True)

@@ -1,7 +1,7 @@
 """Learning tools on observations (obs_id, label, f ARRAY<DOUBLE>): neighbours, clusters, mixtures, factorisation.
 
-Distances between two tables are computed in tiles: rows are packed into matrices, every query tile
-meets every training tile, and only the k nearest of each query leave a tile. Iterative fits keep
+Distances between two tables are computed in the cells of a grid: a cell holds its training rows as a matrix,
+its queries go by, and only the k nearest of each query leave a cell. Iterative fits keep
 their parameters on the driver (their size depends on features and classes, not on rows) and read the
 data once per iteration, summing per partition before anything is shuffled. Rows whose f is null or
 holds a null take no part.
@@ -20,7 +20,11 @@ from .. import kernels as K
 from ..functions.arrow import matrix
 
 TILE_ROWS = 2048
+#: Training rows that a cell of the grid of tiles holds, about; queries that meet a tile at once; pairs whose differences are made at once.
+HELD_ROWS, QUERY_ROWS, PAIRS = 65_536, 256, 65_536
 NO_CLASS = -1111111111
+#: Stands for a null label in tasks.
+NO_LABEL = np.iinfo(np.int32).min
 
 
 def observations(df: DataFrame) -> DataFrame:
@@ -79,50 +83,133 @@ def normalised(df: DataFrame, shift: np.ndarray, scale: np.ndarray) -> DataFrame
 # --- nearest neighbours --------------------------------------------------------------------------
 
 
-def _tiles(df: DataFrame) -> DataFrame:
-    schema = pa.schema([("tile", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int32())), ("f", pa.list_(pa.float64())), ("dims", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, TILE_ROWS):
-                part = batch.slice(at, TILE_ROWS)
-                x, ids = matrix(part.column("f")), part.column("obs_id").to_pylist()
-                yield pa.RecordBatch.from_pydict({"tile": [ids[0]], "ids": [ids], "labels": [part.column("label").to_pylist()], "f": [x.ravel()], "dims": [x.shape[1]]}, schema=schema)
-
-    return observations(df).where("obs_id is not null").mapInArrow(run, "tile long, ids array<long>, labels array<int>, f array<double>, dims int")
+def cells_of(queries: DataFrame, train: DataFrame) -> DataFrame:
+    """Every query with every training row, in cells of a square grid: rows (qi, ti, kind, obs_id, label, f), sorted for ``_met``.
 
+    Queries are copied along a row of the grid and training rows along a column, so that a row is sent as often as the
+    grid is wide: the root of the shuffle partitions, or more where a cell would hold more than HELD_ROWS training rows.
+    """
+    parts = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    queries, train = (observations(df).where("obs_id is not null") for df in (queries, train))
+    wide = max(int(np.ceil(np.sqrt(parts))), -(-train.count() // HELD_ROWS))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))
+    place = F.pmod(F.xxhash64("obs_id"), F.lit(wide)).cast("int")
+    q = queries.select(place.alias("qi"), copies.alias("ti"), F.lit(1).alias("kind"), "obs_id", "label", "f")
+    t = train.select(copies.alias("qi"), place.alias("ti"), F.lit(0).alias("kind"), "obs_id", "label", "f")
+    return t.unionAll(q).repartition(wide * wide, "qi", "ti").sortWithinPartitions("qi", "ti", "kind")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((f, ids, labels) of some queries, the same of all training rows of their cell, which are held once); null labels are NO_LABEL."""
+    key, held, whole = None, [], None
+    for batch in batches:
+        names = np.stack([batch.column(c).to_numpy() for c in ("qi", "ti", "kind")], axis=1)
+        edges = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(names)], strict=True):
+            if hi == lo:
+                continue
+            if tuple(names[lo, :2]) != key:
+                key, held, whole = tuple(names[lo, :2]), [], None
+            part = batch.slice(lo, hi - lo)
+            rows = matrix(part.column("f")), part.column("obs_id").to_numpy(), part.column("label").fill_null(NO_LABEL).to_numpy()
+            if not names[lo, 2]:
+                held.append(rows)
+                continue
+            if whole is None and held:
+                whole, held = tuple(np.concatenate(x) for x in zip(*held, strict=True)), []
+            if whole is not None:
+                yield rows, whole
+
+
+class Near:
+    """Training rows t (ids ti) for exact searches of the k nearest.
+
+    A product of matrices in single precision gives squared distances with a bound on their error. Only pairs that may be
+    among the nearest by it get their distance by differences, so results and ties are those of comparing all pairs that way.
+    """
 
-def tile_pairs(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """Every query tile with every training tile; the training tiles are sliced and each slice gets a copy of the query tiles."""
-    slices = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = _tiles(queries).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "f", "dims")], F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    t = _tiles(train).withColumn("slice", F.pmod(F.xxhash64("tile"), F.lit(slices)).cast("int"))
-    return t.join(q, "slice")
+    def __init__(self, t: np.ndarray, ti: np.ndarray):
+        self.t, self.ti, self.centre = t, ti, np.zeros(t.shape[1])
+        with np.errstate(all="ignore"):
+            mean = t.mean(axis=0) if len(t) else self.centre
+            self.centre = np.where(np.isfinite(mean), mean, 0.0)
+            self.x, self.norm = self._single(t)
+        self.fits = bool(np.isfinite(self.norm).all())
+
+    def _single(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (x - self.centre).astype(np.float32)
+        return x, np.einsum("ij,ij->i", x, x)
+
+    def search(self, q: np.ndarray, qi: np.ndarray, k: int, exclude_self: bool, tau: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, training row, distance) of the k nearest within tau, by query, distance and id."""
+        tau = np.full(len(q), np.inf) if tau is None else tau
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(q), QUERY_ROWS):
+            some = slice(at, at + QUERY_ROWS)
+            i, j, d = self._few(q[some], qi[some], k, exclude_self, tau[some])
+            out.append((i + at, j, d))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _few(self, q, qi, k, exclude_self, tau):
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        with np.errstate(all="ignore"):
+            x, norm = self._single(q)
+        fits = self.fits and bool(np.isfinite(norm).all())
+        dims = q.shape[1]
+        for at in range(0, len(self.t), TILE_ROWS):
+            end = min(at + TILE_ROWS, len(self.t))
+            if fits:
+                s = x @ self.x[at:end].T
+                s *= -2
+                s += self.norm[None, at:end]
+                s += norm[:, None]
+                # of the products, the sums, the differences from the centre and the plain distances' own rounding; and of underflow
+                slack = 8 * (dims + 8) * np.finfo(np.float32).eps * (norm + self.norm[at:end].max()).astype(float) + dims * 1e-36
+                with np.errstate(all="ignore"):
+                    far = tau * tau
+                if at == 0 and np.isinf(tau).any() and end - at > k + exclude_self:
+                    # a row that is the query itself may be among these, so one more
+                    most = k + int(exclude_self)
+                    if not exclude_self or len(np.unique(self.ti[at:end])) == end - at:
+                        far = np.minimum(far, np.partition(s, most - 1, axis=1)[:, most - 1] + slack)
+                i, j = np.nonzero(s <= (far + slack)[:, None].astype(np.float64))
+                own = qi[i] == self.ti[at + j] if exclude_self else np.zeros(len(i), bool)
+                i, j = i[~own], j[~own]
+                parts = [slice(lo, lo + PAIRS) for lo in range(0, len(i), PAIRS)]
+                d = np.concatenate([np.zeros(0), *(np.sqrt(((q[i[p]] - self.t[at + j[p]]) ** 2).sum(axis=1)) for p in parts)])
+            else:
+                d = np.concatenate([np.sqrt(((q[lo : lo + 64, None, :] - self.t[None, at:end]) ** 2).sum(axis=2)) for lo in range(0, len(q), 64)])
+                if exclude_self:
+                    d[qi[:, None] == self.ti[None, at:end]] = np.inf
+                i, j = np.nonzero(d <= tau[:, None])
+                d = d[i, j]
+            good = np.isfinite(d) & (d <= tau[i])
+            i, j, d = (np.concatenate([b, n[good]]) for b, n in zip(best, (i, j + at, d), strict=True))
+            order = np.lexsort((self.ti[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            some = place < k
+            best = i[some], j[some], d[some]
+            # what comes later must not be farther than the k-th so far
+            last = place == k - 1
+            tau = tau.copy()
+            tau[i[last]] = np.minimum(tau[i[last]], d[last])
+        return best
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 3, exclude_self: bool = False) -> DataFrame:
     """(obs_id, rank, train_id, label, d): the k nearest training rows; equal distances in the order of train_id."""
-    schema = pa.schema([("obs_id", pa.int64()), ("train_id", pa.int64()), ("label", pa.int32()), ("d", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, t = (np.array(r[n]).reshape(-1, r["dims"]) for n in ("q_f", "f"))
-                qi, ti, tl = np.array(r["q_ids"]), np.array(r["ids"]), np.array(r["labels"])
-                for at in range(0, len(qi), 64):
-                    d = np.sqrt(((q[at : at + 64, None, :] - t[None, :, :]) ** 2).sum(axis=2))
-                    if exclude_self:
-                        d[qi[at : at + 64, None] == ti[None, :]] = np.inf
-                    keep = min(k, len(ti))
-                    bound = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                    i, j = np.nonzero((d <= bound) & np.isfinite(d))
-                    order = np.lexsort((ti[j], d[i, j], i))
-                    i, j = i[order], j[order]
-                    some = np.arange(len(i)) - np.searchsorted(i, i) < k
-                    i, j = i[some], j[some]
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[at + i]), pa.array(ti[j]), pa.array(tl[j], pa.int32()), pa.array(d[i, j])], schema=schema)
-
-    near = tile_pairs(queries, train).mapInArrow(run, "obs_id long, train_id long, label int, d double")
+        index = of = None
+        for (q, qi, _), whole in _met(batches):
+            if of is not whole:
+                of, index = whole, Near(*whole[:2])
+            i, j, d = index.search(q, qi, k, exclude_self)
+            label = whole[2][j]
+            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(whole[1][j]), pa.array(label, pa.int32(), mask=label == NO_LABEL), pa.array(d)], names=["obs_id", "train_id", "label", "d"])
+
+    near = cells_of(queries, train).mapInArrow(run, "obs_id long, train_id long, label int, d double")
     rank = F.row_number().over(Window.partitionBy("obs_id").orderBy("d", "train_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -186,37 +273,105 @@ def forward_selection(obs: DataFrame, dims: int | None = None, most: int | None
     distances of those chosen so far.
     """
     dims = dims or _dims(obs)
-    pairs = tile_pairs(obs, obs)
     chosen: list[tuple[int, float]] = []
+    cells = cells_of(obs, obs)
     while len(chosen) < min(dims, most or dims):
         picked = [v for v, _ in chosen]
         rest = [v for v in range(dims) if v not in picked]
 
         def run(batches: Iterator[pa.RecordBatch], picked=picked, rest=rest) -> Iterator[pa.RecordBatch]:
+            for (q, qi, ql), (t, ti, tl) in _met(batches):
+                d, j = nearest_of_each(q, qi, t, ti, picked, rest)
+                hit = (tl[j] == ql[:, None]).astype(np.int64)
+                wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(qi) + 1, dtype=np.int32) * len(rest)), pa.array(x.ravel()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(qi), wide(d), wide(ti[j]), wide(hit)], names=["obs_id", "d", "train_id", "hit"])
+
+        def fold(batches: Iterator[pa.RecordBatch], rest=rest) -> Iterator[pa.RecordBatch]:
+            """Hits and rows of each candidate; the rows of an observation, one of each cell, follow each other."""
+            total = np.zeros((2, len(rest)))
+            names = ("obs_id", "d", "train_id", "hit")
+
+            def count(x: list[np.ndarray]) -> None:
+                of, d, ti, hit = x[0], *(y.reshape(-1, len(rest)) for y in x[1:])
+                for v in range(len(rest)):
+                    order = np.lexsort((ti[:, v], d[:, v], of))
+                    first = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
+                    first = first[np.isfinite(d[first, v])]
+                    total[:, v] += hit[first, v].sum(), len(first)
+
+            held = None
             for batch in batches:
-                for r in batch.to_pylist():
-                    q, t = (np.array(r[n]).reshape(-1, r["dims"]) for n in ("q_f", "f"))
-                    qi, ti, ql, tl = (np.array(r[n]) for n in ("q_ids", "ids", "q_labels", "labels"))
-                    base = np.zeros((len(qi), len(ti)))
-                    for v in picked:  # one difference at a time: tiles need no third axis
-                        base += (q[:, None, v] - t[None, :, v]) ** 2
-                    base[qi[:, None] == ti[None, :]] = np.inf
-                    order = np.argsort(ti, kind="stable")
-                    for v in rest:
-                        d = (base + (q[:, None, v] - t[None, :, v]) ** 2)[:, order]
-                        best = d.argmin(axis=1)
-                        ok = np.isfinite(d[np.arange(len(qi)), best])
-                        j = order[best]
-                        yield pa.RecordBatch.from_pydict({"v": np.full(ok.sum(), v), "obs_id": qi[ok], "d": d[np.arange(len(qi)), best][ok], "train_id": ti[j][ok], "hit": (tl[j] == ql)[ok].astype(np.int64)})
-
-        near = pairs.mapInArrow(run, "v long, obs_id long, d double, train_id long, hit long")
-        first = near.groupBy("v", "obs_id").agg(F.min_by("hit", F.struct("d", "train_id")).alias("hit"))
-        scores = {r["v"]: r["a"] for r in first.groupBy("v").agg(F.avg("hit").alias("a")).collect()}
+                got = [batch.column(names[0]).to_numpy(), *(batch.column(c).flatten().to_numpy().reshape(-1, len(rest)) for c in names[1:])]
+                held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+                done = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last one may go on
+                if done:
+                    count([x[:done] for x in held])
+                    held = [x[done:] for x in held]
+            if held is not None and len(held[0]):
+                count(held)
+            yield pa.RecordBatch.from_pydict({"hits": [total[0].tolist()], "n": [total[1].tolist()]})
+
+        near = cells.mapInArrow(run, "obs_id long, d array<double>, train_id array<long>, hit array<long>")
+        sums = near.repartition("obs_id").sortWithinPartitions("obs_id").mapInArrow(fold, "hits array<double>, n array<double>")
+        each = sums.select(F.posexplode(F.arrays_zip("hits", "n")).alias("v", "x")).groupBy("v").agg(F.sum("x.hits").alias("hits"), F.sum("x.n").alias("n")).collect()
+        scores = {rest[r["v"]]: r["hits"] / r["n"] for r in each if r["n"]}
         best = max(rest, key=lambda v: (scores.get(v, 0.0), v))
         chosen.append((best, float(scores.get(best, 0.0))))
     return chosen
 
 
+def nearest_of_each(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray, picked: list[int], rest: list[int], width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, training row) of the nearest row but itself, for each query (row) and candidate (column); inf without one.
+
+    Training rows are sorted by a dimension that counts (the first one picked, else the candidate). A query meets a window of
+    them around its own value, which grows until all outside are farther by that dimension alone than the nearest inside.
+    """
+    best, at = np.full((len(q), len(rest)), np.inf), np.zeros((len(q), len(rest)), np.int64)
+    column = {v: n for n, v in enumerate(rest)}
+
+    def by(v: int, some: list[int]) -> None:
+        order = np.lexsort((ti, t[:, v]))
+        s, ids = t[order], ti[order]
+        along = s[:, v]
+        asked = np.argsort(q[:, v], kind="stable")
+        for lo in range(0, len(asked), 64):
+            mine, size = asked[lo : lo + 64], width if picked else 8
+            todo = {c: np.arange(len(mine)) for c in range(len(some))}  # the queries of each candidate that go on
+            x, own = q[mine], qi[mine]
+            while todo:
+                live = np.unique(np.concatenate(list(todo.values())))
+                a, b = (int(np.searchsorted(along, x[k, v])) for k in (live[0], live[-1]))
+                first, last = max(0, a - size), min(len(s), b + size)
+                w = slice(first, last)
+                rank = np.argsort(ids[w], kind="stable")  # of equal distances the smallest id
+                t_w, id_w = s[w][rank], ids[w][rank]
+                base = np.zeros((len(mine), last - first))
+                for u in picked:  # one difference at a time: windows need no third axis
+                    base[live] += (x[live, None, u] - t_w[None, :, u]) ** 2
+                base[live] = np.where((own[live, None] == id_w[None, :]) | np.isnan(base[live]), np.inf, base[live])
+                # squares of the differences of what is outside are not smaller than these
+                gap = np.minimum((x[:, v] - along[first - 1]) ** 2 if first else np.inf, (x[:, v] - along[last]) ** 2 if last < len(s) else np.inf) + np.zeros(len(mine))
+                still = {}
+                for c, rows in todo.items():
+                    d = base[rows] + (x[rows, None, some[c]] - t_w[None, :, some[c]]) ** 2
+                    d[np.isnan(d)] = np.inf
+                    k = d.argmin(axis=1)
+                    least = d[np.arange(len(rows)), k]
+                    done = (least < gap[rows]) | ((first == 0) & (last == len(s)))
+                    best[mine[rows[done]], column[some[c]]] = least[done]
+                    at[mine[rows[done]], column[some[c]]] = order[first + rank[k[done]]]
+                    if not done.all():
+                        still[c] = rows[~done]
+                todo, size = still, size * 4
+
+    if picked:
+        by(picked[0], rest)
+    else:
+        for v in rest:
+            by(v, [v])
+    return best, at
+
+
 # --- k-means -------------------------------------------------------------------------------------
 
 
