@@ -231,3 +231,18 @@ def test_neighbours_send_rows_to_cells_and_join_nothing(spark):
     x = np.array([r["f"] for r in obs.orderBy("obs_id").collect()])
     got = [[(r["d"], r["train_id"]) for r in near.where(f"obs_id = {i}").orderBy("rank").collect()] for i in (0, 399)]
     assert got == plain_nearest(x[[0, 399]], np.array([0, 399]), x, np.arange(400), 3, True)
+
+
+@pytest.mark.parametrize("picked", [[], [1], [2, 0]])
+@pytest.mark.parametrize("digits", [1, 9])
+def test_selection_meets_windows_of_sorted_rows(picked, digits):
+    rng = np.random.default_rng(6)
+    t = np.round(rng.normal(size=(1500, 3)), digits)
+    ti, rest = rng.permutation(1500), [v for v in range(3) if v not in picked]
+    d, j = learn.nearest_of_each(t[:90], ti[:90], t, ti, picked, rest, width=8)
+    order = np.argsort(ti)
+    for n, v in enumerate(rest):
+        all_ = sum(((t[:90, None, u] - t[None, :, u]) ** 2 for u in picked), np.zeros((90, 1500))) + (t[:90, None, v] - t[None, :, v]) ** 2
+        all_[ti[:90, None] == ti[None, :]] = np.inf
+        best = order[all_[:, order].argmin(axis=1)]
+        assert (best == j[:, n]).all() and (all_[np.arange(90), best] == d[:, n]).all()
