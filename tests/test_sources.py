@@ -87,3 +87,39 @@ def test_short_files_are_not_opened_for_planning(spark, tmp_path):
     got = spark.read.format("audio").option("chunkFrames", 400).load(path)
     assert {(r["path"].split("/")[-1], r["start_frame"], len(r["channels"][0])) for r in got.collect()} == {("short.wav", 0, 10), ("long.wav", 0, 400), ("long.wav", 400, 400), ("long.wav", 800, 100)}
     assert got.where("start_frame >= 800").count() == 1 and got.where("start_frame < 400").count() == 2
+
+
+def test_many_signals_share_text_files(spark, tmp_path):
+    import os
+
+    rows = [(f"s {i}", b, float(b), [float(i), b / 2]) for i in range(300) for b in range(2)] + [(None, 0, 0.0, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "signal_id string, block_idx long, t_s double, v array<double>")
+    for name, write in (("m", lambda p, **k: text.write_matrix(df, "v", p, **k)), ("s", lambda p, **k: text.write_series(df.withColumn("y", df["v"][1]), "y", p, **k)), ("c", lambda p, **k: text.write_column(df, df["v"][1], p, **k))):
+        write(str(tmp_path / name), together=True)
+        write(str(tmp_path / f"{name}1"))
+        got = sorted((r["signal_id"] or "", r["value"]) for r in text.read_together(spark, str(tmp_path / name)).collect())
+        assert got == sorted((r["signal_id"] or "", r["value"]) for r in spark.read.text(str(tmp_path / f"{name}1")).collect())
+        # files are as many as tasks, not as signals
+        assert len([f for f in os.listdir(tmp_path / name) if f.startswith("part-")]) <= 4
+    with pytest.raises(Exception, match="tab"):
+        text.write_column(df.withColumn("signal_id", text.F.lit("a\tb")), df["v"][1], str(tmp_path / "bad"), together=True)
+
+
+def test_many_short_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    audio.register(spark)
+    path = str(tmp_path / "out")
+    values = {n: np.arange(k) / 1024 for n, k in (("a", 997), ("b", 400), ("c", 3), ("d", 0), ("e", 2))}
+    spark.createDataFrame([(n, 100.0, [v.tolist()]) for n, v in values.items()], "signal_id string, sample_rate double, channels array<array<double>>").write.format("audio").mode("append").save(path)
+    reader = lambda most, *filters: (monkeypatch.setattr(audio, "MOST_TASKS", most), audio.AudioReader({"path": path, "chunkframes": "30"}))[1]
+    rows = lambda r: sorted((x[0], x[6], x[7], x[8][0]) for p in r.partitions() for x in r.read(p))
+    one = rows(reader(1000))
+    assert len(reader(1000).partitions()) == 51 and len(reader(6).partitions()) <= 12
+    assert rows(reader(6)) == one and len(one) == 50
+    for low, high in ((90, None), (0, 60), (91, 400), (2000, None), (0, -1)):
+        r = reader(6)
+        r.low, r.high = low, high
+        assert [x for x in rows(r) if x[2] >= low and (high is None or x[2] <= high)] == [x for x in one if x[2] >= low and (high is None or x[2] <= high)]
+    # the default
+    monkeypatch.undo()
+    huge = audio.AudioReader({"path": path, "chunkframes": "1"})
+    assert len(huge.partitions()) <= audio.MOST_TASKS + 5 and sum(1 for p in huge.partitions() for _ in huge.read(p)) == 997 + 400 + 3 + 2

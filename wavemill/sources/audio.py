@@ -31,6 +31,8 @@ from . import codec
 
 SCHEMA = "path string, format string, bit_stream string, sample_rate double, n_channels int, n_frames bigint, chunk_idx bigint, start_frame bigint, channels array<array<double>>"
 HEAD_BYTES = 1 << 16
+#: Ranges up to this number are a task each. More of them are dealt to about as many tasks, runs of ranges of up to TASK_BYTES.
+MOST_TASKS, TASK_BYTES = 128, 1 << 26
 
 
 def _options(options) -> dict:
@@ -44,6 +46,14 @@ class Range(InputPartition):
     chunk_idx: int
     start: int
     frames: int
+    chunk: int = 0  # frames of a row, if the range holds several
+
+
+@dataclass
+class Files(InputPartition):
+    """Whole files that one task reads, one after the other."""
+
+    parts: list[Range]
 
 
 class AudioReader(DataSourceReader):
@@ -78,27 +88,47 @@ class AudioReader(DataSourceReader):
         long = [f for f, n in zip(files, sizes, strict=True) if n > 2 * self.chunk]
         with ThreadPoolExecutor(32) as pool:
             specs = dict(zip(long, pool.map(self._spec, long), strict=True))
+        wanted = {f: self._wanted(s) for f, s in specs.items()}
+        whole = [f for f in files if f not in specs and self.chunk >= self.low and (self.high is None or self.high >= 0)]
+        # short ranges share a task, so that tasks do not grow with the number of ranges
+        each = -(-(sum(map(len, wanted.values())) + len(whole)) // MOST_TASKS)
         out = []
         for f in files:
-            spec = specs.get(f)
-            for k in range(-(-spec.n_frames // self.chunk) if spec else 1):
-                start = k * self.chunk
-                if start + (0 if spec else self.chunk) >= self.low and (self.high is None or start <= self.high):
-                    out.append(Range(f, spec, k, start, min(self.chunk, spec.n_frames - start) if spec else -1))
+            if f in specs:
+                spec = specs[f]
+                run = max(1, min(each, TASK_BYTES // (self.chunk * spec.frame_bytes)))
+                for k in wanted[f][::run]:
+                    start, last = k * self.chunk, min(k + run, wanted[f].stop)
+                    out.append(Range(f, spec, k, start, min(last * self.chunk, spec.n_frames) - start, self.chunk))
+        single = [Range(f, None, 0, 0, -1) for f in whole]
+        if each == 1:
+            return sorted(out + single, key=lambda r: (r.path, r.start))
+        at = 0
+        while at < len(single):
+            # sizes are below two bytes a frame of a range
+            n = max(1, min(each, TASK_BYTES // (2 * self.chunk)))
+            out.append(Files(single[at : at + n]))
+            at += n
         return out
 
+    def _wanted(self, spec: codec.Spec) -> range:
+        """The chunks of a long file that the pushed filters leave."""
+        last = -(-spec.n_frames // self.chunk) if self.high is None else min(-(-spec.n_frames // self.chunk), self.high // self.chunk + 1)
+        return range(min(max(0, -(-self.low // self.chunk)), max(last, 0)), max(last, 0))
+
     def _spec(self, path: str) -> codec.Spec:
         with open(path, "rb") as h:
             return codec.parse(h.read(HEAD_BYTES), os.path.getsize(path), **_options(self.options))
 
-    def read(self, part: Range):
-        s = part.spec or self._spec(part.path)
-        frames = s.n_frames if part.frames < 0 else part.frames
-        if frames:
-            with open(part.path, "rb") as h:
-                h.seek(s.data_start + part.start * s.frame_bytes)
-                x = codec.decode(h.read(frames * s.frame_bytes), s)
-            yield (part.path, s.format, s.bit_stream, s.sample_rate, s.n_channels, s.n_frames, part.chunk_idx, part.start, [c.tolist() for c in x])
+    def read(self, part: Range | Files):
+        for r in part.parts if isinstance(part, Files) else [part]:
+            s = r.spec or self._spec(r.path)
+            frames = s.n_frames if r.frames < 0 else r.frames
+            with open(r.path, "rb") as h:
+                h.seek(s.data_start + r.start * s.frame_bytes)
+                for k, at in enumerate(range(0, frames, r.chunk or max(frames, 1))):
+                    x = codec.decode(h.read(min(r.chunk or frames, frames - at) * s.frame_bytes), s)
+                    yield (r.path, s.format, s.bit_stream, s.sample_rate, s.n_channels, s.n_frames, r.chunk_idx + k, r.start + at, [c.tolist() for c in x])
 
 
 @dataclass
