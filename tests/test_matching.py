@@ -66,3 +66,20 @@ def test_odd_rows(spark):
         M.match_within(spark.createDataFrame([(1, 0, 1 << 32)], DDL), q).count()
     with pytest.raises(ValueError, match="negative"):
         M.match_within(q, q, -1.0)
+
+
+def test_long_signals_by_transforms_of_segments(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{n}", int(b) - 40, int(w)) for n in range(3) for b, w in zip(np.flatnonzero(rng.random(260) < 0.8), rng.integers(0, 1 << 32, 260), strict=False)]
+    rows += [("s1", 500 + b, rows[b][2] ^ (b % 7)) for b in range(60)]  # words of s0 again, with bit errors
+    w = spark.createDataFrame(rows, "signal_id string, block_idx long, word long")
+    found = lambda most: sorted(tuple(r) for r in M.match_within(w, w, most).collect())
+    joined = {most: found(most) for most in (2.5, 8.0, 14.0)}
+    monkeypatch.setattr(M, "LONG", 1)
+    monkeypatch.setattr(M, "near_words", None)  # words are not joined
+    for segment in (64, 16_384):
+        monkeypatch.setattr(M, "SEGMENT", segment)
+        for most, want in joined.items():
+            got = found(most)
+            assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) >= 3
+            assert np.allclose([r[4] for r in got], [r[4] for r in want], rtol=0, atol=1e-12)
