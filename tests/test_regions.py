@@ -72,3 +72,14 @@ def test_votes_by_regions(spark):
     o = clustered(spark, 400)
     by = {r["obs_id"]: r["predicted"] for r in learn.knn(o, o, 3, exclude_self=True, search=regions.neighbours).collect()}
     assert by == {r["obs_id"]: r["predicted"] for r in learn.knn(o, o, 3, exclude_self=True).collect()}
+
+
+def test_slices_are_searched_by_products(spark):
+    o = clustered(spark, 60)
+    rows_of = o.collect()
+    near = learn.Near(np.array([r["f"] for r in rows_of]), np.array([r["obs_id"] for r in rows_of]))
+    x = learn.pa.RecordBatch.from_pylist([{"cell": 0, "slice": 0, "j": 0, "kind": k, "obs_id": r["obs_id"], "label": r["label"], "f": r["f"], "tau": None} for k in (0, 1) for r in rows_of])
+    (key, part, (index, ids, _)), = regions._meetings([x])
+    assert key == (0, 0, 0) and part.num_rows == 60 and isinstance(index, learn.Near) and ids.tolist() == list(range(60))
+    want = near.search(near.t, near.ti, 2, True)
+    assert all((a == b).all() for a, b in zip(index.search(near.t, ids, 2, True), want, strict=True))

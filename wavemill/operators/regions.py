@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrow import matrix
-from .learn import TILE_ROWS, observations
+from .learn import QUERY_ROWS as QUERY_SLICE
+from .learn import Near, observations
 from .warping import kept
 
 #: Training rows of a slice, and queries that meet it in one group.
@@ -52,24 +53,6 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
 
 
-def nearest(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray, k: int, exclude_self: bool, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, training row, distance) of the k nearest within tau, by query, distance and id; t goes by in tiles."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for at in range(0, len(t), TILE_ROWS):
-        d = distances(q, t[at : at + TILE_ROWS])
-        if exclude_self:
-            d[qi[:, None] == ti[None, at : at + TILE_ROWS]] = np.inf
-        near = min(k, d.shape[1])
-        bound = np.minimum(np.partition(d, near - 1, axis=1)[:, near - 1], tau)
-        i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
-        found.append((i, j + at, d[i, j]))
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((ti[j], d, i))
-    i, j, d = i[order], j[order], d[order]
-    some = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[some], j[some], d[some]
-
-
 @dataclass
 class Cells:
     """Pivots (None: no training rows), ring borders, and the cells' region, bounds and counts."""
@@ -161,7 +144,7 @@ def _dealt(train: DataFrame, asked: DataFrame, cells: Cells) -> DataFrame:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch, tuple]]:
-    """((cell, slice, j), queries, (training rows, ids, labels)): up to 64 queries at a time with their slice, which is held once."""
+    """((cell, slice, j), queries, (training rows for searches, ids, labels)): some queries at a time with their slice, which is held once."""
     key, held, whole = None, [], None
     for batch in batches:
         names = np.stack([batch.column(c).to_numpy() for c in ("cell", "slice", "j", "kind")], axis=1)
@@ -176,10 +159,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
                 held.append((matrix(part.column("f")), part.column("obs_id").to_numpy(), part.column("label").to_numpy(zero_copy_only=False)))
                 continue
             if whole is None and held:
-                whole = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held = []
-            for at in range(0, part.num_rows, 64):
-                yield key, part.slice(at, 64), whole
+                t, ti, tl = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole, held = (Near(t, ti), ti, tl), []
+            for at in range(0, part.num_rows, QUERY_SLICE):
+                yield key, part.slice(at, QUERY_SLICE), whole
 
 
 class Regions:
@@ -205,8 +188,8 @@ class Regions:
                 n, qi = part.num_rows, part.column("obs_id").to_numpy()
                 near: list[list[dict]] = [[] for _ in range(n)]
                 if whole is not None:
-                    t, ti, tl = whole
-                    for i, j, d in zip(*nearest(matrix(part.column("f")), qi, t, ti, k, exclude_self, np.full(n, np.inf)), strict=True):
+                    index, ti, tl = whole
+                    for i, j, d in zip(*index.search(matrix(part.column("f")), qi, k, exclude_self), strict=True):
                         near[i].append({"train_id": int(ti[j]), "label": None if tl[j] != tl[j] else int(tl[j]), "d": float(d)})
                 tau = [x[-1]["d"] if len(x) == k else np.inf for x in near]
                 yield pa.RecordBatch.from_arrays([part.column("obs_id"), part.column("f"), pa.array([key[0]] * n, pa.int32()), pa.array([key[1]] * n, pa.int32()), pa.array(tau, pa.float64()), pa.array(near, pa.list_(pa.struct([("train_id", pa.int64()), ("label", pa.int32()), ("d", pa.float64())])))], names=["obs_id", "f", "cell", "slice", "tau", "near"])
@@ -247,9 +230,9 @@ class Regions:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, part, whole in _meetings(batches):
                 if whole is not None:
-                    t, ti, tl = whole
+                    index, ti, tl = whole
                     qi = part.column("obs_id").to_numpy()
-                    i, j, d = nearest(matrix(part.column("f")), qi, t, ti, k, exclude_self, part.column("tau").to_numpy())
+                    i, j, d = index.search(matrix(part.column("f")), qi, k, exclude_self, part.column("tau").to_numpy())
                     yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ti[j]), pa.array(tl[j], pa.int32(), from_pandas=True), pa.array(d)], names=["obs_id", "train_id", "label", "d"])
 
         near = first.select("obs_id", F.explode("near").alias("x")).select("obs_id", "x.*").unionAll(_dealt(self.train, self._further(first), self.cells).mapInArrow(run, ddl))
