@@ -1,3 +1,4 @@
+import gc
 import random
 import struct
 import zlib
@@ -353,3 +354,25 @@ def test_scratch_reads_the_session(tmp_path):
             return Path(args[0]) if args else Stand()
 
     assert scratch(Stand()).startswith(f"{tmp_path}/wavemill-")
+
+
+def test_stages_leave_no_tables_in_workers_and_send_few_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+    from wavemill.llm import bpe, catalog, common
+
+    path = catalog.tokenizer_path(catalog.WORD_BPE)
+    bpe.automaton(path).encode("some words")
+    assert bpe.automaton.cache_info().currsize == 1
+    common.released()
+    assert bpe.automaton.cache_info().currsize == 0 and gc.get_freeze_count() == 0
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        p.encoding(spark, common.table(spark, sf_dir, "documents"), sf_dir)
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "7")
+        p.encoding(spark, common.table(spark, sf_dir, "documents"), sf_dir)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)

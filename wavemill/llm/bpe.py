@@ -42,7 +42,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, utf8_column
+from .common import KEPT, sliced, utf8_column
 
 #: What a worker remembers: chunks between blanks, pre-split words; states of the determinised automaton (about 700 bytes each).
 CACHE_CHUNKS = 400_000
@@ -283,6 +283,17 @@ def automaton(path: str) -> MergeAutomaton:
     return out
 
 
+def release() -> None:
+    """Gives back the memory of a worker's automata; their tables hold each other, so frozen ones would stay."""
+    if automaton.cache_info().currsize:
+        automaton.cache_clear()
+        gc.unfreeze()
+        gc.collect()
+
+
+KEPT.append(release)
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<long>) and decoded: one row per document."""
 

@@ -17,6 +17,23 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 #: Words kept in a worker's word cache before it is emptied; bounds the memory of one worker.
 CACHE_WORDS = 300_000
+#: Rows of an Arrow batch of whole texts; Spark's 10,000 are tens of MB in the JVM and again in the worker.
+TEXT_ROWS = 1000
+#: Called by ``released``: each gives back what its operator keeps in a worker between tasks.
+KEPT: list = []
+
+
+def released() -> None:
+    """Called where another operator begins in a worker: tables that an earlier one left there are given back."""
+    for free in KEPT:
+        free()
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to TEXT_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

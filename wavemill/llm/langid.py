@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, utf8_column
+from .common import released, sliced, utf8_column
 
 #: Hash buckets of the n-gram vector.
 DIMS = 1 << 13
@@ -182,6 +182,7 @@ def identify(docs: DataFrame, learn: DataFrame | None = None, per_lang: int = 50
     held = docs.sparkSession.sparkContext.broadcast(fit(sample(source, per_lang), clusters, slack))  # about 130 KB per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in sliced(batches):
             lang, score, out = held.value.predict(utf8_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])

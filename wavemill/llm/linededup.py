@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, parts, scratch, sliced, spread_join, utf8_column, written
+from .common import MASK64, parts, released, scratch, sliced, spread_join, utf8_column, written
 
 MIN_CHARS = 20
 #: Partners that meet a document in one group of rows.
@@ -167,6 +167,7 @@ def deleted(later: list[int], earlier: list[int]) -> list[int]:
 
 def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("lines", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    released()
     for batch in sliced(batches):
         texts = utf8_column(batch, "text")
         tid = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
