@@ -1,6 +1,7 @@
 """Recurrences over chunks against the same recurrence in one task."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,14 @@ def test_chords_and_fingerprints_of_long_signals(spark):
     assert rows(long.chords(128, 64), "chord", "name") == rows(whole.chords(128, 64), "chord", "name")
     small = {"block": 128, "hop": 64}
     assert rows(long.fingerprints(**small), "word") == rows(music.fingerprints(whole.df, **small), "word")
+
+
+def test_equal_chunks_are_filtered_together(spark, monkeypatch):
+    from wavemill.operators import scans
+
+    batch = pa.RecordBatch.from_pydict({"samples": [[1.0, 2.0], [3.0], [4.0, None], [5.0, 6.0], [7.0, 8.0]], "sample_rate": [8.0, 8.0, 8.0, 4.0, 8.0]})
+    got = [(some.tolist(), x.tolist(), rate) for some, x, rate in scans._alike(batch, True)]
+    assert [(s, r) for s, _, r in got] == [([0, 2, 4], 8.0), ([1], 8.0), ([3], 4.0)]
+    assert got[0][1][0] == [2.0, 1.0] and np.isnan(got[0][1][1][0]) and got[0][1][2] == [8.0, 7.0]
+    monkeypatch.setattr(scans, "AT_ONCE", 4)
+    assert [some.tolist() for some, _, _ in scans._alike(batch, False)] == [[0, 2], [4], [1], [3]]

@@ -20,6 +20,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows, dtype=float).ravel()))
+
+
 def _column(values, ddl: str) -> pa.Array:
     kind = _TYPES[ddl]
     if not ddl.startswith("array"):

@@ -17,13 +17,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import kernels as K
+from ..functions.arrow import lists, matrix
 
 #: Chunks that are scanned in one step.
 GROUP = 512
+#: Samples that are filtered at once.
+AT_ONCE = 1 << 21
 
 
 class Filter:
@@ -65,18 +69,30 @@ def _numbers(column, i: int) -> np.ndarray:
     return np.asarray(column[i].values.cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=float)
 
 
+def _alike(batch: pa.RecordBatch, backwards: bool) -> Iterator[tuple[np.ndarray, np.ndarray, float | None]]:
+    """(places in the batch, samples as rows, rate) of chunks of equal length and rate, so that a filter runs over many of them at once."""
+    samples, rates = batch.column("samples"), batch.column("sample_rate").to_pylist()
+    same: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(pc.list_value_length(samples).to_pylist(), rates, strict=True)):
+        same.setdefault(key, []).append(i)
+    for (n, rate), places in same.items():
+        most = max(1, AT_ONCE // max(1, n))
+        for at in range(0, len(places), most):
+            some = np.array(places[at : at + most])
+            yield some, matrix(samples.take(pa.array(some)))[:, :: -1 if backwards else 1], rate
+
+
 def _loads(chunks: DataFrame, bank: Bank, backwards: bool) -> DataFrame:
     """(signal_id, band, at, sample_rate, n, x0, load): what each chunk leaves in a memory that was empty; ``at`` orders the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rates, at = batch.column("sample_rate").to_pylist(), batch.column("chunk_idx").to_pylist()
-            for i in range(batch.num_rows):
-                x = _numbers(batch.column("samples"), i)[:: -1 if backwards else 1]
-                loads = [f.run(x[None, :], np.zeros((1, f.order)))[1][0] for f in bank(rates[i])]
-                m = len(loads)
-                key = batch.column("signal_id").slice(i, 1).take(pa.array([0] * m))
-                yield pa.RecordBatch.from_arrays([key, pa.array(range(m), pa.int32()), pa.array([-at[i] if backwards else at[i]] * m, pa.int64()), pa.array([rates[i]] * m, pa.float64()), pa.array([len(x)] * m, pa.int64()), pa.array([float(x[0])] * m), pa.array([v.tolist() for v in loads], pa.list_(pa.float64()))], names=["signal_id", "band", "at", "sample_rate", "n", "x0", "load"])
+            at = batch.column("chunk_idx").to_numpy() * (-1 if backwards else 1)
+            for some, x, rate in _alike(batch, backwards):
+                key, fs = (batch.column(c).take(pa.array(some)) for c in ("signal_id", "sample_rate"))
+                for band, f in enumerate(bank(rate)):
+                    load = f.run(x, np.zeros((len(x), f.order)))[1]
+                    yield pa.RecordBatch.from_arrays([key, pa.array([band] * len(x), pa.int32()), pa.array(at[some], pa.int64()), fs, pa.array([x.shape[1]] * len(x), pa.int64()), pa.array(x[:, 0].copy()), lists(load)], names=["signal_id", "band", "at", "sample_rate", "n", "x0", "load"])
 
     kind = dict(chunks.dtypes)["signal_id"]
     return chunks.mapInArrow(run, f"signal_id {kind}, band int, at long, sample_rate double, n long, x0 double, load array<double>")
@@ -127,14 +143,12 @@ def _scan(chunks: DataFrame, bank: Bank, first: Callable | None = None, backward
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rates = batch.column("sample_rate").to_pylist()
-            for i in range(batch.num_rows):
-                x = _numbers(batch.column("samples"), i)[:: -1 if backwards else 1]
-                memory = dict(batch.column("memory")[i].as_py())
-                out = [f.run(x[None, :], np.array([memory[k]]).reshape(1, f.order))[0][0][:: -1 if backwards else 1] for k, f in enumerate(bank(rates[i]))]
-                m = len(out)
-                same = pa.array([0] * m)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1).take(same) for c in ("signal_id", "sample_rate", "chunk_idx")] + [pa.array(range(m), pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["signal_id", "sample_rate", "chunk_idx", "band", "samples"])
+            for some, x, rate in _alike(batch, backwards):
+                held = [dict(v) for v in batch.column("memory").take(pa.array(some)).to_pylist()]
+                keys = [batch.column(c).take(pa.array(some)) for c in ("signal_id", "sample_rate", "chunk_idx")]
+                for band, f in enumerate(bank(rate)):
+                    out = f.run(x, np.array([m[band] for m in held], dtype=float).reshape(len(x), f.order))[0][:, :: -1 if backwards else 1]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([band] * len(x), pa.int32()), lists(out)], names=["signal_id", "sample_rate", "chunk_idx", "band", "samples"])
 
     kind = dict(chunks.dtypes)["signal_id"]
     return chunks.join(memory, ["signal_id", "chunk_idx"]).select("signal_id", "sample_rate", "chunk_idx", "samples", "memory").mapInArrow(run, f"signal_id {kind}, sample_rate double, chunk_idx long, band int, samples array<double>")
