@@ -44,3 +44,14 @@ def test_equal_sequences(spark):
     one = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [3.0])], DDL)
     total, path = warping.dtw_chunks(one, one)
     assert total.first()["cost"] == 0 and sorted((r["row"], r["col"]) for r in path.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_many_tiles_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 3, (50, 7)).astype(float), rng.integers(0, 3, (50, 5)).astype(float)
+    top, left, corner = rng.integers(0, 4, (50, 5)).astype(float), np.full((50, 7), np.inf), rng.integers(0, 4, 50).astype(float)
+    c = warping.costs_of(x, y, top, left, corner)
+    rows, cols, n = warping.walks(c, np.full(50, 6), np.full(50, 4))
+    for k in range(50):
+        assert (c[k] == warping.costs(x[k], y[k], top[k], None, corner[k])).all()
+        assert list(zip(rows[k, : n[k]].tolist(), cols[k, : n[k]].tolist(), strict=True)) == warping.walk(c[k], 6, 4)

@@ -18,39 +18,57 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import lists, matrix
+
+#: Costs that are made at once: many small tiles, or one large one.
+AT_ONCE = 1 << 20
+
 
 def costs(x: np.ndarray, y: np.ndarray, top, left, corner: float) -> np.ndarray:
     """Costs of a tile under |x_i - y_j|, with the row above it and the column before it."""
-    rows, cols = len(x), len(y)
-    c = np.full((rows + 1, cols + 1), np.inf)
-    c[0, 0] = corner
-    if top is not None:
-        c[0, 1:] = top
-    if left is not None:
-        c[1:, 0] = left
+    edge = lambda v, n: np.full((1, n), np.inf) if v is None else np.asarray(v, dtype=float)[None, :]
+    return costs_of(x[None, :], y[None, :], edge(top, len(y)), edge(left, len(x)), np.array([corner]))[0]
+
+
+def costs_of(x: np.ndarray, y: np.ndarray, top: np.ndarray, left: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """``costs`` of many tiles of equal size, one a row; what is not there is infinite."""
+    rows, cols = x.shape[1], y.shape[1]
+    c = np.empty((rows + 1, cols + 1, len(x)))  # a diagonal's cells of all tiles follow each other
+    c[0, 0], c[0, 1:], c[1:, 0] = corner, top.T, left.T
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
     for n in range(rows + cols - 1):
         i = np.arange(max(0, n - cols + 1), min(rows, n + 1))
         j = n - i
         c[i + 1, j + 1] = np.abs(x[i] - y[j]) + np.minimum(np.minimum(c[i, j], c[i + 1, j]), c[i, j + 1])
-    return c
+    return np.moveaxis(c, 2, 0)
 
 
 def walk(c: np.ndarray, i: int, j: int) -> list[tuple[int, int]]:
     """Cells of the path back from (i, j), up to the first one outside of the tile (with -1 in a place)."""
-    path = [(i, j)]
-    while i >= 0 and j >= 0:
-        diag, along, down = c[i, j], c[i + 1, j], c[i, j + 1]
-        if diag <= along and diag <= down:
-            i, j = i - 1, j - 1
-        elif along <= down:
-            j -= 1
-        else:
-            i -= 1
-        path.append((i, j))
-    return path
+    rows, cols, n = walks(c[None, :, :], np.array([i]), np.array([j]))
+    return list(zip(rows[0, : n[0]].tolist(), cols[0, : n[0]].tolist(), strict=True))
+
+
+def walks(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, lengths) of the paths back in many tiles of equal size, one a row, each up to its first cell outside."""
+    i, j = i.copy(), j.copy()
+    rows, cols = (np.full((len(c), c.shape[1] + c.shape[2]), -1, np.int64) for _ in range(2))
+    n, live, k = np.zeros(len(c), np.int64), np.arange(len(c)), 0
+    while len(live):
+        rows[live, k], cols[live, k] = i[live], j[live]
+        n[live] += 1
+        k += 1
+        live = live[(i[live] >= 0) & (j[live] >= 0)]
+        a, b = i[live], j[live]
+        diag, along, down = c[live, a, b], c[live, a + 1, b], c[live, a, b + 1]
+        both = (diag <= along) & (diag <= down)
+        i[live] -= both | ~(along <= down)
+        j[live] -= both | (along <= down)
+    return rows, cols, n
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -76,13 +94,42 @@ def _tiles(a: DataFrame, b: DataFrame, borders: DataFrame | None, at: DataFrame)
     return out.join(shifted(1, 1, F.element_at("bottom", -1).alias("corner")), key, "left")
 
 
-def _computed(row: dict) -> np.ndarray:
-    corner = row["corner"] if row["corner"] is not None else 0.0 if row["ti"] == row["tj"] == 0 else np.inf
-    return costs(np.array(row["x"], float), np.array(row["y"], float), row["top"], row["left"], corner)
+def _computed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of ``batch`` whose tiles have equal sizes, some at a time, with their costs."""
+    same: dict[tuple[int, int], list[int]] = {}
+    for k, size in enumerate(zip(*(pc.list_value_length(batch.column(n)).to_pylist() for n in ("x", "y")), strict=True)):
+        same.setdefault(size, []).append(k)
+
+    def edge(column: pa.Array, n: int) -> np.ndarray:
+        out, there = np.full((len(column), n), np.inf), column.is_valid().to_numpy(zero_copy_only=False)
+        if there.any():
+            out[there] = matrix(column.filter(pa.array(there)))
+        return out
+
+    for (rows, cols), places in same.items():
+        most = max(1, AT_ONCE // ((rows + 1) * (cols + 1)))
+        for at in range(0, len(places), most):
+            part = batch.take(pa.array(places[at : at + most]))
+            first = (part.column("ti").to_numpy() == 0) & (part.column("tj").to_numpy() == 0)
+            corner, known = part.column("corner"), part.column("corner").is_valid().to_numpy(zero_copy_only=False)
+            corner = np.where(known, corner.fill_null(0.0).to_numpy(), np.where(first, 0.0, np.inf))
+            yield part, costs_of(matrix(part.column("x")), matrix(part.column("y")), edge(part.column("top"), cols), edge(part.column("left"), rows), corner)
 
 
 def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((pair_id, cost), (pair_id, row, col)): the cheapest warping of each pair of sequences in chunks; a path's cells in the order of row + col."""
+    total, parts = dtw_parts(a, b)
+    return total, cells(parts)
+
+
+def cells(parts: DataFrame) -> DataFrame:
+    """The cells (row, col) of path parts (rows, cols), with all other columns."""
+    rest = [c for c in parts.columns if c not in ("rows", "cols")]
+    return parts.select(*rest, F.explode(F.arrays_zip("rows", "cols")).alias("p")).select(*rest, F.col("p.rows").alias("row"), F.col("p.cols").alias("col"))
+
+
+def dtw_parts(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``dtw_chunks``, with the path as one row (pair_id, rows, cols) a tile."""
     kind = dict(a.dtypes)["pair_id"]
     side = lambda s, index, name: s.where(F.size("x") > 0).select("pair_id", F.col("chunk_idx").cast("long").alias(index), F.col("x").cast("array<double>").alias(name))
     a, b = side(a, "ti", "x"), side(b, "tj", "y")
@@ -94,10 +141,8 @@ def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                c = _computed(one.select([n for n in one.schema.names if n != "pair_id"]).to_pylist()[0])
-                yield pa.RecordBatch.from_arrays([one.column("pair_id"), one.column("ti"), one.column("tj"), pa.array([c[-1, 1:].tolist()]), pa.array([c[1:, -1].tolist()])], names=["pair_id", "ti", "tj", "bottom", "right"])
+            for part, c in _computed(batch):
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("pair_id", "ti", "tj")), lists(c[:, -1, 1:]), lists(c[:, 1:, -1])], names=["pair_id", "ti", "tj", "bottom", "right"])
 
     done: list[DataFrame] = []
     for w in range(waves + 1 if waves is not None else 0):
@@ -106,29 +151,31 @@ def dtw_chunks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = reduce(DataFrame.unionByName, done[-2:]) if done else None
         done.append(kept(_tiles(a, b, near, at).mapInArrow(forward, f"pair_id {kind}, ti long, tj long, bottom array<double>, right array<double>")))
     if not done:
-        none = a.sparkSession.createDataFrame([], f"pair_id {kind}, cost double, row long, col long")
-        return none.select("pair_id", "cost"), none.select("pair_id", "row", "col")
+        none = a.sparkSession.createDataFrame([], f"pair_id {kind}, cost double, rows array<long>, cols array<long>")
+        return none.select("pair_id", "cost"), none.select("pair_id", "rows", "cols")
     borders = reduce(DataFrame.unionByName, done)
     ends = borders.join(last, (borders.pair_id == last.pair_id) & (F.col("ti") == F.col("li")) & (F.col("tj") == F.col("lj")))
     total = ends.select(borders.pair_id, F.element_at("bottom", -1).alias("cost"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                row = one.select([n for n in one.schema.names if n != "pair_id"]).to_pylist()[0]
-                path = walk(_computed(row), row["i"], row["j"])
-                i, j = path.pop()
-                ti, tj = row["ti"] - (i < 0), row["tj"] - (j < 0)
-                open_ = (ti >= 0) and (tj >= 0)
+            for part, c in _computed(batch):
+                ti, tj, i, j = (part.column(n).to_numpy() for n in ("ti", "tj", "i", "j"))
+                rows, cols, n = walks(c, i, j)
+                here = np.arange(len(n))
+                i, j = rows[here, n - 1], cols[here, n - 1]  # outside
+                inside = np.arange(rows.shape[1])[None, :] < n[:, None] - 1
+                ends = pa.array(np.concatenate([[0], np.cumsum(n - 1)]).astype(np.int32))
+                paths = (pa.ListArray.from_arrays(ends, pa.array((at[:, None] * size + v)[inside])) for at, v in ((ti, rows), (tj, cols)))
                 # only the last tile of a side may be short, so the tile before has ``size`` values
-                here = pa.array([[row["ti"] * size + r for r, _ in path]]), pa.array([[row["tj"] * size + c for _, c in path]])
-                yield pa.RecordBatch.from_arrays([one.column("pair_id"), pa.array([ti if open_ else -1]), pa.array([tj if open_ else -1]), pa.array([size - 1 if i < 0 else i]), pa.array([size - 1 if j < 0 else j]), *here], names=["pair_id", "ti", "tj", "i", "j", "rows", "cols"])
+                ti, tj = ti - (i < 0), tj - (j < 0)
+                on = (ti >= 0) & (tj >= 0)
+                yield pa.RecordBatch.from_arrays([part.column("pair_id"), *map(pa.array, (np.where(on, ti, -1), np.where(on, tj, -1), np.where(i < 0, size - 1, i), np.where(j < 0, size - 1, j))), *paths], names=["pair_id", "ti", "tj", "i", "j", "rows", "cols"])
 
     at = last.select("pair_id", F.col("li").alias("ti"), F.col("lj").alias("tj"), (F.col("ni") - 1).cast("long").alias("i"), (F.col("nj") - 1).cast("long").alias("j"))
     pieces: list[DataFrame] = []
     while at.take(1):
         found = kept(_tiles(a, b, borders, at).mapInArrow(back, f"pair_id {kind}, ti long, tj long, i long, j long, rows array<long>, cols array<long>"))
-        pieces.append(found.select("pair_id", F.explode(F.arrays_zip("rows", "cols")).alias("p")).select("pair_id", F.col("p.rows").alias("row"), F.col("p.cols").alias("col")))
+        pieces.append(found.select("pair_id", "rows", "cols"))
         at = found.where("ti >= 0").select("pair_id", "ti", "tj", "i", "j")
     return total, reduce(DataFrame.unionByName, pieces)
