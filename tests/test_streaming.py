@@ -124,3 +124,15 @@ def test_event_time_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "cast(ts as timestamp) ts", "value")
     assert stateful.windowed_levels(e, "1 day").agg({"n": "sum"}).first()[0] == e.count()
     assert stateful.sessions(e, "1 hour").agg({"n": "sum"}).first()[0] == e.count()
+
+
+def test_a_long_batch_is_worked_on_in_slices(spark, tmp_path, x, monkeypatch):
+    monkeypatch.setattr(stateful, "FILL", 64)
+
+    def step(memory, part, at):
+        if len(part) > 64:
+            raise ValueError("a slice is too long")
+        return np.array([float(at)]), [(at + k, float(v)) for k, v in enumerate(part)]
+
+    got = stream(spark, tmp_path, lambda s: stateful.run(s, step, "i bigint, y double"), x)
+    assert [(i, y) for _, i, y in got] == [(i, float(v)) for i, v in enumerate(x)]

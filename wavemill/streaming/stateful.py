@@ -29,7 +29,7 @@ from .. import kernels as K
 STATE = "next bigint, wait_i array<bigint>, wait_x array<double>, memory array<double>, total bigint"
 #: Samples that wait for a missing one.
 PATIENCE = 1 << 16
-#: Zeros that take the place of lost samples at a time.
+#: Samples, or zeros in the place of lost ones, that a step works on at a time.
 FILL = 1 << 16
 
 #: step(memory, samples, index of the first sample) -> (memory, rows of the output without the key)
@@ -45,43 +45,53 @@ def run(samples: DataFrame, step: Step, columns: str, finish: Finish | None = No
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, wi, wx, memory, total = state.get if state.exists else (0, [], [], [], -1)
-        memory, rows = np.array(memory, dtype=float), []
+        memory = np.array(memory, dtype=float)
+        frame = lambda rows: pd.DataFrame([(key[0], *r) for r in rows], columns=names)
         i, x = np.array(wi, dtype=np.int64), np.array(wx, dtype=float)
         if state.hasTimedOut:
             give_up = 0
         else:
-            got, give_up = pd.concat(list(batches)), patience
-            ends = got["x"].isna().to_numpy()
-            if ends.any() and total < 0:
-                total = int(got["i"].to_numpy(np.int64)[ends].max())
-            i, first = np.unique(np.concatenate([i, got["i"].to_numpy(np.int64)[~ends]]), return_index=True)
-            x = np.concatenate([x, got["x"].to_numpy(float)[~ends]])[first]
+            give_up, closed = patience, total >= 0
+            more = [(i, x)]  # two numbers a sample are all that is held of a micro-batch
+            for got in batches:
+                gi, gx = got["i"].to_numpy(np.int64), got["x"].to_numpy(float)
+                ends = got["x"].isna().to_numpy()
+                if ends.any() and not closed:
+                    total = max(total, int(gi[ends].max()))
+                more.append((gi[~ends], gx[~ends]))
+            i, x = (np.concatenate(v) for v in zip(*more, strict=True))
+            del more
+            if (i[1:] <= i[:-1]).any():
+                i, first = np.unique(i, return_index=True)
+                x = x[first]
         inside = (i >= at) & ((total < 0) | (i < total))
         i, x = i[inside], x[inside]
         while True:
             n = int(np.argmax(np.append(i != at + np.arange(len(i)), True)))
-            if n:
-                memory, more = step(memory, x[:n], at)
-                rows += more
-                at, i, x = at + n, i[n:], x[n:]
+            for lo in range(0, n, FILL):  # results leave in slices
+                memory, rows = step(memory, x[lo : min(lo + FILL, n)], at + lo)
+                if rows:
+                    yield frame(rows)
+            at, i, x = at + n, i[n:], x[n:]
             stop = int(i[0]) if len(i) else total
             if at >= stop or len(i) <= give_up and not (state.hasTimedOut and stop > at):
                 break
             while at < stop:
                 zeros = np.zeros(min(FILL, stop - at))
-                memory, more = step(memory, zeros, at)
-                rows += more
+                memory, rows = step(memory, zeros, at)
+                if rows:
+                    yield frame(rows)
                 at += len(zeros)
         if 0 <= total <= at < 1 << 62:
             if finish is not None and (len(memory) or not total):
-                rows += finish(memory, total)
+                rows = finish(memory, total)
+                if rows:
+                    yield frame(rows)
             memory = np.empty(0)
             i, x, at = i[:0], x[:0], 1 << 62  # closed
         state.update((at, i.tolist(), x.tolist(), memory.tolist(), total))
         if timeout is not None and at < 1 << 62:
             state.setTimeoutDuration(timeout)
-        if rows:
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
 
     wait = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout
     return samples.groupBy("signal_id").applyInPandasWithState(update, f"signal_id {kind}, {columns}", STATE, "append", wait)
