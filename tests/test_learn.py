@@ -246,3 +246,29 @@ def test_selection_meets_windows_of_sorted_rows(picked, digits):
         all_[ti[:90, None] == ti[None, :]] = np.inf
         best = order[all_[:, order].argmin(axis=1)]
         assert (best == j[:, n]).all() and (all_[np.arange(90), best] == d[:, n]).all()
+
+
+def test_forward_selection_over_many_strips(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    f = np.round(rng.normal(size=(700, 4)), 1)  # many equal values
+    f[:5, 1], f[5, 2] = 50.0, np.nan
+    label = (f[:, 2] + f[:, 0] > 0).astype(int)
+    label[5] = 0
+    want, chosen = [], []
+    for _ in range(3):
+        best = None
+        for v in [v for v in range(4) if v not in chosen]:
+            d = sum((f[:, None, u] - f[None, :, u]) ** 2 for u in [*chosen, v])
+            d[np.isnan(d)] = np.inf
+            np.fill_diagonal(d, np.inf)
+            some = np.isfinite(d.min(axis=1))
+            acc = float((label[d.argmin(axis=1)] == label)[some].mean())
+            best = max(best or (-1.0, -1), (acc, v))
+        want.append((best[1], best[0]))
+        chosen.append(best[1])
+    data = spark.createDataFrame([(i, int(label[i]), f[i].tolist()) for i in range(700)], "obs_id long, label int, f array<double>")
+    for rows, strip in ((65_536, 64), (40, 300)):
+        monkeypatch.setattr(learn, "HELD_ROWS", rows)
+        monkeypatch.setattr(learn, "STRIP_ROWS", strip)
+        got = learn.forward_selection(data, most=3)
+        assert [v for v, _ in got] == [v for v, _ in want] and np.allclose([a for _, a in got], [a for _, a in want])

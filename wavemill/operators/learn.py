@@ -13,15 +13,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kernels as K
-from ..functions.arrow import matrix
+from ..functions.arrow import lists, matrix
 
 TILE_ROWS = 2048
 #: Training rows that a cell of the grid of tiles holds, about; queries that meet a tile at once; pairs whose differences are made at once.
 HELD_ROWS, QUERY_ROWS, PAIRS = 65_536, 256, 65_536
+#: Rows of a strip of one dimension.
+STRIP_ROWS = 16_384
 NO_CLASS = -1111111111
 #: Stands for a null label in tasks.
 NO_LABEL = np.iinfo(np.int32).min
@@ -269,62 +272,125 @@ def leave_one_out(obs: DataFrame, k: int = 3, classify: Callable[[DataFrame, Dat
 def forward_selection(obs: DataFrame, dims: int | None = None, most: int | None = None) -> list[tuple[int, float]]:
     """(feature, accuracy) in the order of selection by 1-NN leave-one-out, ``most`` of them at most; of equal accuracies the last feature wins.
 
-    One pass per step scores all candidate features: a candidate adds one squared difference to the
-    distances of those chosen so far.
+    Each step scores all candidate features: a candidate adds one squared difference to the distances of those chosen so far.
+    Rows lie in strips of a dimension that counts (the first one picked, else each candidate's own). A row looks for its
+    nearest in its strip, then only in the strips that this distance still reaches (``_in_strips``).
     """
     dims = dims or _dims(obs)
     chosen: list[tuple[int, float]] = []
-    cells = cells_of(obs, obs)
+    obs = observations(obs).where("obs_id is not null")
     while len(chosen) < min(dims, most or dims):
         picked = [v for v, _ in chosen]
         rest = [v for v in range(dims) if v not in picked]
-
-        def run(batches: Iterator[pa.RecordBatch], picked=picked, rest=rest) -> Iterator[pa.RecordBatch]:
-            for (q, qi, ql), (t, ti, tl) in _met(batches):
-                d, j = nearest_of_each(q, qi, t, ti, picked, rest)
-                hit = (tl[j] == ql[:, None]).astype(np.int64)
-                wide = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(qi) + 1, dtype=np.int32) * len(rest)), pa.array(x.ravel()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(qi), wide(d), wide(ti[j]), wide(hit)], names=["obs_id", "d", "train_id", "hit"])
-
-        def fold(batches: Iterator[pa.RecordBatch], rest=rest) -> Iterator[pa.RecordBatch]:
-            """Hits and rows of each candidate; the rows of an observation, one of each cell, follow each other."""
-            total = np.zeros((2, len(rest)))
-            names = ("obs_id", "d", "train_id", "hit")
-
-            def count(x: list[np.ndarray]) -> None:
-                of, d, ti, hit = x[0], *(y.reshape(-1, len(rest)) for y in x[1:])
-                for v in range(len(rest)):
-                    order = np.lexsort((ti[:, v], d[:, v], of))
-                    first = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
-                    first = first[np.isfinite(d[first, v])]
-                    total[:, v] += hit[first, v].sum(), len(first)
-
-            held = None
-            for batch in batches:
-                got = [batch.column(names[0]).to_numpy(), *(batch.column(c).flatten().to_numpy().reshape(-1, len(rest)) for c in names[1:])]
-                held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
-                done = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last one may go on
-                if done:
-                    count([x[:done] for x in held])
-                    held = [x[done:] for x in held]
-            if held is not None and len(held[0]):
-                count(held)
-            yield pa.RecordBatch.from_pydict({"hits": [total[0].tolist()], "n": [total[1].tolist()]})
-
-        near = cells.mapInArrow(run, "obs_id long, d array<double>, train_id array<long>, hit array<long>")
-        sums = near.repartition("obs_id").sortWithinPartitions("obs_id").mapInArrow(fold, "hits array<double>, n array<double>")
-        each = sums.select(F.posexplode(F.arrays_zip("hits", "n")).alias("v", "x")).groupBy("v").agg(F.sum("x.hits").alias("hits"), F.sum("x.n").alias("n")).collect()
-        scores = {rest[r["v"]]: r["hits"] / r["n"] for r in each if r["n"]}
+        found, held = _in_strips(obs, picked, rest)
+        first = found.where(F.col("d") < float("inf")).groupBy("v", "obs_id").agg(F.min(F.struct("d", "train_id", "hit")).alias("x"))
+        each = first.groupBy("v").agg(F.avg("x.hit").alias("accuracy")).collect()
+        for df in held:
+            df.unpersist()
+        scores = {r["v"]: r["accuracy"] for r in each}
         best = max(rest, key=lambda v: (scores.get(v, 0.0), v))
         chosen.append((best, float(scores.get(best, 0.0))))
     return chosen
 
 
-def nearest_of_each(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray, picked: list[int], rest: list[int], width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def _in_strips(obs: DataFrame, picked: list[int], rest: list[int]) -> tuple[DataFrame, list[DataFrame]]:
+    """((v, obs_id, d, train_id, hit), what is to be unpersisted): for each row and candidate v rows that have its nearest among them.
+
+    Borders of strips come from a few rows drawn by their ids and matter for the balance only. A strip of more than HELD_ROWS rows
+    (equal values) is a square of cells, in which each of its rows meets all others. No strip's rows need a task of their own.
+    """
+    parts, n = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), obs.count()
+    strips = max(1, min(parts, n // 256), -(-n // 4096)) if picked else max(1, -(-n // STRIP_ROWS))
+    draw = F.pmod(F.xxhash64(F.lit(17), "obs_id"), F.lit(max(1, n // (20 * strips))))
+    some = [r["f"] for r in obs.where(draw == 0).select("f").limit(100 * strips).collect()]
+    some = np.array(some, dtype=float).reshape(len(some), -1)
+    along = picked[:1] or rest  # a strip's dimension also names its rows' problem
+    edges = {}
+    for v in along:
+        x = some[np.isfinite(some[:, v]), v] if len(some) else np.zeros(0)
+        edges[v] = np.unique(np.quantile(x, np.arange(1, strips) / strips, method="higher")) if len(x) and strips > 1 else np.zeros(0)
+
+    def whole_numbers(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.asarray(x, np.int64).ravel()))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = matrix(batch.column("f"))
+            for v in along if len(f) else ():
+                at = np.flatnonzero(np.isfinite(f[:, v]))  # others are near nothing
+                ids, labels = (batch.column(c).take(pa.array(at)) for c in ("obs_id", "label"))
+                s = np.searchsorted(edges[v], f[at, v], side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.int32()), pa.array(s), ids, labels, lists(f[at] if picked else f[at, v : v + 1])], names=["v", "s", "obs_id", "label", "f"])
+
+    rows = obs.mapInArrow(deal, "v int, s int, obs_id long, label int, f array<double>").persist(StorageLevel.DISK_ONLY)
+    big = {(r["v"], r["s"]): -(-r["count"] // HELD_ROWS) for r in rows.groupBy("v", "s").count().where(F.col("count") > HELD_ROWS).collect()}
+    wide = F.lit(1)
+    for (v, s), k in big.items():
+        wide = F.when((F.col("v") == v) & (F.col("s") == s), k).otherwise(wide)
+    columns = ["v", "s", "i", "j", "kind", "obs_id", "label", "f", "d"]
+
+    def cells(queries: DataFrame) -> DataFrame:
+        every, place = F.explode(F.sequence(F.lit(0), F.col("k") - 1)), F.pmod(F.xxhash64("obs_id"), F.col("k")).cast("int")
+        q = queries.withColumn("k", wide.cast("int")).withColumns({"i": place, "j": every, "kind": F.lit(1)}).select(*columns)
+        t = rows.withColumn("k", wide.cast("int")).withColumns({"i": every, "j": place, "kind": F.lit(0), "d": F.lit(None).cast("array<double>")}).select(*columns)
+        return t.unionAll(q).repartition(parts, "v", "s", "i", "j").sortWithinPartitions("v", "s", "i", "j", "kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, train, whole = None, [], None
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in ("v", "s", "i", "j", "kind")], axis=1)
+            cut = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(names)], strict=True):
+                if hi == lo:
+                    continue
+                if tuple(names[lo, :4]) != cell:
+                    cell, train, whole = tuple(names[lo, :4]), [], None
+                part = batch.slice(lo, hi - lo)
+                f, ids, label = matrix(part.column("f")), part.column("obs_id").to_numpy(), part.column("label").fill_null(NO_LABEL).to_numpy()
+                if not names[lo, 4]:
+                    train.append((f, ids, label))
+                    continue
+                if whole is None and train:
+                    whole, train = tuple(np.concatenate(x) for x in zip(*train, strict=True)), []
+                limit = None if part.column("d").null_count else matrix(part.column("d"))
+                if whole is None:
+                    if limit is not None:
+                        continue  # nothing is in this strip
+                    whole = f[:0], ids[:0], label[:0]
+                t, ti, tl = whole
+                d, j = nearest_of_each(f, ids, t, ti, picked, rest if picked else [0], limit=limit) if len(t) else (np.full((len(f), len(rest) if picked else 1), np.inf), None)
+                hit, near = (np.zeros(d.shape), np.zeros(d.shape)) if j is None else (tl[j] == label[:, None], ti[j])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("v", "s", "obs_id", "label", "f")), lists(d), whole_numbers(near), whole_numbers(hit)], names=["v", "s", "obs_id", "label", "f", "d", "train_id", "hit"])
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the other strips that may hold a nearer one, or one as near."""
+        for batch in batches:
+            d, f, s, name = matrix(batch.column("d")), matrix(batch.column("f")), batch.column("s").to_numpy(), batch.column("v").to_numpy()
+            for v in np.unique(name).tolist():
+                mine = np.flatnonzero(name == v)
+                x, far, e = f[mine, v if picked else 0], d[mine].max(axis=1), edges[v]
+                for k in range(len(e) + 1):
+                    # rounding keeps the order of differences and squares, so what is beyond a border is not nearer than it
+                    gap = np.where(s[mine] > k, x - e[min(k, len(e) - 1)], x - e[max(k, 1) - 1]) ** 2 if len(e) else np.full(len(x), np.inf)
+                    at = mine[(s[mine] != k) & (gap <= far)]
+                    if len(at):
+                        part = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([part.column("v"), pa.array([k] * len(at), pa.int32()), *(part.column(c) for c in ("obs_id", "label", "f", "d"))], names=["v", "s", "obs_id", "label", "f", "d"])
+
+    ddl = "v int, s int, obs_id long, label int, f array<double>, d array<double>, train_id array<long>, hit array<long>"
+    near = cells(rows.withColumn("d", F.lit(None).cast("array<double>"))).mapInArrow(search, ddl).persist(StorageLevel.DISK_ONLY)
+    more = cells(near.mapInArrow(reach, "v int, s int, obs_id long, label int, f array<double>, d array<double>")).mapInArrow(search, ddl)
+    flat = near.unionAll(more).select("v", "obs_id", F.posexplode(F.arrays_zip("d", "train_id", "hit")).alias("c", "x"))
+    named = F.element_at(F.array(*map(F.lit, rest)), F.col("c") + 1) if picked else F.col("v")
+    return flat.select(named.alias("v"), "obs_id", "x.d", "x.train_id", "x.hit"), [rows, near]
+
+
+def nearest_of_each(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray, picked: list[int], rest: list[int], width: int = 256, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(squared distance, training row) of the nearest row but itself, for each query (row) and candidate (column); inf without one.
 
     Training rows are sorted by a dimension that counts (the first one picked, else the candidate). A query meets a window of
-    them around its own value, which grows until all outside are farther by that dimension alone than the nearest inside.
+    them around its own value, which grows until all outside are farther by that dimension alone than the nearest inside, or
+    than ``limit`` (a squared distance for each query and candidate, beyond which nothing is asked for).
     """
     best, at = np.full((len(q), len(rest)), np.inf), np.zeros((len(q), len(rest)), np.int64)
     column = {v: n for n, v in enumerate(rest)}
@@ -338,6 +404,9 @@ def nearest_of_each(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray
             mine, size = asked[lo : lo + 64], width if picked else 8
             todo = {c: np.arange(len(mine)) for c in range(len(some))}  # the queries of each candidate that go on
             x, own = q[mine], qi[mine]
+            if limit is not None:
+                outside = (x[:, v] - np.clip(x[:, v], along[0], along[-1])) ** 2
+                todo = {c: near for c in todo if len(near := np.flatnonzero(limit[mine, column[some[c]]] >= outside))}
             while todo:
                 live = np.unique(np.concatenate(list(todo.values())))
                 a, b = (int(np.searchsorted(along, x[k, v])) for k in (live[0], live[-1]))
@@ -358,6 +427,8 @@ def nearest_of_each(q: np.ndarray, qi: np.ndarray, t: np.ndarray, ti: np.ndarray
                     k = d.argmin(axis=1)
                     least = d[np.arange(len(rows)), k]
                     done = (least < gap[rows]) | ((first == 0) & (last == len(s)))
+                    if limit is not None:
+                        done |= limit[mine[rows], column[some[c]]] < gap[rows]
                     best[mine[rows[done]], column[some[c]]] = least[done]
                     at[mine[rows[done]], column[some[c]]] = order[first + rank[k[done]]]
                     if not done.all():
