@@ -83,3 +83,28 @@ def test_long_signals_by_transforms_of_segments(spark, monkeypatch):
             got = found(most)
             assert [r[:4] for r in got] == [r[:4] for r in want] and len(got) >= 3
             assert np.allclose([r[4] for r in got], [r[4] for r in want], rtol=0, atol=1e-12)
+
+
+def test_words_meet_at_given_offsets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "CUT", 8)
+    rng = np.random.default_rng(8)
+    signals = {s: {i: int(w) for i, w in enumerate(rng.integers(0, 1 << 32, n)) if i % 9 != s} for s, n in ((0, 40), (1, 70), (2, 3))}
+    signals[1][30] = signals[0][12] = None
+    offsets = [(0, s, o) for s in signals for o in (-90, -33, -8, -1, 0, 1, 7, 16, 65)]
+    df = table(spark, signals)
+    got = found(M.met_words(spark.createDataFrame(offsets, "query_id long, signal_id long, offset long"), df.where("signal_id = 0"), df))
+    want = {}
+    for q, s, o in offsets:
+        both = [(w, signals[s][i + o]) for i, w in signals[q].items() if i + o in signals[s]]
+        bits = [(a ^ b).bit_count() for a, b in both if a is not None and b is not None]
+        if both:
+            want[q, s, o] = (len(both), sum(bits) / len(bits) if bits else None)
+    assert got == want and len(got) > 12
+
+
+def test_starts_of_runs_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "CUT", 4)
+    words = {0: [5, 5, 5, 5, 5, 6, None, 6, 6, 7, 7, 7, 7, 7, 7, 7, 7, 7], 1: [7, 7]}
+    df = table(spark, {s: dict(enumerate(v)) for s, v in words.items()})
+    got = sorted((r["signal_id"], r["block_idx"], r["word"]) for r in M.run_starts(df).where("word is not null").collect())
+    assert got == [(0, 0, 5), (0, 5, 6), (0, 7, 6), (0, 9, 7), (1, 0, 7)]

@@ -124,3 +124,36 @@ def test_equal_chunks_are_filtered_together(spark, monkeypatch):
     assert got[0][1][0] == [2.0, 1.0] and np.isnan(got[0][1][1][0]) and got[0][1][2] == [8.0, 7.0]
     monkeypatch.setattr(scans, "AT_ONCE", 4)
     assert [some.tolist() for some, _, _ in scans._alike(batch, False)] == [[0, 2], [4], [1], [3]]
+
+
+@pytest.mark.parametrize("rate", [8000.0, 5000.0, 6000.0])
+def test_parts_of_a_resampled_signal_are_those_of_the_whole(rate):
+    x = np.random.default_rng(3).normal(size=2000)
+    n, around = K.resample_length(2000, rate, 6000.0), K.resample_reach(rate, 6000.0)
+    want = x if rate == 6000.0 else K.resample(x, rate, 6000.0)
+    for first, end in ((0, 90), (n // 2, n // 2 + 60), (n - 70, n)):
+        low, high = max(0, int(first * rate / 6000) - around), min(2000, int(end * rate / 6000) + 1 + around)
+        assert np.abs(K.resample_part(x[low:high], low, 2000, first, end, rate, 6000.0) - want[first:end]).max() < 1e-12
+
+
+@pytest.mark.parametrize("chunk", [64, 320])  # by scans, as the filters remember more than a chunk, and in one pass
+def test_fingerprints_of_chunks_are_those_of_the_whole(spark, chunk):
+    from wavemill.operators import music
+
+    rng = np.random.default_rng(5)
+    x = {"down": (8000.0, rng.normal(size=2048)), "up": (4000.0, rng.normal(size=1500)), "same": (5000.0, rng.normal(size=5 * chunk)), "short": (8000.0, rng.normal(size=20)), "odd": (8000.0, rng.normal(size=900))}
+    x["odd"][1][300] = np.nan  # a null for Spark
+    listed = lambda v: [None if np.isnan(a) else float(a) for a in v]
+    chunks = spark.createDataFrame([(n, fs, k, listed(v[k * chunk : (k + 1) * chunk])) for n, (fs, v) in x.items() for k in range(-(-len(v) // chunk))], DDL)
+    whole = spark.createDataFrame([(n, fs, listed(v)) for n, (fs, v) in x.items()], "signal_id string, sample_rate double, samples array<double>")
+    rows = lambda df: sorted(tuple(r) for r in df.select("signal_id", "sample_rate", "block_idx", "t_s", "word").collect())
+    got = rows(music.fingerprints_of_chunks(chunks, chunk, 128, 32))
+    assert got == rows(music.fingerprints(whole, 128, 32)) and len({r[4] for r in got}) > 50
+
+
+def test_chunks_are_placed_by_the_samples_before_them(spark):
+    rows = [("a", 8.0, 0, [1.0, 2.0]), ("a", 8.0, 2, [3.0]), ("a", 8.0, 5, [4.0, 5.0, 6.0]), ("b", 8.0, 0, [float("inf")]), ("b", 8.0, 1, [None])]
+    placed = scans.placed_chunks(spark.createDataFrame(rows, DDL))
+    assert sorted((r["signal_id"], r["at"], r["length"], r["sound"]) for r in placed.collect()) == [("a", 0, 6, True), ("a", 2, 6, True), ("a", 3, 6, True), ("b", 0, 2, False), ("b", 1, 2, False)]
+    got = {r["chunk_idx"]: (r["at"], r["samples"]) for r in scans.bordered(placed.where("signal_id = 'a'"), 3, 1, 2).collect()}
+    assert got == {0: (0, [1.0, 2.0, 3.0, 4.0, 5.0]), 1: (2, [3.0, 4.0, 5.0, 6.0]), 2: (5, [6.0])}

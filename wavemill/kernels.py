@@ -425,19 +425,31 @@ def steady_state(b, a) -> np.ndarray:
     return np.linalg.solve(m, b[1:] - b[0] * a[1:])
 
 
-def filtfilt(b, a, x: np.ndarray) -> np.ndarray:
-    """Zero phase: forwards and backwards, with odd reflection of 3 * order samples at both ends."""
+def filtfilt(b, a, x: np.ndarray, ends: tuple[bool, bool] = (True, True)) -> np.ndarray:
+    """Zero phase: forwards and backwards, with odd reflection of 3 * order samples at both ends.
+
+    Without one of the ``ends`` the signal goes on there, and results are those of the whole signal only ``reach`` samples away.
+    """
     x = np.asarray(x, dtype=float)
     pad = 3 * (max(len(a), len(b)) - 1)
-    if pad >= x.shape[1]:
+    if any(ends) and pad >= x.shape[1]:
         raise ValueError(f"zero-phase filtering needs more than {pad} samples")
     zi = steady_state(b, a)
-    front = 2 * x[:, :1] - x[:, pad:0:-1]
-    back = 2 * x[:, -1:] - x[:, -2 : -2 - pad : -1]
+    front = 2 * x[:, :1] - x[:, pad:0:-1] if ends[0] else x[:, :0]
+    back = 2 * x[:, -1:] - x[:, -2 : -2 - pad : -1] if ends[1] else x[:, :0]
     y = np.concatenate([front, x, back], axis=1)
-    y = iir(b, a, y, y[:, :1] * zi)[:, pad:]
+    y = iir(b, a, y, y[:, :1] * zi)[:, front.shape[1] :]
     y = y[:, ::-1]
-    return iir(b, a, y, y[:, :1] * zi)[:, pad:][:, ::-1]
+    return iir(b, a, y, y[:, :1] * zi)[:, back.shape[1] :][:, ::-1]
+
+
+def reach(b, a, left: float = 2.0**-60) -> int:
+    """Samples, a power of two of at least 64, after which no more than ``left`` of a stable filter's memory is left."""
+    order = max(len(a), len(b)) - 1
+    n, power = 64, iir(b, a, np.zeros((order, 64)), np.eye(order), with_state=True)[1]
+    while np.abs(power).max(initial=0.0) > left:
+        n, power = 2 * n, power @ power
+    return n
 
 
 def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -552,6 +564,27 @@ def resample(x: np.ndarray, fs_in: float, fs_out: float) -> np.ndarray:
     return interpolate(filtfilt(b, a, np.asarray(x, dtype=float)[None, :])[0], at)
 
 
+def resample_reach(fs_in: float, fs_out: float) -> int:
+    """Samples on both sides that ``resample_part`` needs."""
+    return 0 if fs_in == fs_out else reach(*butterworth(4, 0.9 * min(fs_in, fs_out) / max(fs_in, fs_out))) + 2
+
+
+def resample_part(x: np.ndarray, at: int, length: int, first: int, end: int, fs_in: float, fs_out: float) -> np.ndarray:
+    """Values ``first`` to ``end`` (without) of ``resample`` of a signal of ``length`` samples, of which x holds those from ``at`` on:
+    ``resample_reach`` more on both sides than the values lie between, or up to the signal's ends.
+    """
+    if fs_in == fs_out:
+        return x[first - at : end - at]
+    b, a = butterworth(4, 0.9 * min(fs_in, fs_out) / max(fs_in, fs_out))
+    if fs_out < fs_in:
+        y = filtfilt(b, a, x[None, :], (at == 0, at + len(x) == length))[0]
+        return interpolate(y, np.arange(first, end) * fs_in / fs_out - at)
+    n, around = resample_length(length, fs_in, fs_out), reach(b, a)
+    low, high = max(0, first - around), min(n, end + around)
+    y = interpolate(x, np.arange(low, high) * fs_in / fs_out - at)
+    return filtfilt(b, a, y[None, :], (low == 0, high == n))[0][first - low : end - low]
+
+
 # --- mel and log bands ---------------------------------------------------------------------------
 
 
@@ -608,6 +641,17 @@ def fingerprint_words(diff, before):
     return ((diff - before)[:, :31] > 0).astype(np.int64) @ (np.int64(2) << np.arange(31, dtype=np.int64))
 
 
+def fingerprint_part(x: np.ndarray, count: int, block: int, hop: int, fs: float, start: bool, w="hann", at_once: int = 256) -> np.ndarray:
+    """Words of ``count`` blocks; x begins with the block before them, zeros are behind it. Each block is transformed once, ``at_once`` at a time."""
+    held = np.zeros(block + count * hop)
+    held[: len(x)] = x[: len(held)]
+    cut = np.lib.stride_tricks.sliding_window_view(held, block)[::hop]
+    diff = np.concatenate([fingerprint_differences(magnitude(cut[k : k + at_once], w), fs) for k in range(0, count + 1, at_once)])
+    if start:  # silence is before the first block
+        diff[0] = 0
+    return fingerprint_words(diff[1:], diff[:-1])
+
+
 # --- novelty, chords, keys -----------------------------------------------------------------------
 
 

@@ -69,6 +69,61 @@ def runs(words: DataFrame) -> DataFrame:
     return marked.groupBy("signal_id", "part", "run").agg(F.min("word").alias("word"), F.min("block_idx").alias("first"), F.max("block_idx").alias("last")).drop("part", "run")
 
 
+def run_starts(words: DataFrame) -> DataFrame:
+    """The rows whose word is not that of the row before in their signal. Rows go by parts of CUT places; of other parts only the last word is looked at."""
+    placed = words.withColumn("part", F.floor(F.col("block_idx") / CUT))
+    ends = placed.groupBy("signal_id", "part").agg(F.max_by("word", "block_idx").alias("end"))
+    ends = ends.select("signal_id", "part", F.lag("end").over(Window.partitionBy("signal_id").orderBy("part")).alias("end"))
+    w = Window.partitionBy("signal_id", "part").orderBy("block_idx")
+    marked = placed.withColumns({"n": F.row_number().over(w), "before": F.lag("word").over(w)}).join(ends, ["signal_id", "part"])
+    before = F.when(F.col("n") == 1, F.col("end")).otherwise(F.col("before"))
+    return marked.where(before.isNull() | (before != F.col("word"))).select(*words.columns)
+
+
+def met_words(offsets: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """(query_id, signal_id, offset, words, bits) of given offsets, without those at which no words meet.
+
+    Parts of CUT places of both sides are rows; two parts that meet do so once, with all their offsets.
+    """
+    parts = lambda df, *names: df.groupBy(F.col("signal_id").alias(names[0]), F.floor(F.col("block_idx") / CUT).cast("long").alias(names[1])).agg(F.collect_list(F.struct("block_idx", "word")).alias(names[2]))
+    a, b = parts(q, "query_id", "qs", "qv"), parts(c, "signal_id", "cs", "cv")
+    asked = q.select(F.col("signal_id").alias("query_id"), F.floor(F.col("block_idx") / CUT).cast("long").alias("qs")).distinct()
+    low = F.col("qs") * CUT + F.col("offset")
+    spread = offsets.join(asked, "query_id").withColumn("cs", F.explode(F.sequence(F.floor(low / CUT), F.floor((low + (CUT - 1)) / CUT))))
+    pairs = spread.groupBy("query_id", "qs", "signal_id", "cs").agg(F.collect_list("offset").alias("offsets"))
+    met = pairs.join(a, ["query_id", "qs"]).join(b, ["signal_id", "cs"]).select("query_id", "signal_id", "qs", "cs", "offsets", "qv", "cv")
+    cut = CUT
+
+    def dense(rows: pa.ListScalar, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place of a part: its word, whether it is there, whether its word is null."""
+        word, there, null = np.zeros(cut, np.uint64), np.zeros(cut, bool), np.zeros(cut, bool)
+        at = rows.values.field("block_idx").to_numpy(zero_copy_only=False) - part * cut
+        values = rows.values.field("word")
+        word[at] = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        there[at], null[at] = True, values.is_null().to_numpy(zero_copy_only=False)
+        return word, there, null
+
+    def run(batches):
+        for batch in batches:
+            for i, (qs, cs) in enumerate(zip(batch.column("qs").to_pylist(), batch.column("cs").to_pylist(), strict=True)):
+                (x, xt, xn), (y, yt, yn) = dense(batch.column("qv")[i], qs), dense(batch.column("cv")[i], cs)
+                found = []
+                for offset in batch.column("offsets")[i].as_py():
+                    by = (qs - cs) * cut + offset  # place k of the one part meets place k + by of the other
+                    u, v = slice(max(0, -by), min(cut, cut - by)), slice(max(0, by), min(cut, cut + by))
+                    both = xt[u] & yt[v]
+                    known = both & ~xn[u] & ~yn[v]
+                    if n := int(both.sum()):
+                        found.append((offset, n, int(known.sum()), int(np.bitwise_count(x[u] ^ y[v])[known].sum())))
+                if found:
+                    keys = [batch.column(k).take(pa.array([i] * len(found))) for k in ("query_id", "signal_id")]
+                    yield pa.RecordBatch.from_arrays([*keys, *(pa.array(v, pa.int64()) for v in zip(*found, strict=True))], names=["query_id", "signal_id", "offset", "words", "known", "apart"])
+
+    kinds = dict(met.dtypes)
+    parts_met = met.mapInArrow(run, f"query_id {kinds['query_id']}, signal_id {kinds['signal_id']}, offset long, words long, known long, apart long")
+    return parts_met.groupBy("query_id", "signal_id", "offset").agg(F.sum("words").alias("words"), F.try_divide(F.sum("apart"), F.sum("known")).alias("bits"))
+
+
 def _segments(rows: DataFrame, name: str, s: str) -> DataFrame:
     return rows.select(F.col("signal_id").alias(name), F.floor(F.col("block_idx") / SEGMENT).cast("long").alias(s), "block_idx", "word")
 

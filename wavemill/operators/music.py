@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..functions.arrow import map_arrays
 from . import curves
+from .framing import _check, resample, time_stamp
 from .framing import blocks as frame
-from .framing import resample, time_stamp
-from .scans import viterbi_chunks
+from .matching import met_words, run_starts
+from .scans import _numbers, bordered, resample_pieces, viterbi_chunks
 from .spectral import _keys
 
 NOVELTY = {"Flux": K.novelty_flux, "Hainsworth": K.novelty_hainsworth, "Laroche": K.novelty_laroche}
@@ -190,6 +191,30 @@ def fingerprints(signals: DataFrame, block: int = 2048, hop: int = 64, rate: flo
     return fingerprint_blocks(frame(resample(signals, rate), block, hop, previous=True))
 
 
+def fingerprints_of_chunks(chunks: DataFrame, chunk: int, block: int = 2048, hop: int = 64, rate: float = 5000.0) -> DataFrame:
+    """``fingerprints`` of signals in chunks; no signal is gathered, and blocks are cut in the task that transforms them."""
+    _check(block, hop)
+    if chunk % hop:
+        raise ValueError("the chunk length must be a multiple of the hop")
+    parts = bordered(resample_pieces(chunks, rate, chunk), chunk, hop, block - hop, ("length",))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, r in enumerate(batch.select(["length", "chunk_idx", "at"]).to_pylist()):
+                first = r["chunk_idx"] * (chunk // hop)
+                count = min(chunk // hop, r["length"] // hop + 1 - first)
+                if count <= 0:
+                    continue
+                lead = np.zeros(r["at"] - (first - 1) * hop)
+                words = K.fingerprint_part(np.concatenate([lead, _numbers(batch.column("samples"), i)]), count, block, hop, rate, first == 0)
+                keys = [batch.column(c).take(pa.array([i] * count)) for c in ("signal_id", "sample_rate")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.arange(first, first + count)), pa.array(words, pa.int64())], names=["signal_id", "sample_rate", "block_idx", "word"])
+
+    source = parts.select("signal_id", "sample_rate", "length", "chunk_idx", "at", "samples")
+    found = source.mapInArrow(run, f"signal_id {dict(source.dtypes)['signal_id']}, sample_rate double, block_idx long, word long")
+    return found.select("signal_id", "sample_rate", "block_idx", time_stamp("block_idx", block, hop, "sample_rate").alias("t_s"), "word")
+
+
 def match_fingerprints(queries: DataFrame, corpus: DataFrame, most_bits: int = 8, least_hits: int = 1) -> DataFrame:
     """(query_id, signal_id, offset, words, bits): words compared at the offsets at which at least ``least_hits`` words are equal.
 
@@ -197,15 +222,13 @@ def match_fingerprints(queries: DataFrame, corpus: DataFrame, most_bits: int = 8
     reach the threshold are compared word by word. Steady sounds repeat a word: of each run of equal
     words in a signal only the first place is looked up, so a hot word does not meet itself at all
     places. Words are compared at all places afterwards.
+
+    The sides are read several times, so they should not be long computations; places of a signal are unique.
     """
-    ordered = Window.partitionBy("signal_id").orderBy("block_idx")
-    starts = lambda df: df.withColumn("before", F.lag("word").over(ordered)).where("word <> 0 and (before is null or before <> word)").drop("before")
     q = queries.select("signal_id", "block_idx", "word")
     c = corpus.select("signal_id", "block_idx", "word")
+    starts = lambda df: run_starts(df).where("word <> 0")
     keys = starts(q).select(F.col("signal_id").alias("query_id"), F.col("block_idx").alias("qi"), "word")
     hits = keys.join(starts(c), "word").groupBy("query_id", "signal_id", (F.col("block_idx") - F.col("qi")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
     offsets = hits.where(F.col("hits") >= least_hits).drop("hits")
-    all_q = q.select(F.col("signal_id").alias("query_id"), F.col("block_idx").alias("qi"), F.col("word").alias("qw"))
-    both = offsets.join(all_q, "query_id").withColumn("block_idx", F.col("qi") + F.col("offset")).join(c, ["signal_id", "block_idx"])
-    bits = F.bit_count(F.col("qw").bitwiseXOR(F.col("word")))
-    return both.groupBy("query_id", "signal_id", "offset").agg(F.count(F.lit(1)).alias("words"), F.avg(bits).alias("bits")).where(F.col("bits") <= most_bits)
+    return met_words(offsets, q, c).where(F.col("bits") <= most_bits)

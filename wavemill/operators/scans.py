@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kernels as K
@@ -206,13 +206,64 @@ def gammatone_chunks(chunks: DataFrame, bands: int = 20, start: float = 100.0, g
 
 def rechunk(pieces: DataFrame, chunk: int) -> DataFrame:
     """Chunks of ``chunk`` samples from rows (signal_id, sample_rate, at, samples) that start at sample ``at``."""
-    last = F.expr(f"(at + size(samples) - 1) div {chunk}")
-    to = pieces.where(F.size("samples") > 0).withColumn("chunk_idx", F.explode(F.sequence(F.expr(f"at div {chunk}"), last)))
-    begin = F.greatest(F.col("chunk_idx") * chunk - F.col("at"), F.lit(0)).cast("int")
-    end = F.least((F.col("chunk_idx") + 1) * chunk - F.col("at"), F.size("samples").cast("long")).cast("int")
-    cut = to.select("signal_id", "sample_rate", "chunk_idx", "at", F.slice("samples", begin + 1, end - begin).alias("part"))
+    return bordered(pieces, chunk, 0, 0).drop("at")
+
+
+def bordered(pieces: DataFrame, chunk: int, before: int, after: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(signal_id, sample_rate, *keep, chunk_idx, at, samples): ``rechunk`` with the samples ``before`` and ``after`` each chunk, as far as there
+    are any. A chunk behind the last one also has a row if samples are before it; ``keep`` names columns with one value a signal.
+    """
+    low = F.greatest(F.floor((F.col("at") - after) / chunk), F.lit(0)).cast("long")
+    last = F.expr(f"(at + size(samples) - 1 + {before}) div {chunk}")
+    to = pieces.where(F.size("samples") > 0).withColumn("chunk_idx", F.explode(F.sequence(low, last)))
+    begin = F.greatest(F.col("chunk_idx") * chunk - before - F.col("at"), F.lit(0)).cast("int")
+    end = F.least((F.col("chunk_idx") + 1) * chunk + after - F.col("at"), F.size("samples").cast("long")).cast("int")
+    cut = to.select("signal_id", "sample_rate", *keep, "chunk_idx", (F.col("at") + begin).alias("at"), F.slice("samples", begin + 1, end - begin).alias("part"))
     joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]))
-    return cut.groupBy("signal_id", "sample_rate", "chunk_idx").agg(joined.alias("samples"))
+    return cut.groupBy("signal_id", "sample_rate", *keep, "chunk_idx").agg(F.min("at").alias("at"), joined.alias("samples"))
+
+
+def placed_chunks(chunks: DataFrame) -> DataFrame:
+    """(signal_id, sample_rate, at, samples, length, sound): the place of each chunk's first sample, its signal's length, and whether all of that are numbers.
+
+    Only one row a chunk, without samples, is ordered within a signal.
+    """
+    number = lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf")))
+    sizes = chunks.select("signal_id", "chunk_idx", F.size("samples").cast("long").alias("n"), F.forall("samples", lambda v: F.coalesce(number(v), F.lit(False))).alias("sound"))
+    w = Window.partitionBy("signal_id")
+    before = F.coalesce(F.sum("n").over(w.orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("signal_id", "chunk_idx", before.alias("at"), F.sum("n").over(w).alias("length"), F.min("sound").over(w).alias("sound"))
+    return chunks.join(places, ["signal_id", "chunk_idx"]).select("signal_id", "sample_rate", "at", "samples", "length", "sound")
+
+
+def resample_pieces(chunks: DataFrame, rate: float, chunk: int) -> DataFrame:
+    """(signal_id, sample_rate, at, samples, length): resampled signals in pieces from sample ``at`` on, and their length.
+
+    A filter's memory is lost to rounding after some samples (``kernels.reach``): chunks with that much of their neighbours are
+    filtered alone, in one pass. Filters that remember more than a chunk go through the scans of ``resample_chunks``.
+    """
+    chunks, kind = _clean(chunks), dict(chunks.dtypes)["signal_id"]
+    around = max([K.resample_reach(r[0], rate) for r in chunks.select("sample_rate").distinct().collect()], default=0)  # rates are few
+    if around > chunk:
+        return placed_chunks(resample_chunks(chunks, rate, chunk)).drop("sound")
+    parts = bordered(placed_chunks(chunks), chunk, around, around, ("length", "sound")).where(f"chunk_idx <= (length - 1) div {chunk}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.select(["sample_rate", "length", "sound", "chunk_idx", "at"]).to_pylist()
+            for i, r in enumerate(rows):
+                fs, begin, n = r["sample_rate"], r["chunk_idx"] * chunk, K.resample_length(r["length"], r["sample_rate"], rate)
+                last = begin + chunk >= r["length"]
+                k = np.arange(max(0, int(begin * rate / fs) - 2), n if last else min(n, int((begin + chunk) * rate / fs) + 2))
+                place = np.floor(k * fs / rate)
+                k = k[(place >= begin) & (last | (place < begin + chunk))]
+                if not len(k):
+                    continue
+                x = _numbers(batch.column("samples"), i) if r["sound"] or fs == rate else np.full(len(batch.column("samples")[i]), np.nan)
+                y = K.resample_part(x, r["at"], r["length"], int(k[0]), int(k[-1]) + 1, fs, rate)
+                yield pa.RecordBatch.from_arrays([batch.column("signal_id").slice(i, 1), pa.array([float(rate)]), pa.array([int(k[0])], pa.int64()), lists(y[None, :]), pa.array([n], pa.int64())], names=["signal_id", "sample_rate", "at", "samples", "length"])
+
+    return parts.mapInArrow(run, f"signal_id {kind}, sample_rate double, at long, samples array<double>, length long")
 
 
 def _resampled(chunks: DataFrame, rate: float, chunk: int) -> DataFrame:

@@ -102,7 +102,7 @@ class LongSignals:
 
     def fingerprints(self, block: int = 2048, hop: int = 64, rate: float = 5000.0) -> DataFrame:
         """Sub-fingerprints of the resampled signals; the chunk must be a multiple of the hop."""
-        return music.fingerprint_blocks(self.resample(rate).framed(block, hop, False, True))
+        return music.fingerprints_of_chunks(self.df, self.chunk, block, hop, rate)
 
     def chords(self, block: int = 8192, hop: int = 2048) -> DataFrame:
         """(signal_id, block_idx, chord, name): smoothed over the whole signal, decoded in parts of as many blocks as a chunk has."""
