@@ -83,3 +83,13 @@ def test_slices_are_searched_by_products(spark):
     assert key == (0, 0, 0) and part.num_rows == 60 and isinstance(index, learn.Near) and ids.tolist() == list(range(60))
     want = near.search(near.t, near.ti, 2, True)
     assert all((a == b).all() for a, b in zip(index.search(near.t, ids, 2, True), want, strict=True))
+
+
+def test_queries_are_sent_to_blocks_not_to_cells(spark):
+    # nothing can be skipped among independent dimensions: every query needs nearly every cell
+    x = np.random.default_rng(5).normal(size=(1500, 24))
+    o = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    index = regions.Regions(o)
+    sent = index._further(index._first(o, 3, True)).count()
+    assert len(index.cells.n) > 15 and sent <= 8 * 1500
+    assert rows(index.neighbours(o, 3, True)) == rows(learn.neighbours(o, o, 3, True))
