@@ -198,3 +198,29 @@ def test_small_regions_go_through_pivots():
         want = jaccard._stars(jaccard._linked(x, n, n, 90, 100))
         assert sorted(found) == sorted((int(i), int(j)) for i, j in want) and taken[0] == "pivots"
     assert jaccard.pivot_links(base[:2], 90, 100) == []
+
+
+def test_large_regions_are_joined_in_short_plans(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 10**6, (6, 60))
+    rows = []
+    for i in range(300):
+        w = words[i % 6].copy()
+        w[rng.integers(0, 60, 2)] = rng.integers(0, 10**6, 2)
+        rows.append((" ".join(f"w{x}" for x in w), i, "x"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    exchanges = {}
+    written = jaccard.written
+
+    def told(df, folder, name):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
+        return written(df, folder, name)
+
+    monkeypatch.setattr(jaccard, "written", told)
+    want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
+    assert "near0" not in exchanges
+    monkeypatch.setattr(jaccard, "REGION_DOCS", 2)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 8)
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
+    # the driver plans a query anew after each exchange
+    assert "near0" in exchanges and max(exchanges.values()) <= 16, exchanges

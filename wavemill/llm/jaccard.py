@@ -375,10 +375,13 @@ def _pivot_distances(members: DataFrame, sizes: DataFrame, level: int, k: int, n
 
 
 def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) -> list[DataFrame]:
-    """Links of the regions that are too large for a task; members has (cell, cid, n, text)."""
+    """Links of the regions that are too large for a task; members has (cell, cid, n, text), each cid of a cell once.
+
+    What several plans need is written, so that each plan is some exchanges long: the driver plans a query anew after
+    every exchange, and one plan of a whole level took it hundreds of MB.
+    """
     links: list[DataFrame] = []
     for level in range(MOST_LEVELS):
-        members = members.dropDuplicates(["cell", "cid"])
         sizes = written(members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs")), folder, f"sizes{level}")
         near = written(_pivot_distances(members, sizes, level, k, num, den), folder, f"near{level}")
         links.append(near.select(F.col("cid").alias("a"), F.explode("links").alias("b")).where("a <> b"))
@@ -393,35 +396,38 @@ def _split_large(members: DataFrame, folder: str, k: int, num: int, den: int) ->
         shrunk = F.expr("docs <= 0.7 * parent") & F.lit(level + 1 < MOST_LEVELS)
         # children whose members are all connected are done
         still = stats.where("low <> top").join(sizes.select("cell", F.col("docs").alias("parent")), "cell").select("child", F.when(fits, "task").when(shrunk, "deeper").otherwise("tiles").alias("way"))
-        still = children.join(still, "child").select("cell", "cid", "n", "child", "root", "way")
+        still = written(children.join(still, "child").select("cell", "cid", "n", "child", "root", "way"), folder, f"still{level}")
+        ways = {r["way"] for r in still.select("way").distinct().collect()}  # three at most
         texts = members.select("cell", "cid", "text")
 
         def of(way: str, rows: DataFrame = still, texts: DataFrame = texts) -> DataFrame:
             return rows.where(F.col("way") == way).join(texts, ["cell", "cid"]).select(F.col("child").alias("cell"), "cid", "n", "text")
 
-        joined = _joined_regions(of("task"), ["cell"], k, num, den)
-        # children that keep most of their parent overlap each other: they are joined as one
-        stuck = still.where("way = 'tiles'").select("cell", "cid", "root").distinct()
-        main = stuck.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max_by("root", "c").alias("main"))
-        stuck = stuck.join(main, "cell").join(texts, ["cell", "cid"]).select("cell", "cid", "text", (F.col("root") != F.col("main")).alias("other"))
-        joined = joined.unionAll(_joined_regions(_tiles(stuck), ["cell", "i", "j"], k, num, den))
         # written, as the next level and the final components read them again
-        links.append(written(joined, folder, f"joined{level}"))
-        members = written(of("deeper"), folder, f"members{level}")
-        if members.isEmpty():
+        if "task" in ways:
+            links.append(written(_joined_regions(of("task"), ["cell"], k, num, den), folder, f"joined{level}"))
+        if "tiles" in ways:
+            # children that keep most of their parent overlap each other: they are joined as one
+            stuck = written(still.where("way = 'tiles'").select("cell", "cid", "root").distinct(), folder, f"stuck{level}")
+            main = stuck.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell").agg(F.max_by("root", "c").alias("main"))
+            stuck = written(stuck.join(main, "cell").select("cell", "cid", (F.col("root") != F.col("main")).alias("other")), folder, f"others{level}")
+            links.append(written(_joined_regions(_tiles(stuck, texts), ["cell", "i", "j"], k, num, den), folder, f"tiled{level}"))
+        if "deeper" not in ways:
             break
+        members = written(of("deeper"), folder, f"members{level}")
     return links
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """(cell, i, j, cid, text): the chunks i of members outside the main class against all chunks j."""
+def _tiles(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell, i, j, cid, text): the chunks i of members (cell, cid, other) outside the main class against all chunks j."""
     others = F.ceil(F.sum(F.col("other").cast("int")) / CHUNK_DOCS).cast("int")
     count = rows.groupBy("cell").agg(others.alias("ci"), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS).cast("int").alias("cj"))
-    dealt = rows.join(count, "cell")
+    dealt = rows.join(count, "cell").where("ci > 0").join(texts, ["cell", "cid"])
     draw = F.xxhash64("cid")
-    left = dealt.where("other").select("cell", F.pmod(draw, F.col("ci")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cj") - 1)).alias("j"), "cid", "text")
-    right = dealt.where("ci > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("i"), F.pmod(draw, F.col("cj")).cast("int").alias("j"), "cid", "text")
-    return left.unionAll(right)
+    all_of = lambda c: F.transform(F.sequence(F.lit(0), F.col("ci" if c == "j" else "cj") - 1), lambda x: F.struct(*((x.alias("i"), F.pmod(draw, F.col("cj")).cast("int").alias("j")) if c == "j" else (F.pmod(draw, F.col("ci")).cast("int").alias("i"), x.alias("j")))))
+    # a member is its chunk j of all chunks i, and if it is outside the main class its chunk i of all chunks j
+    at = F.explode(F.concat(all_of("j"), F.when(F.col("other"), all_of("i")).otherwise(F.array())))
+    return dealt.select("cell", at.alias("at"), "cid", "text").select("cell", "at.i", "at.j", "cid", "text")
 
 
 def _texts_of(named: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
@@ -476,6 +482,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     links = _joined_regions(members.where("not large"), ["cell"], k, num, den)
     large = members.where("large").drop("large")
     if not large.isEmpty():
+        large = written(large.dropDuplicates(["cell", "cid"]), folder, "large")
         for more in _split_large(large, folder, k, num, den):
             links = links.unionAll(more)
         roots = components(written(links, folder, "links"), folder, "linked")
@@ -488,4 +495,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
     joined = named.join(lowest, "root").select(F.col("node").alias("cid"), "component")
     final = classes.select("cid", "rep").join(joined, "cid", "left").select("cid", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    final = written(final, folder, "final")
     return base.select("doc_id", "n", "cid").join(final, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("class_id"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
