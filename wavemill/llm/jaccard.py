@@ -473,6 +473,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     edges = _part_edges(shared, classes, folder, num, den)
     edges = edges if hot_edges is None else edges.unionAll(hot_edges)
     regions = components(edges, folder, "regions").withColumnRenamed("node", "cid").withColumnRenamed("root", "cell")
+    for name in ("shared", "runs"):
+        discard(spark, folder, name)
     sizes = regions.join(classes.select("cid", "rep", "rep_tid", "n"), "cid").select("cell", "cid", "rep", "rep_tid", "n")
     sizes = written(sizes, folder, "candidates")
     stats = sizes.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
@@ -489,7 +491,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     else:
         links = written(links, folder, "links")  # already stars of whole components
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    for name in ("shared", "runs", "members"):
+    for name in ("members", "large"):
         discard(spark, folder, name)
     named = roots.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
